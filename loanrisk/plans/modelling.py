@@ -1 +1,242 @@
-"""Model training and evaluation queries (filled in later)."""
+"""Evaluation, split, scoring and modelling queries.
+
+Metric queries score the hold-out loans with a fixed closed-form score
+(no model needed, many ties): p = round(((k * 7919) % 2000) / 2000, 3),
+k = loan id. Model queries (scorecard, boosted trees, neural net) train on
+the mature vintages and report hold-out metrics; they have no SQL twin.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from loanrisk.functions.num import (FACTOR, OFFSET, dround, income_band, integer_points,
+                                    log_odds_to_points, points_to_pd, points_to_pd_consistent)
+from loanrisk.operators import metrics, split
+from loanrisk.plans.registry import register, sql_over
+
+# ------------------------------------------------------------ scored frame
+
+
+def fixture_score(key: str = "loan_id") -> F.Column:
+    k = F.col(key).cast("long")
+    return dround(((k * 7919) % 2000) / F.lit(2000.0), 3)
+
+
+def scored_holdout(mf: DataFrame) -> DataFrame:
+    """Mature hold-out loans with label y, fixture score p and income."""
+    t = split.with_split(split.mature(mf)).where(F.col("split") == "test")
+    return t.select("loan_id", F.col("default_flag").alias("y"),
+                    fixture_score().alias("p"), "annual_inc")
+
+
+_SCORED = ("""
+SELECT loan_id, default_flag AS y,
+       round(((CAST(loan_id AS BIGINT) * 7919) % 2000) / 2000.0::DOUBLE, 3) AS p, annual_inc
+FROM model_features
+WHERE issue_year <= 2016 AND substr(md5(loan_id || '42'), 1, 8) < '{cut}'""".replace("{cut}", split.TEST_CUT),
+           ["model_features"])
+
+_LAD = ("""
+SELECT p, pos, neg,
+  COALESCE(sum(pos) OVER (ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos_lt,
+  COALESCE(sum(neg) OVER (ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS neg_lt,
+  sum(pos) OVER () AS n_pos, sum(neg) OVER () AS n_neg
+FROM (SELECT p, sum(y) AS pos, sum(1 - y) AS neg FROM scored GROUP BY p) d""", ["scored"])
+
+_EXTRA = {"scored": _SCORED, "lad": _LAD}
+
+
+def _sql(select: str, ctes: list[str] | None = None) -> str:
+    return sql_over(ctes or ["lad"], select, _EXTRA)
+
+
+@register("scored_holdout", _sql("SELECT * FROM scored", ["scored"]))
+def scored_holdout_q(t):
+    """P10 + M6 (test split) + fixture score."""
+    return scored_holdout(t.model_features)
+
+
+@register("rank_metrics", _sql("""
+SELECT CAST(n_pos AS BIGINT) AS positives, CAST(n_neg AS BIGINT) AS negatives,
+       round(auc, 4) AS auc, round(auc * 2 - 1, 4) AS gini, round(greatest(ks, 0.0), 4) AS ks
+FROM (SELECT max(n_pos) AS n_pos, max(n_neg) AS n_neg,
+             CAST(sum(CAST(pos AS HUGEINT) * (2 * neg_lt + neg)) AS DOUBLE)
+               / (CAST(max(n_pos) AS DOUBLE) * CAST(max(n_neg) AS DOUBLE) * 2.0) AS auc,
+             max((n_pos - pos_lt) / n_pos - (n_neg - neg_lt) / n_neg) AS ks
+      FROM lad) a"""))
+def rank_metrics_q(t):
+    """M12 (AUC, Gini), M13 (KS), A16 class counts."""
+    lad = metrics.score_ladder(scored_holdout(t.model_features))
+    return metrics.rank_metrics(lad)
+
+
+_QS = [i / 10 for i in range(1, 10)]
+
+
+@register("quantile_edges", _sql(
+    "SELECT " + ", ".join(f"quantile_cont(p, {q}) AS q{i}" for i, q in enumerate(_QS))
+    + " FROM scored", ["scored"]))
+def quantile_edges_q(t):
+    """Exact deciles of the score."""
+    lad = metrics.score_ladder(scored_holdout(t.model_features))
+    return metrics.quantile_edges(lad, _QS)
+
+
+_CAL_SQL = """
+SELECT bin, CAST(sum(pos + neg) AS BIGINT) AS rows,
+       sum(p * (pos + neg)) / sum(pos + neg) AS mean_predicted,
+       sum(pos) / sum(pos + neg) AS observed_rate
+FROM (SELECT lad.*, """ + " + ".join(
+    f"CASE WHEN p > e.q{i} THEN 1 ELSE 0 END" for i in range(9)) + """ AS bin
+      FROM lad, (SELECT """ + ", ".join(f"quantile_cont(p, {q}) AS q{i}" for i, q in enumerate(_QS)) + """
+                 FROM scored) e) b
+GROUP BY bin"""
+
+
+@register("calibration_curve", _sql(
+    "SELECT bin, rows, round(mean_predicted, 6) AS mean_predicted, round(observed_rate, 6) AS observed_rate"
+    " FROM (" + _CAL_SQL + ") c ORDER BY bin", ["lad", "scored"]))
+def calibration_curve_q(t):
+    """M14 curve table (A18 edges, bins, observed vs predicted)."""
+    lad = metrics.score_ladder(scored_holdout(t.model_features))
+    edges = metrics.inner_calibration_edges(lad)
+    return metrics.calibration_curve(metrics.calibration_table(lad, edges)).orderBy("bin")
+
+
+@register("calibration_error", _sql(
+    "SELECT round(avg(abs(observed_rate - mean_predicted)), 4) AS calibration_error FROM ("
+    + _CAL_SQL + ") c", ["lad", "scored"]))
+def calibration_error_q(t):
+    """Calibration error."""
+    lad = metrics.score_ladder(scored_holdout(t.model_features))
+    edges = metrics.inner_calibration_edges(lad)
+    return metrics.calibration_error(metrics.calibration_table(lad, edges))
+
+
+@register("ks_curve", _sql("""
+SELECT CAST(g.j AS INTEGER) AS j, g.j * (1.0::DOUBLE / 199.0::DOUBLE) AS threshold,
+       round(COALESCE(sum(l.neg), 0) / (SELECT sum(neg) FROM lad), 6) AS cdf_non_default,
+       round(COALESCE(sum(l.pos), 0) / (SELECT sum(pos) FROM lad), 6) AS cdf_default
+FROM range(200) g(j) LEFT JOIN lad l ON l.p <= g.j * (1.0::DOUBLE / 199.0::DOUBLE)
+GROUP BY g.j ORDER BY g.j"""))
+def ks_curve_q(t):
+    """Class CDFs on 200 thresholds (one grouped pass, no rescans)."""
+    lad = metrics.score_ladder(scored_holdout(t.model_features))
+    return metrics.ks_curve(lad).orderBy("j")
+
+
+@register("evaluation_suite", _sql("""
+SELECT r.gini, r.ks, r.auc, c.calibration_error, a.default_rate_actual, a.default_rate_predicted,
+       r.positives, r.negatives
+FROM (SELECT CAST(n_pos AS BIGINT) AS positives, CAST(n_neg AS BIGINT) AS negatives,
+             round(auc, 4) AS auc, round(auc * 2 - 1, 4) AS gini, round(greatest(ks, 0.0), 4) AS ks
+      FROM (SELECT max(n_pos) AS n_pos, max(n_neg) AS n_neg,
+                   CAST(sum(CAST(pos AS HUGEINT) * (2 * neg_lt + neg)) AS DOUBLE)
+                     / (CAST(max(n_pos) AS DOUBLE) * CAST(max(n_neg) AS DOUBLE) * 2.0) AS auc,
+                   max((n_pos - pos_lt) / n_pos - (n_neg - neg_lt) / n_neg) AS ks FROM lad) x) r,
+     (SELECT round(avg(abs(observed_rate - mean_predicted)), 4) AS calibration_error
+      FROM (""" + _CAL_SQL + """) c0) c,
+     (SELECT round(sum(pos) / sum(pos + neg), 4) AS default_rate_actual,
+             round(sum(p * (pos + neg)) / sum(pos + neg), 4) AS default_rate_predicted FROM lad) a""",
+    ["lad", "scored"]))
+def evaluation_suite_q(t):
+    """The full evaluation row."""
+    return metrics.evaluate(scored_holdout(t.model_features))
+
+
+_SEG_SQL = """
+SELECT segment, 'gini_' || replace(replace(replace(segment, '<', 'lt'), '>', 'gt'), '-', '_') AS metric_name,
+       CAST(n_pos + n_neg AS BIGINT) AS rows, round(auc * 2 - 1, 3) AS gini
+FROM (SELECT segment, max(n_pos) AS n_pos, max(n_neg) AS n_neg,
+             CAST(sum(CAST(pos AS HUGEINT) * (2 * neg_lt + neg)) AS DOUBLE)
+               / (CAST(max(n_pos) AS DOUBLE) * CAST(max(n_neg) AS DOUBLE) * 2.0) AS auc
+      FROM (SELECT segment, p, pos, neg,
+              COALESCE(sum(neg) OVER (PARTITION BY segment ORDER BY p
+                                      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS neg_lt,
+              sum(pos) OVER (PARTITION BY segment) AS n_pos, sum(neg) OVER (PARTITION BY segment) AS n_neg
+            FROM (SELECT segment, p, sum(y) AS pos, sum(1 - y) AS neg
+                  FROM (SELECT *, CASE WHEN annual_inc > 0 AND annual_inc <= 40000 THEN '<40k'
+                                       WHEN annual_inc > 40000 AND annual_inc <= 70000 THEN '40-70k'
+                                       WHEN annual_inc > 70000 AND annual_inc <= 100000 THEN '70-100k'
+                                       WHEN annual_inc > 100000 THEN '>100k' END AS segment
+                        FROM scored) s
+                  WHERE segment IS NOT NULL GROUP BY segment, p) d) c
+      GROUP BY segment) a
+WHERE n_pos + n_neg > 50 AND n_pos > 0 AND n_neg > 0"""
+
+
+@register("segment_gini", _sql(_SEG_SQL, ["scored"]))
+def segment_gini_q(t):
+    """M15 with F31 right-closed income bands and F32 metric names."""
+    return metrics.income_band_gini(scored_holdout(t.model_features))
+
+
+@register("segment_spread", _sql("""
+SELECT count(*) AS segments, max(gini) AS max_gini, min(gini) AS min_gini,
+       round(max(gini) - min(gini), 3) AS spread FROM (""" + _SEG_SQL + ") s", ["scored"]))
+def segment_spread_q(t):
+    """Gini spread across income bands."""
+    return metrics.segment_spread(metrics.income_band_gini(scored_holdout(t.model_features)))
+
+
+# ------------------------------------------------------------ split, weights
+
+
+_SPLIT_SQL = ("CASE WHEN substr(md5(loan_id || '42'), 1, 8) < '%s' THEN 'test' "
+              "WHEN substr(md5(loan_id || '42'), 1, 8) < '%s' THEN 'cal' ELSE 'train' END"
+              % (split.TEST_CUT, split.CAL_CUT))
+
+
+@register("split_audit", sql_over(["model_features"], f"""
+SELECT split, count(*) AS loans, CAST(sum(default_flag) AS BIGINT) AS defaults,
+       round(avg(default_flag), 4) AS default_rate
+FROM (SELECT default_flag, CASE WHEN issue_year > 2016 THEN 'held_out' ELSE {_SPLIT_SQL} END AS split
+      FROM model_features) s
+GROUP BY split ORDER BY split"""))
+def split_audit_q(t):
+    """R11 (M6, P10)."""
+    return split.split_audit(t.model_features)
+
+
+@register("class_weights", sql_over(["model_features"], f"""
+SELECT default_flag, n_class, n / (n_class * 2.0) AS class_weight,
+       sum(CASE WHEN default_flag = 0 THEN n_class END) OVER ()
+         / sum(CASE WHEN default_flag = 1 THEN n_class END) OVER () AS scale_pos_weight
+FROM (SELECT default_flag, count(*) AS n_class, sum(count(*)) OVER () AS n
+      FROM model_features WHERE issue_year <= 2016 AND ({_SPLIT_SQL}) = 'train'
+      GROUP BY default_flag) c"""))
+def class_weights_q(t):
+    """M7: balanced class weights and the neg/pos ratio on the training split."""
+    train = split.with_split(split.mature(t.model_features)).where(F.col("split") == "train")
+    return split.class_weights(train)
+
+
+# ------------------------------------------------------------ scorecard points
+
+_F = repr(FACTOR)
+_O = repr(OFFSET)
+
+
+@register("score_points", sql_over(["model_features"], f"""
+SELECT loan_id, x AS log_odds, pts AS points,
+  round(1.0 / (1.0 + exp((pts - CAST('{_O}' AS DOUBLE)) / CAST('{_F}' AS DOUBLE))), 6) AS pd_published,
+  round(1.0 / (1.0 + exp(-(pts - CAST('{_O}' AS DOUBLE)) / CAST('{_F}' AS DOUBLE))), 6) AS pd_consistent,
+  round(1.0 / (1.0 + exp(-x)), 6) AS pd_from_log_odds
+FROM (SELECT loan_id, x,
+        CAST(round_even(CAST('{_O}' AS DOUBLE) + CAST('{_F}' AS DOUBLE) * x, 0) AS INTEGER) AS pts
+      FROM (SELECT loan_id, (int_rate - 15.0) / 5.0 AS x FROM model_features) a) b"""))
+def score_points_q(t):
+    """Log-odds -> integer points -> PD (published and consistent)."""
+    from loanrisk.functions.num import sigmoid
+    x = (F.col("int_rate") - F.lit(15.0)) / F.lit(5.0)
+    s = t.model_features.select("loan_id", x.alias("log_odds"))
+    s = s.withColumn("points", integer_points(log_odds_to_points("log_odds")))
+    return s.select("loan_id", "log_odds", "points",
+                    dround(points_to_pd("points"), 6).alias("pd_published"),
+                    dround(points_to_pd_consistent("points"), 6).alias("pd_consistent"),
+                    dround(sigmoid("log_odds"), 6).alias("pd_from_log_odds"))
+
+
+__all__ = ["income_band"]
