@@ -240,3 +240,191 @@ def score_points_q(t):
 
 
 __all__ = ["income_band"]
+
+
+# ------------------------------------------------------------ WoE / IV
+
+from loanrisk.operators import woe  # noqa: E402
+
+# --- fixed values -----------------------------------------------------------
+# Scorecard candidate features (origination + months 1-6 behaviour).
+SCORECARD_FEATURES = [
+    "loan_amnt", "int_rate", "term_months", "installment",
+    "annual_inc", "dti", "revol_util", "revol_bal",
+    "delinq_2yrs", "open_acc", "pub_rec", "total_acc",
+    "emp_length_years", "loan_to_income", "payment_to_income",
+    "avg_payment_ratio_m6", "min_payment_ratio_m6",
+    "payment_volatility_m6", "active_months_m6",
+    "payment_trend_m6", "first_month_ratio",
+]
+# ---------------------------------------------------------------------------
+
+
+def training_split(mf: DataFrame, which: str = "train") -> DataFrame:
+    return split.with_split(split.mature(mf)).where(F.col("split") == which)
+
+
+def _fixed_bin_sql(features: list[str]) -> str:
+    long = "\n  UNION ALL ".join(
+        f"SELECT default_flag AS y, '{f}' AS feature, CAST({f} AS DOUBLE) AS value FROM train"
+        for f in features)
+    qs = ", ".join(f"quantile_cont(value, {i / 10}) AS q{i - 1}" for i in range(1, 10))
+    bin_terms = " + ".join(
+        [f"CASE WHEN e.q0 < l.value THEN 1 ELSE 0 END"]
+        + [f"CASE WHEN e.q{i} < l.value AND e.q{i} <> e.q{i - 1} THEN 1 ELSE 0 END" for i in range(1, 9)])
+    return f"""
+WITH train AS (SELECT * FROM model_features
+               WHERE issue_year <= 2016 AND ({_SPLIT_SQL}) = 'train'),
+long AS ({long}),
+edges AS (SELECT feature, {qs} FROM long WHERE value IS NOT NULL GROUP BY feature),
+binned AS (SELECT l.feature, l.y, CASE WHEN l.value IS NULL THEN -1 ELSE {bin_terms} END AS prebin
+           FROM long l JOIN edges e USING (feature)),
+counts AS (SELECT feature, prebin, sum(1 - y) AS good, sum(y) AS bad FROM binned GROUP BY feature, prebin),
+tot AS (SELECT CAST(sum(1 - default_flag) AS DOUBLE) AS G, CAST(sum(default_flag) AS DOUBLE) AS B FROM train)
+SELECT feature, round(iv, 6) AS iv, bins,
+       CASE WHEN round(iv, 6) > 0.3 THEN 'strong' WHEN round(iv, 6) > 0.1 THEN 'medium'
+            WHEN round(iv, 6) > 0.02 THEN 'weak' ELSE 'useless' END AS strength
+FROM (SELECT feature, sum((good / G - bad / B) * ln(((good + 0.5) / G) / ((bad + 0.5) / B))) AS iv,
+             count(*) AS bins
+      FROM counts, tot GROUP BY feature) s
+ORDER BY iv DESC, feature"""
+
+
+@register("woe_fixed_bin_iv", sql_over(
+    ["fixed_iv"], "SELECT * FROM fixed_iv ORDER BY iv DESC, feature",
+    {"fixed_iv": ("SELECT * FROM (" + _fixed_bin_sql(SCORECARD_FEATURES) + ") z",
+                  ["model_features"])}))
+def woe_fixed_bin_iv(t):
+    """M1 (fixed decile bins, missing apart), M2, M3 strength, O2 ordering."""
+    return woe.fixed_bin_iv(training_split(t.model_features), SCORECARD_FEATURES)
+
+
+# ------------------------------------------------------------ trained models
+# Models are trained once per session and source folder, then shared by the
+# queries that report on them (metrics, scores, importance, run log).
+
+from loanrisk.operators import models  # noqa: E402
+
+_TRAINED: dict[tuple[str, str, str], models.Trained] = {}
+_LOGS: dict[tuple[str, str], models.RunLog] = {}
+
+
+def trained(t, name: str) -> models.Trained:
+    key = (t.spark.sparkContext.applicationId, t.sf_dir, name)
+    if key not in _TRAINED:
+        log = _LOGS.setdefault(key[:2], models.RunLog())
+        _TRAINED[key] = models.train(name, t.model_features, log=log)
+    return _TRAINED[key]
+
+
+def run_log(t, names=("scorecard", "boosted_trees", "neural_net")) -> DataFrame:
+    for n in names:
+        trained(t, n)
+    return _LOGS[(t.spark.sparkContext.applicationId, t.sf_dir)].frame(t.spark)
+
+
+def _metrics_row(t, name: str) -> DataFrame:
+    tr = trained(t, name)
+    return t.spark.createDataFrame([tr.metrics], metrics.METRIC_SCHEMA)
+
+
+@register("woe_iv_summary")
+def woe_iv_summary(t):
+    """M1 (merged monotone bins), M2, M3, O2: IV per scorecard candidate."""
+    fitted = woe.fit(training_split(t.model_features), SCORECARD_FEATURES)
+    return woe.iv_summary(t.spark, fitted)
+
+
+@register("woe_bins")
+def woe_bins(t):
+    """M1: the fitted bins (upper edge, counts, WoE) per feature; missing apart."""
+    return woe.bin_table(t.spark, trained(t, "scorecard").extra["fitted"])
+
+
+@register("woe_selected_features")
+def woe_selected_features(t):
+    """M4: features with IV >= 0.1, in the original order."""
+    tr = trained(t, "scorecard")
+    fitted = tr.extra["fitted"]
+    rows = [(i, f, float(fitted[f].iv)) for i, f in enumerate(tr.extra["selected"])]
+    return t.spark.createDataFrame(rows, "position int, feature string, iv double")
+
+
+@register("woe_transform")
+def woe_transform(t):
+    """M5 + P13: WoE columns of the selected features for every mature loan."""
+    tr = trained(t, "scorecard")
+    return woe.transform(split.mature(t.model_features), tr.extra["fitted"],
+                         tr.extra["selected"], keep=["loan_id", "default_flag"])
+
+
+@register("scorecard_holdout")
+def scorecard_holdout(t):
+    """Champion scorecard hold-out metrics."""
+    return _metrics_row(t, "scorecard")
+
+
+@register("scorecard_scores")
+def scorecard_scores(t):
+    """Calibrated PD, margin and integer points per hold-out loan."""
+    return trained(t, "scorecard").scored
+
+
+@register("boosted_trees_holdout")
+def boosted_trees_holdout(t):
+    """M17 + M9 + M16: boosted-tree challenger hold-out metrics."""
+    return _metrics_row(t, "boosted_trees")
+
+
+@register("boosted_trees_importance")
+def boosted_trees_importance(t):
+    """Top-15 features by importance."""
+    return models.importance_frame(t.spark, trained(t, "boosted_trees").extra["importance"])
+
+
+@register("boosted_trees_segment_gini")
+def boosted_trees_segment_gini(t):
+    """M15 on the challenger's calibrated hold-out scores."""
+    return metrics.income_band_gini(trained(t, "boosted_trees").scored)
+
+
+@register("neural_net_holdout")
+def neural_net_holdout(t):
+    """M20, M21 (+ M9, M16): perceptron challenger hold-out metrics."""
+    return _metrics_row(t, "neural_net")
+
+
+@register("neural_net_loss_history")
+def neural_net_loss_history(t):
+    """Training objective per iteration."""
+    h = trained(t, "neural_net").extra["loss_history"]
+    return t.spark.createDataFrame([(i + 1, float(v)) for i, v in enumerate(h)],
+                                   "iteration int, loss double")
+
+
+@register("run_log")
+def run_log_q(t):
+    """Params, tags and metrics of the three runs."""
+    return run_log(t)
+
+
+@register("model_comparison")
+def model_comparison(t):
+    """Runs side by side with the delta vs the champion."""
+    return models.comparison(run_log(t))
+
+
+@register("promotion_decision")
+def promotion_decision(t):
+    """Challenger eligible when Gini > champion Gini + 0.02."""
+    return models.promotion(run_log(t))
+
+
+@register("iv_importance_agreement")
+def iv_importance_agreement(t, k: int = 5):
+    """Features shared by the top-k IV ranking and the top-k importance ranking."""
+    sc = trained(t, "scorecard").extra["fitted"]
+    iv_top = [f for f, _ in sorted(((f, b.iv) for f, b in sc.items()), key=lambda x: (-x[1], x[0]))[:k]]
+    imp_top = [f for f, _ in trained(t, "boosted_trees").extra["importance"][:k]]
+    rows = [(f, f in iv_top, f in imp_top) for f in sorted(set(iv_top) | set(imp_top))]
+    return t.spark.createDataFrame(rows, "feature string, in_iv_top boolean, in_importance_top boolean")
