@@ -41,11 +41,11 @@ DEFAULT_BUCKETS = 1024
 
 def _bucket_splits(distinct: DataFrame, score: str, buckets: int) -> list[float]:
     """Range boundaries with ~equal numbers of distinct scores per range."""
-    if buckets <= 1:
-        return [float("-inf"), float("inf")]
+    if buckets <= 1:   # Bucketizer needs one inner split; any value keeps the order
+        return [float("-inf"), 0.0, float("inf")]
     probs = [i / buckets for i in range(1, buckets)]
     row = distinct.agg(F.percentile_approx(score, probs, 10 * buckets).alias("q")).first()
-    qs = sorted({float(x) for x in (row["q"] or []) if x is not None})
+    qs = sorted({float(x) for x in (row["q"] or []) if x is not None}) or [0.0]
     return [float("-inf")] + qs + [float("inf")]
 
 
@@ -99,8 +99,9 @@ def rank_metrics(ladder: DataFrame, by: list[str] | None = None, gini_digits: in
     by = list(by or [])
     num = F.sum((F.col("pos").cast("decimal(38,0)")
                  * (F.col("neg_lt") * 2 + F.col("neg")).cast("decimal(38,0)")))
-    tpr_fpr = ((F.col("n_pos") - F.col("pos_lt")) / F.col("n_pos")
-               - (F.col("n_neg") - F.col("neg_lt")) / F.col("n_neg"))
+    both = (F.col("n_pos") > 0) & (F.col("n_neg") > 0)
+    tpr_fpr = F.when(both, (F.col("n_pos") - F.col("pos_lt")) / F.col("n_pos")
+                     - (F.col("n_neg") - F.col("neg_lt")) / F.col("n_neg"))
     a = ladder.groupBy(*by).agg(
         num.alias("_num"),
         F.max("n_pos").alias("positives"),
@@ -202,8 +203,10 @@ def ks_curve(ladder: DataFrame, score: str = "p", points: int = KS_CURVE_POINTS)
     return g.select(
         "j",
         (F.col("j") * F.lit(step)).alias("threshold"),
-        dround(F.coalesce(F.sum("_n").over(upto), F.lit(0)) / F.col("_tot_neg"), 6).alias("cdf_non_default"),
-        dround(F.coalesce(F.sum("_p").over(upto), F.lit(0)) / F.col("_tot_pos"), 6).alias("cdf_default"),
+        dround(F.try_divide(F.coalesce(F.sum("_n").over(upto), F.lit(0)), F.col("_tot_neg")), 6)
+        .alias("cdf_non_default"),
+        dround(F.try_divide(F.coalesce(F.sum("_p").over(upto), F.lit(0)), F.col("_tot_pos")), 6)
+        .alias("cdf_default"),
     )
 
 

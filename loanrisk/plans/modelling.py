@@ -76,12 +76,14 @@ _QS = [i / 10 for i in range(1, 10)]
 
 
 @register("quantile_edges", _sql(
-    "SELECT " + ", ".join(f"quantile_cont(p, {q}) AS q{i}" for i, q in enumerate(_QS))
+    "SELECT " + ", ".join(f"round(quantile_cont(p, {q}), 10) AS q{i}" for i, q in enumerate(_QS))
     + " FROM scored", ["scored"]))
 def quantile_edges_q(t):
-    """Exact deciles of the score."""
+    """Exact deciles of the score (reported to 10 decimals: engines
+    differ in the last bit of the interpolation)."""
     lad = metrics.score_ladder(scored_holdout(t.model_features))
-    return metrics.quantile_edges(lad, _QS)
+    e = metrics.quantile_edges(lad, _QS)
+    return e.select(*[dround(c, 10).alias(c) for c in e.columns])
 
 
 _CAL_SQL = """
