@@ -1,0 +1 @@
+"""loanrisk: loan-default risk analytics on Spark (DataFrame / SQL / ML)."""

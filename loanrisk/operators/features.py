@@ -157,9 +157,11 @@ def vintage_features(loans: DataFrame, outcomes: DataFrame) -> DataFrame:
 def vintage_features_window(loans: DataFrame, outcomes: DataFrame) -> DataFrame:
     """View 3 written as the two unordered windows over the quarter.
 
-    Same result as ``vintage_features``; kept for parity with the SQL form.
-    A window partitioned by quarter puts each quarter in one task, so at
-    scale ``vintage_features`` is the one to use.
+    Small-data form only: a window partitioned by quarter sends a whole
+    quarter to one task, and one quarter may hold a large share of all loans.
+    No registered query uses it; ``vintage_features`` computes the same
+    columns with partial aggregation and a bounded broadcast. A unit test
+    checks the two agree.
     """
     lo = (loans.select("loan_id", "issue_date")
           .join(outcomes.select("loan_id", "default_flag"), "loan_id"))

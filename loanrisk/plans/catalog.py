@@ -126,14 +126,6 @@ def vintage_features(t):
     return t.vintage
 
 
-@register("vintage_features_window", sql_over(["vintage_features"],
-                                              "SELECT * FROM vintage_features"))
-def vintage_features_window(t):
-    """View 3 as W2/W3 windows."""
-    from loanrisk.operators.features import vintage_features_window as vw
-    return vw(t.loans, t.outcomes)
-
-
 @register("model_features", sql_over(["model_features"], "SELECT * FROM model_features"))
 def model_features(t):
     """The 48-column model table."""

@@ -79,7 +79,16 @@ class LoanTables:
 
     @cached_property
     def model_features(self) -> DataFrame:
-        return features.model_features(self.loans, self.borrowers, self.outcomes)
+        """Built once and written (bucketed by loan_id): reports, splits and
+        every model read it back instead of re-running the view stack."""
+        mf = features.model_features(self.loans, self.borrowers, self.outcomes)
+        if not self.materialize:
+            return mf
+        tag = io.tag_for(self.sf_dir)
+        name = io.table_name(tag, "model_features")
+        io.write_table(mf, os.path.join(io.table_root(self.spark, tag), "model_features"),
+                       name, default_buckets(self.spark))
+        return self.spark.table(name)
 
 
 _SESSION_TABLES: dict[tuple[str, str], LoanTables] = {}

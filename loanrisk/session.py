@@ -48,7 +48,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     On a cluster this is whatever ``spark.checkpoint.dir`` names (a shared
     file system). Only when it is unset (local tests) do we create one.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
+    d = spark.sparkContext.getCheckpointDir()
+    if not d:
+        d = spark.conf.get("spark.checkpoint.dir", None)
+    if not d:
+        d = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not d:
         d = tempfile.mkdtemp(prefix="loanrisk-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)

@@ -1,0 +1,6 @@
+"""Streaming: intentionally empty.
+
+The reference pipeline is batch only: no stream source, watermark, time
+window, stateful operator, trigger or checkpointed query exists in it
+(SURVEY 2.11), so nothing is built here.
+"""

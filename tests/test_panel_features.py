@@ -125,3 +125,11 @@ def test_vintage_uses_bounded_broadcast(spark):
     t = tables(spark, "/root/testdata/sf0.001")
     plan = _plan(features.vintage_features(t.loans, t.outcomes))
     assert "BroadcastHashJoin" in plan or "BroadcastExchange" in plan
+
+
+def test_vintage_window_form_equals_broadcast_form(spark):
+    from loanrisk.plans.tables import tables
+    t = tables(spark, "/root/testdata/sf0.001")
+    a = features.vintage_features(t.loans, t.outcomes)
+    b = features.vintage_features_window(t.loans, t.outcomes).select(*a.columns)
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
