@@ -8,9 +8,10 @@ score value never becomes a hot task.
 The running counts are exact and parallel:
 
 1. ``groupBy(group, score)`` -> distinct scores with counts;
-2. split the score axis into ``buckets`` ranges of roughly equal numbers of
-   distinct scores (``percentile_approx`` boundaries, one small collect), and
-   assign each score its range with ``Bucketizer`` (JVM binary search);
+2. split each group's score axis into ``buckets`` ranges of roughly equal
+   numbers of distinct scores (``percentile_approx`` boundaries per group)
+   and find each score's range by a binary search written with built-in
+   array lookups;
 3. totals per (group, range): at most ``buckets`` rows per group, cumulated
    with a window over that small frame and broadcast back;
 4. the running count inside each range by a window partitioned by
@@ -23,7 +24,6 @@ aggregates over the ladder.
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,34 +36,75 @@ SEGMENT_MIN_ROWS = 50        # a segment needs more rows than this ...
 # ... and both classes, for its Gini to be reported.
 # ---------------------------------------------------------------------------
 
-DEFAULT_BUCKETS = 1024
+DEFAULT_BUCKETS = None    # -> 4 x spark.sql.shuffle.partitions, within [8, 4096]
 
 
-def _bucket_splits(distinct: DataFrame, score: str, buckets: int) -> list[float]:
-    """Range boundaries with ~equal numbers of distinct scores per range."""
-    if buckets <= 1:   # Bucketizer needs one inner split; any value keeps the order
-        return [float("-inf"), 0.0, float("inf")]
-    probs = [i / buckets for i in range(1, buckets)]
-    row = distinct.agg(F.percentile_approx(score, probs, 10 * buckets).alias("q")).first()
-    qs = sorted({float(x) for x in (row["q"] or []) if x is not None}) or [0.0]
-    return [float("-inf")] + qs + [float("inf")]
+def default_buckets(df: DataFrame) -> int:
+    """Ranges only need to spread the running counts over the tasks."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return max(8, min(4096, 4 * parts))
+
+
+def _power_of_two(n: int) -> int:
+    size = 2
+    while size < n:
+        size *= 2
+    return size
+
+
+def _bucket_of(d: DataFrame, score: str, splits: F.Column, size: int) -> DataFrame:
+    """Binary search: how many of the ``size`` sorted splits lie strictly below
+    the score, in log2(size) array lookups (built-in expressions, no UDF).
+
+    Each step is its own projection of the previous index (a nested
+    expression would double in size per step)."""
+    d = d.withColumn("_bucket", F.lit(0))
+    step = size // 2
+    while step >= 1:
+        b = F.col("_bucket")
+        d = d.withColumn("_bucket", F.when(F.element_at(splits, b + step) < F.col(score), b + step)
+                         .otherwise(b))
+        step //= 2
+    return d
+
+
+def _with_bucket(d: DataFrame, score: str, by: list[str], buckets: int) -> DataFrame:
+    """Attach a range index with about equal numbers of distinct scores per
+    range, computed per group (groups may live on different scales).
+
+    Splits are ``percentile_approx`` over the distinct scores, padded with
+    +inf to a power of two. Without groups they are one bounded array, inlined
+    as a literal; with groups they are one row per group, broadcast (bounded
+    by the number of groups, e.g. features or income bands, x ``buckets``).
+    """
+    size = _power_of_two(max(buckets, 2))
+    probs = [i / size for i in range(1, size)]
+    q = F.percentile_approx(F.col(score), probs, 10 * size)
+    if not by:
+        row = d.agg(q.alias("s")).first()
+        vals = [float(x) for x in (row["s"] or [])] + [float("inf")]
+        vals += [float("inf")] * (size - len(vals))
+        d = d.withColumn("_splits", F.array(*[F.lit(v) for v in vals]))
+        return _bucket_of(d, score, F.col("_splits"), size).drop("_splits")
+    sp = d.groupBy(*by).agg(F.concat(q, F.array(F.lit(float("inf")))).alias("_splits"))
+    return _bucket_of(d.join(F.broadcast(sp), by), score, F.col("_splits"), size).drop("_splits")
 
 
 def score_ladder(df: DataFrame, score: str = "p", label: str = "y",
-                 by: list[str] | None = None, buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                 by: list[str] | None = None, buckets: int | None = DEFAULT_BUCKETS) -> DataFrame:
     """Distinct (by, score) rows with pos, neg, cnt, and running counts.
 
     Columns: by..., score, pos, neg, cnt, pos_lt, neg_lt, n_lt, n_le,
     n_pos, n_neg, n (group totals).
     """
     by = list(by or [])
+    buckets = buckets or default_buckets(df)
     y = F.col(label).cast("long")
     d = (df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
          .groupBy(*by, score)
-         .agg(F.sum(y).alias("pos"), F.sum(F.lit(1) - y).alias("neg")))
-    splits = _bucket_splits(d, score, buckets)
-    d = Bucketizer(splits=splits, inputCol=score, outputCol="_bucket").transform(
-        d.withColumn(score, F.col(score).cast("double")))
+         .agg(F.sum(y).alias("pos"), F.sum(F.lit(1) - y).alias("neg"))
+         .withColumn(score, F.col(score).cast("double")))
+    d = _with_bucket(d, score, by, buckets)
 
     # Per-range totals: at most len(splits) - 1 rows per group.
     tot = d.groupBy(*by, "_bucket").agg(F.sum("pos").alias("_bp"), F.sum("neg").alias("_bn"))
@@ -211,7 +252,7 @@ def ks_curve(ladder: DataFrame, score: str = "p", points: int = KS_CURVE_POINTS)
 
 
 def evaluate(scored: DataFrame, score: str = "p", label: str = "y",
-             buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+             buckets: int | None = DEFAULT_BUCKETS) -> DataFrame:
     """One row with gini, ks, auc, calibration error, actual and predicted rate.
 
     The ladder feeds three aggregates and the edge lookup, so it is cached
@@ -236,7 +277,7 @@ METRIC_SCHEMA = (
 
 
 def segment_gini(scored: DataFrame, segment: F.Column, score: str = "p", label: str = "y",
-                 min_rows: int = SEGMENT_MIN_ROWS, buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                 min_rows: int = SEGMENT_MIN_ROWS, buckets: int | None = DEFAULT_BUCKETS) -> DataFrame:
     """Gini (3 decimals) per segment with > min_rows rows and both classes."""
     s = scored.withColumn("segment", segment).where(F.col("segment").isNotNull())
     lad = score_ladder(s, score, label, by=["segment"], buckets=buckets)

@@ -172,12 +172,14 @@ def _evaluate(name: str, scored: DataFrame) -> dict:
 # ---------------------------------------------------------------- scorecard
 
 def train_scorecard(mf: DataFrame, features: list[str], min_iv: float = woe.MIN_IV,
-                    log: RunLog | None = None, run: str = "scorecard_v1") -> Trained:
-    """M1-M5, M7-M11, M16 on the mature vintages."""
+                    log: RunLog | None = None, run: str = "scorecard_v1",
+                    fitted: dict | None = None) -> Trained:
+    """M1-M5, M7-M11, M16 on the mature vintages (``fitted``: bins already fit
+    on the same training split)."""
     spark = mf.sparkSession
     train, cal, test = splits(mf)
     train = train.cache()
-    fitted = woe.fit(train, features)
+    fitted = fitted or woe.fit(train, features)
     selected = woe.selected_features(fitted, min_iv)
     if not selected:   # keep the strongest feature rather than fit an empty model
         selected = [max(fitted, key=lambda f: fitted[f].iv)]
@@ -334,9 +336,8 @@ def train_neural_net(mf: DataFrame, features: list[str] | None = None,
 
 def train(name: str, mf: DataFrame, log: RunLog | None = None, **kw) -> Trained:
     """Train a model by name; unknown names raise."""
-    from loanrisk.plans.modelling import SCORECARD_FEATURES
     table = {
-        "scorecard": lambda: train_scorecard(mf, SCORECARD_FEATURES, log=log, **kw),
+        "scorecard": lambda: train_scorecard(mf, woe.SCORECARD_FEATURES, log=log, **kw),
         "boosted_trees": lambda: train_boosted_trees(mf, log=log, **kw),
         "neural_net": lambda: train_neural_net(mf, log=log, **kw),
     }

@@ -248,18 +248,7 @@ __all__ = ["income_band"]
 
 from loanrisk.operators import woe  # noqa: E402
 
-# --- fixed values -----------------------------------------------------------
-# Scorecard candidate features (origination + months 1-6 behaviour).
-SCORECARD_FEATURES = [
-    "loan_amnt", "int_rate", "term_months", "installment",
-    "annual_inc", "dti", "revol_util", "revol_bal",
-    "delinq_2yrs", "open_acc", "pub_rec", "total_acc",
-    "emp_length_years", "loan_to_income", "payment_to_income",
-    "avg_payment_ratio_m6", "min_payment_ratio_m6",
-    "payment_volatility_m6", "active_months_m6",
-    "payment_trend_m6", "first_month_ratio",
-]
-# ---------------------------------------------------------------------------
+SCORECARD_FEATURES = woe.SCORECARD_FEATURES
 
 
 def training_split(mf: DataFrame, which: str = "train") -> DataFrame:
@@ -311,11 +300,23 @@ _TRAINED: dict[tuple[str, str, str], models.Trained] = {}
 _LOGS: dict[tuple[str, str], models.RunLog] = {}
 
 
+_WOE: dict[tuple[str, str], dict] = {}
+
+
+def fitted_woe(t) -> dict:
+    """WoE bins of the scorecard candidates on the training split, fit once."""
+    key = (t.spark.sparkContext.applicationId, t.sf_dir)
+    if key not in _WOE:
+        _WOE[key] = woe.fit(training_split(t.model_features), SCORECARD_FEATURES)
+    return _WOE[key]
+
+
 def trained(t, name: str) -> models.Trained:
     key = (t.spark.sparkContext.applicationId, t.sf_dir, name)
     if key not in _TRAINED:
         log = _LOGS.setdefault(key[:2], models.RunLog())
-        _TRAINED[key] = models.train(name, t.model_features, log=log)
+        kw = {"fitted": fitted_woe(t)} if name == "scorecard" else {}
+        _TRAINED[key] = models.train(name, t.model_features, log=log, **kw)
     return _TRAINED[key]
 
 
@@ -333,8 +334,7 @@ def _metrics_row(t, name: str) -> DataFrame:
 @register("woe_iv_summary")
 def woe_iv_summary(t):
     """M1 (merged monotone bins), M2, M3, O2: IV per scorecard candidate."""
-    fitted = woe.fit(training_split(t.model_features), SCORECARD_FEATURES)
-    return woe.iv_summary(t.spark, fitted)
+    return woe.iv_summary(t.spark, fitted_woe(t))
 
 
 @register("woe_bins")
