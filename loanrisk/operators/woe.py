@@ -56,9 +56,18 @@ def unpivot(df: DataFrame, features: list[str], label: str = "default_flag") ->
     return d.unpivot("y", features, "feature", "value")
 
 
-def prebin_edges(long: DataFrame, prebins: int = PREBINS) -> DataFrame:
-    """Per feature: sorted distinct inner quantile edges (an array column)."""
+def prebin_edges(long: DataFrame, prebins: int = PREBINS, exact: bool = False) -> DataFrame:
+    """Per feature: sorted distinct inner quantile edges (an array column).
+
+    Default: ``percentile_approx`` for all features in one aggregate (a
+    bounded sketch per feature). ``exact``: linear-interpolated quantiles
+    from the score ladder, as SQL ``quantile_cont`` computes them.
+    """
     qs = [i / prebins for i in range(1, prebins)]
+    if not exact:
+        e = (long.where(F.col("value").isNotNull()).groupBy("feature")
+             .agg(F.percentile_approx("value", qs, 10000).alias("edges")))
+        return e.select("feature", F.array_sort(F.array_distinct("edges")).alias("edges"))
     lad = metrics.score_ladder(long.withColumn("y", F.col("y").cast("int")), "value", "y",
                                by=["feature"])
     e = metrics.quantile_edges(lad, qs, "value", by=["feature"])
@@ -264,7 +273,7 @@ def fixed_bin_iv(train: DataFrame, features: list[str], label: str = "default_fl
     Fully distributed and reproducible in SQL: the oracle-checked core of M1/M2.
     """
     long = unpivot(train, features, label)
-    edges = prebin_edges(long, n_bins)
+    edges = prebin_edges(long, n_bins, exact=True)
     c = prebin_counts(long, edges)
     tot = train.agg(F.sum(F.lit(1) - F.col(label)).alias("G"), F.sum(label).alias("B"))
     # Totals are one row: gather the two numbers (bounded) instead of a cross join.

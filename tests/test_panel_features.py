@@ -133,3 +133,20 @@ def test_vintage_window_form_equals_broadcast_form(spark):
     a = features.vintage_features(t.loans, t.outcomes)
     b = features.vintage_features_window(t.loans, t.outcomes).select(*a.columns)
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_model_features_plan_at_scale(spark):
+    """With broadcasts off (as for large tables), the whole 48-column view
+    needs one exchange: the partial aggregate by issue quarter. Every join
+    and the per-loan aggregation run on the loan_id buckets."""
+    from loanrisk.plans.tables import tables
+    t = tables(spark, "/root/testdata/sf0.001")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = _plan(features.model_features(t.loans, t.borrowers, t.outcomes))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") == 1, plan
+    assert "SortMergeJoin" in plan

@@ -46,7 +46,7 @@ def test_sample_exact(spark):
 def test_write_and_load_tables(spark):
     d = tempfile.mkdtemp(prefix="loanrisk-tables-")
     lab = clean.labelled(raw_loans(spark, SMALL))
-    tabs = io.write_tables(lab, d, "t" + os.path.basename(d)[-6:].replace("-", "_"), 4)
+    tabs = io.write_separate_tables(lab, d, "t" + os.path.basename(d)[-6:].replace("-", "_"), 4)
     assert set(tabs) == {"loans", "borrowers", "outcomes"}
     assert tabs["loans"].count() == lab.count()
     got = io.load_tables(spark, d, ["loans", "missing_table"])
