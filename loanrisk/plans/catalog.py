@@ -58,6 +58,15 @@ def ingest_audit(t):
     return clean.ingest_audit(t.raw)
 
 
+@register("raw_sample", sql_over(["raw"], """
+SELECT id, loan_status, issue_d FROM raw
+ORDER BY md5(coalesce(id, '') || '42'), id LIMIT 50000"""))
+def raw_sample(t):
+    """S3: exact-size seeded sample (default 50,000 rows) of the raw records."""
+    from loanrisk.sources.io import sample_exact
+    return sample_exact(t.raw, 50000).select("id", "loan_status", "issue_d")
+
+
 @register("table_profile", sql_over(["loans", "borrowers", "outcomes"], """
 SELECT 'loans' AS table_name, count(*) AS row_count, 12 AS column_count FROM loans
 UNION ALL SELECT 'borrowers', count(*), 14 FROM borrowers

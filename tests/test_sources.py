@@ -53,3 +53,22 @@ def test_write_and_load_tables(spark):
     assert set(got) == {"loans"}
     io.register_views(got)
     assert spark.sql("SELECT count(*) AS n FROM loans").first().n == lab.count()
+
+
+def test_sql_file_views_csv_and_drop(spark):
+    d = tempfile.mkdtemp(prefix="loanrisk-sql-")
+    spark.createDataFrame([("a", 1), ("b", 0)], "loan_id string, default_flag int") \
+        .createOrReplaceTempView("outcomes_tmp")
+    path = os.path.join(d, "view.sql")
+    with open(path, "w") as fh:
+        fh.write("CREATE OR REPLACE TEMP VIEW rate_tmp AS "
+                 "SELECT avg(default_flag) AS rate FROM outcomes_tmp")
+    io.run_sql_file(spark, path)
+    assert spark.table("rate_tmp").first().rate == 0.5
+    io.write_csv(spark.table("rate_tmp"), os.path.join(d, "rate_csv"))
+    files = [f for f in os.listdir(os.path.join(d, "rate_csv")) if f.endswith(".csv")]
+    assert len(files) == 1
+    io.write_table(spark.table("rate_tmp"), os.path.join(d, "t"), "rate_table_tmp")
+    assert spark.catalog.tableExists("rate_table_tmp")
+    io.drop_table(spark, "rate_table_tmp")
+    assert not spark.catalog.tableExists("rate_table_tmp")

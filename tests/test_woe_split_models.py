@@ -92,3 +92,22 @@ def test_oversample_positives(spark):
     o = models.oversample_positives(df, 2.5)
     pos = o.where("default_flag = 1").count()
     assert 200 <= pos <= 300 and o.where("default_flag = 0").count() == 400
+
+
+def test_scorecard_trains_scores_and_saves(spark):
+    import os
+    import tempfile
+
+    from loanrisk.plans.tables import tables
+    t = tables(spark, SMALL)
+    log = models.RunLog()
+    tr = models.train_scorecard(t.model_features, woe.SCORECARD_FEATURES[:6], log=log)
+    m = tr.metrics
+    assert -1 <= m["gini"] <= 1 and 0 <= m["ks"] <= 1 and 0 <= m["calibration_error"] <= 1
+    pts = tr.scored.select("points", "p").collect()
+    assert all(isinstance(r.points, int) for r in pts) and all(0 <= r.p <= 1 for r in pts)
+    keys = {(r.kind, r.key) for r in log.frame(spark).collect()}
+    assert ("tag", "champion") in keys and ("metric", "gini") in keys
+    d = tempfile.mkdtemp(prefix="loanrisk-model-")
+    models.save_model(tr, d)
+    assert {"model", "calibrator", "bins"} <= set(os.listdir(d))
