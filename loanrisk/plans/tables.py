@@ -22,7 +22,10 @@ from loanrisk.sources.fixtures import raw_loans
 
 
 def default_buckets(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    """Bucket count of the written tables: ``loanrisk.buckets`` when set (size
+    it to the data, e.g. total bytes / 512 MB), else the shuffle parallelism."""
+    b = spark.conf.get("loanrisk.buckets", None)
+    return int(b) if b else int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
 @dataclass

@@ -78,12 +78,19 @@ def tag_for(source: str) -> str:
 
 def write_table(df: DataFrame, path: str, name: str | None = None,
                 buckets: int | None = None, key: str = "loan_id") -> None:
-    """Overwrite a Parquet table; bucketed by ``key`` when ``buckets``."""
-    w = df.write.mode("overwrite").format("parquet").option("path", path)
+    """Overwrite a Parquet table; bucketed by ``key`` when ``buckets``.
+
+    Rows are first hash-partitioned on the key into exactly ``buckets``
+    partitions (the same hash the bucket id uses), so each task writes one
+    bucket and the table has one file per bucket, not tasks x buckets.
+    """
     if buckets:
-        w = w.bucketBy(buckets, key).sortBy(key)
+        w = (df.repartition(buckets, key).write.mode("overwrite").format("parquet")
+             .option("path", path).bucketBy(buckets, key).sortBy(key))
         w.saveAsTable(name)
-    elif name:
+        return
+    w = df.write.mode("overwrite").format("parquet").option("path", path)
+    if name:
         w.saveAsTable(name)
     else:
         df.write.mode("overwrite").parquet(path)
