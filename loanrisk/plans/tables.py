@@ -90,7 +90,7 @@ class LoanTables:
         tag = io.tag_for(self.sf_dir)
         name = io.table_name(tag, "model_features")
         io.write_table(mf, os.path.join(io.table_root(self.spark, tag), "model_features"),
-                       name, default_buckets(self.spark))
+                       name, default_buckets(self.spark), prepartitioned=True)
         return self.spark.table(name)
 
 

@@ -77,15 +77,19 @@ def tag_for(source: str) -> str:
 
 
 def write_table(df: DataFrame, path: str, name: str | None = None,
-                buckets: int | None = None, key: str = "loan_id") -> None:
+                buckets: int | None = None, key: str = "loan_id",
+                prepartitioned: bool = False) -> None:
     """Overwrite a Parquet table; bucketed by ``key`` when ``buckets``.
 
     Rows are first hash-partitioned on the key into exactly ``buckets``
     partitions (the same hash the bucket id uses), so each task writes one
     bucket and the table has one file per bucket, not tasks x buckets.
+    ``prepartitioned``: the frame already comes out of joins on ``key`` over
+    tables with the same bucketing, so that exchange is skipped.
     """
     if buckets:
-        w = (df.repartition(buckets, key).write.mode("overwrite").format("parquet")
+        src = df if prepartitioned else df.repartition(buckets, key)
+        w = (src.write.mode("overwrite").format("parquet")
              .option("path", path).bucketBy(buckets, key).sortBy(key))
         w.saveAsTable(name)
         return
