@@ -30,7 +30,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loanrisk.functions.num import integer_points, log_odds_to_points
+from loanrisk.functions.num import dround, integer_points, log_odds_to_points
 from loanrisk.operators import metrics, split, woe
 
 # --- fixed values -----------------------------------------------------------
@@ -115,14 +115,14 @@ def promotion(log: DataFrame, margin: float = PROMOTION_MARGIN) -> DataFrame:
                     "champion", "champion_gini",
                     (F.col("champion_gini") + F.lit(margin)).alias("threshold"),
                     (F.col("gini") > F.col("champion_gini") + F.lit(margin)).alias("promotion_eligible"),
-                    F.round(F.col("gini") - F.col("champion_gini"), 4).alias("delta"))
+                    dround(F.col("gini") - F.col("champion_gini"), 4).alias("delta"))
 
 
 def comparison(log: DataFrame) -> DataFrame:
     """One row per run: gini, ks, auc, calibration error, delta vs champion."""
     g = _run_gini(log)
     return (g.select("run", "is_champion", "gini", "ks", "auc", "calibration_error",
-                     F.round(F.col("gini") - F.col("champion_gini"), 4).alias("delta_vs_champion"))
+                     dround(F.col("gini") - F.col("champion_gini"), 4).alias("delta_vs_champion"))
             .orderBy(F.desc("gini"), "run"))
 
 

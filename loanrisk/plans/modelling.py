@@ -15,6 +15,7 @@ from loanrisk.functions.num import (FACTOR, OFFSET, dround, income_band, integer
                                     log_odds_to_points, points_to_pd, points_to_pd_consistent)
 from loanrisk.operators import metrics, split
 from loanrisk.plans.registry import register, sql_over
+from loanrisk.session import session_key
 
 # ------------------------------------------------------------ scored frame
 
@@ -305,14 +306,14 @@ _WOE: dict[tuple[str, str], dict] = {}
 
 def fitted_woe(t) -> dict:
     """WoE bins of the scorecard candidates on the training split, fit once."""
-    key = (t.spark.sparkContext.applicationId, t.sf_dir)
+    key = (session_key(t.spark), t.sf_dir)
     if key not in _WOE:
         _WOE[key] = woe.fit(training_split(t.model_features), SCORECARD_FEATURES)
     return _WOE[key]
 
 
 def trained(t, name: str) -> models.Trained:
-    key = (t.spark.sparkContext.applicationId, t.sf_dir, name)
+    key = (session_key(t.spark), t.sf_dir, name)
     if key not in _TRAINED:
         log = _LOGS.setdefault(key[:2], models.RunLog())
         kw = {"fitted": fitted_woe(t)} if name == "scorecard" else {}
@@ -323,7 +324,7 @@ def trained(t, name: str) -> models.Trained:
 def run_log(t, names=("scorecard", "boosted_trees", "neural_net")) -> DataFrame:
     for n in names:
         trained(t, n)
-    return _LOGS[(t.spark.sparkContext.applicationId, t.sf_dir)].frame(t.spark)
+    return _LOGS[(session_key(t.spark), t.sf_dir)].frame(t.spark)
 
 
 def _metrics_row(t, name: str) -> DataFrame:
@@ -430,3 +431,100 @@ def iv_importance_agreement(t, k: int = 5):
     imp_top = [f for f, _ in trained(t, "boosted_trees").extra["importance"][:k]]
     rows = [(f, f in iv_top, f in imp_top) for f in sorted(set(iv_top) | set(imp_top))]
     return t.spark.createDataFrame(rows, "feature string, in_iv_top boolean, in_importance_top boolean")
+
+
+# ------------------------------------------------------------ scorer runs
+# Closed-form scorers evaluated on the hold-out and logged like model runs,
+# so comparison (R15) and promotion (M19) have an exact SQL twin.
+
+# --- fixed values -----------------------------------------------------------
+SCORERS = [  # (run, Spark score, SQL score, champion)
+    ("rate_rule", None, "round(((CAST(loan_id AS BIGINT) * 7919) % 2000) / 2000.0::DOUBLE, 3)", True),
+    ("grade_rule", "grade", "COALESCE(grade_numeric, 0.0) / 8.0", False),
+    ("dti_rule", "dti", "dti / 45.0", False),
+]
+# ---------------------------------------------------------------------------
+
+
+def _scorer_col(kind):
+    if kind is None:
+        return fixture_score()
+    if kind == "grade":
+        return F.coalesce(F.col("grade_numeric"), F.lit(0.0)) / F.lit(8.0)
+    return F.col("dti") / F.lit(45.0)
+
+
+_SCORER_LOGS: dict[tuple[str, str], models.RunLog] = {}
+
+
+def scorer_run_log(t) -> DataFrame:
+    """S12 rows for the closed-form scorers (tags + evaluation metrics),
+    evaluated once per session and data folder."""
+    key = (session_key(t.spark), t.sf_dir)
+    if key in _SCORER_LOGS:
+        return _SCORER_LOGS[key].frame(t.spark)
+    test = split.with_split(split.mature(t.model_features)).where(F.col("split") == "test")
+    log = _SCORER_LOGS[key] = models.RunLog()
+    for run, kind, _sql_expr, champ in SCORERS:
+        scored = test.select(F.col("default_flag").alias("y"), _scorer_col(kind).alias("p"))
+        log.log(run, "tag", "champion", "true" if champ else "false")
+        row = metrics.evaluate(scored).first().asDict()
+        log.metrics(run, {k: row[k] for k in ("gini", "ks", "auc", "calibration_error")})
+    return log.frame(t.spark)
+
+
+def _scorer_eval_sql(run: str, expr: str, champ: bool) -> str:
+    lad = f"""(SELECT p, pos, neg,
+  COALESCE(sum(pos) OVER (ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos_lt,
+  COALESCE(sum(neg) OVER (ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS neg_lt,
+  sum(pos) OVER () AS n_pos, sum(neg) OVER () AS n_neg
+  FROM (SELECT p, sum(y) AS pos, sum(1 - y) AS neg
+        FROM (SELECT default_flag AS y, {expr} AS p FROM scorer_base) b
+        WHERE p IS NOT NULL GROUP BY p) d)"""
+    qs = ", ".join(f"quantile_cont(p, {q}) AS q{i}" for i, q in enumerate(_QS))
+    bins = " + ".join(f"CASE WHEN p > e.q{i} THEN 1 ELSE 0 END" for i in range(9))
+    return f"""
+SELECT '{run}' AS run, {'true' if champ else 'false'} AS is_champion,
+  round(r.auc * 2 - 1, 4) AS gini, round(greatest(r.ks, 0.0), 4) AS ks, round(r.auc, 4) AS auc,
+  c.calibration_error
+FROM (SELECT CAST(sum(CAST(pos AS HUGEINT) * (2 * neg_lt + neg)) AS DOUBLE)
+               / (CAST(max(n_pos) AS DOUBLE) * CAST(max(n_neg) AS DOUBLE) * 2.0) AS auc,
+             max((n_pos - pos_lt) / n_pos - (n_neg - neg_lt) / n_neg) AS ks
+      FROM {lad} l) r,
+     (SELECT round(avg(abs(observed_rate - mean_predicted)), 4) AS calibration_error
+      FROM (SELECT bin, sum(p * (pos + neg)) / sum(pos + neg) AS mean_predicted,
+                   sum(pos) / sum(pos + neg) AS observed_rate
+            FROM (SELECT l.*, {bins} AS bin
+                  FROM {lad} l,
+                       (SELECT {qs} FROM (SELECT {expr} AS p FROM scorer_base) x
+                        WHERE p IS NOT NULL) e) bb
+            GROUP BY bin) cc) c"""
+
+
+_SCORER_BASE = (f"""SELECT * FROM model_features
+WHERE issue_year <= 2016 AND ({_SPLIT_SQL}) = 'test'""", ["model_features"])
+_SCORER_RUNS = (" UNION ALL ".join(_scorer_eval_sql(r, e, c) for r, _k, e, c in SCORERS),
+                ["scorer_base"])
+_SCORER_CTES = {"scorer_base": _SCORER_BASE, "scorer_runs": _SCORER_RUNS}
+
+
+@register("scorer_comparison", sql_over(["scorer_runs"], """
+SELECT run, is_champion, gini, ks, auc, calibration_error,
+       round(gini - max(CASE WHEN is_champion THEN gini END) OVER (), 4) AS delta_vs_champion
+FROM scorer_runs ORDER BY gini DESC, run""", _SCORER_CTES))
+def scorer_comparison(t):
+    """R15 over logged scorer runs (S12 -> comparison), exact SQL twin."""
+    return models.comparison(scorer_run_log(t))
+
+
+@register("scorer_promotion", sql_over(["scorer_runs"], """
+SELECT run AS challenger, gini AS challenger_gini, champion, champion_gini,
+       champion_gini + 0.02 AS threshold, gini > champion_gini + 0.02 AS promotion_eligible,
+       round(gini - champion_gini, 4) AS delta
+FROM (SELECT *, max(CASE WHEN is_champion THEN run END) OVER () AS champion,
+             max(CASE WHEN is_champion THEN gini END) OVER () AS champion_gini
+      FROM scorer_runs) s
+WHERE NOT is_champion AND gini IS NOT NULL""", _SCORER_CTES))
+def scorer_promotion(t):
+    """M19 over logged scorer runs, exact SQL twin."""
+    return models.promotion(scorer_run_log(t))

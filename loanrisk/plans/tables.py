@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loanrisk.operators import clean, features, panel
 from loanrisk.sources import io
+from loanrisk.session import session_key
 from loanrisk.sources.fixtures import raw_loans
 
 
@@ -101,7 +102,7 @@ def tables(spark: SparkSession, sf_dir: str, materialize: bool = True) -> LoanTa
     """The table set for ``sf_dir``, written at most once per session."""
     if not materialize:
         return LoanTables(spark, sf_dir, materialize=False)
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
+    key = (session_key(spark), os.path.abspath(sf_dir))
     t = _SESSION_TABLES.get(key)
     if t is None:
         t = _SESSION_TABLES[key] = LoanTables(spark, sf_dir)

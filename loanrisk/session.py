@@ -42,6 +42,14 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def session_key(spark: SparkSession) -> str:
+    """Identifies the running application (memo key for once-per-session work)."""
+    try:
+        return spark.sparkContext.applicationId
+    except Exception:  # sessions without a local SparkContext handle
+        return spark.conf.get("spark.app.id", None) or str(id(spark))
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
@@ -49,13 +57,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     file system). Only when it is unset (local tests) do we create one. The
     RDD checkpoint directory is set once, if the session has none.
     """
-    sc = spark.sparkContext
-    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if not d:
-        d = sc.getCheckpointDir()
+    d = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # no local SparkContext handle: the session conf is all we have
+        sc = None
+    if not d and sc is not None:
+        d = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
         d = tempfile.mkdtemp(prefix="loanrisk-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
-    if not sc.getCheckpointDir():
+    if sc is not None and not sc.getCheckpointDir():
         sc.setCheckpointDir(d)
     return d
