@@ -5,8 +5,6 @@ Importing this module fills ``loanrisk.plans.registry.REGISTRY``.
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from loanrisk.operators import clean, panel
 from loanrisk.plans import reports
 from loanrisk.plans.registry import register, sql_over
@@ -253,5 +251,3 @@ def expected_loss_baseline(t):
     """R14."""
     return reports.expected_loss_baseline(t.loans, t.outcomes)
 
-
-__all__ = ["F"]

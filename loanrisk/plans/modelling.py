@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loanrisk.functions.num import (FACTOR, OFFSET, dround, income_band, integer_points,
+from loanrisk.functions.num import (FACTOR, OFFSET, dround, integer_points,
                                     log_odds_to_points, points_to_pd, points_to_pd_consistent)
 from loanrisk.operators import metrics, split
 from loanrisk.plans.registry import register, sql_over
@@ -242,8 +242,6 @@ def score_points_q(t):
                     dround(sigmoid("log_odds"), 6).alias("pd_from_log_odds"))
 
 
-__all__ = ["income_band"]
-
 
 # ------------------------------------------------------------ WoE / IV
 

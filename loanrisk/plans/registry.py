@@ -11,7 +11,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loanrisk.functions.num import dround  # noqa: F401  (re-exported for query modules)
 from loanrisk.plans.oracle import with_ctes
 from loanrisk.plans.tables import tables
 from loanrisk.session import prepare
