@@ -37,9 +37,16 @@ def canon(df):
     return cols, sorted(rows, key=repr)
 
 
+PYTHON_NODES = ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas",
+                "MapInPandas", "FlatMapCoGroupsInPandas", "AggregateInPandas")
+
+
 @pytest.mark.parametrize("name", QUERIES)
 def test_query_matches_oracle(spark, con, name):
-    got = E.queries()[name](spark, SMALL).toPandas()
+    df = E.queries()[name](spark, SMALL)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert not any(n in plan for n in PYTHON_NODES), plan
+    got = df.toPandas()
     want = con.execute(E.oracle_sql()[name]).df()
     assert canon(got) == canon(want)
 
