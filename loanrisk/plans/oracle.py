@@ -137,79 +137,76 @@ PANEL = _panel_sql(None)
 PANEL6 = _panel_sql(6)
 
 ORIGINATION = """
-SELECT l.loan_id, l.issue_date, l.grade, l.grade_numeric, l.term_months, l.int_rate,
-  l.loan_amnt, l.installment, l.purpose, b.annual_inc, b.dti, b.revol_util, b.revol_bal,
-  b.delinq_2yrs, b.open_acc, b.pub_rec, b.total_acc, b.mort_acc, b.pub_rec_bankruptcies,
-  CASE WHEN b.annual_inc > 0 THEN round(l.loan_amnt / b.annual_inc, 4) END AS loan_to_income,
-  CASE WHEN b.annual_inc > 0 THEN round(l.installment * 12 / b.annual_inc, 4) END AS payment_to_income,
-  CASE WHEN b.dti > 28 THEN 1 ELSE 0 END AS high_dti_flag,
-  CASE WHEN b.revol_util > 75 THEN 1 ELSE 0 END AS high_util_flag,
-  CASE WHEN b.delinq_2yrs > 0 THEN 1 ELSE 0 END AS prior_delinq_flag,
-  CASE WHEN b.pub_rec > 0 THEN 1 ELSE 0 END AS public_record_flag,
-  CASE WHEN b.dti > 28 AND b.revol_util > 75 THEN 1 ELSE 0 END AS dual_stress_flag,
-  b.emp_length_years,
-  CASE WHEN b.emp_length_years >= 10 THEN 'senior' WHEN b.emp_length_years >= 3 THEN 'established'
-       WHEN b.emp_length_years >= 1 THEN 'early' ELSE 'new' END AS emp_stability,
-  b.home_ownership,
-  CASE b.home_ownership WHEN 'MORTGAGE' THEN 3 WHEN 'OWN' THEN 2 WHEN 'RENT' THEN 1 ELSE 0 END
+SELECT j.loan_id, j.issue_date, j.grade, j.grade_numeric, j.term_months, j.int_rate,
+  j.loan_amnt, j.installment, j.purpose, j.annual_inc, j.dti, j.revol_util, j.revol_bal,
+  j.delinq_2yrs, j.open_acc, j.pub_rec, j.total_acc, j.mort_acc, j.pub_rec_bankruptcies,
+  round(j.loan_amnt / j.annual_inc, 4) AS loan_to_income,
+  round(j.installment * 12 / j.annual_inc, 4) AS payment_to_income,
+  coalesce(CAST(j.dti > 28 AS INTEGER), 0) AS high_dti_flag,
+  coalesce(CAST(j.revol_util > 75 AS INTEGER), 0) AS high_util_flag,
+  coalesce(CAST(j.delinq_2yrs > 0 AS INTEGER), 0) AS prior_delinq_flag,
+  coalesce(CAST(j.pub_rec > 0 AS INTEGER), 0) AS public_record_flag,
+  coalesce(CAST(j.dti > 28 AND j.revol_util > 75 AS INTEGER), 0) AS dual_stress_flag,
+  j.emp_length_years,
+  coalesce(['new', 'early', 'early', 'established', 'established', 'established', 'established',
+            'established', 'established', 'established', 'senior'][
+            CAST(least(greatest(floor(j.emp_length_years), 0), 10) AS INTEGER) + 1], 'new')
+    AS emp_stability,
+  j.home_ownership,
+  CAST(coalesce(list_position(['RENT', 'OWN', 'MORTGAGE'], j.home_ownership), 0) AS INTEGER)
     AS home_ownership_enc,
-  o.default_flag
-FROM loans l JOIN borrowers b USING (loan_id) JOIN outcomes o USING (loan_id)
-WHERE l.loan_amnt > 0 AND b.annual_inc > 0 AND b.dti IS NOT NULL
+  j.default_flag
+FROM (SELECT * FROM loans
+      JOIN borrowers USING (loan_id)
+      JOIN (SELECT loan_id, default_flag FROM outcomes) o USING (loan_id)) j
+WHERE j.loan_amnt > 0 AND j.annual_inc > 0 AND j.dti IS NOT NULL
 """
 
+# One pass: the lag is taken first, then a single GROUP BY per loan.
 PAYMENT_FEATURES = """
-SELECT a.*,
-  CASE WHEN a.avg_payment_ratio_m6 < 0.95 THEN 1 ELSE 0 END AS underpayment_flag,
-  CASE WHEN a.min_payment_ratio_m6 = 0 THEN 1 ELSE 0 END AS missed_payment_flag,
-  CASE WHEN a.payment_trend_m6 < -0.1 THEN 1 ELSE 0 END AS deteriorating_flag,
-  CASE WHEN a.still_active_m6 = 0 THEN 1 ELSE 0 END AS early_dropout_flag
+SELECT g.*,
+  coalesce(CAST(g.avg_payment_ratio_m6 < 0.95 AS INTEGER), 0) AS underpayment_flag,
+  coalesce(CAST(g.min_payment_ratio_m6 = 0 AS INTEGER), 0) AS missed_payment_flag,
+  coalesce(CAST(g.payment_trend_m6 < -0.1 AS INTEGER), 0) AS deteriorating_flag,
+  coalesce(CAST(g.still_active_m6 = 0 AS INTEGER), 0) AS early_dropout_flag
 FROM (
-  SELECT p.loan_id, p.avg_payment_ratio_m6, p.min_payment_ratio_m6, p.payment_volatility_m6,
-         p.active_months_m6, p.still_active_m6, p.payment_trend_m6, p.first_month_ratio,
-         p.last_month_ratio, COALESCE(c.avg_monthly_change, 0.0) AS avg_monthly_change
-  FROM (
-    SELECT loan_id,
-      round(avg(payment_ratio), 4) AS avg_payment_ratio_m6,
-      round(min(payment_ratio), 4) AS min_payment_ratio_m6,
-      round(stddev_samp(payment_ratio), 4) AS payment_volatility_m6,
-      CAST(sum(is_active) AS BIGINT) AS active_months_m6,
-      max(CASE WHEN month_number = 6 THEN is_active ELSE 0 END) AS still_active_m6,
-      round(avg(CASE WHEN month_number >= 4 THEN payment_ratio END)
-            - avg(CASE WHEN month_number <= 3 THEN payment_ratio END), 4) AS payment_trend_m6,
-      round(avg(CASE WHEN month_number = 1 THEN payment_ratio END), 4) AS first_month_ratio,
-      round(avg(CASE WHEN month_number = 6 THEN payment_ratio END), 4) AS last_month_ratio
-    FROM obs GROUP BY loan_id
-  ) p
-  LEFT JOIN (
-    SELECT loan_id, round(avg(abs(payment_ratio - prev_ratio)), 4) AS avg_monthly_change
-    FROM (SELECT loan_id, month_number, payment_ratio,
-                 lag(payment_ratio) OVER (PARTITION BY loan_id ORDER BY month_number) AS prev_ratio
-          FROM obs) x
-    WHERE month_number > 1 AND prev_ratio IS NOT NULL
-    GROUP BY loan_id
-  ) c USING (loan_id)
-) a
+  SELECT loan_id,
+    round(avg(payment_ratio), 4) AS avg_payment_ratio_m6,
+    round(min(payment_ratio), 4) AS min_payment_ratio_m6,
+    round(stddev_samp(payment_ratio), 4) AS payment_volatility_m6,
+    CAST(sum(is_active) AS BIGINT) AS active_months_m6,
+    max(CASE WHEN month_number = 6 THEN is_active ELSE 0 END) AS still_active_m6,
+    round(avg(payment_ratio) FILTER (WHERE month_number >= 4)
+          - avg(payment_ratio) FILTER (WHERE month_number <= 3), 4) AS payment_trend_m6,
+    round(avg(payment_ratio) FILTER (WHERE month_number = 1), 4) AS first_month_ratio,
+    round(avg(payment_ratio) FILTER (WHERE month_number = 6), 4) AS last_month_ratio,
+    coalesce(round(avg(abs(payment_ratio - prev_ratio))
+                   FILTER (WHERE month_number > 1 AND prev_ratio IS NOT NULL), 4), 0.0)
+      AS avg_monthly_change
+  FROM (SELECT *, lag(payment_ratio) OVER (PARTITION BY loan_id ORDER BY month_number) AS prev_ratio
+        FROM obs) x
+  GROUP BY loan_id
+) g
 """
 
 OBS = "SELECT * FROM panel6 WHERE month_number <= 6"
 
+# Aggregate per quarter, then attach it to each loan.
 VINTAGE = """
-SELECT loan_id, issue_date,
-  CAST(date_trunc('quarter', strptime(issue_date, '%b-%Y')) AS DATE) AS issue_quarter,
-  CAST(year(strptime(issue_date, '%b-%Y')) AS INTEGER) AS issue_year,
-  round(avg(default_flag) OVER (PARTITION BY date_trunc('quarter', strptime(issue_date, '%b-%Y'))), 4)
-    AS vintage_default_rate,
-  count(*) OVER (PARTITION BY date_trunc('quarter', strptime(issue_date, '%b-%Y'))) AS vintage_size
-FROM loans JOIN outcomes USING (loan_id)
+SELECT lo.loan_id, lo.issue_date, lo.issue_quarter, lo.issue_year,
+       st.vintage_default_rate, st.vintage_size
+FROM (SELECT loan_id, issue_date, default_flag,
+             CAST(date_trunc('quarter', strptime(issue_date, '%b-%Y')) AS DATE) AS issue_quarter,
+             CAST(year(strptime(issue_date, '%b-%Y')) AS INTEGER) AS issue_year
+      FROM loans JOIN outcomes USING (loan_id)) lo
+LEFT JOIN (SELECT CAST(date_trunc('quarter', strptime(issue_date, '%b-%Y')) AS DATE) AS q,
+                  round(avg(default_flag), 4) AS vintage_default_rate, count(*) AS vintage_size
+           FROM loans JOIN outcomes USING (loan_id) GROUP BY 1) st
+  ON lo.issue_quarter IS NOT DISTINCT FROM st.q
 """
 
 MODEL_FEATURES = """
-SELECT o.*, p.avg_payment_ratio_m6, p.min_payment_ratio_m6, p.payment_volatility_m6,
-  p.active_months_m6, p.still_active_m6, p.payment_trend_m6, p.first_month_ratio,
-  p.last_month_ratio, p.avg_monthly_change, p.underpayment_flag, p.missed_payment_flag,
-  p.deteriorating_flag, p.early_dropout_flag,
-  v.issue_quarter, v.issue_year, v.vintage_default_rate, v.vintage_size
+SELECT o.*, p.* EXCLUDE (loan_id), v.* EXCLUDE (loan_id, issue_date)
 FROM origination_features o
 JOIN payment_features p USING (loan_id)
 JOIN vintage_features v USING (loan_id)
