@@ -52,6 +52,10 @@ CHALLENGER_FEATURES = [
 ]
 GBT_PARAMS = dict(maxIter=300, maxDepth=4, stepSize=0.05, subsamplingRate=0.8,
                   featureSubsetStrategy="0.8", seed=42)
+# Execution only (same trees): keep node ids cached and checkpoint the
+# boosting state every 10 trees into the shared checkpoint folder, so 300
+# iterations do not build one long lineage that a lost executor must replay.
+GBT_EXECUTION = dict(cacheNodeIds=True, checkpointInterval=10)
 MLP_HIDDEN = [128, 64, 32]
 MLP_EPOCHS = 50
 MLP_BATCH = 256
@@ -245,7 +249,8 @@ def train_boosted_trees(mf: DataFrame, features: list[str] | None = None,
     spw = float(cw[0]["scale_pos_weight"]) if 0 in cw and 1 in cw else 1.0
     tr, cols = missing_safe(train, feats, nulls)
     tr = tr.withColumn("weight", F.when(F.col(LABEL) == 1, F.lit(spw)).otherwise(F.lit(1.0)))
-    gbt = GBTClassifier(featuresCol="features", labelCol=LABEL, weightCol="weight", **p)
+    gbt = GBTClassifier(featuresCol="features", labelCol=LABEL, weightCol="weight",
+                        **GBT_EXECUTION, **p)
     model = Pipeline(stages=[VectorAssembler(inputCols=cols, outputCol="features"), gbt]).fit(tr)
 
     def probs(df: DataFrame) -> DataFrame:

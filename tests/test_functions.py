@@ -70,3 +70,23 @@ def test_categorical_encodings(spark):
     iv = spark.createDataFrame([(0.31,), (0.3,), (0.11,), (0.05,), (0.01,)], "v double")
     assert [r[0] for r in iv.select(num.iv_strength("v")).collect()] == [
         "strong", "medium", "medium", "weak", "useless"]
+
+
+def test_dround_equals_sql_round_on_random_doubles(spark):
+    """Property: dround(x, k) == SQL ROUND(x, k) (DuckDB) on many doubles,
+    including exact binary ties and values near them."""
+    import duckdb
+    import numpy as np
+    rng = np.random.default_rng(7)
+    xs = np.concatenate([
+        rng.integers(0, 10**6, 3000) / 10**5 + 5e-5,      # decimal ties at 4 digits
+        rng.random(3000) * 100 - 50,                      # arbitrary values
+        np.array([0.00015, 0.00145, 0.00465, 2.5e-05, -0.00015, 1.00005]),
+    ])
+    df = spark.createDataFrame([(float(x),) for x in xs], "x double")
+    for k in (2, 3, 4):
+        got = [r[0] for r in df.select(num.dround("x", k)).collect()]
+        con = duckdb.connect()
+        want = [r[0] for r in con.execute(
+            f"SELECT round(x, {k}) FROM (SELECT unnest(?::DOUBLE[]) AS x)", [xs.tolist()]).fetchall()]
+        assert got == want
