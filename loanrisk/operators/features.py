@@ -122,7 +122,7 @@ def payment_features_from_tables(loans: DataFrame, outcomes: DataFrame) -> DataF
 def _quarter_year(df: DataFrame) -> DataFrame:
     issue = month_date("issue_date")
     return df.withColumns({
-        "issue_quarter": F.trunc(issue, "quarter"),
+        "issue_quarter": F.trunc(issue, "quarter").cast("timestamp_ntz"),
         "issue_year": F.year(issue),
     })
 

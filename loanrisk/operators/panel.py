@@ -60,7 +60,7 @@ def explode_months(sched: DataFrame, max_month: int | None = None) -> DataFrame:
     ratio = F.when(F.col("installment") > 0, est / F.col("installment")).otherwise(F.lit(0.0))
     return (sched.withColumn("month_number", F.explode(months))
             .withColumns({
-                "month_date": F.add_months(F.col("_issue"), m - 1),
+                "month_date": F.add_months(F.col("_issue"), m - 1).cast("timestamp_ntz"),
                 "expected_payment": dround("installment", 2),
                 "estimated_payment": dround(est, 2),
                 "payment_ratio": dround(F.least(ratio, F.lit(RATIO_CAP)), 4),

@@ -116,8 +116,8 @@ FROM (
 def _panel_sql(max_month: int | None) -> str:
     upper = "term" if max_month is None else f"least(term, {int(max_month)})"
     return f"""
-SELECT loan_id, month_number,
-  CAST(issue + to_months(month_number - 1) AS DATE) AS month_date,
+SELECT loan_id, CAST(month_number AS INTEGER) AS month_number,
+  CAST(issue + to_months(month_number - 1) AS TIMESTAMP_NS) AS month_date,
   round(installment, 2) AS expected_payment,
   round(CASE WHEN month_number <= active THEN per_month ELSE 0.0 END, 2) AS estimated_payment,
   round(least(CASE WHEN installment > 0
@@ -196,10 +196,10 @@ VINTAGE = """
 SELECT lo.loan_id, lo.issue_date, lo.issue_quarter, lo.issue_year,
        st.vintage_default_rate, st.vintage_size
 FROM (SELECT loan_id, issue_date, default_flag,
-             CAST(date_trunc('quarter', strptime(issue_date, '%b-%Y')) AS DATE) AS issue_quarter,
+             CAST(date_trunc('quarter', strptime(issue_date, '%b-%Y')) AS TIMESTAMP_NS) AS issue_quarter,
              CAST(year(strptime(issue_date, '%b-%Y')) AS INTEGER) AS issue_year
       FROM loans JOIN outcomes USING (loan_id)) lo
-LEFT JOIN (SELECT CAST(date_trunc('quarter', strptime(issue_date, '%b-%Y')) AS DATE) AS q,
+LEFT JOIN (SELECT CAST(date_trunc('quarter', strptime(issue_date, '%b-%Y')) AS TIMESTAMP_NS) AS q,
                   round(avg(default_flag), 4) AS vintage_default_rate, count(*) AS vintage_size
            FROM loans JOIN outcomes USING (loan_id) GROUP BY 1) st
   ON lo.issue_quarter IS NOT DISTINCT FROM st.q

@@ -28,7 +28,7 @@ def canon(df):
         if v is None or (isinstance(v, float) and math.isnan(v)):
             return None
         if hasattr(v, "isoformat"):
-            return str(pd.Timestamp(v))
+            return str(v)
         if hasattr(v, "item"):
             return norm(v.item())
         return v + 0.0 if isinstance(v, float) else v

@@ -46,7 +46,7 @@ def test_panel_edge_cases(spark):
     assert sum(r.is_active for r in p["past"]) == 36
     assert sorted(r.month_number for r in p["past"]) == list(range(1, 37))
     import datetime as dt
-    assert sorted(p["past"], key=lambda r: r.month_number)[13].month_date == dt.date(2016, 2, 1)
+    assert sorted(p["past"], key=lambda r: r.month_number)[13].month_date == dt.datetime(2016, 2, 1)
 
 
 def test_panel_rows_equal_terms_and_payments_add_up(spark):
