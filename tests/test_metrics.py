@@ -105,3 +105,23 @@ def test_ks_curve_counts(spark):
     for j in (0, 17, 100, 150, 199):
         assert abs(cur[j].cdf_default - np.mean(p[y == 1] <= x[j])) < 1e-6
         assert abs(cur[j].cdf_non_default - np.mean(p[y == 0] <= x[j])) < 1e-6
+
+
+def test_ladder_ranges_stay_balanced_under_skew(spark):
+    """A third of the rows share one score and most distinct scores sit in a
+    narrow cluster: ties collapse to one row, and the per-group quantile
+    ranges still hold about equal numbers of distinct scores."""
+    rows = [(1 if i % 3 == 0 else 0, 0.5) for i in range(10000)]                 # hot tie
+    rows += [(i % 2, 0.1 + i * 1e-7) for i in range(15000)]                      # dense cluster
+    rows += [(i % 4 == 0 and 1 or 0, 0.2 + i / 5000 * 0.7) for i in range(5000)]  # spread
+    df = spark.createDataFrame(rows, "y int, p double")
+    d = metrics.distinct_scores(df)
+    b = metrics._with_bucket(d, "p", [], 16)
+    sizes = [r["count"] for r in b.groupBy("_bucket").count().collect()]
+    n_distinct = d.count()
+    assert n_distinct == 1 + 15000 + 5000 - sum(1 for i in range(5000) if abs(0.2 + i / 5000 * 0.7 - 0.5) < 1e-15)
+    assert max(sizes) <= 3 * n_distinct / 16
+    r = metrics.rank_metrics(metrics.score_ladder(df, buckets=16)).first()
+    y = np.array([a for a, _ in rows])
+    p = np.array([b_ for _, b_ in rows])
+    assert r.auc == round(brute_auc(y, p), 4)
