@@ -138,15 +138,30 @@ def write_separate_tables(labelled: DataFrame, root: str, tag: str,
 
 
 def load_tables(spark: SparkSession, root: str, names: list[str] = TABLES) -> dict[str, DataFrame]:
-    """S5 + S8: read each Parquet table under ``root``; skip missing ones."""
-    out = {}
-    for n in names:
+    """S5 + S8: read the tables under ``root``; skip (and report) missing ones.
+
+    Reads either layout: one ``loan_records`` table (``write_tables``), from
+    which the three tables are projected, or separate tables per name.
+    """
+    def read(path: str) -> DataFrame | None:
         try:
-            out[n] = spark.read.parquet(os.path.join(root, n))
+            return spark.read.parquet(path)
         except AnalysisException as e:
             if "PATH_NOT_FOUND" not in str(e) and "does not exist" not in str(e):
                 raise
+            return None
+
+    records = read(os.path.join(root, "loan_records"))
+    projected = records_tables(records) if records is not None else {}
+    out = {}
+    for n in names:
+        df = projected.get(n)
+        if df is None:
+            df = read(os.path.join(root, n))
+        if df is None:
             log.warning("MISSING: %s - write the tables first", os.path.join(root, n))
+            continue
+        out[n] = df
     return out
 
 

@@ -72,3 +72,14 @@ def test_sql_file_views_csv_and_drop(spark):
     assert spark.catalog.tableExists("rate_table_tmp")
     io.drop_table(spark, "rate_table_tmp")
     assert not spark.catalog.tableExists("rate_table_tmp")
+
+
+def test_load_tables_reads_the_single_table_layout(spark):
+    d = tempfile.mkdtemp(prefix="loanrisk-records-")
+    lab = clean.labelled(raw_loans(spark, SMALL))
+    tag = "r" + os.path.basename(d)[-6:].replace("-", "_")
+    io.write_tables(lab, d, tag, 4)
+    got = io.load_tables(spark, d)
+    assert set(got) == {"loans", "borrowers", "outcomes"}
+    assert got["outcomes"].count() == lab.count()
+    assert "default_flag" in got["outcomes"].columns and "loan_id" in got["loans"].columns
