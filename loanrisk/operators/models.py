@@ -168,9 +168,9 @@ class Trained:
     extra: dict = field(default_factory=dict)
 
 
-def _evaluate(name: str, scored: DataFrame) -> dict:
-    row = metrics.evaluate(scored).first().asDict()
-    return row
+def _evaluate(scored: DataFrame) -> dict:
+    """M16 on a scored hold-out (columns y, p): one bounded row of metrics."""
+    return metrics.evaluate(scored).first().asDict()
 
 
 # ---------------------------------------------------------------- scorecard
@@ -207,7 +207,7 @@ def train_scorecard(mf: DataFrame, features: list[str], min_iv: float = woe.MIN_
     scored = (iso.transform(test_m.withColumn("margin", F.col("margin").cast("double")))
               .select("loan_id", F.col(LABEL).alias("y"), F.col("p_cal").alias("p"), "annual_inc",
                       "margin", integer_points(log_odds_to_points("margin")).alias("points")))
-    m = _evaluate(run, scored)
+    m = _evaluate(scored)
     if log is not None:
         log.log(run, "tag", "model_type", "woe_scorecard")
         log.log(run, "tag", "champion", "true")
@@ -260,7 +260,7 @@ def train_boosted_trees(mf: DataFrame, features: list[str] | None = None,
     iso = isotonic(probs(cal), "p_raw")
     scored = (iso.transform(probs(test)).select("loan_id", F.col(LABEL).alias("y"),
                                                  F.col("p_cal").alias("p"), "annual_inc"))
-    m = _evaluate(run, scored)
+    m = _evaluate(scored)
     imp = model.stages[-1].featureImportances.toArray().tolist()
     importance = sorted(zip(cols, imp), key=lambda t: (-t[1], t[0]))
     if log is not None:
@@ -325,7 +325,7 @@ def train_neural_net(mf: DataFrame, features: list[str] | None = None,
     iso = isotonic(probs(cal), "p_raw")
     scored = iso.transform(probs(test)).select("loan_id", F.col(LABEL).alias("y"),
                                                 F.col("p_cal").alias("p"), "annual_inc")
-    m = _evaluate(run, scored)
+    m = _evaluate(scored)
     history = list(net.summary().objectiveHistory)
     if log is not None:
         log.log(run, "tag", "model_type", "neural_net")

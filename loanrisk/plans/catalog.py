@@ -5,9 +5,10 @@ Importing this module fills ``loanrisk.plans.registry.REGISTRY``.
 
 from __future__ import annotations
 
-from loanrisk.operators import clean, panel
+from loanrisk.operators import clean, features, panel
 from loanrisk.plans import reports
 from loanrisk.plans.registry import register, sql_over
+from loanrisk.sources.io import sample_exact
 
 # ---------------------------------------------------------------- tables
 
@@ -61,7 +62,6 @@ SELECT id, loan_status, issue_d FROM raw
 ORDER BY md5(coalesce(id, '') || '42'), id LIMIT 50000"""))
 def raw_sample(t):
     """S3: exact-size seeded sample (default 50,000 rows) of the raw records."""
-    from loanrisk.sources.io import sample_exact
     return sample_exact(t.raw, 50000).select("id", "loan_status", "issue_d")
 
 
@@ -123,8 +123,7 @@ def payment_features(t):
                                                     "SELECT * FROM payment_features"))
 def payment_features_stored_panel(t):
     """View 2 over the full stored panel (filter month <= 6 first)."""
-    from loanrisk.operators.features import payment_features as pf
-    return pf(t.panel)
+    return features.payment_features(t.panel)
 
 
 @register("vintage_features", sql_over(["vintage_features"], "SELECT * FROM vintage_features"))

@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loanrisk.functions.num import (FACTOR, OFFSET, dround, integer_points,
-                                    log_odds_to_points, points_to_pd, points_to_pd_consistent)
-from loanrisk.operators import metrics, split
+                                    log_odds_to_points, points_to_pd, points_to_pd_consistent,
+                                    sigmoid)
+from loanrisk.operators import metrics, models, split, woe
 from loanrisk.plans.registry import register, sql_over
 from loanrisk.session import session_key
 
@@ -232,7 +233,6 @@ FROM (SELECT loan_id, x,
       FROM (SELECT loan_id, (int_rate - 15.0) / 5.0 AS x FROM model_features) a) b"""))
 def score_points_q(t):
     """Log-odds -> integer points -> PD (published and consistent)."""
-    from loanrisk.functions.num import sigmoid
     x = (F.col("int_rate") - F.lit(15.0)) / F.lit(5.0)
     s = t.model_features.select("loan_id", x.alias("log_odds"))
     s = s.withColumn("points", integer_points(log_odds_to_points("log_odds")))
@@ -245,7 +245,6 @@ def score_points_q(t):
 
 # ------------------------------------------------------------ WoE / IV
 
-from loanrisk.operators import woe  # noqa: E402
 
 SCORECARD_FEATURES = woe.SCORECARD_FEATURES
 
@@ -293,7 +292,6 @@ def woe_fixed_bin_iv(t):
 # Models are trained once per session and source folder, then shared by the
 # queries that report on them (metrics, scores, importance, run log).
 
-from loanrisk.operators import models  # noqa: E402
 
 _TRAINED: dict[tuple[str, str, str], models.Trained] = {}
 _LOGS: dict[tuple[str, str], models.RunLog] = {}

@@ -13,6 +13,7 @@
 
 from __future__ import annotations
 
+import csv
 import hashlib
 import logging
 import os
@@ -35,7 +36,6 @@ def _header(spark: SparkSession, path: str) -> list[str]:
     first = spark.read.text(path).limit(1).collect()
     if not first:
         return []
-    import csv
     return [c.strip() for c in next(csv.reader([first[0][0]]))]
 
 
