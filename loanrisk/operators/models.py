@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from loanrisk.functions.num import dround, integer_points, log_odds_to_points
 from loanrisk.operators import metrics, split, woe
+from loanrisk.sources.io import write_csv
 
 # --- fixed values -----------------------------------------------------------
 # Challenger features (origination, flags, months 1-6 behaviour).
@@ -177,9 +178,11 @@ def _evaluate(scored: DataFrame) -> dict:
 
 def train_scorecard(mf: DataFrame, features: list[str], min_iv: float = woe.MIN_IV,
                     log: RunLog | None = None, run: str = "scorecard_v1",
-                    fitted: dict | None = None) -> Trained:
+                    fitted: dict | None = None, artifacts: str | None = None) -> Trained:
     """M1-M5, M7-M11, M16 on the mature vintages (``fitted``: bins already fit
-    on the same training split)."""
+    on the same training split). With ``artifacts`` (a shared folder), the IV
+    summary is written as CSV (S11) and the model, calibrator and bins are
+    saved (S13)."""
     spark = mf.sparkSession
     train, cal, test = splits(mf)
     train = train.cache()
@@ -215,9 +218,15 @@ def train_scorecard(mf: DataFrame, features: list[str], min_iv: float = woe.MIN_
                          "min_bin_size": woe.MIN_BIN_SIZE, "train_vintages": "<=2016",
                          "n_features_selected": len(selected)})
         log.metrics(run, m)
-    return Trained(run, m, scored, model,
-                   {"fitted": fitted, "selected": selected, "isotonic": iso,
-                    "iv_summary": woe.iv_summary(spark, fitted)})
+    out = Trained(run, m, scored, model,
+                  {"fitted": fitted, "selected": selected, "isotonic": iso,
+                   "iv_summary": woe.iv_summary(spark, fitted)})
+    if artifacts:
+        write_csv(out.extra["iv_summary"], f"{artifacts}/iv_summary")
+        save_model(out, f"{artifacts}/model")
+        if log is not None:
+            log.log(run, "tag", "artifacts", artifacts)
+    return out
 
 
 # ---------------------------------------------------------------- boosted trees

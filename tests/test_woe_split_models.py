@@ -101,7 +101,11 @@ def test_scorecard_trains_scores_and_saves(spark):
     from loanrisk.plans.tables import tables
     t = tables(spark, SMALL)
     log = models.RunLog()
-    tr = models.train_scorecard(t.model_features, woe.SCORECARD_FEATURES[:6], log=log)
+    art = tempfile.mkdtemp(prefix="loanrisk-artifacts-")
+    tr = models.train_scorecard(t.model_features, woe.SCORECARD_FEATURES[:6], log=log,
+                                artifacts=art)
+    assert any(f.endswith(".csv") for f in os.listdir(os.path.join(art, "iv_summary")))
+    assert {"model", "calibrator", "bins"} <= set(os.listdir(os.path.join(art, "model")))
     m = tr.metrics
     assert -1 <= m["gini"] <= 1 and 0 <= m["ks"] <= 1 and 0 <= m["calibration_error"] <= 1
     pts = tr.scored.select("points", "p").collect()
