@@ -16,6 +16,7 @@ from loanrisk.functions.num import (FACTOR, OFFSET, dround, integer_points,
                                     sigmoid)
 from loanrisk.operators import metrics, models, split, woe
 from loanrisk.plans.registry import register, sql_over
+from loanrisk.plans.tables import MATERIALIZE_LOCK
 from loanrisk.session import session_key
 
 # ------------------------------------------------------------ scored frame
@@ -303,17 +304,19 @@ _WOE: dict[tuple[str, str], dict] = {}
 def fitted_woe(t) -> dict:
     """WoE bins of the scorecard candidates on the training split, fit once."""
     key = (session_key(t.spark), t.sf_dir)
-    if key not in _WOE:
-        _WOE[key] = woe.fit(training_split(t.model_features), SCORECARD_FEATURES)
+    with MATERIALIZE_LOCK:
+        if key not in _WOE:
+            _WOE[key] = woe.fit(training_split(t.model_features), SCORECARD_FEATURES)
     return _WOE[key]
 
 
 def trained(t, name: str) -> models.Trained:
     key = (session_key(t.spark), t.sf_dir, name)
-    if key not in _TRAINED:
-        log = _LOGS.setdefault(key[:2], models.RunLog())
-        kw = {"fitted": fitted_woe(t)} if name == "scorecard" else {}
-        _TRAINED[key] = models.train(name, t.model_features, log=log, **kw)
+    with MATERIALIZE_LOCK:
+        if key not in _TRAINED:
+            log = _LOGS.setdefault(key[:2], models.RunLog())
+            kw = {"fitted": fitted_woe(t)} if name == "scorecard" else {}
+            _TRAINED[key] = models.train(name, t.model_features, log=log, **kw)
     return _TRAINED[key]
 
 

@@ -11,6 +11,7 @@ without an exchange. ``materialize=False`` keeps the whole chain lazy.
 from __future__ import annotations
 
 import os
+import threading
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -22,6 +23,10 @@ from loanrisk.session import session_key
 from loanrisk.sources.fixtures import raw_loans
 
 
+# Guards the once-per-session writes when queries run from several threads.
+MATERIALIZE_LOCK = threading.RLock()
+
+
 def default_buckets(spark: SparkSession) -> int:
     """Bucket count of the written tables: ``loanrisk.buckets`` when set (size
     it to the data, e.g. total bytes / 512 MB), else the shuffle parallelism."""
@@ -42,8 +47,9 @@ class LoanTables:
                     "borrowers": clean.build_borrowers(self.labelled),
                     "outcomes": clean.build_outcomes(self.labelled)}
         tag = io.tag_for(self.sf_dir)
-        return io.write_tables(self.labelled, io.table_root(self.spark, tag), tag,
-                               default_buckets(self.spark))
+        with MATERIALIZE_LOCK:
+            return io.write_tables(self.labelled, io.table_root(self.spark, tag), tag,
+                                   default_buckets(self.spark))
 
     @cached_property
     def raw(self) -> DataFrame:
@@ -90,8 +96,9 @@ class LoanTables:
             return mf
         tag = io.tag_for(self.sf_dir)
         name = io.table_name(tag, "model_features")
-        io.write_table(mf, os.path.join(io.table_root(self.spark, tag), "model_features"),
-                       name, default_buckets(self.spark), prepartitioned=True)
+        with MATERIALIZE_LOCK:
+            io.write_table(mf, os.path.join(io.table_root(self.spark, tag), "model_features"),
+                           name, default_buckets(self.spark), prepartitioned=True)
         return self.spark.table(name)
 
 
@@ -103,7 +110,10 @@ def tables(spark: SparkSession, sf_dir: str, materialize: bool = True) -> LoanTa
     if not materialize:
         return LoanTables(spark, sf_dir, materialize=False)
     key = (session_key(spark), os.path.abspath(sf_dir))
-    t = _SESSION_TABLES.get(key)
-    if t is None:
-        t = _SESSION_TABLES[key] = LoanTables(spark, sf_dir)
+    with MATERIALIZE_LOCK:
+        t = _SESSION_TABLES.get(key)
+        if t is None:
+            t = _SESSION_TABLES[key] = LoanTables(spark, sf_dir)
+        # touch the written tables under the lock, so two threads never write them twice
+        _ = t.base
     return t
