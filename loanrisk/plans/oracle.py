@@ -148,12 +148,11 @@ SELECT j.loan_id, j.issue_date, j.grade, j.grade_numeric, j.term_months, j.int_r
   coalesce(CAST(j.pub_rec > 0 AS INTEGER), 0) AS public_record_flag,
   coalesce(CAST(j.dti > 28 AND j.revol_util > 75 AS INTEGER), 0) AS dual_stress_flag,
   j.emp_length_years,
-  coalesce(['new', 'early', 'early', 'established', 'established', 'established', 'established',
-            'established', 'established', 'established', 'senior'][
-            CAST(least(greatest(floor(j.emp_length_years), 0), 10) AS INTEGER) + 1], 'new')
+  CASE WHEN j.emp_length_years >= 10 THEN 'senior' WHEN j.emp_length_years >= 3 THEN 'established'
+       WHEN j.emp_length_years >= 1 THEN 'early' ELSE 'new' END
     AS emp_stability,
   j.home_ownership,
-  CAST(coalesce(list_position(['RENT', 'OWN', 'MORTGAGE'], j.home_ownership), 0) AS INTEGER)
+  CASE j.home_ownership WHEN 'MORTGAGE' THEN 3 WHEN 'OWN' THEN 2 WHEN 'RENT' THEN 1 ELSE 0 END
     AS home_ownership_enc,
   j.default_flag
 FROM (SELECT * FROM loans
