@@ -107,7 +107,9 @@ def score_ladder(df: DataFrame, score: str = "p", label: str = "y",
 
     Columns: by..., score, pos, neg, cnt, pos_lt, neg_lt, n_lt, n_le,
     n_pos, n_neg, n (group totals). ``collapsed``: the input already is
-    ``distinct_scores`` output.
+    ``distinct_scores`` output. ``by`` is for low-cardinality groups
+    (features, income bands): per-group range splits and range totals are
+    broadcast, so their size is groups x ``buckets``.
     """
     by = list(by or [])
     buckets = buckets or default_buckets(df)
