@@ -37,6 +37,7 @@ SEGMENT_MIN_ROWS = 50        # a segment needs more rows than this ...
 # ---------------------------------------------------------------------------
 
 DEFAULT_BUCKETS = None    # -> 4 x spark.sql.shuffle.partitions, within [8, 4096]
+MAX_BROADCAST_CELLS = 2_000_000   # groups x ranges above this: plain (shuffle) join
 
 
 def default_buckets(df: DataFrame) -> int:
@@ -87,7 +88,22 @@ def _with_bucket(d: DataFrame, score: str, by: list[str], buckets: int) -> DataF
         d = d.withColumn("_splits", F.array(*[F.lit(v) for v in vals]))
         return _bucket_of(d, score, F.col("_splits"), size).drop("_splits")
     sp = d.groupBy(*by).agg(F.concat(q, F.array(F.lit(float("inf")))).alias("_splits"))
-    return _bucket_of(d.join(F.broadcast(sp), by), score, F.col("_splits"), size).drop("_splits")
+    return _bucket_of(d.join(_small_side(sp, size), by), score, F.col("_splits"), size).drop("_splits")
+
+
+def _count_groups(d: DataFrame, by: list[str]) -> int:
+    return d.select(*by).distinct().count()
+
+
+def _small_side(df: DataFrame, per_row: int) -> DataFrame:
+    """Broadcast a per-group frame only after checking its size.
+
+    ``df`` has one row per group carrying ``per_row`` numbers; the group
+    count is measured (one small job) and the frame is broadcast only when
+    groups x per_row stays under MAX_BROADCAST_CELLS, else it joins by shuffle.
+    """
+    groups = df.count()
+    return F.broadcast(df) if groups * per_row <= MAX_BROADCAST_CELLS else df
 
 
 def distinct_scores(df: DataFrame, score: str = "p", label: str = "y",
@@ -127,8 +143,9 @@ def score_ladder(df: DataFrame, score: str = "p", label: str = "y",
         F.sum("_bp").over(whole).alias("n_pos"),
         F.sum("_bn").over(whole).alias("n_neg"),
     )
-    # Bounded: one row per (group, range); ranges <= buckets.
-    d = d.join(F.broadcast(offs), [*by, "_bucket"])
+    # One row per (group, range): broadcast when groups x ranges is small.
+    small = (not by) or _count_groups(d, by) * buckets <= MAX_BROADCAST_CELLS
+    d = d.join(F.broadcast(offs) if small else offs, [*by, "_bucket"])
     inside = (Window.partitionBy(*by, "_bucket").orderBy(score)
               .rowsBetween(Window.unboundedPreceding, -1))
     pos_lt = F.col("_pos_before") + F.coalesce(F.sum("pos").over(inside), F.lit(0))

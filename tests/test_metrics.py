@@ -125,3 +125,14 @@ def test_ladder_ranges_stay_balanced_under_skew(spark):
     y = np.array([a for a, _ in rows])
     p = np.array([b_ for _, b_ in rows])
     assert r.auc == round(brute_auc(y, p), 4)
+
+
+def test_grouped_ladder_without_broadcast_gives_same_result(spark, monkeypatch):
+    """Above the size limit the per-group tables join by shuffle instead of
+    broadcast; the metrics must not change."""
+    rows = [(i % 3 == 0 and 1 or 0, (i % 23) / 23, 30000.0 + (i % 4) * 30000) for i in range(2000)]
+    df = spark.createDataFrame(rows, "y int, p double, annual_inc double")
+    small = sorted(tuple(r) for r in metrics.income_band_gini(df).collect())
+    monkeypatch.setattr(metrics, "MAX_BROADCAST_CELLS", 0)
+    big = sorted(tuple(r) for r in metrics.income_band_gini(df).collect())
+    assert small == big and len(small) == 4
