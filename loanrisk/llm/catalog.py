@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanrisk.llm import chat, exact_dedup, mixing, packing, quality, sharding, simhash, token_files
+from loanrisk.llm import chat, exact_dedup, mixing, packing, quality, sharding, simhash, suffix_dedup, token_files
 from loanrisk.llm.common import scratch, table
 
 WORD_BPE, WORD_VOCABULARY = "word_bpe_49k.json", 49_408
@@ -24,6 +24,14 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without bytes that repeat 100 earlier bytes."""
+    out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+                      F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write all documents as bit-packed token files, read them back."""
     path = scratch(spark, "token_files")
@@ -81,6 +89,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_quality": op2_quality,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_token_files": op4_token_files,
     "op6_sharding": op6_sharding,
     "op7_chat": op7_chat,

@@ -17,6 +17,8 @@ from loanrisk.session import checkpoint_dir, session_key
 #: Characters of the class ``[\x20\x09-\x0D]``, as every word rule here uses them.
 SPACES = " \t\n\x0b\x0c\r"
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -28,10 +30,16 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder (cuts the lineage)."""
+    """``df`` as a Parquet table in the shared folder (cuts the lineage). Shuffle
+    files of the job that wrote it are of no more use and go when it ends."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

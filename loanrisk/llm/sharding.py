@@ -28,7 +28,7 @@ from loanrisk.llm.common import written
 LOCAL = (1 << 33) - 1  # monotonically_increasing_id: range number << 33 | row in range
 
 
-def _places(df: DataFrame, order: list[Column], by: list[str], name: str) -> DataFrame:
+def places(df: DataFrame, order: list[Column], by: list[str], name: str) -> DataFrame:
     """Adds ``_place``: the row's position in ``order`` within its group ``by``
     (whose columns lead the order; none: over all rows), from 0."""
     held = written(df.repartitionByRange(*order).sortWithinPartitions(*order)
@@ -53,11 +53,11 @@ def stratified_shards(df: DataFrame, shards: int, seed: int = 42, id_col: str =
     if taken := reserved & set(df.columns):
         raise ValueError(f"columns in use: {sorted(taken)}")
     keyed = df.withColumn("_key", F.xxhash64(F.lit(seed), F.col(id_col)))
-    ranked = _places(keyed, [F.col(source_col), F.col("_key"), F.col(id_col)], [source_col], "shard-ranks")
+    ranked = places(keyed, [F.col(source_col), F.col("_key"), F.col(id_col)], [source_col], "shard-ranks")
     # (2 rank + 1) / (2 rows): one division, the same double for equal fractions
     ranked = (ranked.withColumn("_fraction", (2 * F.col("_place") + 1) / (2 * F.col("_group_rows")))
               .drop("_place", "_group_rows"))
-    placed = _places(ranked, [F.col("_fraction"), F.col(source_col), F.col("_key"), F.col(id_col)], [], "shard-order")
+    placed = places(ranked, [F.col("_fraction"), F.col(source_col), F.col("_key"), F.col(id_col)], [], "shard-order")
     # shard = floor(place * shards / rows); it starts at ceil(shard * rows / shards)
     rows = F.col("_group_rows")
     return (placed.withColumn("shard", F.expr(f"CAST((_place * {shards}) div _group_rows AS INT)"))
