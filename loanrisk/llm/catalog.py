@@ -3,14 +3,23 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanrisk.llm import chat, exact_dedup, mixing, packing, quality, sharding, simhash, suffix_dedup, token_files
+from loanrisk.llm import chat, exact_dedup, langid, mixing, packing, quality, sharding, simhash, suffix_dedup, token_files
 from loanrisk.llm.common import scratch, table
 
 WORD_BPE, WORD_VOCABULARY = "word_bpe_49k.json", 49_408
-BYTE_BPE = "byte_bpe_50k.json"
+BYTE_BPE, BYTE_RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
+
+
+def held_out(doc_id: str = "doc_id") -> Column:
+    """Rows that no language model learns from: a fifth, by checksum of the id."""
+    return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 5 == 0
+
+
+def language_model(docs: DataFrame) -> langid.Model:
+    return langid.train(docs.filter(~held_out()), public_tokenizers.path(BYTE_RANKS))
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,6 +50,13 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents, learned from those not held out."""
+    docs = table(spark, sf_dir, "documents")
+    out = langid.predict(docs, language_model(docs))
+    return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in eight shards that match the mixture of sources."""
     docs = table(spark, sf_dir, "documents").select(
@@ -91,6 +107,7 @@ QUERIES = {
     "op2_quality": op2_quality,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_token_files": op4_token_files,
+    "op5_language_id": op5_language_id,
     "op6_sharding": op6_sharding,
     "op7_chat": op7_chat,
     "op8_mixing": op8_mixing,
