@@ -64,16 +64,16 @@ def sentence_ends(path: str) -> np.ndarray:
 
 def candidates(doc_ends: np.ndarray, soft: np.ndarray, grid: int, sentence: float, hard: float):
     """Cut positions (0 first, the stream's end last) and their penalties."""
-    ends = np.union1d(np.concatenate([[0], doc_ends]), soft)
+    kind = np.zeros(int(doc_ends[-1]) + 1, np.int8)  # by position: 0 no cut, 1 hard, 2 sentence, 3 document
+    kind[soft] = 2
+    kind[doc_ends] = kind[0] = 3
+    ends = np.flatnonzero(kind)
     gaps = np.diff(ends)
     wide = np.flatnonzero(gaps > grid)
     more = (gaps[wide] - 1) // grid
-    inner = np.repeat(ends[wide], more) + grid * (1 + np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more))
-    at = np.union1d(ends, inner)
-    penalty = np.full(len(at), hard)
-    penalty[np.searchsorted(at, ends)] = sentence
-    penalty[np.searchsorted(at, np.concatenate([[0], doc_ends]))] = 0.0
-    return at, penalty
+    kind[np.repeat(ends[wide], more) + grid * (1 + np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more))] = 1
+    at = np.flatnonzero(kind)
+    return at, np.array([0.0, hard, sentence, 0.0])[kind[at]]
 
 
 def best_cuts(at: np.ndarray, penalty: np.ndarray, window: int = WINDOW, least_power: int = LEAST_POWER,
@@ -152,16 +152,15 @@ def pack(df: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", tex
             return out
 
         for batch in batches:
-            ids, cuts = encoder(tokenizer).encode(batch.column(1), end_id)
-            k, n = 0, batch.num_rows
-            while k < n:
-                stop = min(n, int(np.searchsorted(cuts, cuts[k] + block_tokens - size)))
-                stop = max(stop, k + 1)
-                held.append((batch.column(0).slice(k, stop - k), ids[cuts[k]:cuts[stop]], np.diff(cuts[k:stop + 1])))
-                size += int(cuts[stop] - cuts[k])
-                k = stop
-                if size >= block_tokens:
-                    yield flush()
+            for first, ids, cuts in encoder(tokenizer).encode(batch.column(1), end_id):
+                k, n = 0, len(cuts) - 1
+                while k < n:
+                    stop = max(k + 1, min(n, int(np.searchsorted(cuts, cuts[k] + block_tokens - size))))
+                    held.append((batch.column(0).slice(first + k, stop - k), ids[cuts[k]:cuts[stop]], np.diff(cuts[k:stop + 1])))
+                    size += int(cuts[stop] - cuts[k])
+                    k = stop
+                    if size >= block_tokens:
+                        yield flush()
         if held:
             yield flush()
 

@@ -116,17 +116,17 @@ def write_token_files(df: DataFrame, path: str, tokenizer: str, vocabulary: int,
 
         held = 0
         for batch in batches:
-            flat, cuts = encoder(tokenizer).encode(batch.column(1), end_id)
-            for k, name in enumerate(batch.column(0).to_pylist()):
-                names.append(name)
-                sizes.append(int(cuts[k + 1] - cuts[k]))
-                ids.append(flat[cuts[k]:cuts[k + 1]])
-                held += sizes[-1]
-                if held >= segment_ids:
-                    out, n = close()
-                    yield out
-                    number, first, held = number + 1, first + n, 0
-                    names, sizes, ids = [], [], []
+            for at, flat, cuts in encoder(tokenizer).encode(batch.column(1), end_id):
+                for k, name in enumerate(batch.column(0).slice(at, len(cuts) - 1).to_pylist()):
+                    names.append(name)
+                    sizes.append(int(cuts[k + 1] - cuts[k]))
+                    ids.append(flat[cuts[k]:cuts[k + 1]])
+                    held += sizes[-1]
+                    if held >= segment_ids:
+                        out, n = close()
+                        yield out
+                        number, first, held = number + 1, first + n, 0
+                        names, sizes, ids = [], [], []
         if names:
             yield close()[0]
 

@@ -1,21 +1,25 @@
-"""Tokenize whole texts through the distinct words of a batch.
+"""Tokenize whole texts through the distinct pieces of a batch.
 
-Subword tokenizers cut a text at white space before any merge, so a text may be
-cut before each single space or newline that stands between two characters that
-are no white space, and the ids of the pieces, one after another, are the ids of
-the text. A batch of documents holds each piece many times; only the distinct
-ones go through the tokenizers library, and numpy spreads their ids out again.
+Subword tokenizers cut a text into words before any merge, so a text may be cut at
+places where every such rule cuts too, and the ids of the pieces, one after
+another, are the ids of the text. A batch of documents holds each piece many times;
+only the distinct ones go through the tokenizers library (those seen repeatedly
+once for many batches), and numpy spreads their ids out again.
 """
 
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 
-#: Distinct pieces kept from batch to batch in a Python worker (about 200 bytes each).
+#: Repeated pieces kept from batch to batch in a Python worker (about 200 bytes each).
 CACHE_PIECES = 300_000
+#: Pieces given to the library at once, and documents spread out at once.
+ENCODE_PIECES, SPREAD_DOCS = 50_000, 1000
 
 _ENCODERS: dict[str, "PieceEncoder"] = {}
 
@@ -30,16 +34,21 @@ def encoder(path: str) -> "PieceEncoder":
 def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Byte positions at which the texts may be cut; every text start is one.
 
-    The neighbours of a cut must be printable ASCII or in U+00C0..U+00FF (two
-    bytes, the first 0xC3): none of these is white space or a combining mark.
+    A cut is before a single space or newline between two characters that are
+    printable ASCII or in U+00C0..U+00FF (two bytes, the first 0xC3), none of
+    which is white space or a combining mark; or before a comma or full stop that
+    follows a letter of these ranges.
     """
-    at = np.flatnonzero((data == 0x20) | (data == 0x0A))
+    at = np.flatnonzero((data == 0x20) | (data == 0x0A) | (data == 0x2C) | (data == 0x2E))
     at = at[(at > 1) & (at < len(data) - 1)]
-    before, after = data[at - 1], data[at + 1]
-    good = ((before > 0x20) & (before < 0x7F)) | ((before >= 0x80) & (data[at - 2] == 0xC3))
-    good &= ((after > 0x20) & (after < 0x7F)) | (after == 0xC3)
+    here, before, earlier, after = data[at], data[at - 1], data[at - 2], data[at + 1]
+    latin = (before >= 0x80) & (earlier == 0xC3)
+    space = (here <= 0x20) & (((before > 0x20) & (before < 0x7F)) | latin)
+    space &= ((after > 0x20) & (after < 0x7F)) | (after == 0xC3)
+    lower = before | 0x20
+    letter = ((lower >= 0x61) & (lower <= 0x7A) & (before < 0x80)) | (latin & (before != 0x97) & (before != 0xB7))
     flags = np.zeros(len(data) + 1, bool)
-    flags[at[good]] = True
+    flags[at[space | ((here > 0x20) & letter)]] = True
     flags[offsets] = True
     return np.flatnonzero(flags)
 
@@ -51,51 +60,63 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self._clear()
-
-    def _clear(self) -> None:
-        self.index: dict[str, int] = {}
+        self.index: dict[str, int] = {}  # cached piece -> its number
         self.starts = np.zeros(1, np.int64)
         self.ids = np.zeros(0, np.int32)
 
-    def _look_up(self, pieces: list[str]) -> np.ndarray:
-        """Index of each piece; the unseen ones are encoded first."""
-        index = self.index
-        new = [p for p in pieces if p not in index]
-        if new:
-            if len(index) + len(new) > CACHE_PIECES and index:
-                self._clear()
-                index, new = self.index, pieces
-            got = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            base = len(index)
-            index.update(zip(new, range(base, base + len(new))))
-            sizes = np.fromiter(map(len, got), np.int64, len(got))
-            flat = np.fromiter((i for ids in got for i in ids), np.int32, int(sizes.sum()))
-            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
-            self.ids = np.concatenate([self.ids, flat])
-        return np.fromiter(map(index.__getitem__, pieces), np.int64, len(pieces))
-
-    def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """``(ids, offsets)``: text k has ``ids[offsets[k]:offsets[k + 1]]``; a
-        null text counts as empty, and ``end_id`` closes every text."""
+    def _ids_of(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        sizes, flat = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+        for k in range(0, len(pieces), ENCODE_PIECES):
+            got = [e.ids for e in self.tokenizer.encode_batch_fast(pieces[k:k + ENCODE_PIECES], add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, got), np.int64, len(got)))
+            flat.append(np.fromiter(chain.from_iterable(got), np.int32, int(sizes[-1].sum())))
+        return np.concatenate(sizes), np.concatenate(flat)
+
+    def _look_up(self, pieces: list[str], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(begin, size, ids)`` of each piece; the unseen ones are encoded, and
+        those among them that the batch repeats are cached."""
+        at = np.fromiter(map(self.index.get, pieces, repeat(-1)), np.int64, len(pieces))
+        new = np.flatnonzero(at < 0)
+        sizes, flat = self._ids_of([pieces[i] for i in new])
+        at[new] = len(self.index) + np.arange(len(new))
+        starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
+        ids = np.concatenate([self.ids, flat])
+        begin, size = starts[at], starts[at + 1] - starts[at]
+        keep = new[counts[new] > 1][:CACHE_PIECES - len(self.index)]
+        self.index.update(zip((pieces[i] for i in keep), range(len(self.index), len(self.index) + len(keep))))
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(size[keep])])
+        self.ids = np.concatenate([self.ids, _spread(begin[keep], size[keep], ids)])
+        return begin, size, ids
+
+    def encode(self, texts: pa.Array, end_id: int | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Stretches of the texts, ``(first, ids, cuts)``: text ``first + k`` has
+        ``ids[cuts[k]:cuts[k + 1]]``; a null text counts as empty, and ``end_id``
+        closes every text."""
         texts = pa.concat_arrays([texts.cast(pa.large_string()).fill_null("")])
         n = len(texts)
+        if not n:
+            return
         offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + n + 1]
-        body = texts.buffers()[2]
-        if n == 0 or body is None or offsets[-1] == offsets[0]:
-            out, cuts = np.zeros(0, np.int32), np.zeros(n + 1, np.int64)
-        else:
-            data = np.frombuffer(body, np.uint8)[offsets[0]:offsets[-1]]
-            offsets = offsets - offsets[0]
-            starts = piece_starts(data, offsets)
-            pieces = pa.LargeStringArray.from_buffers(len(starts) - 1, pa.py_buffer(starts.astype(np.int64)),
-                                                      pa.py_buffer(data)).dictionary_encode()
-            known = self._look_up(pieces.dictionary.to_pylist())[pieces.indices.to_numpy()]
-            begin, sizes = self.starts[known], self.starts[known + 1] - self.starts[known]
-            ends = np.cumsum(sizes)
-            out = self.ids[np.repeat(begin - (ends - sizes), sizes) + np.arange(ends[-1])]
-            cuts = np.concatenate([[0], ends])[np.searchsorted(starts, offsets)]
-        if end_id is not None:
-            out = np.insert(out, cuts[1:], end_id)
-            cuts = cuts + np.arange(n + 1)
-        return out, cuts
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0]:offsets[-1]]
+        offsets = offsets - offsets[0]
+        starts = piece_starts(data, offsets)
+        pieces = pa.LargeStringArray.from_buffers(len(starts) - 1, pa.py_buffer(starts.astype(np.int64)),
+                                                  pa.py_buffer(data)).dictionary_encode()
+        which = pieces.indices.to_numpy()
+        begin, size, ids = self._look_up(pieces.dictionary.to_pylist(), np.bincount(which, minlength=len(pieces.dictionary)))
+        of_doc = np.searchsorted(starts, offsets)
+        for first in range(0, n, SPREAD_DOCS):
+            mine = of_doc[first:first + SPREAD_DOCS + 1]
+            own = which[mine[0]:mine[-1]]
+            out = _spread(begin[own], size[own], ids)
+            cuts = np.concatenate([[0], np.cumsum(size[own])])[mine - mine[0]]
+            if end_id is not None:
+                out = np.insert(out, cuts[1:], end_id)
+                cuts = cuts + np.arange(len(cuts))
+            yield first, out, cuts
+
+
+def _spread(begin: np.ndarray, size: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The stretches ``ids[begin:begin + size]``, one after another."""
+    ends = np.cumsum(size)
+    return ids[np.repeat(begin - (ends - size), size) + np.arange(ends[-1])] if len(ends) else ids[:0]
