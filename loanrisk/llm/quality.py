@@ -31,7 +31,7 @@ WINDOW = 5
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
 #: Least characters for the class distance and least words for the word distance.
 MIN_CHARS, MIN_DISTANCE_WORDS = 200, 60
-MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.30, 0.50
+MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.30, 0.60
 
 # The most frequent function words of four languages.
 COMMON_WORDS = {
