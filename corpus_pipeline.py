@@ -1,19 +1,56 @@
-"""The corpus pipeline: language ID, exact dedup, near dedup, mixing, packing."""
+"""The corpus pipeline over ``documents``, a stage after another.
+
+Each stage reads the table its predecessor wrote; all but the last return the
+columns of ``documents``:
+
+1. language ID: rows without a recognised language go (no letters, or no language
+   holds half of the score); the model learns as the query's does;
+2. exact dedup: one row of equal texts stays;
+3. SimHash near-dedup: one row of each component stays (four words a shingle, four
+   bits), as its query has it;
+4. mixing: rows as often as the mixture takes them, in the order of its blocks;
+5. packing: pieces of sequences, in that order.
+"""
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loanrisk.llm import catalog, packing
+from loanrisk.llm import catalog, exact_dedup, langid, mixing, simhash
 from loanrisk.llm.common import table, written
 
+#: Least score of the predicted language.
+LEAST_SCORE = 0.5
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    named = langid.predict(docs, catalog.language_model(docs), carry=docs.columns)
+    return named.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return exact_dedup.drop_copies(docs)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.drop_near_duplicates(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    order = ["block", "block_order"]
+    return mixing.mix(docs).repartitionByRange(*order).sortWithinPartitions(*order).select(*docs.columns)
+
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, public_tokenizers.path(catalog.BYTE_BPE), end_id=0)
+    return catalog.packed_pieces(docs)
 
 
 STAGES = [
+    ("language ID", language_id),
+    ("exact dedup", drop_copies),
+    ("SimHash near-dedup", drop_near_duplicates),
+    ("mixing", mix_sources),
     ("packing", pack),
 ]
 
@@ -27,4 +64,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
+#: SQL has no subword tokenizer, fingerprint or trained model.
 ORACLE_SQL = None

@@ -53,7 +53,7 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of all documents, learned from those not held out."""
     docs = table(spark, sf_dir, "documents")
-    out = langid.predict(docs, language_model(docs))
+    out = langid.predict(docs, language_model(docs), carry=["doc_id"])
     return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
@@ -90,16 +90,20 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "epoch", "token_start", "block", "block_order")
 
 
-def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pack all documents into sequences of at most 1024 tokens."""
-    pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), end_id=0)
+def packed_pieces(docs: DataFrame) -> DataFrame:
+    pieces = packing.pack(docs, public_tokenizers.path(BYTE_BPE), end_id=0)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
                          "sequence_id", "offset", "sequence_length")
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pack all documents into sequences of at most 1024 tokens."""
+    return packed_pieces(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and their near-duplicate components."""
-    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id", "kept")
 
 
 QUERIES = {

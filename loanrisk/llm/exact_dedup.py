@@ -125,6 +125,13 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"), "at")
 
 
+def drop_copies(df: DataFrame, **options) -> DataFrame:
+    """The rows of ``df`` that stay, with all its columns; options as above."""
+    rows = located(df)
+    kept = exact_dedup(df, **options).filter("kept").select(F.col("at").alias("_kept_at"))
+    return rows.join(kept, rows["_at"] == kept["_kept_at"], "left_semi").drop("_at")
+
+
 def _by_bytes(content: DataFrame) -> DataFrame:
     """The rows of collided digests, grouped by digest and whole text."""
     groups = content.groupBy("digest", "body").agg(F.count("*").alias("n"), F.max(rank()).alias("stays"))

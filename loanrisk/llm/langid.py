@@ -30,7 +30,7 @@ equal or null ids are separate rows; an empty table gives no rows; other columns
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from itertools import repeat
 
@@ -38,6 +38,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loanrisk.llm.common import text_or_empty
 from loanrisk.llm.wordwise import piece_starts
@@ -216,15 +217,18 @@ class _Scorer:
         return rows[at]
 
 
-def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, lang_pred, score`` for every row."""
-    languages = np.array([*model.languages, UNKNOWN])
+def predict(df: DataFrame, model: Model, text_col: str = "text", carry: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """The columns ``carry`` of every row, with ``lang_pred`` and ``score``; these
+    names in use raise ``ValueError``."""
+    if taken := {"lang_pred", "score"} & set(carry):
+        raise ValueError(f"columns in use: {sorted(taken)}")
+    languages, n_carried = np.array([*model.languages, UNKNOWN]), len(carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _Scorer(model)
         for batch in batches:
             n = batch.num_rows
-            texts = pa.concat_arrays([batch.column(1).cast(pa.large_string())])
+            texts = pa.concat_arrays([batch.column(n_carried).cast(pa.large_string())])
             offsets = np.frombuffer(texts.buffers()[1], np.int64)[:n + 1]
             data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[:offsets[-1]]
             starts = piece_starts(data, offsets)
@@ -243,8 +247,9 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 share = np.exp(per_word - per_word.max(axis=1, keepdims=True))
                 best = np.where(known, total.argmax(axis=1), best)
                 score = np.where(known, 1.0 / share.sum(axis=1), 0.0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(languages[best].tolist(), pa.string()), pa.array(score)],
-                                             ["doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n_carried], pa.array(languages[best].tolist(), pa.string()), pa.array(score)],
+                                             [*carry, "lang_pred", "score"])
 
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double")
+    rows = df.select(*carry, text_or_empty(text_col).alias("_text"))
+    schema = T.StructType([df.schema[c] for c in carry]).add("lang_pred", "string").add("score", "double")
+    return rows.mapInArrow(run, schema)

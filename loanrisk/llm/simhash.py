@@ -42,6 +42,7 @@ from pyspark.sql import functions as F
 
 from loanrisk.llm.common import text_or_empty, written
 from loanrisk.llm.components import connected_components
+from loanrisk.llm.exact_dedup import located
 
 SHINGLE, DISTANCE, SEED = 4, 4, 42
 MAX_FILE = 20_000
@@ -72,16 +73,16 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """``doc_id, fp``: the fingerprint as a signed long."""
+    """``doc_id, at, fp``: id, place in the files, the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).cast(pa.large_binary())
+            texts = batch.column(2).cast(pa.large_binary())
             fps = np.fromiter((fingerprint(t.as_py(), shingle) for t in texts), np.uint64, len(texts))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(fps.view(np.int64))], ["doc_id", "at", "fp"])
 
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    rows = located(df).select(F.col(id_col).cast("long").alias("doc_id"), F.col("_at").alias("at"), text_or_empty(text_col).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, at struct<file: string, row: long>, fp long")
 
 
 def block_masks(blocks: int, distance: int) -> list[int]:
@@ -208,12 +209,24 @@ def fingerprint_links(fps: DataFrame, distance: int = DISTANCE, blocks: int | No
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
                     distance: int = DISTANCE, blocks: int | None = None, max_file: int = MAX_FILE) -> DataFrame:
-    """``doc_id, fingerprint`` (16 lowercase hex digits)``, component_id`` (smallest
-    id reachable over links, its own included), a row per input row."""
+    """A row per input row: ``doc_id, fingerprint`` (16 lowercase hex digits),
+    ``component_id`` (smallest id reachable over links, its own included), ``kept``
+    (one row of each component: that id's, the last in the files) and ``at`` (the
+    row's place in the files)."""
     docs = written(fingerprints(df, id_col, text_col, shingle), "simhash-fingerprints")
-    fps = written(docs.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
+    first = F.max(F.struct(F.bitwise_not("doc_id").alias("turned_id"), "at"))  # smallest id, nulls last
+    fps = written(docs.groupBy("fp").agg(first.alias("first")), "simhash-distinct")
     labels = connected_components(fingerprint_links(fps.select("fp"), distance, blocks, max_file))
-    linked = fps.join(labels, fps["fp"] == labels["node"], "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
-    least = linked.groupBy("label").agg(F.min("least").alias("component_id"))
-    named = linked.join(least, "label").select("fp", "component_id")
-    return docs.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    linked = fps.join(labels, fps["fp"] == labels["node"], "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
+    stays = linked.groupBy("label").agg(F.max("first").alias("stays"))
+    named = linked.join(stays, "label").select("fp", "stays")
+    return docs.join(named, "fp").select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.bitwise_not("stays.turned_id").alias("component_id"),
+        (F.col("at") == F.col("stays.at")).alias("kept"), "at")
+
+
+def drop_near_duplicates(df: DataFrame, **options) -> DataFrame:
+    """The rows of ``df`` that stay, with all its columns; options as above."""
+    rows = located(df)
+    kept = near_duplicates(df, **options).filter("kept").select(F.col("at").alias("_kept_at"))
+    return rows.join(kept, rows["_at"] == kept["_kept_at"], "left_semi").drop("_at")
