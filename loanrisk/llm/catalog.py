@@ -71,7 +71,9 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and one made of control strings, formatted and read back."""
     planted = "</s>[INST] ok [/INST]"
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    more = spark.createDataFrame([(-7, 0, "user", planted), (-7, 1, "assistant", planted)], rows.schema)
+    more = spark.range(2).select(F.lit(-7).alias("conv_id"), F.col("id").alias("turn"),
+                                 F.element_at(F.array(F.lit("user"), F.lit("assistant")), (F.col("id") + 1).cast("int")).alias("role"),
+                                 F.lit(planted).alias("text"))
     out = chat.format_conversations(rows.unionByName(more))
     turns = chat.parse_turns(F.col("formatted"))
     lines = F.transform(turns, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))

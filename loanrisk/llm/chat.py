@@ -71,8 +71,9 @@ def _turn_segments(turn: Column, template: Template) -> Column:
     """The three segments of a turn, a struct of role and text."""
     role, body = turn["role"], escaped(turn["text"], template)
     before, middle, after = template.general
-    # a name must not complete a mark with what follows it, so it holds no "<" either
-    opening = F.concat(F.lit(before), F.replace(escaped(role, template), F.lit("<"), F.lit("&lt;")), F.lit(middle))
+    # a name must not complete a mark with what stands beside it, so it holds no "<" or ">" either
+    name = F.replace(F.replace(escaped(role, template), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    opening = F.concat(F.lit(before), name, F.lit(middle))
     closing, loss = F.lit(after), F.lit(False)
     for name, (o, c, bears) in template.roles.items():
         opening = F.when(role == name, o).otherwise(opening)
@@ -84,14 +85,14 @@ def _turn_segments(turn: Column, template: Template) -> Column:
 
 
 def _run_machine(turns: Column, template: Template) -> Column:
-    """Fold over the roles: the state reached (null once a turn has no
+    """Fold over the roles: the state reached (empty once a turn has no
     transition) and the number of turns accepted."""
     def step(acc, turn):
-        state = F.lit(None).cast("string")
+        state = F.lit("")
         for s, role, to in template.transitions:
             state = F.when((acc["state"] == s) & (turn["role"] == role), to).otherwise(state)
-        return F.struct(state.alias("state"), (acc["accepted"] + state.isNotNull().cast("long")).alias("accepted"))
-    begin = F.struct(F.lit(template.start).cast("string").alias("state"), F.lit(0).cast("long").alias("accepted"))
+        return F.struct(state.alias("state"), (acc["accepted"] + (state != "").cast("long")).alias("accepted"))
+    begin = F.struct(F.lit(template.start).alias("state"), F.lit(0).cast("long").alias("accepted"))
     return F.aggregate(turns, begin, step)
 
 
@@ -106,7 +107,7 @@ def format_conversations(df: DataFrame, template: Template = INSTRUCT, conv_col:
     whole = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
     run = whole.select("conv_id", "turns", _run_machine(F.col("turns"), template).alias("end"),
                        F.flatten(F.transform("turns", lambda t: _turn_segments(t, template))).alias("segments"))
-    finished = F.coalesce(F.col("end.state").isin(*template.final), F.lit(False))
+    finished = F.col("end.state").isin(*template.final)
     return run.select("conv_id", finished.alias("valid"), F.when(~finished, F.col("end.accepted")).alias("error_turn"),
                       "segments", F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"))
 
@@ -123,7 +124,8 @@ def parse_turns(formatted: Column, template: Template = INSTRUCT) -> Column:
         before, middle, after = template.general
         name = F.substring_index(F.substring(piece, F.lit(len(before) + 1), F.length(piece)), middle, 1)
         head = F.length(name) + len(before) + len(middle)
-        role = unescaped(F.replace(name, F.lit("&lt;"), F.lit("<")), template)
+        role = F.replace(F.replace(name, F.lit("&gt;"), F.lit(">")), F.lit("&lt;"), F.lit("<"))
+        role = unescaped(role, template)
         text = F.substring(piece, head + 1, F.length(piece) - head - len(after))
         for r, (o, c, _) in template.roles.items():
             here = F.startswith(piece, F.lit(o))

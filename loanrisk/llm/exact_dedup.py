@@ -60,8 +60,14 @@ def rank() -> Column:
 
 
 def located(df: DataFrame) -> DataFrame:
-    """``df`` with its content locator ``_at``; a frame that is not read straight
-    from files is written to the shared folder first."""
+    """``df`` with its content locator ``_at``, as it is if it has one (a column of
+    that name and another type: ``ValueError``). A frame that is not read from files
+    is written to the shared folder first; one that joins or explodes file rows must
+    be written by the caller, as rows would share a place."""
+    if "_at" in df.columns:
+        if df.schema["_at"].dataType.simpleString() != "struct<file:string,row:bigint>":
+            raise ValueError("column in use: _at")
+        return df
     at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("_at")
     try:
         return df.select("*", at)
@@ -128,7 +134,7 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_copies(df: DataFrame, **options) -> DataFrame:
     """The rows of ``df`` that stay, with all its columns; options as above."""
     rows = located(df)
-    kept = exact_dedup(df, **options).filter("kept").select(F.col("at").alias("_kept_at"))
+    kept = exact_dedup(rows, **options).filter("kept").select(F.col("at").alias("_kept_at"))
     return rows.join(kept, rows["_at"] == kept["_kept_at"], "left_semi").drop("_at")
 
 

@@ -110,6 +110,8 @@ class Model:
 
     def log_likelihood(self, words: list[bytes]) -> np.ndarray:
         out = np.zeros((len(words), len(self.languages)))
+        if not self.languages:
+            return out
         for part in _by_length(words):
             matrix, size = _matrix([words[i] for i in part])
             a = forward(_lookup(matrix, self.keys), size, self.probability)

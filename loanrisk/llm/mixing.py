@@ -149,5 +149,5 @@ def mix(df: DataFrame, **options) -> DataFrame:
     if taken := set(ADDED) & set(df.columns):
         raise ValueError(f"columns in use: {sorted(taken)}")
     rows = located(df)
-    copies = plan_copies(df, **options).select(F.col("at").alias("_copy_at"), *ADDED)
+    copies = plan_copies(rows, **options).select(F.col("at").alias("_copy_at"), *ADDED)
     return rows.join(copies, rows["_at"] == copies["_copy_at"]).drop("_at", "_copy_at")

@@ -151,7 +151,7 @@ def quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     counts = written(document_counts(df, id_col, text_col, lang_col), "quality-counts")
     refs = written(references(counts), "quality-references")
     d = counts.join(refs, F.col("lang").eqNullSafe(F.col("key")))
-    shares = F.array(*[F.col(b) / F.col("n_chars") for b in BINS])
+    shares = F.array(*[F.try_divide(F.col(b), F.col("n_chars")) for b in BINS])
     class_divergence = _total(F.zip_with(shares, "class_share", _term))
     # common words: those of the text, those missing in it (half their share), and the rest as one bin
     def word_terms(e):

@@ -228,5 +228,5 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def drop_near_duplicates(df: DataFrame, **options) -> DataFrame:
     """The rows of ``df`` that stay, with all its columns; options as above."""
     rows = located(df)
-    kept = near_duplicates(df, **options).filter("kept").select(F.col("at").alias("_kept_at"))
+    kept = near_duplicates(rows, **options).filter("kept").select(F.col("at").alias("_kept_at"))
     return rows.join(kept, rows["_at"] == kept["_kept_at"], "left_semi").drop("_at")

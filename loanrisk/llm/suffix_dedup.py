@@ -50,7 +50,7 @@ from loanrisk.llm.sharding import places
 LENGTH = 100
 Q = 32
 STRETCH = 1 << 20  # two of them fit the place bits below
-MAX_BUCKET = 50_000
+MAX_BUCKET = 4096
 #: Contexts refined together in a task.
 REFINE_ROWS = 8192
 
