@@ -1,5 +1,6 @@
 import hashlib
 import math
+import re
 from collections import defaultdict
 
 import pytest
@@ -68,7 +69,7 @@ def test_edges(spark, edge_docs, no_docs):
     assert rows and set(edge_docs.columns) < set(rows[0].asDict())
     ranges = defaultdict(list)
     for r in rows:
-        assert r.tokens == len([w for w in (r.text or "").replace("　", "x").replace(" ", "x").split() if w])
+        assert r.tokens == len(re.findall("[^\x20\x09-\x0D]+", r.text or ""))
         ranges[r.source].append((r.token_start, r.tokens))
     for spans in ranges.values():  # each source's stream is gapless
         spans.sort()
