@@ -53,12 +53,6 @@ def dround(c: str | Column, k: int) -> Column:
     return F.round(col(c) * F.lit(scale), 0) / F.lit(scale)
 
 
-def safe_div(n: str | Column, d: str | Column, otherwise: float | None = 0.0) -> Column:
-    """n / d when d > 0, else ``otherwise`` (ANSI division by zero raises)."""
-    other = F.lit(otherwise).cast("double") if otherwise is not None else F.lit(None).cast("double")
-    return F.when(col(d) > 0, col(n) / col(d)).otherwise(other)
-
-
 def null_token(c: str | Column) -> Column:
     """Map the CSV reader's missing-value tokens to null, keep other text."""
     c = col(c)

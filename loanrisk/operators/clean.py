@@ -81,48 +81,62 @@ def labelled(raw: DataFrame) -> DataFrame:
     return add_default_flag(clean_id(normalise_raw(raw)))
 
 
-def _numeric(df: DataFrame) -> list[F.Column]:
-    out = []
-    for c in df.columns:
-        if c in NUMERIC_COLS:
-            out.append(F.nanvl(F.col(c).try_cast("double"), F.lit(None).cast("double")).alias(c))
-        else:
-            out.append(F.col(c))
-    return out
+def typed_records(df: DataFrame) -> DataFrame:
+    """Labelled raw records -> typed records, every field parsed once: numbers
+    (leniently: junk and NaN -> null), int_rate (F2, strict), revol_util (F3,
+    lenient), term_months (F1), emp_length_years (F5), grade_numeric (F4)."""
+    wanted = present(df, list(dict.fromkeys(LOAN_COLS + BORROWER_COLS + OUTCOME_COLS + ["default_flag"])))
+    parsers = {**{c: lenient_number for c in NUMERIC_COLS}, **PARSERS}
+    cols = [parsers[c](F.col(c)).alias(c) if c in parsers else F.col(c) for c in wanted]
+    derived = [parse(F.col(c)).alias(name) for name, (c, parse) in DERIVED.items() if c in wanted]
+    return df.select(*cols, *derived).withColumnsRenamed({k: v for k, v in RENAMES.items() if k in wanted})
+
+
+def lenient_number(c: F.Column) -> F.Column:
+    return F.nanvl(c.try_cast("double"), F.lit(None).cast("double"))
+
+
+# Percent fields, and columns derived from others.
+PARSERS = {"int_rate": percent_strict, "revol_util": percent_lenient}
+DERIVED = {
+    "term_months": ("term", first_number),
+    "grade_numeric": ("grade", grade_number),
+    "emp_length_years": ("emp_length", first_number),
+}
+
+
+def _columns_of(records: DataFrame, wanted: list[str], derived: list[str]) -> DataFrame:
+    return records.select(*present(records, [RENAMES.get(c, c) for c in wanted] + derived))
+
+
+def loans_of(records: DataFrame) -> DataFrame:
+    """The loans table: loan columns, term_months, grade_numeric."""
+    return _columns_of(records, LOAN_COLS, ["term_months", "grade_numeric"])
+
+
+def borrowers_of(records: DataFrame) -> DataFrame:
+    """The borrowers table: borrower columns, emp_length_years."""
+    return _columns_of(records, BORROWER_COLS, ["emp_length_years"])
 
 
-def _project(df: DataFrame, wanted: list[str]) -> DataFrame:
-    t = df.select(*present(df, wanted))
-    t = t.select(*_numeric(t))
-    return t.withColumnsRenamed({k: v for k, v in RENAMES.items() if k in t.columns})
+def outcomes_of(records: DataFrame) -> DataFrame:
+    """The outcomes table: outcome columns, default_flag."""
+    return _columns_of(records, OUTCOME_COLS, ["default_flag"])
 
 
 def build_loans(df: DataFrame) -> DataFrame:
-    """loans: loan columns + term_months (F1), strict int_rate (F2), grade_numeric."""
-    t = _project(df, LOAN_COLS)
-    if "term" in t.columns:
-        t = t.withColumn("term_months", first_number("term"))
-    if "int_rate" in t.columns:
-        t = t.withColumn("int_rate", percent_strict("int_rate"))
-    if "grade" in t.columns:
-        t = t.withColumn("grade_numeric", grade_number("grade"))
-    return t
+    """Labelled raw records -> loans."""
+    return loans_of(typed_records(df))
 
 
 def build_borrowers(df: DataFrame) -> DataFrame:
-    """borrowers: borrower columns + emp_length_years (F5), lenient revol_util."""
-    t = _project(df, BORROWER_COLS)
-    if "emp_length" in t.columns:
-        t = t.withColumn("emp_length_years", first_number("emp_length"))
-    if "revol_util" in t.columns:
-        t = t.withColumn("revol_util", percent_lenient("revol_util"))
-    return t
+    """Labelled raw records -> borrowers."""
+    return borrowers_of(typed_records(df))
 
 
 def build_outcomes(df: DataFrame) -> DataFrame:
-    """outcomes: outcome columns + default_flag."""
-    t = _project(df, OUTCOME_COLS + ["default_flag"])
-    return t
+    """Labelled raw records -> outcomes."""
+    return outcomes_of(typed_records(df))
 
 
 def ingest_audit(raw: DataFrame) -> DataFrame:

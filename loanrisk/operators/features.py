@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from loanrisk.functions.num import (dround, emp_stability, flag, home_ownership_code,
                                     month_date)
-from loanrisk.operators.panel import (OBSERVATION_MONTHS, explode_months, panel_source,
-                                      with_schedule)
+from loanrisk.operators.panel import (OBSERVATION_MONTHS, eligible, explode_months, month_ratio,
+                                      panel_source, with_schedule)
 
 # --- fixed values -----------------------------------------------------------
 HIGH_DTI = 28          # debt-to-income above this is "high"
@@ -68,7 +68,12 @@ def origination_eligible() -> F.Column:
 def origination_features(loans: DataFrame, borrowers: DataFrame, outcomes: DataFrame) -> DataFrame:
     """View 1 (31 columns): J2 three-way inner join, P6, F19-F24."""
     j = (loans.join(borrowers, "loan_id").join(outcomes.select("loan_id", "default_flag"), "loan_id"))
-    return j.where(origination_eligible()).select(*_origination_columns())
+    return origination_of(j)
+
+
+def origination_of(records: DataFrame) -> DataFrame:
+    """View 1 from one row per loan (typed records): P6, F19-F24, no join."""
+    return records.where(origination_eligible()).select(*_origination_columns())
 
 
 def payment_aggregates(obs: DataFrame) -> DataFrame:
@@ -95,6 +100,56 @@ def payment_aggregates(obs: DataFrame) -> DataFrame:
     )
 
 
+def _mean(values: F.Column) -> F.Column:
+    """Mean of an array of doubles, summed in order; null when empty."""
+    total = F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
+    return F.when(F.size(values) > 0, total / F.size(values))
+
+
+def _stddev_samp(values: F.Column) -> F.Column:
+    """Sample deviation by the running update that the aggregate function uses."""
+    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
+
+    def step(acc, x):
+        n = acc["n"] + 1.0
+        delta = x - acc["mean"]
+        part = delta / n
+        return F.struct(n.alias("n"), (acc["mean"] + part).alias("mean"),
+                        (acc["m2"] + delta * (delta - part)).alias("m2"))
+    return F.when(F.size(values) > 1, F.aggregate(
+        values, start, step, lambda acc: F.sqrt(acc["m2"] / (acc["n"] - 1.0))))
+
+
+def payment_columns_of(records: DataFrame) -> DataFrame:
+    """Adds the view-2 columns to typed records (one row per loan).
+
+    The first months of a loan are an array built in its row, so there is no
+    explode, window or grouping: a narrow projection. Loans that have no panel
+    row (P5, or a term below one month) are dropped, as in the panel.
+    """
+    s = with_schedule(records.where(eligible())).where(F.col("_term") >= 1)
+    n = F.least(F.col("_term"), F.lit(OBSERVATION_MONTHS))
+    paid = month_ratio(F.col("installment"), F.col("_per_month"))
+    ratios = F.transform(F.sequence(F.lit(1), n), lambda m: F.when(m <= F.col("_active"), paid).otherwise(F.lit(0.0)))
+    s = s.withColumn("_ratios", ratios)
+    r = F.col("_ratios")
+    head, tail = F.slice(r, 1, 3), F.slice(r, 4, OBSERVATION_MONTHS)
+    changes = F.transform(F.slice(r, 2, OBSERVATION_MONTHS), lambda x, i: F.abs(x - F.get(r, i)))
+    full = F.size(r) >= OBSERVATION_MONTHS
+    s = s.withColumns({
+        "avg_payment_ratio_m6": dround(_mean(r), 4),
+        "min_payment_ratio_m6": dround(F.array_min(r), 4),
+        "payment_volatility_m6": dround(_stddev_samp(r), 4),
+        "active_months_m6": F.least(F.col("_active"), F.size(r)).cast("long"),
+        "still_active_m6": F.when(full & (F.col("_active") >= OBSERVATION_MONTHS), F.lit(1)).otherwise(F.lit(0)),
+        "payment_trend_m6": dround(_mean(tail) - _mean(head), 4),
+        "first_month_ratio": dround(F.get(r, F.lit(0)), 4),
+        "last_month_ratio": F.when(full, dround(F.get(r, F.lit(OBSERVATION_MONTHS - 1)), 4)),
+        "avg_monthly_change": F.coalesce(dround(_mean(changes), 4), F.lit(0.0)),
+    })
+    return payment_flags(s)
+
+
 def payment_flags(aggs: DataFrame) -> DataFrame:
     """flags on the rounded aggregates."""
     c = F.col
@@ -136,9 +191,13 @@ def vintage_stats(loans: DataFrame, outcomes: DataFrame) -> DataFrame:
     rows of three small columns (< 1 MB) whatever the data size. That bound
     is what makes the broadcast in ``vintage_features`` safe.
     """
-    lo = (loans.select("loan_id", "issue_date")
-          .join(outcomes.select("loan_id", "default_flag"), "loan_id"))
-    return (_quarter_year(lo).groupBy("issue_quarter")
+    return vintage_stats_of(loans.select("loan_id", "issue_date")
+                            .join(outcomes.select("loan_id", "default_flag"), "loan_id"))
+
+
+def vintage_stats_of(labelled: DataFrame) -> DataFrame:
+    """The same from rows that hold issue date and label."""
+    return (_quarter_year(labelled.select("issue_date", "default_flag")).groupBy("issue_quarter")
             .agg(dround(F.avg("default_flag"), 4).alias("vintage_default_rate"),
                  F.count(F.lit(1)).alias("vintage_size")))
 
@@ -147,34 +206,36 @@ def vintage_features(loans: DataFrame, outcomes: DataFrame) -> DataFrame:
     """View 3 (6 columns): quarter statistic attached to each loan."""
     lo = (loans.select("loan_id", "issue_date")
           .join(outcomes.select("loan_id"), "loan_id"))
-    stats = vintage_stats(loans, outcomes)
-    q = _quarter_year(lo)
-    return (q.join(F.broadcast(stats), q.issue_quarter.eqNullSafe(stats.issue_quarter), "left")
-            .select(q.loan_id, q.issue_date, q.issue_quarter, q.issue_year,
-                    stats.vintage_default_rate, stats.vintage_size))
+    return (_with_vintage(lo, vintage_stats(loans, outcomes))
+            .select("loan_id", "issue_date", *VINTAGE_FEATURES))
 
 
-def vintage_features_window(loans: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """View 3 written as the two unordered windows over the quarter.
+def _with_vintage(df: DataFrame, stats: DataFrame) -> DataFrame:
+    """Attach the quarter statistic (bounded by the calendar, so broadcast)."""
+    stats = stats.withColumnRenamed("issue_quarter", "_quarter")
+    q = _quarter_year(df)
+    return q.join(F.broadcast(stats), q["issue_quarter"].eqNullSafe(stats["_quarter"]), "left").drop("_quarter")
 
-    Small-data form only: a window partitioned by quarter sends a whole
-    quarter to one task, and one quarter may hold a large share of all loans.
-    No registered query uses it; ``vintage_features`` computes the same
-    columns with partial aggregation and a bounded broadcast. A unit test
-    checks the two agree.
-    """
-    lo = (loans.select("loan_id", "issue_date")
-          .join(outcomes.select("loan_id", "default_flag"), "loan_id"))
-    w = Window.partitionBy("issue_quarter")
-    return (_quarter_year(lo)
-            .select("loan_id", "issue_date", "issue_quarter", "issue_year",
-                    dround(F.avg("default_flag").over(w), 4).alias("vintage_default_rate"),
-                    F.count(F.lit(1)).over(w).alias("vintage_size")))
+
+def vintage_of(records: DataFrame) -> DataFrame:
+    """View 3 from typed records: no join of loan tables."""
+    return (_with_vintage(records.select("loan_id", "issue_date"), vintage_stats_of(records))
+            .select("loan_id", "issue_date", *VINTAGE_FEATURES))
+
+
+def model_features_of(records: DataFrame) -> DataFrame:
+    """model_features (48 columns) from typed records, one row per loan: one scan
+    for the columns and one for the quarter statistic, no join of loan tables, no
+    exchange of loan rows. The filters on typed columns reach the scan."""
+    rows = payment_columns_of(records.where(origination_eligible()))
+    rows = _with_vintage(rows, vintage_stats_of(records))
+    return rows.select(*_origination_columns(), *PAYMENT_FEATURES, *VINTAGE_FEATURES)
 
 
 def model_features(loans: DataFrame, borrowers: DataFrame, outcomes: DataFrame,
                    panel: DataFrame | None = None) -> DataFrame:
-    """model_features (48 columns): origination x payment x vintage on loan_id.
+    """model_features (48 columns) from separately stored tables: origination x
+    payment x vintage on loan_id (J4).
 
     Without a stored ``panel`` the first six months are derived on the fly.
     """

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loanrisk.functions.num import dround, income_band, metric_safe
+from loanrisk.sources.io import staged
 
 # --- fixed values -----------------------------------------------------------
 CALIBRATION_BINS = 10        # quantile bins of the calibration error
@@ -36,14 +37,14 @@ SEGMENT_MIN_ROWS = 50        # a segment needs more rows than this ...
 # ... and both classes, for its Gini to be reported.
 # ---------------------------------------------------------------------------
 
-DEFAULT_BUCKETS = None    # -> 4 x spark.sql.shuffle.partitions, within [8, 4096]
+DEFAULT_BUCKETS = None    # -> 4 x spark.sql.shuffle.partitions, at least 8
 MAX_BROADCAST_CELLS = 2_000_000   # groups x ranges above this: plain (shuffle) join
 
 
 def default_buckets(df: DataFrame) -> int:
     """Ranges only need to spread the running counts over the tasks."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(8, min(4096, 4 * parts))
+    return max(8, 4 * parts)
 
 
 def _power_of_two(n: int) -> int:
@@ -85,25 +86,20 @@ def _with_bucket(d: DataFrame, score: str, by: list[str], buckets: int) -> DataF
         row = d.agg(q.alias("s")).first()
         vals = [float(x) for x in (row["s"] or [])] + [float("inf")]
         vals += [float("inf")] * (size - len(vals))
-        d = d.withColumn("_splits", F.array(*[F.lit(v) for v in vals]))
+        d = d.withColumn("_splits", F.lit(vals))
         return _bucket_of(d, score, F.col("_splits"), size).drop("_splits")
     sp = d.groupBy(*by).agg(F.concat(q, F.array(F.lit(float("inf")))).alias("_splits"))
     return _bucket_of(d.join(_small_side(sp, size), by), score, F.col("_splits"), size).drop("_splits")
 
 
-def _count_groups(d: DataFrame, by: list[str]) -> int:
-    return d.select(*by).distinct().count()
+def _small_side(df: DataFrame, per_row: int = 1) -> DataFrame:
+    """Store a per-group frame, and broadcast it only if its size allows.
 
-
-def _small_side(df: DataFrame, per_row: int) -> DataFrame:
-    """Broadcast a per-group frame only after checking its size.
-
-    ``df`` has one row per group carrying ``per_row`` numbers; the group
-    count is measured (one small job) and the frame is broadcast only when
-    groups x per_row stays under MAX_BROADCAST_CELLS, else it joins by shuffle.
+    ``df`` has ``per_row`` numbers in a row; its rows are counted from the stored
+    table's footers. Above MAX_BROADCAST_CELLS numbers it joins by shuffle.
     """
-    groups = df.count()
-    return F.broadcast(df) if groups * per_row <= MAX_BROADCAST_CELLS else df
+    df = staged(df, "ladder-groups")
+    return F.broadcast(df) if df.count() * per_row <= MAX_BROADCAST_CELLS else df
 
 
 def distinct_scores(df: DataFrame, score: str = "p", label: str = "y",
@@ -123,13 +119,14 @@ def score_ladder(df: DataFrame, score: str = "p", label: str = "y",
 
     Columns: by..., score, pos, neg, cnt, pos_lt, neg_lt, n_lt, n_le,
     n_pos, n_neg, n (group totals). ``collapsed``: the input already is
-    ``distinct_scores`` output. ``by`` is for low-cardinality groups
+    ``distinct_scores`` output; else the distinct scores are stored in the shared
+    folder first, so the input is read once. ``by`` is for low-cardinality groups
     (features, income bands): per-group range splits and range totals are
     broadcast, so their size is groups x ``buckets``.
     """
     by = list(by or [])
     buckets = buckets or default_buckets(df)
-    d = df if collapsed else distinct_scores(df, score, label, by)
+    d = df if collapsed else staged(distinct_scores(df, score, label, by), "ladder-scores")
     d = _with_bucket(d, score, by, buckets)
 
     # Per-range totals: at most len(splits) - 1 rows per group.
@@ -143,9 +140,8 @@ def score_ladder(df: DataFrame, score: str = "p", label: str = "y",
         F.sum("_bp").over(whole).alias("n_pos"),
         F.sum("_bn").over(whole).alias("n_neg"),
     )
-    # One row per (group, range): broadcast when groups x ranges is small.
-    small = (not by) or _count_groups(d, by) * buckets <= MAX_BROADCAST_CELLS
-    d = d.join(F.broadcast(offs) if small else offs, [*by, "_bucket"])
+    # One row per (group, range), four numbers each.
+    d = d.join(_small_side(offs, 4), [*by, "_bucket"])
     inside = (Window.partitionBy(*by, "_bucket").orderBy(score)
               .rowsBetween(Window.unboundedPreceding, -1))
     pos_lt = F.col("_pos_before") + F.coalesce(F.sum("pos").over(inside), F.lit(0))
@@ -253,7 +249,7 @@ def inner_calibration_edges(ladder: DataFrame, score: str = "p",
     """The n_bins - 1 inner quantile edges (a bounded collect of n_bins - 1 values)."""
     qs = [i / n_bins for i in range(1, n_bins)]
     row = quantile_edges(ladder, qs, score).first()
-    return [float(row[f"q{i}"]) for i in range(len(qs))]
+    return [float(row[f"q{i}"]) for i in range(len(qs)) if row[f"q{i}"] is not None]
 
 
 def ks_curve(ladder: DataFrame, score: str = "p", points: int = KS_CURVE_POINTS) -> DataFrame:
@@ -287,7 +283,8 @@ def ks_curve(ladder: DataFrame, score: str = "p", points: int = KS_CURVE_POINTS)
 
 def evaluate(scored: DataFrame, score: str = "p", label: str = "y",
              buckets: int | None = DEFAULT_BUCKETS) -> DataFrame:
-    """One row with gini, ks, auc, calibration error, actual and predicted rate.
+    """One row with gini, ks, auc, calibration error, actual and predicted rate
+    (nulls for an empty hold-out).
 
     Three jobs: range splits, one aggregate (rank metrics, rates, edges),
     calibration bins. Cached frames are recomputable from lineage if an
@@ -306,7 +303,7 @@ def evaluate(scored: DataFrame, score: str = "p", label: str = "y",
         dround(F.col("_sp") / F.col("_sc"), 4).alias("default_rate_actual"),
         dround(F.col("_spc") / F.col("_sc"), 4).alias("default_rate_predicted"),
         *_quantile_finals(qs)).first().asDict()
-    edges = [float(one.pop(f"q{i}")) for i in range(len(qs))]
+    edges = [float(e) for e in (one.pop(f"q{i}") for i in range(len(qs))) if e is not None]
     ce = calibration_error(calibration_table(lad, edges, score)).first().asDict()
     lad.unpersist()
     d.unpersist()

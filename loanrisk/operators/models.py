@@ -1,9 +1,9 @@
-"""Model training on Spark ML.
+"""Model training, scoring and the run log.
 
 Data stays in the executors: WoE transform, assembling, scaling and
 scoring are narrow stages; optimiser iterations are Spark jobs that
-tree-aggregate gradients. Only bins, coefficients, metrics and run-log rows
-reach the driver.
+tree-aggregate gradients. Only bins, coefficients, knots, metrics and run-log
+rows reach the driver.
 
 * ``train_scorecard`` - WoE bins + IV selection, class-weighted L2 logistic
   regression (C = 1 -> regParam = 1 / sum(weights)), isotonic calibration of
@@ -12,13 +12,16 @@ reach the driver.
   sentinel + indicator for missing values, isotonic calibration.
 * ``train_neural_net`` - standard scaling (train only), fill 0, oversampled
   positives (the perceptron has no weight column), 128-64-32 perceptron.
+* ``Scorer`` - what training leaves: scores any frame with the model's
+  features, and is saved and loaded whole, calibrator included.
 * ``RunLog`` - params / tags / metrics as a long table; promotion rule.
 """
 
 from __future__ import annotations
 
-import math
+import json
 import time
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -70,13 +73,30 @@ LABEL = "default_flag"
 
 # ---------------------------------------------------------------- run log
 
+LOG_SCHEMA = "run_id string, run string, at double, kind string, key string, value string"
+
+
 @dataclass
 class RunLog:
-    """(run, kind, key, value) rows; kinds: param, tag, metric."""
-    rows: list[tuple[str, str, str, str]] = field(default_factory=list)
+    """(run id, run, time, kind, key, value) rows; kinds: param, tag, metric.
+
+    A run name may be used again: ``start`` gives each run an id and a time, and
+    what reads the log takes the latest run of a name."""
+    rows: list[tuple[str, str, float, str, str, str]] = field(default_factory=list)
+    current: dict[str, tuple[str, float]] = field(default_factory=dict)
+
+    def start(self, run: str, at: float | None = None) -> None:
+        self.current[run] = (uuid.uuid4().hex, time.time() if at is None else at)
 
     def log(self, run: str, kind: str, key: str, value) -> None:
-        self.rows.append((run, kind, key, str(value)))
+        if run not in self.current:
+            self.start(run)
+        run_id, at = self.current[run]
+        self.rows.append((run_id, run, at, kind, key, str(value)))
+
+    def tags(self, run: str, d: dict) -> None:
+        for k, v in d.items():
+            self.log(run, "tag", k, v)
 
     def params(self, run: str, d: dict) -> None:
         for k, v in d.items():
@@ -87,24 +107,51 @@ class RunLog:
             if v is not None:
                 self.log(run, "metric", k, v)
 
+    def metric(self, run: str, key: str) -> float | None:
+        """The metric's value in the latest run of that name."""
+        run_id = self.current.get(run, ("", 0.0))[0]
+        for r in reversed(self.rows):
+            if r[0] == run_id and r[3:5] == ("metric", key):
+                return float(r[5])
+        return None
+
+    def champion(self) -> str | None:
+        """The run tagged champion last."""
+        tagged = [r for r in self.rows if r[3:] == ("tag", "champion", "true")]
+        return max(tagged, key=lambda r: r[2])[1] if tagged else None
+
     def frame(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(self.rows, "run string, kind string, key string, value string")
+        return spark.createDataFrame(self.rows, LOG_SCHEMA)
 
     def append_to(self, spark: SparkSession, path: str) -> None:
-        self.frame(spark).write.mode("append").parquet(path)
+        """Add all rows to the log table at ``path`` (shared storage)."""
+        self.frame(spark).coalesce(1).write.mode("append").parquet(path)
+
+
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(LOG_SCHEMA).parquet(path)
+
+
+def latest_runs(log: DataFrame) -> DataFrame:
+    """Rows of the latest run of each name."""
+    last = log.groupBy("run").agg(F.max(F.struct("at", "run_id")).alias("_last"))
+    return (log.join(last, "run").where((F.col("at") == F.col("_last.at")) & (F.col("run_id") == F.col("_last.run_id")))
+            .drop("_last"))
 
 
 def _run_gini(log: DataFrame) -> DataFrame:
-    """One row per run: metrics pivoted, champion flag, champion's Gini.
+    """One row per run name (its latest run): metrics pivoted, champion flag,
+    champion's Gini.
 
     The run log holds a handful of rows per run, so the champion's Gini is
     spread with a window over that small frame (no join needed).
     """
+    log = latest_runs(log)
     m = (log.where(F.col("kind") == "metric")
          .groupBy("run").pivot("key", ["gini", "ks", "auc", "calibration_error"])
          .agg(F.first(F.col("value").cast("double"))))
     champ = (log.where((F.col("kind") == "tag") & (F.col("key") == "champion"))
-             .select("run", (F.col("value") == "true").alias("is_champion")))
+             .groupBy("run").agg(F.max(F.col("value") == "true").alias("is_champion")))
     every = Window.partitionBy()
     g = m.join(champ, "run", "left").fillna(False, ["is_champion"])
     return g.withColumns({
@@ -133,19 +180,36 @@ def comparison(log: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- helpers
 
-def margin_of(raw: str = "rawPrediction") -> F.Column:
-    return vector_to_array(F.col(raw))[1]
+def prob_of(col: str = "_probability") -> F.Column:
+    return vector_to_array(F.col(col))[1]
 
 
-def prob_of(col: str = "probability") -> F.Column:
-    return vector_to_array(F.col(col))[1]
+@dataclass
+class Knots:
+    """M9: a monotone calibration as sorted knots, linear between, flat outside."""
+    at: list[float]
+    value: list[float]
+
+    def column(self, x: F.Column) -> F.Column:
+        at, value = F.lit(self.at), F.lit(self.value)
+        k = F.size(F.filter(at, lambda b: b <= x))   # knots at or below x
+        n = len(self.at)
+        low, high = F.element_at(at, k), F.element_at(at, k + 1)
+        below, above = F.element_at(value, k), F.element_at(value, k + 1)
+        between = below + (x - low) / (high - low) * (above - below)
+        return (F.when(x.isNull(), F.lit(None).cast("double")).when(k == 0, F.lit(self.value[0]))
+                .when(k >= n, F.lit(self.value[-1])).otherwise(between))
 
 
-def isotonic(cal: DataFrame, feature: str) -> IsotonicRegression:
-    """M9: isotonic fit of the label on one score column (ties pooled, clipped ends)."""
-    return IsotonicRegression(featuresCol=feature, labelCol=LABEL, predictionCol="p_cal",
-                              isotonic=True).fit(cal.select(F.col(feature).cast("double"),
-                                                            F.col(LABEL).cast("double")))
+def isotonic(cal: DataFrame, feature: str) -> Knots:
+    """M9: isotonic fit of the label on one score column (ties pooled, clipped ends).
+
+    Equal scores are grouped first (mean label, weight = rows): the same fit, and
+    a score that many loans share is one row."""
+    grouped = (cal.where(F.col(feature).isNotNull()).groupBy(F.col(feature).cast("double").alias("x"))
+               .agg(F.avg(F.col(LABEL).cast("double")).alias("y"), F.count(F.lit(1)).cast("double").alias("w")))
+    m = IsotonicRegression(featuresCol="x", labelCol="y", weightCol="w", isotonic=True).fit(grouped)
+    return Knots([float(v) for v in m.boundaries], [float(v) for v in m.predictions])
 
 
 def splits(mf: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -160,18 +224,120 @@ def present_features(df: DataFrame, wanted: list[str]) -> list[str]:
     return [f for f in wanted if f in have]
 
 
+@dataclass
+class Scorer:
+    """A fitted model that scores any frame with its features.
+
+    ``kind`` scorecard: bins, coefficients and intercept, a plain column
+    expression. ``boosted_trees`` and ``neural_net``: a fitted pipeline. All carry
+    the calibration knots. ``score`` is narrow: it adds ``p`` and, for the
+    scorecard, ``margin`` and ``points``."""
+    kind: str
+    features: list[str]
+    knots: Knots
+    bins: dict[str, woe.FeatureBins] = field(default_factory=dict)
+    coefficients: list[float] = field(default_factory=list)
+    intercept: float = 0.0
+    with_nulls: list[str] = field(default_factory=list)
+    pipeline: PipelineModel | None = None
+
+    def raw(self, df: DataFrame) -> DataFrame:
+        """``df`` with the uncalibrated score ``_raw``."""
+        if self.kind == "scorecard":
+            margin = F.lit(self.intercept)
+            for f, c in zip(self.features, self.coefficients):
+                margin = margin + F.lit(c) * woe.woe_column(self.bins[f])
+            return df.withColumn("_raw", margin)
+        prepared = df.withColumns(prepared_columns(self.kind, self.features, self.with_nulls))
+        return self.pipeline.transform(prepared).select(*df.columns, prob_of().alias("_raw"))
+
+    def score(self, df: DataFrame) -> DataFrame:
+        out = self.raw(df).withColumn("p", self.knots.column(F.col("_raw")))
+        if self.kind == "scorecard":
+            out = out.withColumns({"margin": F.col("_raw"), "points": integer_points(log_odds_to_points("_raw"))})
+        return out.drop("_raw")
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Everything under ``path`` on shared storage: ``spec`` and, where there
+        is one, ``pipeline``; the bins also as a table."""
+        spec = {"kind": self.kind, "features": self.features, "at": self.knots.at, "value": self.knots.value,
+                "bins": woe.to_spec(self.bins), "coefficients": self.coefficients, "intercept": self.intercept,
+                "with_nulls": self.with_nulls}
+        if self.pipeline is not None:
+            self.pipeline.write().overwrite().save(f"{path}/pipeline")
+        if self.bins:
+            woe.bin_table(spark, self.bins).write.mode("overwrite").parquet(f"{path}/bins")
+        spark.createDataFrame([(json.dumps(spec),)], "spec string").coalesce(1).write.mode("overwrite").text(f"{path}/spec")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> "Scorer":
+        spec = json.loads(spark.read.text(f"{path}/spec").first()[0])
+        pipeline = None if spec["kind"] == "scorecard" else PipelineModel.load(f"{path}/pipeline")
+        return Scorer(spec["kind"], spec["features"], Knots(spec["at"], spec["value"]), woe.from_spec(spec["bins"]),
+                      spec["coefficients"], spec["intercept"], spec["with_nulls"], pipeline)
+
+
+def prepared_columns(kind: str, features: list[str], with_nulls: list[str]) -> dict[str, F.Column]:
+    """The model's input columns, under names of their own: boosted trees get a
+    sentinel for nulls and an indicator for features that had them in training;
+    the perceptron gets 0 (P12)."""
+    fill = MISSING_SENTINEL if kind == "boosted_trees" else 0.0
+    cols = {f"_f_{f}": F.coalesce(F.col(f).cast("double"), F.lit(fill)) for f in features}
+    if kind == "boosted_trees":
+        cols |= {f"_f_{f}_missing": F.col(f).isNull().cast("double") for f in with_nulls}
+    return cols
+
+
 @dataclass
 class Trained:
     name: str
     metrics: dict
     scored: DataFrame          # loan_id, y, p, annual_inc (test split)
-    model: object = None
+    scorer: Scorer
     extra: dict = field(default_factory=dict)
 
 
-def _evaluate(scored: DataFrame) -> dict:
-    """M16 on a scored hold-out (columns y, p): one bounded row of metrics."""
-    return metrics.evaluate(scored).first().asDict()
+def _finish(run: str, scorer: Scorer, test: DataFrame, log: RunLog | None, artifacts: str | None,
+            params: dict, tags: dict, more: dict, extra: dict, sizes: tuple[int, int]) -> Trained:
+    """Evaluate on the hold-out, log the run (S12), write the artifacts."""
+    spark = test.sparkSession
+    more_cols = [c for c in ("margin", "points") if scorer.kind == "scorecard"]
+    scored = scorer.score(test).select("loan_id", F.col(LABEL).alias("y"), "p", "annual_inc", *more_cols)
+    m = metrics.evaluate(scored).first().asDict()
+    out = Trained(run, m, scored, scorer, extra)
+    if artifacts:
+        scorer.save(spark, f"{artifacts}/model")
+        if "iv_summary" in extra:
+            write_csv(extra["iv_summary"], f"{artifacts}/iv_summary")
+    if log is not None:
+        champion, champion_gini = log.champion(), None
+        log.start(run)
+        log.tags(run, tags)
+        log.params(run, {**params, "train_vintages": f"<={split.MATURE_LAST_YEAR}"})
+        log.metrics(run, {**m, **more, "train_size": sizes[0], "test_size": sizes[1]})
+        if artifacts:
+            log.log(run, "tag", "artifacts", artifacts)
+        if tags.get("champion") != "true":
+            champion_gini = log.metric(champion, "gini") if champion else None
+            log.metrics(run, {"gini_overall": m["gini"], **{r["metric_name"]: r["gini"] for r in
+                                                            metrics.income_band_gini(scored).collect()}})
+            if champion_gini is not None and m["gini"] is not None:
+                threshold = champion_gini + PROMOTION_MARGIN
+                log.metrics(run, {"champion_gini": champion_gini, "promotion_threshold": threshold})
+                log.log(run, "tag", "promotion_eligible", str(m["gini"] > threshold).lower())
+    return out
+
+
+def _class_rows(train: DataFrame) -> dict[int, dict]:
+    """Rows and weights per class, from one small aggregate."""
+    return {r[LABEL]: r.asDict() for r in split.class_weights(train).collect()}
+
+
+def _weight_column(classes: dict[int, dict], key: str) -> F.Column:
+    out = F.lit(1.0)
+    for c, r in classes.items():
+        out = F.when(F.col(LABEL) == c, F.lit(float(r[key]))).otherwise(out)
+    return out
 
 
 # ---------------------------------------------------------------- scorecard
@@ -181,65 +347,38 @@ def train_scorecard(mf: DataFrame, features: list[str], min_iv: float = woe.MIN_
                     fitted: dict | None = None, artifacts: str | None = None) -> Trained:
     """M1-M5, M7-M11, M16 on the mature vintages (``fitted``: bins already fit
     on the same training split). With ``artifacts`` (a shared folder), the IV
-    summary is written as CSV (S11) and the model, calibrator and bins are
-    saved (S13)."""
+    summary is written as CSV (S11) and the scorer is saved (S13). Raises if no
+    feature reaches ``min_iv``."""
     spark = mf.sparkSession
     train, cal, test = splits(mf)
     train = train.cache()
     fitted = fitted or woe.fit(train, features)
     selected = woe.selected_features(fitted, min_iv)
-    if not selected:   # keep the strongest feature rather than fit an empty model
-        selected = [max(fitted, key=lambda f: fitted[f].iv)]
-    keep = ["loan_id", LABEL, "annual_inc"]
+    if not selected:
+        best = max(fitted, key=lambda f: fitted[f].iv)
+        raise ValueError(f"no feature reaches information value {min_iv}; the largest is {best} with {fitted[best].iv:.4f}")
+    classes = _class_rows(train)
+    n_train = sum(r["n_class"] for r in classes.values())
     woe_cols = [f"{f}_woe" for f in selected]
-    tw = split.with_class_weight(woe.transform(train, fitted, selected, keep=keep), LABEL, "weight")
-    n_train = sum(r["n_class"] for r in split.class_weights(train).collect())
+    tw = woe.transform(train, fitted, selected, keep=[LABEL]).withColumn("weight", _weight_column(classes, "class_weight"))
     lr = LogisticRegression(featuresCol="features", labelCol=LABEL, weightCol="weight",
                             regParam=1.0 / n_train, elasticNetParam=0.0, standardization=False,
                             maxIter=1000, tol=1e-8)
-    pipe = Pipeline(stages=[VectorAssembler(inputCols=woe_cols, outputCol="features"), lr])
-    model = pipe.fit(tw)
+    model = Pipeline(stages=[VectorAssembler(inputCols=woe_cols, outputCol="features"), lr]).fit(tw).stages[-1]
     train.unpersist()
-
-    def margins(df: DataFrame) -> DataFrame:
-        return (model.transform(woe.transform(df, fitted, selected, keep=keep))
-                .select(*keep, margin_of().alias("margin")))
-
-    iso = isotonic(margins(cal), "margin")
-    test_m = margins(test)
-    scored = (iso.transform(test_m.withColumn("margin", F.col("margin").cast("double")))
-              .select("loan_id", F.col(LABEL).alias("y"), F.col("p_cal").alias("p"), "annual_inc",
-                      "margin", integer_points(log_odds_to_points("margin")).alias("points")))
-    m = _evaluate(scored)
-    if log is not None:
-        log.log(run, "tag", "model_type", "woe_scorecard")
-        log.log(run, "tag", "champion", "true")
-        log.params(run, {"min_iv": min_iv, "max_bins": woe.MAX_BINS,
-                         "min_bin_size": woe.MIN_BIN_SIZE, "train_vintages": "<=2016",
-                         "n_features_selected": len(selected)})
-        log.metrics(run, m)
-    out = Trained(run, m, scored, model,
-                  {"fitted": fitted, "selected": selected, "isotonic": iso,
-                   "iv_summary": woe.iv_summary(spark, fitted)})
-    if artifacts:
-        write_csv(out.extra["iv_summary"], f"{artifacts}/iv_summary")
-        save_model(out, f"{artifacts}/model")
-        if log is not None:
-            log.log(run, "tag", "artifacts", artifacts)
-    return out
+    scorer = Scorer("scorecard", selected, Knots([0.0], [0.0]), {f: fitted[f] for f in selected},
+                    [float(c) for c in model.coefficients.toArray()], float(model.intercept))
+    scorer.knots = isotonic(scorer.raw(cal), "_raw")
+    return _finish(run, scorer, test, log, artifacts,
+                   {"min_iv": min_iv, "max_bins": woe.MAX_BINS, "min_bin_size": woe.MIN_BIN_SIZE,
+                    "n_features_selected": len(selected)},
+                   {"model_type": "woe_scorecard", "champion": "true"}, {},
+                   {"fitted": fitted, "selected": selected, "iv_summary": woe.iv_summary(spark, fitted)},
+                   (n_train, test.count()))
 
 
 # ---------------------------------------------------------------- boosted trees
 
-def missing_safe(df: DataFrame, features: list[str], with_nulls: list[str]) -> tuple[DataFrame, list[str]]:
-    """Sentinel for nulls plus an indicator column for features that have them."""
-    cols = [F.coalesce(F.col(f).cast("double"), F.lit(MISSING_SENTINEL)).alias(f) for f in features]
-    ind = [F.col(f).isNull().cast("double").alias(f"{f}_missing") for f in with_nulls]
-    keep = [c for c in ["loan_id", LABEL, "annual_inc"] if c in df.columns and c not in features]
-    out = df.select(*keep, *cols, *ind)
-    return out, features + [f"{f}_missing" for f in with_nulls]
-
-
 def columns_with_nulls(df: DataFrame, features: list[str]) -> list[str]:
     """One aggregate pass; the result is one number per feature."""
     row = df.agg(*[F.sum(F.col(f).isNull().cast("int")).alias(f) for f in features]).first()
@@ -248,37 +387,31 @@ def columns_with_nulls(df: DataFrame, features: list[str]) -> list[str]:
 
 def train_boosted_trees(mf: DataFrame, features: list[str] | None = None,
                         log: RunLog | None = None, run: str = "boosted_trees_challenger_v1",
-                        **params) -> Trained:
+                        artifacts: str | None = None, **params) -> Trained:
     """M17 + M9 + M15 + M18 on the mature vintages."""
     p = {**GBT_PARAMS, **params}
     train, cal, test = splits(mf)
+    train = train.cache()
     feats = present_features(mf, features or CHALLENGER_FEATURES)
     nulls = columns_with_nulls(train, feats)
-    cw = {r[LABEL]: r for r in split.class_weights(train).collect()}
-    spw = float(cw[0]["scale_pos_weight"]) if 0 in cw and 1 in cw else 1.0
-    tr, cols = missing_safe(train, feats, nulls)
-    tr = tr.withColumn("weight", F.when(F.col(LABEL) == 1, F.lit(spw)).otherwise(F.lit(1.0)))
-    gbt = GBTClassifier(featuresCol="features", labelCol=LABEL, weightCol="weight",
+    classes = _class_rows(train)
+    spw = float(classes[0]["scale_pos_weight"]) if 0 in classes and 1 in classes else 1.0
+    cols = prepared_columns("boosted_trees", feats, nulls)
+    tr = train.select(LABEL, *[c.alias(n) for n, c in cols.items()])
+    tr = tr.withColumn("_weight", F.when(F.col(LABEL) == 1, F.lit(spw)).otherwise(F.lit(1.0)))
+    gbt = GBTClassifier(featuresCol="_features", labelCol=LABEL, weightCol="_weight", predictionCol="_prediction",
                         **GBT_EXECUTION, **p)
-    model = Pipeline(stages=[VectorAssembler(inputCols=cols, outputCol="features"), gbt]).fit(tr)
-
-    def probs(df: DataFrame) -> DataFrame:
-        x, _ = missing_safe(df, feats, nulls)
-        return model.transform(x).select("loan_id", LABEL, "annual_inc", prob_of().alias("p_raw"))
-
-    iso = isotonic(probs(cal), "p_raw")
-    scored = (iso.transform(probs(test)).select("loan_id", F.col(LABEL).alias("y"),
-                                                 F.col("p_cal").alias("p"), "annual_inc"))
-    m = _evaluate(scored)
-    imp = model.stages[-1].featureImportances.toArray().tolist()
-    importance = sorted(zip(cols, imp), key=lambda t: (-t[1], t[0]))
-    if log is not None:
-        log.log(run, "tag", "model_type", "gradient_boosted_trees")
-        log.log(run, "tag", "champion", "false")
-        log.log(run, "tag", "challenger", "true")
-        log.params(run, {**p, "scale_pos_weight": spw, "n_features": len(cols)})
-        log.metrics(run, m)
-    return Trained(run, m, scored, model, {"importance": importance, "features": cols})
+    gbt.setRawPredictionCol("_rawPrediction").setProbabilityCol("_probability")
+    model = Pipeline(stages=[VectorAssembler(inputCols=list(cols), outputCol="_features"), gbt]).fit(tr)
+    train.unpersist()
+    scorer = Scorer("boosted_trees", feats, Knots([0.0], [0.0]), with_nulls=nulls, pipeline=model)
+    scorer.knots = isotonic(scorer.raw(cal), "_raw")
+    names = [n.removeprefix("_f_") for n in cols]
+    importance = sorted(zip(names, model.stages[-1].featureImportances.toArray().tolist()), key=lambda t: (-t[1], t[0]))
+    return _finish(run, scorer, test, log, artifacts, {**p, "scale_pos_weight": spw, "n_features": len(names)},
+                   {"model_type": "gradient_boosted_trees", "champion": "false", "challenger": "true"}, {},
+                   {"importance": importance, "features": names},
+                   (sum(r["n_class"] for r in classes.values()), test.count()))
 
 
 def importance_frame(spark: SparkSession, importance: list[tuple[str, float]],
@@ -290,60 +423,61 @@ def importance_frame(spark: SparkSession, importance: list[tuple[str, float]],
 
 # ---------------------------------------------------------------- neural net
 
+def oversample_copies(ratio: float | F.Column, key: str = "loan_id") -> F.Column:
+    """Copies of a row: positives floor(ratio) times and, by a hash of the key,
+    once more for the fraction; others once."""
+    ratio = F.lit(float(ratio)) if isinstance(ratio, (int, float)) else ratio
+    whole = F.floor(ratio)
+    u = F.conv(F.substring(F.md5(F.concat(F.col(key).cast("string"), F.lit("os"))), 1, 8), 16, 10)
+    extra = (u.cast("double") / float(2 ** 32) < ratio - whole).cast("int")
+    return F.when(F.col(LABEL) == 1, whole + extra).otherwise(F.lit(1)).cast("int")
+
+
 def oversample_positives(df: DataFrame, ratio: float, key: str = "loan_id") -> DataFrame:
-    """Replicate positives ~ratio times (floor copies + a hash-chosen extra one).
+    """Replicate positives ~ratio times. Deterministic (a function of the key), narrow."""
+    return df.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), oversample_copies(ratio, key)))).drop("_copy")
 
-    Deterministic (a function of the key), narrow, no shuffle.
-    """
-    whole = int(math.floor(ratio))
-    frac = ratio - whole
-    u = F.conv(F.substring(F.md5(F.concat(F.col(key).cast("string"), F.lit("os"))), 1, 8), 16, 10)
-    extra = (u.cast("double") / float(2 ** 32) < frac).cast("int")
-    copies = F.when(F.col(LABEL) == 1, F.lit(whole) + extra).otherwise(F.lit(1))
-    return df.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies))).drop("_copy")
+
+def scaling_stats(train: DataFrame, features: list[str]) -> DataFrame:
+    """Mean and sample deviation per feature after filling 0, on the
+    training split; one row per feature."""
+    filled = prepared_columns("neural_net", features, [])
+    long = train.select(*[c.alias(n.removeprefix("_f_")) for n, c in filled.items()]).unpivot([], features, "feature", "value")
+    return long.groupBy("feature").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
 
 
 def train_neural_net(mf: DataFrame, features: list[str] | None = None,
                      log: RunLog | None = None, run: str = "neural_net_challenger_v1",
-                     epochs: int = MLP_EPOCHS) -> Trained:
+                     epochs: int = MLP_EPOCHS, hidden: list[int] | None = None, artifacts: str | None = None) -> Trained:
     """M20 + M21 + M23 (+ M9 calibration) on the mature vintages."""
     train, cal, test = splits(mf)
+    train = train.cache()
     feats = present_features(mf, features or CHALLENGER_FEATURES)
-    keep = ["loan_id", LABEL, "annual_inc"]
-
-    def filled(df: DataFrame) -> DataFrame:       # P12
-        ids = [c for c in keep if c not in feats]
-        return df.select(*ids, *[F.col(f).cast("double").alias(f) for f in feats]).fillna(0.0, feats)
-
-    cw = {r[LABEL]: r for r in split.class_weights(train).collect()}
-    pos_w = float(cw[0]["scale_pos_weight"]) if 0 in cw and 1 in cw else 1.0
-    prep = Pipeline(stages=[VectorAssembler(inputCols=feats, outputCol="raw_features"),
-                            StandardScaler(inputCol="raw_features", outputCol="features",
-                                           withMean=True, withStd=True)]).fit(filled(train))
-    tr = oversample_positives(prep.transform(filled(train)), pos_w)
-    mlp = MultilayerPerceptronClassifier(featuresCol="features", labelCol=LABEL,
-                                         layers=[len(feats), *MLP_HIDDEN, 2], maxIter=epochs,
+    classes = _class_rows(train)
+    pos_w = float(classes[0]["scale_pos_weight"]) if 0 in classes and 1 in classes else 1.0
+    cols = prepared_columns("neural_net", feats, [])
+    filled = train.select("loan_id", LABEL, *[c.alias(n) for n, c in cols.items()])
+    prep = Pipeline(stages=[VectorAssembler(inputCols=list(cols), outputCol="_unscaled"),
+                            StandardScaler(inputCol="_unscaled", outputCol="_features",
+                                           withMean=True, withStd=True)]).fit(filled)
+    tr = oversample_positives(prep.transform(filled), pos_w)
+    mlp = MultilayerPerceptronClassifier(featuresCol="_features", labelCol=LABEL, rawPredictionCol="_rawPrediction",
+                                         probabilityCol="_probability", predictionCol="_prediction",
+                                         layers=[len(feats), *(hidden or MLP_HIDDEN), 2], maxIter=epochs,
                                          blockSize=MLP_BATCH, seed=42, solver="l-bfgs")
     t0 = time.time()
     net = mlp.fit(tr)
-    model = PipelineModel(stages=[*prep.stages, net])
-
-    def probs(df: DataFrame) -> DataFrame:
-        return model.transform(filled(df)).select(*keep, prob_of().alias("p_raw"))
-
-    iso = isotonic(probs(cal), "p_raw")
-    scored = iso.transform(probs(test)).select("loan_id", F.col(LABEL).alias("y"),
-                                                F.col("p_cal").alias("p"), "annual_inc")
-    m = _evaluate(scored)
-    history = list(net.summary().objectiveHistory)
-    if log is not None:
-        log.log(run, "tag", "model_type", "neural_net")
-        log.log(run, "tag", "champion", "false")
-        log.params(run, {"hidden": MLP_HIDDEN, "epochs": epochs, "batch_size": MLP_BATCH,
-                         "pos_weight": pos_w, "n_features": len(feats)})
-        log.metrics(run, {**m, "final_train_loss": history[-1] if history else None,
-                          "train_seconds": round(time.time() - t0, 1)})
-    return Trained(run, m, scored, model, {"loss_history": history})
+    seconds = round(time.time() - t0, 1)
+    history = [float(x) for x in net.summary().objectiveHistory]
+    train.unpersist()
+    scorer = Scorer("neural_net", feats, Knots([0.0], [0.0]), pipeline=PipelineModel(stages=[*prep.stages, net]))
+    scorer.knots = isotonic(scorer.raw(cal), "_raw")
+    return _finish(run, scorer, test, log, artifacts,
+                   {"hidden": hidden or MLP_HIDDEN, "epochs": epochs, "batch_size": MLP_BATCH, "pos_weight": pos_w,
+                    "n_features": len(feats)},
+                   {"model_type": "neural_net", "champion": "false", "challenger": "true"},
+                   {"final_train_loss": history[-1] if history else None, "train_seconds": seconds},
+                   {"loss_history": history}, (sum(r["n_class"] for r in classes.values()), test.count()))
 
 
 # ---------------------------------------------------------------- dispatcher
@@ -356,17 +490,5 @@ def train(name: str, mf: DataFrame, log: RunLog | None = None, **kw) -> Trained:
         "neural_net": lambda: train_neural_net(mf, log=log, **kw),
     }
     if name not in table:
-        raise ValueError(f"Unknown model: {name}")
+        raise ValueError(f"no model named {name!r}; there are {', '.join(table)}")
     return table[name]()
-
-
-def save_model(t: Trained, path: str) -> None:
-    """The fitted pipeline, plus bins and calibrator when present."""
-    if isinstance(t.model, PipelineModel):
-        t.model.write().overwrite().save(f"{path}/model")
-    iso = t.extra.get("isotonic")
-    if iso is not None:
-        iso.write().overwrite().save(f"{path}/calibrator")
-    fitted = t.extra.get("fitted")
-    if fitted is not None:
-        woe.bin_table(t.scored.sparkSession, fitted).write.mode("overwrite").parquet(f"{path}/bins")

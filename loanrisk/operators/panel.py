@@ -30,9 +30,13 @@ def panel_source(loans: DataFrame, outcomes: DataFrame) -> DataFrame:
     l = loans.select("loan_id", "issue_date", "term_months", "installment")
     o = outcomes.select("loan_id", "total_pymnt", "last_pymnt_d", "last_pymnt_amnt",
                         "default_flag")
-    return (l.where(F.col("term_months").isNotNull() & (F.col("installment") > 0)
-                    & F.col("issue_date").isNotNull())
-            .join(o, "loan_id"))
+    return l.where(eligible()).join(o, "loan_id")
+
+
+def eligible() -> F.Column:
+    """P5: term and issue date known, instalment > 0."""
+    return (F.col("term_months").isNotNull() & (F.col("installment") > 0)
+            & F.col("issue_date").isNotNull())
 
 
 def with_schedule(src: DataFrame) -> DataFrame:
@@ -57,13 +61,12 @@ def explode_months(sched: DataFrame, max_month: int | None = None) -> DataFrame:
     m = F.col("month_number")
     active = m <= F.col("_active")
     est = F.when(active, F.col("_per_month")).otherwise(F.lit(0.0))
-    ratio = F.when(F.col("installment") > 0, est / F.col("installment")).otherwise(F.lit(0.0))
     return (sched.withColumn("month_number", F.explode(months))
             .withColumns({
                 "month_date": F.add_months(F.col("_issue"), m - 1).cast("timestamp_ntz"),
                 "expected_payment": dround("installment", 2),
                 "estimated_payment": dround(est, 2),
-                "payment_ratio": dround(F.least(ratio, F.lit(RATIO_CAP)), 4),
+                "payment_ratio": month_ratio(F.col("installment"), est),
                 "is_active": active.cast("int"),
             }))
 
@@ -75,6 +78,17 @@ def monthly_panel(loans: DataFrame, outcomes: DataFrame,
     return explode_months(sched, max_month).select(*PANEL_COLUMNS)
 
 
+def monthly_panel_of(records: DataFrame) -> DataFrame:
+    """U1 from typed records (one row per loan): no join."""
+    return explode_months(with_schedule(records.where(eligible()))).select(*PANEL_COLUMNS)
+
+
+def month_ratio(installment: F.Column, payment: F.Column) -> F.Column:
+    """payment over instalment, capped, to 4 digits."""
+    ratio = F.when(installment > 0, payment / installment).otherwise(F.lit(0.0))
+    return dround(F.least(ratio, F.lit(RATIO_CAP)), 4)
+
+
 def panel_profile(panel: DataFrame) -> DataFrame:
     """Rows, loans, months per loan, active share."""
     return panel.agg(

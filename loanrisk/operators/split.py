@@ -1,21 +1,16 @@
 """Train / calibration / test split and class weights.
 
-The split is a pure function of the loan id: the first 8 hex digits of
-md5(loan_id || seed) read as a fraction u in [0, 1). No shuffle, no
-sampling state, identical after a task retry, and reproducible in SQL.
-
-    u < 0.20                      -> test   (20%)
-    0.20 <= u < 0.20 + 0.8 * 0.15 -> cal    (15% of the rest)
-    otherwise                     -> train
-
-Stratification is by expectation (the hash is independent of the label);
-``split_audit`` reports the realised class balance per split.
+Loans are ordered by md5(loan_id || seed) within their class, and cut at exact
+shares: the first 20% of a class (rounded to whole loans) are ``test``, the first
+15% of the rest ``cal``, the others ``train``. So every split holds the classes in
+the proportion of the whole. The cuts are found from counts per hash prefix and
+one ranked prefix (``stratified_cuts``); assigning a loan is then a comparison of
+its hash with its class's cuts: no shuffle, no sampling state, identical after a
+task retry, and reproducible in SQL.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,30 +18,64 @@ from loanrisk.functions.num import dround
 
 # --- fixed values -----------------------------------------------------------
 SEED = "42"
-TEST_SHARE = 0.20
-CAL_SHARE_OF_REST = 0.15
+TEST_PERCENT = 20
+CAL_PERCENT_OF_REST = 15
 MATURE_LAST_YEAR = 2016      # vintages after this are right-censored
 # ---------------------------------------------------------------------------
 
+PREFIX_DIGITS = 4
+
+
+def sizes(n: int) -> tuple[int, int]:
+    """Loans of a class of ``n`` in test and in cal, rounded half up."""
+    test = (n * TEST_PERCENT + 50) // 100
+    return test, ((n - test) * CAL_PERCENT_OF_REST + 50) // 100
+
+
+def split_hash(key: str = "loan_id", seed: str = SEED) -> F.Column:
+    return F.md5(F.concat(F.col(key).cast("string"), F.lit(seed)))
 
-def hex_cut(fraction: float) -> str:
-    """8-hex-digit string h such that  u < fraction  <=>  md5 prefix < h."""
-    return format(math.ceil(fraction * 2 ** 32), "08x")
 
+def stratified_cuts(df: DataFrame, label: str = "default_flag", key: str = "loan_id") -> dict[int, list[str]]:
+    """Per class: the hashes at which cal and train begin.
 
-TEST_CUT = hex_cut(TEST_SHARE)
-CAL_CUT = hex_cut(TEST_SHARE + (1 - TEST_SHARE) * CAL_SHARE_OF_REST)
+    Rows are counted per (class, hash prefix), at most 65,536 numbers a class;
+    only the prefixes that hold a cut are ranked, by their hashes (a 65,536th of a
+    class each)."""
+    h = df.select(F.col(label).alias("c"), split_hash(key).alias("h")).where(F.col("c").isNotNull())
+    prefix = F.substring("h", 1, PREFIX_DIGITS)
+    counts: dict[int, dict[str, int]] = {}
+    for r in h.groupBy("c", prefix.alias("p")).count().collect():
+        counts.setdefault(r["c"], {})[r["p"]] = r["count"]
+    wanted: list[tuple[int, str, int, int]] = []   # class, prefix, rank in the prefix, which cut
+    for c, by_prefix in counts.items():
+        test, cal = sizes(sum(by_prefix.values()))
+        for which, rank in enumerate((test, test + cal)):
+            before = 0
+            for p in sorted(by_prefix):
+                if before + by_prefix[p] > rank:
+                    wanted.append((c, p, rank - before, which))
+                    break
+                before += by_prefix[p]
+    cuts = {c: ["g", "g"] for c in counts}   # beyond every hash
+    for c, p, rank, which in wanted:
+        row = (h.where((F.col("c") == c) & (prefix == p)).orderBy("h").offset(rank).limit(1).first())
+        cuts[c][which] = row["h"]
+    return cuts
 
 
-def split_expr(key: str = "loan_id", seed: str = SEED) -> F.Column:
-    h = F.substring(F.md5(F.concat(F.col(key).cast("string"), F.lit(seed))), 1, 8)
-    return (F.when(h < F.lit(TEST_CUT), F.lit("test"))
-            .when(h < F.lit(CAL_CUT), F.lit("cal"))
-            .otherwise(F.lit("train")))
+def split_expr(cuts: dict[int, list[str]], label: str = "default_flag", key: str = "loan_id") -> F.Column:
+    h = split_hash(key)
+    out = F.lit(None).cast("string")
+    for c, (cal, train) in cuts.items():
+        mine = F.when(h < F.lit(cal), "test").when(h < F.lit(train), "cal").otherwise("train")
+        out = F.when(F.col(label) == c, mine).otherwise(out)
+    return out
 
 
-def with_split(df: DataFrame, key: str = "loan_id") -> DataFrame:
-    return df.withColumn("split", split_expr(key))
+def with_split(df: DataFrame, cuts: dict[int, list[str]] | None = None) -> DataFrame:
+    """Adds ``split``; without ``cuts`` they are taken from ``df`` itself."""
+    return df.withColumn("split", split_expr(stratified_cuts(df) if cuts is None else cuts))
 
 
 def mature(df: DataFrame, year_col: str = "issue_year") -> DataFrame:
@@ -54,9 +83,10 @@ def mature(df: DataFrame, year_col: str = "issue_year") -> DataFrame:
     return df.where(F.col(year_col) <= MATURE_LAST_YEAR)
 
 
-def split_audit(mf: DataFrame) -> DataFrame:
+def split_audit(mf: DataFrame, cuts: dict[int, list[str]] | None = None) -> DataFrame:
     """Size and default rate per split, plus the held-out (censored) count."""
-    s = with_split(mf).withColumn(
+    cuts = stratified_cuts(mature(mf)) if cuts is None else cuts
+    s = with_split(mf, cuts).withColumn(
         "split", F.when(F.col("issue_year") > MATURE_LAST_YEAR, F.lit("held_out"))
         .otherwise(F.col("split")))
     return (s.groupBy("split")

@@ -14,7 +14,7 @@ Fit, all features at once:
 
 Transform is one CASE expression per feature (narrow, codegen).
 
-WoE = ln((good_i / GOOD) / (bad_i / BAD)) with 0.5 added to empty cells,
+WoE = ln((good_i / GOOD) / (bad_i / BAD)), an empty cell counting 0.5,
 IV = sum((good_i / GOOD - bad_i / BAD) * WoE_i). Higher WoE = safer.
 """
 
@@ -34,7 +34,7 @@ MAX_BINS = 10
 MIN_BIN_SIZE = 0.05
 MIN_IV = 0.1
 PREBINS = 20
-SMOOTHING = 0.5
+EMPTY_CELL = 0.5
 # Scorecard candidate features (origination + months 1-6 behaviour).
 SCORECARD_FEATURES = [
     "loan_amnt", "int_rate", "term_months", "installment",
@@ -109,7 +109,8 @@ class FeatureBins:
 
 
 def _woe(g: int, b: int, G: int, B: int) -> float:
-    return math.log(((g + SMOOTHING) / G) / ((b + SMOOTHING) / B))
+    """Only an empty cell is smoothed."""
+    return math.log(((g or EMPTY_CELL) / G) / ((b or EMPTY_CELL) / B))
 
 
 def _iv(bins: list[Bin], G: int, B: int) -> float:
@@ -247,10 +248,39 @@ def transform(df: DataFrame, fitted: dict[str, FeatureBins], features: list[str]
     features = features or list(fitted)
     for f in features:
         if f not in fitted:
-            raise ValueError(f"Feature {f} was not seen during fit")
+            raise ValueError(f"no bins were fitted for {f!r}")
     return df.select(*(keep or []), *[woe_column(fitted[f]).alias(f"{f}_woe") for f in features])
 
 
+def from_counts(rows: list[dict], edges: dict[str, list[float]], missing_woe: float = 0.0) -> dict[str, FeatureBins]:
+    """Bins as counted, without merging: rows (feature, prebin, good, bad)."""
+    out = {}
+    for f, cuts in edges.items():
+        mine = {r["prebin"]: (int(r["good"]), int(r["bad"])) for r in rows if r["feature"] == f}
+        G = sum(g for g, _ in mine.values()) or 1
+        B = sum(b for _, b in mine.values()) or 1
+        bins = [Bin(cuts[p] if p < len(cuts) else None, *mine[p]) for p in range(len(cuts) + 1) if p in mine]
+        fb = FeatureBins(f, bins, Bin(None, *mine[MISSING]) if MISSING in mine else None, G, B, missing_woe)
+        fb.woe = [_woe(x.good, x.bad, G, B) for x in bins]
+        fb.iv = _iv(bins + ([fb.missing] if fb.missing else []), G, B)
+        out[f] = fb
+    return out
+
+
+def to_spec(fitted: dict[str, FeatureBins]) -> list[dict]:
+    """Plain values that ``from_spec`` turns back into the same bins."""
+    return [{"feature": f, "bins": [[b.hi, b.good, b.bad] for b in fb.bins], "woe": fb.woe, "iv": fb.iv,
+             "missing": [fb.missing.good, fb.missing.bad] if fb.missing else None,
+             "total_good": fb.total_good, "total_bad": fb.total_bad, "missing_woe": fb.missing_woe}
+            for f, fb in fitted.items()]
+
+
+def from_spec(spec: list[dict]) -> dict[str, FeatureBins]:
+    return {s["feature"]: FeatureBins(s["feature"], [Bin(*b) for b in s["bins"]],
+                                      Bin(None, *s["missing"]) if s["missing"] else None, s["total_good"],
+                                      s["total_bad"], s["missing_woe"], s["woe"], s["iv"]) for s in spec}
+
+
 def bin_table(spark, fitted: dict[str, FeatureBins]) -> DataFrame:
     """The fitted bins as a table (feature, bin, upper edge, counts, woe)."""
     rows = []
@@ -266,6 +296,23 @@ def bin_table(spark, fitted: dict[str, FeatureBins]) -> DataFrame:
 # ---------------------------------------------------------------- fixed bins
 
 
+def woe_expr(good: F.Column, bad: F.Column, G: float, B: float) -> F.Column:
+    cell = lambda n: F.when(n == 0, F.lit(EMPTY_CELL)).otherwise(n)
+    return F.log((cell(good) / G) / (cell(bad) / B))
+
+
+def fixed_bins(train: DataFrame, features: list[str], label: str = "default_flag",
+               n_bins: int = 10) -> dict[str, FeatureBins]:
+    """Exact quantile bins without merging, for the transform: features x bins
+    rows reach the driver."""
+    long = unpivot(train, features, label)
+    edges = prebin_edges(long, n_bins, exact=True).cache()
+    counts = [r.asDict() for r in prebin_counts(long, edges).collect()]
+    cuts = {r["feature"]: [float(x) for x in r["edges"]] for r in edges.collect()}
+    edges.unpersist()
+    return from_counts(counts, {f: cuts.get(f, []) for f in features})
+
+
 def fixed_bin_iv(train: DataFrame, features: list[str], label: str = "default_flag",
                  n_bins: int = 10) -> DataFrame:
     """Fixed quantile bins (no merging) -> WoE per bin -> IV per feature.
@@ -279,7 +326,7 @@ def fixed_bin_iv(train: DataFrame, features: list[str], label: str = "default_fl
     # Totals are one row: gather the two numbers (bounded) instead of a cross join.
     t = tot.first()
     G, B = float(t["G"]), float(t["B"])
-    woe = F.log(((F.col("good") + SMOOTHING) / G) / ((F.col("bad") + SMOOTHING) / B))
+    woe = woe_expr(F.col("good"), F.col("bad"), G, B)
     term = (F.col("good") / G - F.col("bad") / B) * woe
     return (c.groupBy("feature").agg(dround(F.sum(term), 6).alias("iv"),
                                      F.count(F.lit(1)).alias("bins"))

@@ -3,7 +3,12 @@
 Metric queries score the hold-out loans with a fixed closed-form score
 (no model needed, many ties): p = round(((k * 7919) % 2000) / 2000, 3),
 k = loan id. Model queries (scorecard, boosted trees, neural net) train on
-the mature vintages and report hold-out metrics; they have no SQL twin.
+the mature vintages and report hold-out metrics; they have no SQL twin. What a
+model is made of has one where it can: bins without merging, WoE columns, fill and
+scaling statistics, oversampling, isotonic knots, and scores from given ones.
+
+The metric, split and WoE builders start jobs of their own (range splits, bin
+counts, class cuts) before they return a frame.
 """
 
 from __future__ import annotations
@@ -14,10 +19,13 @@ from pyspark.sql import functions as F
 from loanrisk.functions.num import (FACTOR, OFFSET, dround, integer_points,
                                     log_odds_to_points, points_to_pd, points_to_pd_consistent,
                                     sigmoid)
+import os
+
 from loanrisk.operators import metrics, models, split, woe
 from loanrisk.plans.registry import register, sql_over
 from loanrisk.plans.tables import MATERIALIZE_LOCK
 from loanrisk.session import session_key
+from loanrisk.sources import io
 
 # ------------------------------------------------------------ scored frame
 
@@ -27,19 +35,34 @@ def fixture_score(key: str = "loan_id") -> F.Column:
     return dround(((k * 7919) % 2000) / F.lit(2000.0), 3)
 
 
-def scored_holdout(mf: DataFrame) -> DataFrame:
+def split_rows(t, which: str) -> DataFrame:
+    """Mature loans of one split; the class cuts are found once per table set."""
+    if "split_cuts" not in t.__dict__:
+        with MATERIALIZE_LOCK:
+            t.__dict__["split_cuts"] = split.stratified_cuts(split.mature(t.model_features))
+    return split.with_split(split.mature(t.model_features), t.__dict__["split_cuts"]).where(F.col("split") == which)
+
+
+def scored_holdout(t) -> DataFrame:
     """Mature hold-out loans with label y, fixture score p and income."""
-    t = split.with_split(split.mature(mf)).where(F.col("split") == "test")
-    return t.select("loan_id", F.col("default_flag").alias("y"),
+    return split_rows(t, "test").select("loan_id", F.col("default_flag").alias("y"),
                     fixture_score().alias("p"), "annual_inc")
 
 
 _SCORED = ("""
 SELECT loan_id, default_flag AS y,
        round(((CAST(loan_id AS BIGINT) * 7919) % 2000) / 2000.0::DOUBLE, 3) AS p, annual_inc
-FROM model_features
-WHERE issue_year <= 2016 AND substr(md5(loan_id || '42'), 1, 8) < '{cut}'""".replace("{cut}", split.TEST_CUT),
-           ["model_features"])
+FROM split_features WHERE split = 'test'""", ["split_features"])
+
+# Exact shares per class: the first 20% by hash are test, 15% of the rest cal.
+_SPLIT = ("""
+SELECT * EXCLUDE (place, n_test, n_class),
+  CASE WHEN place <= n_test THEN 'test'
+       WHEN place <= n_test + ((n_class - n_test) * 15 + 50) // 100 THEN 'cal' ELSE 'train' END AS split
+FROM (SELECT *, (n_class * 20 + 50) // 100 AS n_test
+      FROM (SELECT *, row_number() OVER (PARTITION BY default_flag ORDER BY md5(loan_id || '42')) AS place,
+                   count(*) OVER (PARTITION BY default_flag) AS n_class
+            FROM model_features WHERE issue_year <= 2016) a) b""", ["model_features"])
 
 _LAD = ("""
 SELECT p, pos, neg,
@@ -48,7 +71,7 @@ SELECT p, pos, neg,
   sum(pos) OVER () AS n_pos, sum(neg) OVER () AS n_neg
 FROM (SELECT p, sum(y) AS pos, sum(1 - y) AS neg FROM scored GROUP BY p) d""", ["scored"])
 
-_EXTRA = {"scored": _SCORED, "lad": _LAD}
+_EXTRA = {"split_features": _SPLIT, "scored": _SCORED, "lad": _LAD}
 
 
 def _sql(select: str, ctes: list[str] | None = None) -> str:
@@ -58,7 +81,7 @@ def _sql(select: str, ctes: list[str] | None = None) -> str:
 @register("scored_holdout", _sql("SELECT * FROM scored", ["scored"]))
 def scored_holdout_q(t):
     """P10 + M6 (test split) + fixture score."""
-    return scored_holdout(t.model_features)
+    return scored_holdout(t)
 
 
 @register("rank_metrics", _sql("""
@@ -71,7 +94,7 @@ FROM (SELECT max(n_pos) AS n_pos, max(n_neg) AS n_neg,
       FROM lad) a"""))
 def rank_metrics_q(t):
     """M12 (AUC, Gini), M13 (KS), A16 class counts."""
-    lad = metrics.score_ladder(scored_holdout(t.model_features))
+    lad = metrics.score_ladder(scored_holdout(t))
     return metrics.rank_metrics(lad)
 
 
@@ -84,7 +107,7 @@ _QS = [i / 10 for i in range(1, 10)]
 def quantile_edges_q(t):
     """Exact deciles of the score (reported to 10 decimals: engines
     differ in the last bit of the interpolation)."""
-    lad = metrics.score_ladder(scored_holdout(t.model_features))
+    lad = metrics.score_ladder(scored_holdout(t))
     e = metrics.quantile_edges(lad, _QS)
     return e.select(*[dround(c, 10).alias(c) for c in e.columns])
 
@@ -105,7 +128,7 @@ GROUP BY bin"""
     " FROM (" + _CAL_SQL + ") c ORDER BY bin", ["lad", "scored"]))
 def calibration_curve_q(t):
     """M14 curve table (A18 edges, bins, observed vs predicted)."""
-    lad = metrics.score_ladder(scored_holdout(t.model_features))
+    lad = metrics.score_ladder(scored_holdout(t))
     edges = metrics.inner_calibration_edges(lad)
     return metrics.calibration_curve(metrics.calibration_table(lad, edges)).orderBy("bin")
 
@@ -115,7 +138,7 @@ def calibration_curve_q(t):
     + _CAL_SQL + ") c", ["lad", "scored"]))
 def calibration_error_q(t):
     """Calibration error."""
-    lad = metrics.score_ladder(scored_holdout(t.model_features))
+    lad = metrics.score_ladder(scored_holdout(t))
     edges = metrics.inner_calibration_edges(lad)
     return metrics.calibration_error(metrics.calibration_table(lad, edges))
 
@@ -128,7 +151,7 @@ FROM range(200) g(j) LEFT JOIN lad l ON l.p <= g.j * (1.0::DOUBLE / 199.0::DOUBL
 GROUP BY g.j ORDER BY g.j"""))
 def ks_curve_q(t):
     """Class CDFs on 200 thresholds (one grouped pass, no rescans)."""
-    lad = metrics.score_ladder(scored_holdout(t.model_features))
+    lad = metrics.score_ladder(scored_holdout(t))
     return metrics.ks_curve(lad).orderBy("j")
 
 
@@ -148,7 +171,7 @@ FROM (SELECT CAST(n_pos AS BIGINT) AS positives, CAST(n_neg AS BIGINT) AS negati
     ["lad", "scored"]))
 def evaluation_suite_q(t):
     """The full evaluation row."""
-    return metrics.evaluate(scored_holdout(t.model_features))
+    return metrics.evaluate(scored_holdout(t))
 
 
 _SEG_SQL = """
@@ -175,7 +198,7 @@ WHERE n_pos + n_neg > 50 AND n_pos > 0 AND n_neg > 0"""
 @register("segment_gini", _sql(_SEG_SQL, ["scored"]))
 def segment_gini_q(t):
     """M15 with F31 right-closed income bands and F32 metric names."""
-    return metrics.income_band_gini(scored_holdout(t.model_features))
+    return metrics.income_band_gini(scored_holdout(t))
 
 
 @register("segment_spread", _sql("""
@@ -183,39 +206,32 @@ SELECT count(*) AS segments, max(gini) AS max_gini, min(gini) AS min_gini,
        round(max(gini) - min(gini), 3) AS spread FROM (""" + _SEG_SQL + ") s", ["scored"]))
 def segment_spread_q(t):
     """Gini spread across income bands."""
-    return metrics.segment_spread(metrics.income_band_gini(scored_holdout(t.model_features)))
+    return metrics.segment_spread(metrics.income_band_gini(scored_holdout(t)))
 
 
 # ------------------------------------------------------------ split, weights
 
 
-_SPLIT_SQL = ("CASE WHEN substr(md5(loan_id || '42'), 1, 8) < '%s' THEN 'test' "
-              "WHEN substr(md5(loan_id || '42'), 1, 8) < '%s' THEN 'cal' ELSE 'train' END"
-              % (split.TEST_CUT, split.CAL_CUT))
-
-
-@register("split_audit", sql_over(["model_features"], f"""
+@register("split_audit", sql_over(["split_features", "model_features"], """
 SELECT split, count(*) AS loans, CAST(sum(default_flag) AS BIGINT) AS defaults,
        round(avg(default_flag), 4) AS default_rate
-FROM (SELECT default_flag, CASE WHEN issue_year > 2016 THEN 'held_out' ELSE {_SPLIT_SQL} END AS split
-      FROM model_features) s
-GROUP BY split ORDER BY split"""))
+FROM (SELECT default_flag, split FROM split_features
+      UNION ALL SELECT default_flag, 'held_out' FROM model_features WHERE issue_year > 2016) s
+GROUP BY split ORDER BY split""", _EXTRA))
 def split_audit_q(t):
     """R11 (M6, P10)."""
     return split.split_audit(t.model_features)
 
 
-@register("class_weights", sql_over(["model_features"], f"""
+@register("class_weights", sql_over(["split_features"], """
 SELECT default_flag, n_class, n / (n_class * 2.0) AS class_weight,
        sum(CASE WHEN default_flag = 0 THEN n_class END) OVER ()
          / sum(CASE WHEN default_flag = 1 THEN n_class END) OVER () AS scale_pos_weight
 FROM (SELECT default_flag, count(*) AS n_class, sum(count(*)) OVER () AS n
-      FROM model_features WHERE issue_year <= 2016 AND ({_SPLIT_SQL}) = 'train'
-      GROUP BY default_flag) c"""))
+      FROM split_features WHERE split = 'train' GROUP BY default_flag) c""", _EXTRA))
 def class_weights_q(t):
     """M7: balanced class weights and the neg/pos ratio on the training split."""
-    train = split.with_split(split.mature(t.model_features)).where(F.col("split") == "train")
-    return split.class_weights(train)
+    return split.class_weights(split_rows(t, "train"))
 
 
 # ------------------------------------------------------------ scorecard points
@@ -246,47 +262,189 @@ def score_points_q(t):
 
 # ------------------------------------------------------------ WoE / IV
 
+_WOE: dict[tuple, dict] = {}
 
 SCORECARD_FEATURES = woe.SCORECARD_FEATURES
 
 
-def training_split(mf: DataFrame, which: str = "train") -> DataFrame:
-    return split.with_split(split.mature(mf)).where(F.col("split") == which)
+def _long_sql(features: list[str], source: str, keep: str) -> str:
+    return "\n  UNION ALL ".join(f"SELECT {keep}, '{f}' AS feature, CAST({f} AS DOUBLE) AS value FROM {source}"
+                                 for f in features)
+
+
+_WOE_CELL = "ln((CASE WHEN good = 0 THEN 0.5 ELSE good END / G) / (CASE WHEN bad = 0 THEN 0.5 ELSE bad END / B))"
 
 
-def _fixed_bin_sql(features: list[str]) -> str:
-    long = "\n  UNION ALL ".join(
-        f"SELECT default_flag AS y, '{f}' AS feature, CAST({f} AS DOUBLE) AS value FROM train"
-        for f in features)
+def _fixed_bin_ctes(features: list[str]) -> dict:
+    """Exact decile bins per feature on the training split, counts and WoE."""
     qs = ", ".join(f"quantile_cont(value, {i / 10}) AS q{i - 1}" for i in range(1, 10))
-    bin_terms = " + ".join(
-        [f"CASE WHEN e.q0 < l.value THEN 1 ELSE 0 END"]
-        + [f"CASE WHEN e.q{i} < l.value AND e.q{i} <> e.q{i - 1} THEN 1 ELSE 0 END" for i in range(1, 9)])
-    return f"""
-WITH train AS (SELECT * FROM model_features
-               WHERE issue_year <= 2016 AND ({_SPLIT_SQL}) = 'train'),
-long AS ({long}),
-edges AS (SELECT feature, {qs} FROM long WHERE value IS NOT NULL GROUP BY feature),
-binned AS (SELECT l.feature, l.y, CASE WHEN l.value IS NULL THEN -1 ELSE {bin_terms} END AS prebin
-           FROM long l JOIN edges e USING (feature)),
-counts AS (SELECT feature, prebin, sum(1 - y) AS good, sum(y) AS bad FROM binned GROUP BY feature, prebin),
-tot AS (SELECT CAST(sum(1 - default_flag) AS DOUBLE) AS G, CAST(sum(default_flag) AS DOUBLE) AS B FROM train)
-SELECT feature, round(iv, 6) AS iv, bins,
+    # the number of distinct edges below the value
+    bin_no = " + ".join(["CASE WHEN e.q0 < l.value THEN 1 ELSE 0 END"] + [
+        f"CASE WHEN e.q{i} < l.value AND e.q{i} <> e.q{i - 1} THEN 1 ELSE 0 END" for i in range(1, 9)])
+    return {
+        **_EXTRA,
+        "train": ("SELECT * FROM split_features WHERE split = 'train'", ["split_features"]),
+        "long": (_long_sql(features, "train", "default_flag AS y"), ["train"]),
+        "edges": (f"SELECT feature, {qs} FROM long WHERE value IS NOT NULL GROUP BY feature", ["long"]),
+        "counts": (f"""SELECT feature, prebin, sum(1 - y) AS good, sum(y) AS bad
+FROM (SELECT l.feature, l.y, CASE WHEN l.value IS NULL THEN -1 ELSE {bin_no} END AS prebin
+      FROM long l JOIN edges e USING (feature)) b GROUP BY feature, prebin""", ["long", "edges"]),
+        "bins": (f"""SELECT c.*, {_WOE_CELL} AS woe, (good / G - bad / B) * {_WOE_CELL} AS term
+FROM counts c, (SELECT CAST(sum(1 - default_flag) AS DOUBLE) AS G, CAST(sum(default_flag) AS DOUBLE) AS B
+                FROM train) t""", ["counts", "train"]),
+        "fixed_iv": ("""SELECT feature, round(iv, 6) AS iv, bins,
        CASE WHEN round(iv, 6) > 0.3 THEN 'strong' WHEN round(iv, 6) > 0.1 THEN 'medium'
             WHEN round(iv, 6) > 0.02 THEN 'weak' ELSE 'useless' END AS strength
-FROM (SELECT feature, sum((good / G - bad / B) * ln(((good + 0.5) / G) / ((bad + 0.5) / B))) AS iv,
-             count(*) AS bins
-      FROM counts, tot GROUP BY feature) s
-ORDER BY iv DESC, feature"""
+FROM (SELECT feature, sum(term) AS iv, count(*) AS bins FROM bins GROUP BY feature) s""", ["bins"]),
+        "mature_long": (_long_sql(features, "(SELECT * FROM model_features WHERE issue_year <= 2016)", "loan_id"),
+                        ["model_features"]),
+        "loan_woe": (f"""SELECT l.loan_id, l.feature,
+  CASE WHEN l.value IS NULL THEN 0.0 ELSE b.woe END AS woe
+FROM (SELECT l.loan_id, l.feature, l.value, CASE WHEN l.value IS NULL THEN -1 ELSE {bin_no} END AS prebin
+      FROM mature_long l JOIN edges e USING (feature)) l
+LEFT JOIN bins b ON b.feature = l.feature AND b.prebin = l.prebin""", ["mature_long", "edges", "bins"]),
+    }
+
 
+_FIXED = _fixed_bin_ctes(SCORECARD_FEATURES)
+# Features whose decile bins always hold every training value (no empty bin in between).
+WOE_SHOWN = ["int_rate", "term_months", "annual_inc", "dti", "revol_util", "emp_length_years", "active_months_m6"]
 
-@register("woe_fixed_bin_iv", sql_over(
-    ["fixed_iv"], "SELECT * FROM fixed_iv ORDER BY iv DESC, feature",
-    {"fixed_iv": ("SELECT * FROM (" + _fixed_bin_sql(SCORECARD_FEATURES) + ") z",
-                  ["model_features"])}))
+
+@register("woe_fixed_bin_iv", sql_over(["fixed_iv"], "SELECT * FROM fixed_iv ORDER BY iv DESC, feature", _FIXED))
 def woe_fixed_bin_iv(t):
     """M1 (fixed decile bins, missing apart), M2, M3 strength, O2 ordering."""
-    return woe.fixed_bin_iv(training_split(t.model_features), SCORECARD_FEATURES)
+    return woe.fixed_bin_iv(split_rows(t, "train"), SCORECARD_FEATURES)
+
+
+def fixed_bins(t) -> dict:
+    """Unmerged decile bins of the scorecard candidates, fit once."""
+    key = (session_key(t.spark), t.sf_dir, "fixed")
+    with MATERIALIZE_LOCK:
+        if key not in _WOE:
+            _WOE[key] = woe.fixed_bins(split_rows(t, "train"), SCORECARD_FEATURES)
+    return _WOE[key]
+
+
+@register("woe_fixed_bins", sql_over(["bins"], """
+SELECT feature, CAST(row_number() OVER (PARTITION BY feature ORDER BY prebin) - 1 AS INTEGER) AS bin,
+       CAST(good AS BIGINT) AS good, CAST(bad AS BIGINT) AS bad, round(woe, 9) AS woe
+FROM bins WHERE prebin >= 0
+UNION ALL SELECT feature, -1, CAST(good AS BIGINT), CAST(bad AS BIGINT), 0.0 FROM bins WHERE prebin = -1""", _FIXED))
+def woe_fixed_bins(t):
+    """M1 bin table of the unmerged bins."""
+    b = woe.bin_table(t.spark, fixed_bins(t))
+    return b.select("feature", "bin", "good", "bad", dround("woe", 9).alias("woe"))
+
+
+@register("woe_fixed_selected", sql_over(["fixed_iv"], "SELECT feature, iv FROM fixed_iv WHERE iv >= 0.1", _FIXED))
+def woe_fixed_selected(t):
+    """M4 on the unmerged bins."""
+    fitted = fixed_bins(t)
+    rows = [(f, float(fitted[f].iv)) for f in woe.selected_features(fitted)]
+    return t.spark.createDataFrame(rows, "feature string, iv double").select("feature", dround("iv", 6).alias("iv"))
+
+
+@register("woe_fixed_transform", sql_over(["loan_woe"], "SELECT loan_id, " + ", ".join(
+    f"round(max(CASE WHEN feature = '{f}' THEN woe END), 9) AS {f}_woe" for f in WOE_SHOWN)
+    + " FROM loan_woe GROUP BY loan_id", _FIXED))
+def woe_fixed_transform(t):
+    """WoE columns of the unmerged bins for every mature loan."""
+    w = woe.transform(split.mature(t.model_features), fixed_bins(t), WOE_SHOWN, keep=["loan_id"])
+    return w.select("loan_id", *[dround(f"{f}_woe", 9).alias(f"{f}_woe") for f in WOE_SHOWN])
+
+
+# ------------------------------------------------------------ given parameters
+# --- fixed values -----------------------------------------------------------
+GIVEN_COEFFICIENTS = {"int_rate": -0.9, "term_months": -0.4, "annual_inc": -0.3, "dti": -0.2}
+GIVEN_INTERCEPT = 0.1
+# ---------------------------------------------------------------------------
+
+
+def _knots_sql(binned: str) -> str:
+    """M9 by the min-max formula: the fit at a score is the largest, over lower
+    scores a, of the smallest mean label between a and any score b from there up."""
+    return f"""
+SELECT x, max(least_mean) AS p FROM (
+  SELECT k.x, a.x AS low, min(m.mean) AS least_mean
+  FROM {binned} k JOIN {binned} a ON a.x <= k.x
+  JOIN (SELECT a.x AS low, b.x AS high, sum(c.y) / sum(c.n) AS mean
+        FROM {binned} a JOIN {binned} b ON b.x >= a.x JOIN {binned} c ON c.x BETWEEN a.x AND b.x
+        GROUP BY a.x, b.x) m ON m.low = a.x AND m.high >= k.x
+  GROUP BY k.x, a.x) f GROUP BY x"""
+
+
+_GIVEN_MARGIN = " + ".join([f"CAST({GIVEN_INTERCEPT} AS DOUBLE)"] + [
+    f"CAST({c} AS DOUBLE) * max(CASE WHEN feature = '{f}' THEN woe END)" for f, c in GIVEN_COEFFICIENTS.items()])
+_GIVEN = {
+    **_FIXED,
+    "margins": (f"SELECT loan_id, {_GIVEN_MARGIN} AS margin FROM loan_woe GROUP BY loan_id", ["loan_woe"]),
+    "cal_binned": ("""SELECT round(margin * 4) / 4 AS x, CAST(sum(default_flag) AS DOUBLE) AS y, count(*) AS n
+FROM split_features JOIN margins USING (loan_id) WHERE split = 'cal' GROUP BY 1""", ["split_features", "margins"]),
+    "knots": (_knots_sql("cal_binned"), ["cal_binned"]),
+}
+
+
+def given_scorer(t) -> models.Scorer:
+    """A scorecard from given coefficients and unmerged bins; its calibration is
+    fitted on margins rounded to quarters."""
+    names = list(GIVEN_COEFFICIENTS)
+    s = models.Scorer("scorecard", names, models.Knots([0.0], [0.0]), {f: fixed_bins(t)[f] for f in names},
+                      list(GIVEN_COEFFICIENTS.values()), GIVEN_INTERCEPT)
+    cal = s.raw(split_rows(t, "cal")).withColumn("_raw", dround(F.col("_raw") * 4, 0) / 4)
+    s.knots = models.isotonic(cal, "_raw")
+    return s
+
+
+@register("isotonic_fit", sql_over(["knots"], "SELECT x, round(p, 9) AS p FROM knots", _GIVEN))
+def isotonic_fit(t):
+    """M9: the isotonic fit at every rounded calibration margin."""
+    s = given_scorer(t)
+    x = s.raw(split_rows(t, "cal")).select((dround(F.col("_raw") * 4, 0) / 4).alias("x")).distinct()
+    return x.select("x", dround(s.knots.column(F.col("x")), 9).alias("p"))
+
+
+@register("scored_book", sql_over(["margins", "knots"], f"""
+SELECT m.loan_id, round(m.margin, 9) AS margin,
+  CAST(round_even(CAST('{_O}' AS DOUBLE) + CAST('{_F}' AS DOUBLE) * m.margin, 0) AS INTEGER) AS points,
+  round(CASE WHEN lo.x IS NULL THEN (SELECT min(p) FROM knots) WHEN hi.x IS NULL THEN (SELECT max(p) FROM knots)
+             ELSE lo.p + (m.margin - lo.x) / (hi.x - lo.x) * (hi.p - lo.p) END, 7) AS p
+FROM margins m
+LEFT JOIN knots lo ON lo.x = (SELECT max(x) FROM knots k WHERE k.x <= m.margin)
+LEFT JOIN knots hi ON hi.x = (SELECT min(x) FROM knots k WHERE k.x > m.margin)""", _GIVEN))
+def scored_book(t):
+    """A scorer applied to every mature loan (given
+    coefficients, fitted bins and isotonic knots)."""
+    s = given_scorer(t).score(split.mature(t.model_features))
+    return s.select("loan_id", dround("margin", 9).alias("margin"), "points", dround("p", 7).alias("p"))
+
+
+@register("scaling_stats", sql_over(["filled"], """
+SELECT feature, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std FROM filled GROUP BY feature""",
+    {**_EXTRA, "train": ("SELECT * FROM split_features WHERE split = 'train'", ["split_features"]),
+     "filled": ("\n  UNION ALL ".join(f"SELECT '{f}' AS feature, coalesce(CAST({f} AS DOUBLE), 0.0) AS value FROM train"
+                                      for f in models.CHALLENGER_FEATURES), ["train"])}))
+def scaling_stats(t):
+    """Mean and deviation of the filled training features."""
+    s = models.scaling_stats(split_rows(t, "train"), models.CHALLENGER_FEATURES)
+    return s.select("feature", dround("mean", 6).alias("mean"), dround("std", 6).alias("std"))
+
+
+@register("oversampled_rows", sql_over(["split_features"], """
+SELECT default_flag, count(*) AS loans, CAST(sum(copies) AS BIGINT) AS rows
+FROM (SELECT default_flag, CASE WHEN default_flag = 1 THEN
+        floor(ratio) + CASE WHEN CAST('0x' || substr(md5(loan_id || 'os'), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE
+                                 < ratio - floor(ratio) THEN 1 ELSE 0 END ELSE 1 END AS copies
+      FROM (SELECT *, count(*) FILTER (WHERE default_flag = 0) OVER ()
+                      / CAST(count(*) FILTER (WHERE default_flag = 1) OVER () AS DOUBLE) AS ratio
+            FROM split_features WHERE split = 'train') a) b
+GROUP BY default_flag""", _EXTRA))
+def oversampled_rows(t):
+    """Training rows before and after the positives are replicated."""
+    train = split_rows(t, "train")
+    ratio = split.class_weights(train).select(F.col("scale_pos_weight").alias("ratio")).first()["ratio"]
+    return (train.withColumn("_copies", models.oversample_copies(ratio)).groupBy("default_flag")
+            .agg(F.count(F.lit(1)).alias("loans"), F.sum("_copies").cast("long").alias("rows")))
 
 
 # ------------------------------------------------------------ trained models
@@ -306,7 +464,7 @@ def fitted_woe(t) -> dict:
     key = (session_key(t.spark), t.sf_dir)
     with MATERIALIZE_LOCK:
         if key not in _WOE:
-            _WOE[key] = woe.fit(training_split(t.model_features), SCORECARD_FEATURES)
+            _WOE[key] = woe.fit(split_rows(t, "train"), SCORECARD_FEATURES)
     return _WOE[key]
 
 
@@ -321,9 +479,19 @@ def trained(t, name: str) -> models.Trained:
 
 
 def run_log(t, names=("scorecard", "boosted_trees", "neural_net")) -> DataFrame:
+    """The three runs' log, written to the session's table folder and read back."""
     for n in names:
         trained(t, n)
-    return _LOGS[(session_key(t.spark), t.sf_dir)].frame(t.spark)
+    return stored_log(t, _LOGS[(session_key(t.spark), t.sf_dir)], "run_log")
+
+
+def stored_log(t, log: models.RunLog, name: str) -> DataFrame:
+    path = os.path.join(io.table_root(t.spark, t.tag), name)
+    with MATERIALIZE_LOCK:
+        if not hasattr(log, "stored"):
+            log.append_to(t.spark, path)
+            log.stored = path
+    return models.read_log(t.spark, log.stored)
 
 
 def _metrics_row(t, name: str) -> DataFrame:
@@ -437,7 +605,8 @@ def iv_importance_agreement(t, k: int = 5):
 # so comparison (R15) and promotion (M19) have an exact SQL twin.
 
 # --- fixed values -----------------------------------------------------------
-SCORERS = [  # (run, Spark score, SQL score, champion)
+SCORERS = [  # (run, Spark score, SQL score, champion); a run name used again replaces the earlier run
+    ("grade_rule", "dti", None, False),
     ("rate_rule", None, "round(((CAST(loan_id AS BIGINT) * 7919) % 2000) / 2000.0::DOUBLE, 3)", True),
     ("grade_rule", "grade", "COALESCE(grade_numeric, 0.0) / 8.0", False),
     ("dti_rule", "dti", "dti / 45.0", False),
@@ -461,15 +630,16 @@ def scorer_run_log(t) -> DataFrame:
     evaluated once per session and data folder."""
     key = (session_key(t.spark), t.sf_dir)
     if key in _SCORER_LOGS:
-        return _SCORER_LOGS[key].frame(t.spark)
-    test = split.with_split(split.mature(t.model_features)).where(F.col("split") == "test")
+        return stored_log(t, _SCORER_LOGS[key], "scorer_log")
+    test = split_rows(t, "test")
     log = _SCORER_LOGS[key] = models.RunLog()
-    for run, kind, _sql_expr, champ in SCORERS:
+    for k, (run, kind, _sql_expr, champ) in enumerate(SCORERS):
         scored = test.select(F.col("default_flag").alias("y"), _scorer_col(kind).alias("p"))
+        log.start(run, at=float(k))
         log.log(run, "tag", "champion", "true" if champ else "false")
         row = metrics.evaluate(scored).first().asDict()
         log.metrics(run, {k: row[k] for k in ("gini", "ks", "auc", "calibration_error")})
-    return log.frame(t.spark)
+    return stored_log(t, log, "scorer_log")
 
 
 def _scorer_eval_sql(run: str, expr: str, champ: bool) -> str:
@@ -500,11 +670,10 @@ FROM (SELECT CAST(sum(CAST(pos AS HUGEINT) * (2 * neg_lt + neg)) AS DOUBLE)
             GROUP BY bin) cc) c"""
 
 
-_SCORER_BASE = (f"""SELECT * FROM model_features
-WHERE issue_year <= 2016 AND ({_SPLIT_SQL}) = 'test'""", ["model_features"])
-_SCORER_RUNS = (" UNION ALL ".join(_scorer_eval_sql(r, e, c) for r, _k, e, c in SCORERS),
+_SCORER_BASE = ("SELECT * FROM split_features WHERE split = 'test'", ["split_features"])
+_SCORER_RUNS = (" UNION ALL ".join(_scorer_eval_sql(r, e, c) for r, _k, e, c in SCORERS if e),
                 ["scorer_base"])
-_SCORER_CTES = {"scorer_base": _SCORER_BASE, "scorer_runs": _SCORER_RUNS}
+_SCORER_CTES = {"split_features": _SPLIT, "scorer_base": _SCORER_BASE, "scorer_runs": _SCORER_RUNS}
 
 
 @register("scorer_comparison", sql_over(["scorer_runs"], """

@@ -1,10 +1,10 @@
 """The base tables and views, derived from a test-data folder in Spark.
 
 ``LoanTables`` is lazily built; each attribute is a DataFrame. Nothing is
-collected. As in the reference flow (ingest once, query many times), the
-three base tables are written once per session and source folder - to the
-shared checkpoint folder, bucketed and sorted by ``loan_id`` - and every view
-and report reads them back. Joins and groupings on ``loan_id`` then run
+collected. As in the reference flow (ingest once, query many times), the typed
+records are written once per session and source folder - to the shared
+checkpoint folder, bucketed and sorted by ``loan_id`` - and every view and report
+reads them back, as the three base tables or as one row per loan. Joins and groupings on ``loan_id`` then run
 without an exchange. ``materialize=False`` keeps the whole chain lazy.
 """
 
@@ -42,14 +42,31 @@ class LoanTables:
 
     @cached_property
     def base(self) -> dict[str, DataFrame]:
+        return io.records_tables(self.records)
+
+    @property
+    def tag(self) -> str:
+        return io.tag_for(self.spark, self.sf_dir)
+
+    @cached_property
+    def records(self) -> DataFrame:
+        """Typed records, one row per loan."""
         if not self.materialize:
-            return {"loans": clean.build_loans(self.labelled),
-                    "borrowers": clean.build_borrowers(self.labelled),
-                    "outcomes": clean.build_outcomes(self.labelled)}
-        tag = io.tag_for(self.sf_dir)
+            return clean.typed_records(self.labelled)
         with MATERIALIZE_LOCK:
-            return io.write_tables(self.labelled, io.table_root(self.spark, tag), tag,
-                                   default_buckets(self.spark))
+            return io.write_records(self.labelled, io.table_root(self.spark, self.tag), self.tag,
+                                    default_buckets(self.spark))
+
+    def _stored(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` written once per session, bucketed by ``loan_id`` (its rows come
+        from the bucketed records, so the write adds no exchange)."""
+        if not self.materialize:
+            return df
+        table = io.table_name(self.tag, name)
+        with MATERIALIZE_LOCK:
+            io.write_table(df, os.path.join(io.table_root(self.spark, self.tag), name), table,
+                           default_buckets(self.spark), prepartitioned=True)
+        return self.spark.table(table)
 
     @cached_property
     def raw(self) -> DataFrame:
@@ -73,33 +90,26 @@ class LoanTables:
 
     @cached_property
     def panel(self) -> DataFrame:
-        return panel.monthly_panel(self.loans, self.outcomes)
+        """The stored ``monthly_payments`` table, every loan month."""
+        return self._stored(panel.monthly_panel_of(self.records), "monthly_payments")
 
     @cached_property
     def origination(self) -> DataFrame:
-        return features.origination_features(self.loans, self.borrowers, self.outcomes)
+        return features.origination_of(self.records)
 
     @cached_property
     def payment(self) -> DataFrame:
-        return features.payment_features_from_tables(self.loans, self.outcomes)
+        return features.payment_columns_of(self.records).select("loan_id", *features.PAYMENT_FEATURES)
 
     @cached_property
     def vintage(self) -> DataFrame:
-        return features.vintage_features(self.loans, self.outcomes)
+        return features.vintage_of(self.records)
 
     @cached_property
     def model_features(self) -> DataFrame:
         """Built once and written (bucketed by loan_id): reports, splits and
         every model read it back instead of re-running the view stack."""
-        mf = features.model_features(self.loans, self.borrowers, self.outcomes)
-        if not self.materialize:
-            return mf
-        tag = io.tag_for(self.sf_dir)
-        name = io.table_name(tag, "model_features")
-        with MATERIALIZE_LOCK:
-            io.write_table(mf, os.path.join(io.table_root(self.spark, tag), "model_features"),
-                           name, default_buckets(self.spark), prepartitioned=True)
-        return self.spark.table(name)
+        return self._stored(features.model_features_of(self.records), "model_features")
 
 
 _SESSION_TABLES: dict[tuple[str, str], LoanTables] = {}
@@ -115,5 +125,5 @@ def tables(spark: SparkSession, sf_dir: str, materialize: bool = True) -> LoanTa
         if t is None:
             t = _SESSION_TABLES[key] = LoanTables(spark, sf_dir)
         # touch the written tables under the lock, so two threads never write them twice
-        _ = t.base
+        _ = t.records
     return t

@@ -35,7 +35,12 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Pin the settings the results depend on; keep everything else as given."""
+    """Pin the settings the results depend on; keep everything else as given.
+
+    This sets the session's time zone to UTC for good: month parsing and quarter
+    truncation must agree with tables written earlier. Callers that show local
+    times should do so in a session of their own.
+    """
     # Month parsing and quarter truncation must not depend on the host zone.
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     checkpoint_dir(spark)
@@ -54,8 +59,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
     On a cluster this is whatever ``spark.checkpoint.dir`` names (a shared
-    file system). Only when it is unset (local tests) do we create one. The
-    RDD checkpoint directory is set once, if the session has none.
+    file system). Only a local master gets a folder of its own when it is unset;
+    elsewhere a machine-local folder would be invisible to the executors, so that
+    raises. The RDD checkpoint directory is set once, if the session has none.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     try:
@@ -65,6 +71,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not d and sc is not None:
         d = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
+        master = sc.master if sc is not None else spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
         d = tempfile.mkdtemp(prefix="loanrisk-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if sc is not None and not sc.getCheckpointDir():

@@ -39,16 +39,20 @@ HOME_BY_SEGMENT = {
 GRADE_LETTERS = "ABCDEFGX"
 # Order status -> loan status when not late and not charged off.
 STATUS_BY_ORDER = {"O": "Current", "P": "In Grace Period", "F": "Fully Paid"}
+# Loans with k % 53 = 0 (k % 59 = 0) are issued in 2007 (2018), bands of the period report.
+YEAR_BY_MODULUS = [(53, "2007"), (59, "2018")]
+VERIFICATION = ["Verified", "Source Verified", "Not Verified"]
 LATE_STATUS = "Late (31-120 days)"
 # ---------------------------------------------------------------------------
 
 RAW_COLUMNS = [
     "id", "issue_d", "loan_amnt", "funded_amnt", "term", "int_rate",
-    "installment", "grade", "purpose", "title",
-    "emp_length", "home_ownership", "annual_inc", "dti", "delinq_2yrs",
+    "installment", "grade", "sub_grade", "purpose", "title", "initial_list_status", "application_type",
+    "emp_title", "emp_length", "home_ownership", "annual_inc", "verification_status", "dti", "delinq_2yrs", "earliest_cr_line",
     "open_acc", "pub_rec", "revol_bal", "revol_util", "total_acc",
     "mort_acc", "pub_rec_bankruptcies",
-    "loan_status", "total_pymnt", "last_pymnt_d", "last_pymnt_amnt",
+    "loan_status", "out_prncp", "out_prncp_inv", "total_pymnt", "total_rec_prncp", "total_rec_int",
+    "total_rec_late_fee", "recoveries", "collection_recovery_fee", "last_pymnt_d", "last_pymnt_amnt",
 ]
 
 
@@ -90,7 +94,7 @@ def payment_totals(lineitem: DataFrame) -> DataFrame:
 def raw_loans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The raw wide loan record (all text) for every order in ``sf_dir``."""
     o = read_table(spark, sf_dir, "orders")
-    c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_mktsegment")
+    c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
     pay = payment_totals(read_table(spark, sf_dir, "lineitem"))
 
     j = (o.join(pay, o.o_orderkey == pay.l_orderkey, "left")
@@ -105,27 +109,38 @@ def raw_loans(spark: SparkSession, sf_dir: str) -> DataFrame:
     status_map = F.create_map(*[x for kv in STATUS_BY_ORDER.items() for x in map(F.lit, kv)])
     home_map = F.create_map(*[x for kv in HOME_BY_SEGMENT.items() for x in map(F.lit, kv)])
     util_tenths = (k * 31) % 1000
+    issue = _month_text(F.col("o_orderdate"))
+    issue_d = issue
+    for modulus, year in reversed(YEAR_BY_MODULUS):
+        issue_d = F.when(k % modulus == 0, F.concat(F.substring(issue, 1, 4), F.lit(year))).otherwise(issue_d)
+    grade = F.substring(F.lit(GRADE_LETTERS), (k % 8 + 1).cast("int"), 1)
 
     def txt(c):
         return c.cast("string")
 
     cols = {
         "id": txt(k),
-        "issue_d": _month_text(F.col("o_orderdate")),
+        "issue_d": issue_d,
         "loan_amnt": txt(F.col("o_totalprice")),
         "funded_amnt": txt(F.col("o_totalprice")),
         "term": F.when(k % 3 == 0, F.lit(" 60 months")).otherwise(F.lit(" 36 months")),
         "int_rate": F.concat(_decimal_text(rate_hundredths, 2), F.lit("%")),
         "installment": txt(dround(F.col("o_totalprice") / term, 2)),
-        "grade": F.substring(F.lit(GRADE_LETTERS), (k % 8 + 1).cast("int"), 1),
+        "grade": grade,
+        "sub_grade": F.concat(grade, txt(k % 5 + 1)),
         "purpose": F.col("o_orderpriority"),
         "title": F.col("o_orderpriority"),
+        "initial_list_status": F.when(k % 2 == 0, "w").otherwise("f"),
+        "application_type": F.when(k % 10 == 0, "Joint App").otherwise("Individual"),
+        "emp_title": F.col("c_name"),
         "emp_length": _pick((k % 5).cast("int"), EMP_LENGTH_TEXT),
         "home_ownership": home_map[F.col("c_mktsegment")],
-        "annual_inc": txt(F.col("c_acctbal") * F.lit(10.0)),
+        "annual_inc": txt(F.col("c_acctbal") * F.lit(15.0)),
+        "verification_status": _pick((k % 3).cast("int"), VERIFICATION),
         "dti": F.when(k % 97 == 0, F.lit(None).cast("string"))
                 .otherwise(txt((k % 450) / F.lit(10.0))),
         "delinq_2yrs": txt(k % 4),
+        "earliest_cr_line": F.date_format(F.to_date("o_orderdate"), "MMM-yyyy"),
         "open_acc": txt(k % 20),
         "pub_rec": txt(F.greatest(k % 7 - 4, F.lit(0))),
         "revol_bal": txt(F.col("pay_max_price")),
@@ -135,9 +150,17 @@ def raw_loans(spark: SparkSession, sf_dir: str) -> DataFrame:
         "mort_acc": txt(k % 6),
         "pub_rec_bankruptcies": txt(k % 2),
         "loan_status": F.when(late, F.lit(LATE_STATUS))
+                        .when(charged_off & (k % 17 == 0), F.lit("Default"))
                         .when(charged_off, F.lit("Charged Off"))
                         .otherwise(status_map[F.col("o_orderstatus")]),
+        "out_prncp": txt((k % 1000) / F.lit(4.0)),
+        "out_prncp_inv": txt((k % 1000) / F.lit(4.0)),
         "total_pymnt": txt(F.col("pay_units") / F.lit(10000.0)),
+        "total_rec_prncp": txt((k % 5000) / F.lit(2.0)),
+        "total_rec_int": txt((k % 300) / F.lit(4.0)),
+        "total_rec_late_fee": txt(k % 3),
+        "recoveries": txt((k % 11) / F.lit(4.0)),
+        "collection_recovery_fee": txt((k % 11) / F.lit(8.0)),
         "last_pymnt_d": _month_text(F.col("pay_last_ship")),
         "last_pymnt_amnt": txt(F.col("pay_max_price")),
     }

@@ -17,6 +17,7 @@ import csv
 import hashlib
 import logging
 import os
+import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -24,11 +25,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from loanrisk.operators import clean
-from loanrisk.session import checkpoint_dir
+from loanrisk.session import checkpoint_dir, session_key
 
 log = logging.getLogger(__name__)
 
 TABLES = ["loans", "borrowers", "outcomes"]
+PREFIX_DIGITS = 4    # hex digits of the hash prefix in sample_exact
 
 
 def _header(spark: SparkSession, path: str) -> list[str]:
@@ -39,14 +41,16 @@ def _header(spark: SparkSession, path: str) -> list[str]:
     return [c.strip() for c in next(csv.reader([first[0][0]]))]
 
 
-def read_raw_csv(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+def read_raw_csv(spark: SparkSession, path: str, columns: list[str] | None = None,
+                 multi_line: bool = False) -> DataFrame:
     """Raw loan CSV with header, all columns as text (no inference pass).
 
-    Quoted free text may contain commas and newlines (``multiLine``).
+    Files are split into many tasks. ``multi_line`` allows line breaks inside
+    quoted text, at the price of one task per file.
     """
     names = columns or _header(spark, path)
     schema = StructType([StructField(n, StringType(), True) for n in names])
-    return (spark.read.option("header", True).option("multiLine", True)
+    return (spark.read.option("header", True).option("multiLine", multi_line)
             .option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE")
             .schema(schema).csv(path))
 
@@ -54,13 +58,27 @@ def read_raw_csv(spark: SparkSession, path: str, columns: list[str] | None = Non
 def sample_exact(df: DataFrame, n: int | None, seed: int = 42, key: str = "id") -> DataFrame:
     """S3: exactly ``n`` rows (or all if fewer), chosen by a seeded hash of the key.
 
-    ``None`` or 0 means the full table. Each task keeps its own n smallest
-    hashes; the final merge sees at most n rows per task (TakeOrderedAndProject).
+    ``None`` or 0 means the full table. Rows are counted per hash prefix (at most
+    65,536 numbers reach the driver); prefixes below the one where the n-th row
+    falls are taken whole, and only that one prefix is ranked.
     """
     if not n:
         return df
     h = F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(str(seed))))
-    return df.withColumn("_h", h).orderBy("_h", key).limit(int(n)).drop("_h")
+    hashed = df.withColumn("_h", h)
+    prefix = F.substring("_h", 1, PREFIX_DIGITS)
+    counts = hashed.groupBy(prefix.alias("prefix")).count().collect()
+    edge, before = None, 0
+    for p, c in sorted((r["prefix"], r["count"]) for r in counts):
+        if before + c > n:
+            edge = p
+            break
+        before += c
+    if edge is None:  # n rows or fewer
+        return df
+    whole = hashed.where(prefix < edge)
+    rest = hashed.where(prefix == edge).orderBy("_h", key).limit(int(n) - before)
+    return whole.unionByName(rest).drop("_h")
 
 
 def table_root(spark: SparkSession, tag: str) -> str:
@@ -72,8 +90,19 @@ def table_name(tag: str, name: str) -> str:
     return f"lr_{tag}_{name}"
 
 
-def tag_for(source: str) -> str:
-    return hashlib.md5(source.encode()).hexdigest()[:10]
+def tag_for(spark: SparkSession, source: str) -> str:
+    """Names the tables of one source in one application, so that sessions on the
+    same source never write into each other's files."""
+    return hashlib.md5(f"{session_key(spark)}:{source}".encode()).hexdigest()[:12]
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared folder under a fresh name, and read back:
+    an intermediate result that several jobs use and a lost executor cannot take."""
+    spark = df.sparkSession
+    path = os.path.join(checkpoint_dir(spark), "staged", session_key(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def write_table(df: DataFrame, path: str, name: str | None = None,
@@ -100,24 +129,27 @@ def write_table(df: DataFrame, path: str, name: str | None = None,
         df.write.mode("overwrite").parquet(path)
 
 
-def write_tables(labelled: DataFrame, root: str, tag: str, buckets: int) -> dict[str, DataFrame]:
-    """Write the cleaned, labelled records once; return loans / borrowers /
-    outcomes as column projections of that one table.
-
-    One scan of the raw data and one shuffle (into ``loan_id`` buckets) in
-    total. Each projection reads only its own Parquet columns, and all three
-    keep the bucketing (the id -> loan_id rename is an alias), so joins
-    between them and groupings by ``loan_id`` need no exchange.
-    """
+def write_records(labelled: DataFrame, root: str, tag: str, buckets: int) -> DataFrame:
+    """Parse the cleaned, labelled records once and write them typed, one row per
+    loan, bucketed by ``loan_id``: one scan of the raw data, one shuffle."""
     spark = labelled.sparkSession
     name = table_name(tag, "loan_records")
-    write_table(labelled, os.path.join(root, "loan_records"), name, buckets, key="id")
-    return records_tables(spark.table(name))
+    write_table(clean.typed_records(labelled), os.path.join(root, "loan_records"), name, buckets)
+    return spark.table(name)
+
+
+def write_tables(labelled: DataFrame, root: str, tag: str, buckets: int) -> dict[str, DataFrame]:
+    """``write_records``; returns loans / borrowers / outcomes as plain column
+    selections of that one table. Each reads only its own Parquet columns and keeps
+    the bucketing, so joins between them and groupings by ``loan_id`` need no exchange.
+    """
+    return records_tables(write_records(labelled, root, tag, buckets))
 
 
 def records_tables(records: DataFrame) -> dict[str, DataFrame]:
-    return {"loans": clean.build_loans(records), "borrowers": clean.build_borrowers(records),
-            "outcomes": clean.build_outcomes(records)}
+    """The three tables out of typed records."""
+    return {"loans": clean.loans_of(records), "borrowers": clean.borrowers_of(records),
+            "outcomes": clean.outcomes_of(records)}
 
 
 def write_separate_tables(labelled: DataFrame, root: str, tag: str,
@@ -130,7 +162,7 @@ def write_separate_tables(labelled: DataFrame, root: str, tag: str,
     spark = labelled.sparkSession
     labelled = labelled.persist()
     try:
-        for n, df in records_tables(labelled).items():
+        for n, df in records_tables(clean.typed_records(labelled)).items():
             write_table(df, os.path.join(root, n), table_name(tag, n), buckets)
     finally:
         labelled.unpersist()

@@ -136,3 +136,21 @@ def test_grouped_ladder_without_broadcast_gives_same_result(spark, monkeypatch):
     monkeypatch.setattr(metrics, "MAX_BROADCAST_CELLS", 0)
     big = sorted(tuple(r) for r in metrics.income_band_gini(df).collect())
     assert small == big and len(small) == 4
+
+
+def test_empty_holdout_gives_nulls(spark):
+    df = spark.createDataFrame([], "y int, p double, annual_inc double")
+    r = metrics.evaluate(df).first()
+    assert r.gini is None and r.auc is None and r.calibration_error is None
+    assert metrics.inner_calibration_edges(metrics.score_ladder(df)) == []
+    assert metrics.income_band_gini(df).count() == 0
+
+
+def test_segment_gini_reads_its_input_once(spark):
+    """Every stage after the distinct scores reads the stored table."""
+    read = spark.sparkContext.accumulator(0)
+    rows = [(i % 3 == 0 and 1 or 0, (i % 23) / 23, 30000.0 + (i % 4) * 30000) for i in range(500)]
+    base = spark.createDataFrame(rows, "y int, p double, annual_inc double").rdd.map(lambda r: (read.add(1), tuple(r))[1])
+    df = spark.createDataFrame(base, "y int, p double, annual_inc double")
+    assert metrics.income_band_gini(df).count() == 4
+    assert read.value == 500

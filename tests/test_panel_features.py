@@ -127,12 +127,55 @@ def test_vintage_uses_bounded_broadcast(spark):
     assert "BroadcastHashJoin" in plan or "BroadcastExchange" in plan
 
 
-def test_vintage_window_form_equals_broadcast_form(spark):
+def test_one_row_forms_equal_join_forms(spark):
+    """Typed records (one row per loan) give what the joins of the three tables give."""
     from loanrisk.plans.tables import tables
     t = tables(spark, "/root/testdata/sf0.001")
-    a = features.vintage_features(t.loans, t.outcomes)
-    b = features.vintage_features_window(t.loans, t.outcomes).select(*a.columns)
-    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    pairs = [
+        (features.model_features_of(t.records), features.model_features(t.loans, t.borrowers, t.outcomes)),
+        (features.model_features_of(t.records), features.model_features(t.loans, t.borrowers, t.outcomes, t.panel)),
+        (features.origination_of(t.records), features.origination_features(t.loans, t.borrowers, t.outcomes)),
+        (features.vintage_of(t.records), features.vintage_features(t.loans, t.outcomes)),
+        (panel.monthly_panel_of(t.records), panel.monthly_panel(t.loans, t.outcomes)),
+    ]
+    for a, b in pairs:
+        assert a.columns == b.columns
+        assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_one_row_payment_edges(spark):
+    rows = [("one_month", "Jan-2015", 1.0, 100.0, 100.0, "Jan-2015"), ("three", "Jan-2015", 3.0, 100.0, 300.0, "Mar-2015"),
+            ("six", "Jan-2015", 36.0, 100.0, 250.0, "Feb-2015"), ("zero_term", "Jan-2015", 0.0, 100.0, 1.0, None),
+            ("unpaid", "Jan-2015", 36.0, 100.0, None, None), ("junk_date", "Jan-2015", 36.0, 100.0, 5.0, "13-2015")]
+    df = spark.createDataFrame(rows, "loan_id string, issue_date string, term_months double, installment double, "
+                                     "total_pymnt double, last_pymnt_d string")
+    f = {r["loan_id"]: r for r in features.payment_columns_of(df).collect()}
+    assert set(f) == {"one_month", "three", "six", "unpaid", "junk_date"}
+    assert f["one_month"].payment_volatility_m6 is None and f["one_month"].avg_monthly_change == 0.0
+    assert f["three"].payment_trend_m6 is None and f["three"].last_month_ratio is None
+    assert (f["six"].first_month_ratio, f["six"].min_payment_ratio_m6, f["six"].avg_monthly_change) == (1.25, 0.0, 0.25)
+    assert f["unpaid"].active_months_m6 == 0 and f["junk_date"].active_months_m6 == 0
+
+
+def test_model_features_scans_twice_and_pushes_filters(spark):
+    """One scan for the columns, one for the quarter statistic; the numeric filters
+    reach the first; no join of loan tables, no exchange of loan rows."""
+    from loanrisk.plans.tables import tables
+    t = tables(spark, "/root/testdata/sf0.001")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.maxMetadataStringLength", "5000")
+    try:
+        plan = _plan(features.model_features_of(t.records))
+        stored = _plan(features.payment_features(t.panel))
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert plan.count("FileScan parquet") == 2 and "SortMergeJoin" not in plan
+    assert plan.count("Exchange hashpartitioning") == 1      # quarters, partially aggregated
+    for pushed in ("GreaterThan(loan_amnt,0.0)", "GreaterThan(annual_inc,0.0)", "GreaterThan(installment,0.0)", "IsNotNull(dti)"):
+        assert pushed in plan, pushed
+    assert stored.count("FileScan parquet") == 1 and "LessThanOrEqual(month_number,6)" in stored
+    assert "Exchange" not in stored and "Generate" not in stored
 
 
 def test_model_features_plan_at_scale(spark):

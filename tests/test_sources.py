@@ -3,6 +3,8 @@
 import os
 import tempfile
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from loanrisk.operators import clean
@@ -20,7 +22,7 @@ def test_csv_roundtrip_and_cleaning(spark):
         fh.write('2,Feb-2015,2000,60 months,7.00%,X,n/a,bad,Charged Off,"multi\nline"\n')
         fh.write(',Mar-2015,3000,36 months,9.00%,A,1 year,10%,Current,x\n')
         fh.write('4,Mar-2015,3000,36 months,9.00%,A,1 year,10%,Late (31-120 days),x\n')
-    raw = io.read_raw_csv(spark, path)
+    raw = io.read_raw_csv(spark, path, multi_line=True)
     assert raw.count() == 4 and all(t == "string" for _, t in raw.dtypes)
     lab = clean.labelled(raw)
     assert sorted(r.id for r in lab.collect()) == ["1", "2"]
@@ -100,3 +102,47 @@ def test_csv_path_gives_the_same_model_table(spark):
     direct = tables(spark, SMALL).model_features.select(*via_csv.columns)
     assert via_csv.count() == direct.count()
     assert via_csv.exceptAll(direct).count() == 0
+
+
+def test_csv_scan_is_split(spark):
+    """A CSV file is read by several tasks; line breaks in quotes need multi_line."""
+    import glob
+    d = tempfile.mkdtemp(prefix="loanrisk-csvsplit-")
+    raw_loans(spark, SMALL).coalesce(1).write.option("header", True).csv(os.path.join(d, "raw"))
+    path = glob.glob(os.path.join(d, "raw", "*.csv"))[0]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+    try:
+        split, whole = io.read_raw_csv(spark, path), io.read_raw_csv(spark, path, multi_line=True)
+        assert split.rdd.getNumPartitions() > 1 and whole.rdd.getNumPartitions() == 1
+        assert split.exceptAll(whole).count() == 0 and split.count() == whole.count()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_sample_is_exact_and_by_hash(spark):
+    import hashlib
+    df = spark.range(3000).selectExpr("cast(id as string) AS id").unionByName(
+        spark.createDataFrame([(None,), ("7",)], "id string"))
+    ids = sorted((hashlib.md5(((r.id or "") + "42").encode()).hexdigest(), r.id) for r in df.collect() if r.id is not None)
+    for n in (1, 17, 1000, 2999):
+        got = [r.id for r in io.sample_exact(df, n).collect()]
+        assert len(got) == n and set(got) - {None} <= {i for _, i in ids[:n]}
+    assert io.sample_exact(df, 5000).count() == io.sample_exact(df, None).count() == 3002
+
+
+def test_tables_of_two_sessions_do_not_meet(spark, monkeypatch):
+    a = io.tag_for(spark, SMALL)
+    monkeypatch.setattr(io, "session_key", lambda _: "another application")
+    b = io.tag_for(spark, SMALL)
+    assert a != b and io.table_root(spark, a) != io.table_root(spark, b)
+
+
+def test_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from loanrisk.session import checkpoint_dir
+    conf = SimpleNamespace(get=lambda k, default=None: default)
+    for master, ok in (("spark://host:7077", False), ("local-cluster[2,1,1024]", False), ("yarn", False)):
+        sc = SimpleNamespace(master=master, getConf=lambda: conf, getCheckpointDir=lambda: None)
+        with pytest.raises(ValueError):
+            checkpoint_dir(SimpleNamespace(conf=conf, sparkContext=sc))

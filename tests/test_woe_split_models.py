@@ -12,14 +12,24 @@ from tests.conftest import SMALL
 def test_woe_hand_value():
     fb = woe.fit_feature("x", [(0, 90, 10), (1, 50, 50)], [0.5], min_bin_size=0.01)
     G, B = 140, 60
-    w1 = math.log((90.5 / G) / (10.5 / B))
-    w2 = math.log((50.5 / G) / (50.5 / B))
+    w1 = math.log((90 / G) / (10 / B))
+    w2 = math.log((50 / G) / (50 / B))
     assert len(fb.bins) == 2
     assert fb.woe == pytest.approx([w1, w2])
     assert fb.iv == pytest.approx((90 / G - 10 / B) * w1 + (50 / G - 50 / B) * w2)
     assert fb.woe[0] > fb.woe[1]          # higher WoE = safer
 
 
+def test_only_empty_cells_are_smoothed():
+    fb = woe.fit_feature("x", [(0, 40, 0), (1, 60, 20)], [0.5], min_bin_size=0.01)
+    assert fb.woe == pytest.approx([math.log((40 / 100) / (0.5 / 20)), math.log((60 / 100) / (20 / 20))])
+
+
+def test_bins_survive_their_spec():
+    fitted = {"x": woe.fit_feature("x", [(-1, 3, 4), (0, 90, 10), (1, 50, 50)], [0.5], min_bin_size=0.01)}
+    assert woe.from_spec(woe.to_spec(fitted)) == fitted
+
+
 def test_woe_merges_to_monotone_and_min_size():
     counts = [(0, 100, 5), (1, 10, 30), (2, 100, 8), (3, 2, 1), (4, 100, 40), (5, 100, 60)]
     fb = woe.fit_feature("x", counts, [1, 2, 3, 4, 5])
@@ -31,10 +41,10 @@ def test_woe_merges_to_monotone_and_min_size():
 
 
 def test_woe_fit_transform_on_tables(spark):
-    from loanrisk.plans.modelling import SCORECARD_FEATURES, training_split
+    from loanrisk.plans.modelling import SCORECARD_FEATURES, split_rows
     from loanrisk.plans.tables import tables
     t = tables(spark, SMALL)
-    train = training_split(t.model_features)
+    train = split_rows(t, "train")
     fitted = woe.fit(train, SCORECARD_FEATURES[:6])
     for fb in fitted.values():
         rates = [b.bad / max(b.good + b.bad, 1) for b in fb.bins]
@@ -49,15 +59,27 @@ def test_woe_fit_transform_on_tables(spark):
     assert summary == sorted(summary, reverse=True)
 
 
-def test_split_is_disjoint_covering_and_stable(spark):
-    df = spark.range(20000).select(F.col("id").cast("string").alias("loan_id"))
-    s = split.with_split(df)
-    counts = {r.split: r["count"] for r in s.groupBy("split").count().collect()}
-    assert sum(counts.values()) == 20000
-    assert abs(counts["test"] / 20000 - 0.20) < 0.02
-    assert abs(counts["cal"] / 20000 - 0.12) < 0.02
-    again = {r.loan_id: r.split for r in split.with_split(df).collect()}
-    assert again == {r.loan_id: r.split for r in s.collect()}
+def test_split_has_exact_shares_per_class(spark):
+    """Every class is cut at its exact shares, in hash order, whatever the partitions."""
+    import hashlib
+    rows = [(str(i), 1 if i % 7 == 0 else 0) for i in range(5000)] + [("x", None)]
+    df = spark.createDataFrame(rows, "loan_id string, default_flag int")
+    got = {r.loan_id: r.split for r in split.with_split(df).collect()}
+    assert got.pop("x") is None
+    for c in (0, 1):
+        mine = sorted((hashlib.md5(f"{i}42".encode()).hexdigest(), i) for i, y in rows if y == c)
+        test, cal = split.sizes(len(mine))
+        want = ["test"] * test + ["cal"] * cal + ["train"] * (len(mine) - test - cal)
+        assert [got[i] for _, i in mine] == want
+        assert abs(test / len(mine) - 0.20) < 1e-3 and abs(cal / len(mine) - 0.12) < 1e-3
+    again = split.with_split(df.repartition(5)).where("loan_id <> 'x'").collect()
+    assert {r.loan_id: r.split for r in again} == got
+
+
+def test_split_of_few_loans(spark):
+    df = spark.createDataFrame([("a", 1), ("b", 0)], "loan_id string, default_flag int")
+    assert {r.split for r in split.with_split(df).collect()} == {"train"}
+    assert split.with_split(df.limit(0)).count() == 0
 
 
 def test_class_weights(spark):
@@ -94,24 +116,86 @@ def test_oversample_positives(spark):
     assert 200 <= pos <= 300 and o.where("default_flag = 0").count() == 400
 
 
-def test_scorecard_trains_scores_and_saves(spark):
+def test_latest_run_of_a_name_wins(spark, tmp_path):
+    log = models.RunLog()
+    for at, champ, chall in ((1.0, 0.5, 0.6), (2.0, 0.55, 0.4)):
+        log.start("champ", at)
+        log.tags("champ", {"champion": "true"})
+        log.metrics("champ", {"gini": champ})
+        log.start("chall", at)
+        log.tags("chall", {"champion": "false"})
+        log.metrics("chall", {"gini": chall})
+    log.append_to(spark, str(tmp_path / "log"))
+    stored = models.read_log(spark, str(tmp_path / "log"))
+    assert stored.count() == len(log.rows)
+    rows = models.promotion(stored).collect()
+    assert [(r.challenger, r.challenger_gini, r.champion_gini, r.promotion_eligible) for r in rows] == [("chall", 0.4, 0.55, False)]
+    assert len(models.comparison(stored).collect()) == 2
+
+
+def test_isotonic_on_groups_equals_the_fit_on_rows(spark):
+    from pyspark.ml.regression import IsotonicRegression
+    rows = [(float(i % 9) / 4, 1 if (i * 7919) % 100 < 8 * (i % 9) else 0) for i in range(900)]
+    df = spark.createDataFrame(rows, "s double, default_flag int")
+    knots = models.isotonic(df, "s")
+    plain = IsotonicRegression(featuresCol="s", labelCol="default_flag", isotonic=True).fit(df.withColumn("default_flag", F.col("default_flag").cast("double")))
+    x = spark.createDataFrame([(v / 10,) for v in range(-5, 30)] + [(None,)], "s double")
+    got = {r.s: r.p for r in x.select("s", knots.column(F.col("s")).alias("p")).collect()}
+    assert got.pop(None) is None
+    for r in plain.transform(x.where("s IS NOT NULL")).collect():
+        assert got[r.s] == pytest.approx(r.prediction, abs=1e-12)
+
+
+SMALL_MODELS = [
+    ("scorecard", {}),
+    ("boosted_trees", {"maxIter": 3, "maxDepth": 2}),
+    ("neural_net", {"epochs": 5, "hidden": [4]}),
+]
+
+
+@pytest.mark.parametrize("name, options", SMALL_MODELS)
+def test_train_score_save_load(spark, tmp_path, name, options):
+    """Hold-out metrics in range; a saved and loaded scorer gives the same scores on
+    any frame; the log holds every entry."""
     import os
-    import tempfile
 
     from loanrisk.plans.tables import tables
-    t = tables(spark, SMALL)
+    mf = tables(spark, SMALL).model_features
     log = models.RunLog()
-    art = tempfile.mkdtemp(prefix="loanrisk-artifacts-")
-    tr = models.train_scorecard(t.model_features, woe.SCORECARD_FEATURES[:6], log=log,
-                                artifacts=art)
-    assert any(f.endswith(".csv") for f in os.listdir(os.path.join(art, "iv_summary")))
-    assert {"model", "calibrator", "bins"} <= set(os.listdir(os.path.join(art, "model")))
-    m = tr.metrics
+    log.start("champ", 0.0)
+    log.tags("champ", {"champion": "true"})
+    log.metrics("champ", {"gini": 0.1})
+    art = str(tmp_path / "artifacts")
+    t = models.train(name, mf, log=log, artifacts=art, **options)
+    m = t.metrics
     assert -1 <= m["gini"] <= 1 and 0 <= m["ks"] <= 1 and 0 <= m["calibration_error"] <= 1
-    pts = tr.scored.select("points", "p").collect()
-    assert all(isinstance(r.points, int) for r in pts) and all(0 <= r.p <= 1 for r in pts)
-    keys = {(r.kind, r.key) for r in log.frame(spark).collect()}
-    assert ("tag", "champion") in keys and ("metric", "gini") in keys
-    d = tempfile.mkdtemp(prefix="loanrisk-model-")
-    models.save_model(tr, d)
-    assert {"model", "calibrator", "bins"} <= set(os.listdir(d))
+    assert all(0 <= r.p <= 1 for r in t.scored.collect())
+    book = mf.withColumn("extra", F.lit(1))                  # all years, with a column of its own
+    a = t.scorer.score(book)
+    b = models.Scorer.load(spark, f"{art}/model").score(book)
+    assert a.columns == [*book.columns, "p", *(["margin", "points"] if name == "scorecard" else [])] == b.columns
+    key = lambda df: sorted(tuple(r) for r in df.select("loan_id", *a.columns[len(book.columns):]).collect())
+    assert key(a) == key(b) and a.count() == mf.count()
+    entries = {(r.kind, r.key) for r in log.frame(spark).where(F.col("run") == t.name).collect()}
+    want = {("metric", "train_size"), ("metric", "test_size"), ("param", "train_vintages"), ("tag", "champion"), ("tag", "artifacts")}
+    if name != "scorecard":
+        want |= {("metric", "champion_gini"), ("metric", "promotion_threshold"), ("tag", "promotion_eligible"), ("tag", "challenger"),
+                 ("metric", "gini_overall")}
+    assert want <= entries
+    if name == "scorecard":
+        assert any(f.endswith(".csv") for f in os.listdir(os.path.join(art, "iv_summary")))
+    else:
+        again = models.train(name, mf, **options)
+        assert key(again.scorer.score(book)) == key(a)        # deterministic
+    if name == "neural_net":
+        h = t.extra["loss_history"]
+        assert len(h) > 1 and h[-1] < h[0]
+    if name == "boosted_trees":
+        imp = t.extra["importance"]
+        assert abs(sum(v for _, v in imp) - 1) < 1e-6 and [v for _, v in imp] == sorted((v for _, v in imp), reverse=True)
+
+
+def test_no_feature_with_information_raises(spark):
+    from loanrisk.plans.tables import tables
+    with pytest.raises(ValueError, match="information value"):
+        models.train_scorecard(tables(spark, SMALL).model_features, ["total_acc"], min_iv=5.0)
