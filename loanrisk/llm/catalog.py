@@ -7,7 +7,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loanrisk.llm import chat, exact_dedup, langid, mixing, packing, quality, sharding, simhash, suffix_dedup, token_files
+from loanrisk.functions.num import dround
 from loanrisk.llm.common import scratch, table
+from loanrisk.llm.oracle import ORACLE_SQL  # noqa: F401  (read by the entry)
 
 WORD_BPE, WORD_VOCABULARY = "word_bpe_49k.json", 49_408
 BYTE_BPE, BYTE_RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
@@ -30,7 +32,8 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base rules and distribution divergence of all documents."""
-    return quality.quality(table(spark, sf_dir, "documents"))
+    return quality.quality(table(spark, sf_dir, "documents")).withColumns(
+        {c: dround(c, 6) for c in ("class_distance", "word_distance")})
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,13 +85,14 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select(
         "conv_id", F.size("lines").cast("long").alias("n_turns"), F.sha2(F.array_join("lines", ""), 256).alias("turns_sha256"),
         F.length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"),
-        F.length("formatted").cast("long").alias("formatted_chars"), "valid", "error_turn")
+        F.length("formatted").cast("long").alias("formatted_chars"), "valid",
+        F.coalesce("error_turn", F.lit(-1)).cast("long").alias("error_turn"))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The copies of documents that mix the sources to their target weights."""
     return mixing.plan_copies(table(spark, sf_dir, "documents")).select(
-        "doc_id", "source", "tokens", F.round("exponent", 9).alias("exponent"), F.round("weight", 9).alias("weight"),
+        "doc_id", "source", "tokens", dround("exponent", 9).alias("exponent"), dround("weight", 9).alias("weight"),
         "epoch", "token_start", "block", "block_order")
 
 
@@ -120,5 +124,3 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_simhash": op10_simhash,
 }
-
-ORACLE_SQL: dict[str, str] = {}
