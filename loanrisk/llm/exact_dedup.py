@@ -39,6 +39,8 @@ ROCKSDB = {
     # one bound for all stores of an executor
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
+    # a store for each shuffle partition: megabytes allocated ahead in each add up
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
 #: Files of the key table in a micro-batch.
