@@ -120,8 +120,9 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     members = written(content.select("digest", "at", "body").join(several, "digest")
                       .select("digest", "body", (F.col("at") == F.col("first")).alias("is_first")), "dedup-members")
     held = members.filter("is_first").select("digest", F.col("body").alias("held"))
-    differ = written(members.filter("NOT is_first").join(held, "digest").filter("body <> held")
-                     .select("digest").distinct(), "dedup-collisions")
+    # nothing is grouped by digest here, so that Spark may split a large digest's join
+    differ = written(members.filter("NOT is_first").join(held, "digest").filter("body <> held").select("digest"),
+                     "dedup-collisions").distinct()
 
     out = keys.join(state, "digest").select(
         F.col("id").alias("doc_id"), F.bitwise_not("stays.turned_id").alias("keep_id"), F.col("n").alias("group_size"),

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loanrisk.llm.common import text_or_empty
+from loanrisk.llm.common import text_or_empty, written
 from loanrisk.llm.wordwise import piece_starts
 
 PIECE_BYTES, WORD_BYTES = 8, 24
@@ -181,7 +181,8 @@ def train(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     """Fit on about ``sample_docs`` rows of each language of ``df`` (those with text)."""
     rows = df.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     rows = rows.filter("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    # stored, so its size is known and Spark need not deal the texts by language
+    sizes = written(rows.groupBy("lang").agg(F.count("*").alias("n")), "languages")
     draw = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
     sample = rows.join(sizes, "lang").filter(draw < sample_docs / F.col("n"))
     words = sample.select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")).filter("word <> ''")

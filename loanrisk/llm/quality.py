@@ -81,7 +81,9 @@ def document_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     lines = F.filter(F.split("text", "\n"), lambda line: line.rlike(WORD))
     common = sorted({w for words in COMMON_WORDS.values() for w in words})
     plain = F.array_remove(F.split(F.lower("text"), r"[^\p{L}]+"), "")
-    d = d.withColumns({"hashes": hashes, "lines": lines, "plain": plain})
+    # most of a text is plain small letters and spaces; the classes are counted in what is left
+    rest = F.regexp_replace("text", r"[a-z\x20\x09-\x0D]+", "")
+    d = d.withColumns({"hashes": hashes, "lines": lines, "plain": plain, "rest": rest})
     d = d.withColumns({
         "repeats": F.coalesce(F.size(F.array_distinct("hashes")) < F.size("hashes"), F.lit(False)),
         "common": F.filter("plain", lambda w: w.isin(*common)),
@@ -104,9 +106,9 @@ def document_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     histogram = F.transform(seen, lambda w: F.struct(
         w.alias("w"), (F.size("common") - F.size(F.array_remove("common", w))).cast("long").alias("n")))
     text = F.col("text")
-    classes = {name: count_of(text, chars) for name, chars in CLASSES.items()}
+    classes = {name: count_of(F.col("rest"), chars) for name, chars in CLASSES.items()}
     out = d.select("doc_id", "lang", n.cast("long").alias("n_words"), F.length(without_spaces(text)).cast("long").alias("word_chars"),
-                   count_of(text, "#*$%&|<>").alias("n_symbols"), "n_dup_lines",
+                   count_of(F.col("rest"), "#*$%&|<>").alias("n_symbols"), "n_dup_lines",
                    F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"), "n_plain", histogram.alias("histogram"),
                    F.length(text).cast("long").alias("n_chars"), *[c.alias(name) for name, c in classes.items()])
     known = sum((F.col(c) for c in CLASSES), F.col("n_chars") - F.col("word_chars"))
