@@ -58,9 +58,18 @@ def stratified_cuts(df: DataFrame, label: str = "default_flag", key: str = "loan
                     break
                 before += by_prefix[p]
     cuts = {c: ["g", "g"] for c in counts}   # beyond every hash
-    for c, p, rank, which in wanted:
-        row = (h.where((F.col("c") == c) & (prefix == p)).orderBy("h").offset(rank).limit(1).first())
-        cuts[c][which] = row["h"]
+    if wanted:
+        mine = F.lit(False)
+        for c, p, _, _ in wanted:
+            mine = mine | ((F.col("c") == c) & (prefix == p))
+        place = F.row_number().over(Window.partitionBy("c", "p").orderBy("h")) - 1
+        ranked = h.where(mine).withColumn("p", prefix).withColumn("place", place)
+        asked = F.lit(False)
+        for c, p, rank, _ in wanted:
+            asked = asked | ((F.col("c") == c) & (F.col("p") == p) & (F.col("place") == rank))
+        found = {(r["c"], r["p"], r["place"]): r["h"] for r in ranked.where(asked).collect()}   # two rows a class
+        for c, p, rank, which in wanted:
+            cuts[c][which] = found[c, p, rank]
     return cuts
 
 
