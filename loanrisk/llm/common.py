@@ -34,7 +34,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     files of the job that wrote it are of no more use and go when it ends."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    before = spark.conf.get(SHUFFLE_CLEANUP)
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
     spark.conf.set(SHUFFLE_CLEANUP, "true")
     try:
         df.write.parquet(path)

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loanrisk.llm.common import text_or_empty, written
-from loanrisk.llm.wordwise import piece_starts
+from loanrisk.llm.wordwise import SPREAD_DOCS, distinct_pieces
 
 PIECE_BYTES, WORD_BYTES = 8, 24
 SAMPLE_DOCS = 300
@@ -50,7 +50,7 @@ ROUNDS = 3
 BYTE_COUNT = 0.5
 SHARPNESS = 4.0
 UNKNOWN = "und"
-CACHE_PIECES = 200_000
+CACHE_PIECES, SCORE_PIECES = 150_000, 50_000
 
 
 def load_pieces(path: str) -> np.ndarray:
@@ -197,26 +197,30 @@ class _Scorer:
         self.model, self.index = model, {}
         self.rows = np.zeros((0, len(model.languages) + 1))
 
-    def of(self, pieces: list[str], counts: np.ndarray) -> np.ndarray:
-        at = np.fromiter(map(self.index.get, pieces, repeat(-1)), np.int64, len(pieces))
-        new = np.flatnonzero(at < 0)
+    def _fresh(self, pieces: list[str]) -> np.ndarray:
         words, owner = [], []
-        for k, i in enumerate(new):
-            mine = split_words(pieces[i])
+        for k, piece in enumerate(pieces):
+            mine = split_words(piece)
             words += mine
             owner += [k] * len(mine)
-        fresh = np.zeros((len(new), len(self.model.languages) + 1))
+        out = np.zeros((len(pieces), self.rows.shape[1]))
         if words:
             owner = np.array(owner)
             scores = self.model.log_likelihood(words)
             for k in range(scores.shape[1]):
-                fresh[:, k] = np.bincount(owner, scores[:, k], len(new))
-            fresh[:, -1] = np.bincount(owner, minlength=len(new))
-        rows = np.concatenate([self.rows, fresh])
+                out[:, k] = np.bincount(owner, scores[:, k], len(pieces))
+            out[:, -1] = np.bincount(owner, minlength=len(pieces))
+        return out
+
+    def of(self, pieces: list[str], counts: np.ndarray) -> np.ndarray:
+        at = np.fromiter(map(self.index.get, pieces, repeat(-1)), np.int64, len(pieces))
+        new = np.flatnonzero(at < 0)
+        fresh = [self._fresh([pieces[i] for i in new[k:k + SCORE_PIECES]]) for k in range(0, len(new), SCORE_PIECES)]
+        rows = np.concatenate([self.rows, *fresh])
         at[new] = len(self.rows) + np.arange(len(new))
         keep = np.flatnonzero(counts[new] > 1)[:CACHE_PIECES - len(self.index)]
         self.index.update(zip((pieces[i] for i in new[keep]), range(len(self.rows), len(self.rows) + len(keep))))
-        self.rows = np.concatenate([self.rows, fresh[keep]])
+        self.rows = np.concatenate([self.rows, rows[len(self.rows) + keep]])
         return rows[at]
 
 
@@ -231,17 +235,15 @@ def predict(df: DataFrame, model: Model, text_col: str = "text", carry: Sequence
         scorer = _Scorer(model)
         for batch in batches:
             n = batch.num_rows
-            texts = pa.concat_arrays([batch.column(n_carried).cast(pa.large_string())])
-            offsets = np.frombuffer(texts.buffers()[1], np.int64)[:n + 1]
-            data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[:offsets[-1]]
-            starts = piece_starts(data, offsets)
-            pieces = pa.LargeStringArray.from_buffers(len(starts) - 1, pa.py_buffer(starts.astype(np.int64)),
-                                                      pa.py_buffer(data)).dictionary_encode()
+            pieces, of_doc = distinct_pieces(batch.column(text_at))
             which = pieces.indices.to_numpy()
             rows = scorer.of(pieces.dictionary.to_pylist(), np.bincount(which, minlength=len(pieces.dictionary)))
-            of_doc = np.searchsorted(starts, offsets)
-            doc = np.repeat(np.arange(n), np.diff(of_doc))
-            sums = np.stack([np.bincount(doc, rows[which, k], n) for k in range(rows.shape[1])], axis=1)
+            sums = np.zeros((n, rows.shape[1]))
+            for first in range(0, n, SPREAD_DOCS):
+                mine = of_doc[first:first + SPREAD_DOCS + 1]
+                own, doc = rows[which[mine[0]:mine[-1]]], np.repeat(np.arange(len(mine) - 1), np.diff(mine))
+                for k in range(rows.shape[1]):
+                    sums[first:first + len(mine) - 1, k] = np.bincount(doc, own[:, k], len(mine) - 1)
             total, words = sums[:, :-1], sums[:, -1]
             known = (words > 0) & (total.shape[1] > 0)
             best, score = np.full(n, len(model.languages)), np.zeros(n)
@@ -253,6 +255,8 @@ def predict(df: DataFrame, model: Model, text_col: str = "text", carry: Sequence
             yield pa.RecordBatch.from_arrays([*batch.columns[:n_carried], pa.array(languages[best].tolist(), pa.string()), pa.array(score)],
                                              [*carry, "lang_pred", "score"])
 
-    rows = df.select(*carry, text_or_empty(text_col).alias("_text"))
+    carried = text_col in carry and df.schema[text_col].dataType == T.StringType()
+    text_at = list(carry).index(text_col) if carried else n_carried
+    rows = df.select(*carry, *([] if carried else [text_or_empty(text_col).alias("_text")]))
     schema = T.StructType([df.schema[c] for c in carry]).add("lang_pred", "string").add("score", "double")
     return rows.mapInArrow(run, schema)

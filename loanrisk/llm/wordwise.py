@@ -20,6 +20,8 @@ import pyarrow as pa
 CACHE_PIECES = 300_000
 #: Pieces given to the library at once, and documents spread out at once.
 ENCODE_PIECES, SPREAD_DOCS = 50_000, 1000
+#: Bytes searched for cuts at once.
+SCAN_BYTES = 1 << 22
 
 _ENCODERS: dict[str, "PieceEncoder"] = {}
 
@@ -39,20 +41,37 @@ def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     which is white space or a combining mark; or before a comma or full stop that
     follows a letter of these ranges.
     """
-    at = np.flatnonzero((data == 0x20) | (data == 0x0A) | (data == 0x2C) | (data == 0x2E))
-    at = at[(at > 1) & (at < len(data) - 1)]
-    here, before, earlier, after = data[at], data[at - 1], data[at - 2], data[at + 1]
-    latin = (before >= 0x80) & (earlier == 0xC3)
-    space = (here <= 0x20) & (((before > 0x20) & (before < 0x7F)) | latin)
-    space &= ((after > 0x20) & (after < 0x7F)) | (after == 0xC3)
-    lower = before | 0x20
-    letter = ((lower >= 0x61) & (lower <= 0x7A) & (before < 0x80)) | (latin & (before != 0x97) & (before != 0xB7))
     flags = np.zeros(len(data) + 1, bool)
-    flags[at[space | ((here > 0x20) & letter)]] = True
+    for k in range(0, len(data), SCAN_BYTES):
+        part = data[k:k + SCAN_BYTES]
+        at = np.flatnonzero((part == 0x20) | (part == 0x0A) | (part == 0x2C) | (part == 0x2E)) + k
+        at = at[(at > 1) & (at < len(data) - 1)]
+        here, before, earlier, after = data[at], data[at - 1], data[at - 2], data[at + 1]
+        latin = (before >= 0x80) & (earlier == 0xC3)
+        space = (here <= 0x20) & (((before > 0x20) & (before < 0x7F)) | latin)
+        space &= ((after > 0x20) & (after < 0x7F)) | (after == 0xC3)
+        lower = before | 0x20
+        letter = ((lower >= 0x61) & (lower <= 0x7A) & (before < 0x80)) | (latin & (before != 0x97) & (before != 0xB7))
+        flags[at[space | ((here > 0x20) & letter)]] = True
     flags[offsets] = True
     return np.flatnonzero(flags)
 
 
+def distinct_pieces(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The pieces of all texts, one after another, as a dictionary array, and for
+    each text (and the end) the number of pieces before it. Null counts as empty."""
+    texts = texts.cast(pa.large_string())
+    if texts.null_count:
+        texts = texts.fill_null("")
+    n = len(texts)
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + n + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0]:offsets[-1]]
+    offsets = offsets - offsets[0]
+    starts = piece_starts(data, offsets)
+    pieces = pa.LargeStringArray.from_buffers(len(starts) - 1, pa.py_buffer(starts.astype(np.int64)), pa.py_buffer(data))
+    return pieces.dictionary_encode(), np.searchsorted(starts, offsets)
+
+
 class PieceEncoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -92,19 +111,12 @@ class PieceEncoder:
         """Stretches of the texts, ``(first, ids, cuts)``: text ``first + k`` has
         ``ids[cuts[k]:cuts[k + 1]]``; a null text counts as empty, and ``end_id``
         closes every text."""
-        texts = pa.concat_arrays([texts.cast(pa.large_string()).fill_null("")])
         n = len(texts)
         if not n:
             return
-        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + n + 1]
-        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0]:offsets[-1]]
-        offsets = offsets - offsets[0]
-        starts = piece_starts(data, offsets)
-        pieces = pa.LargeStringArray.from_buffers(len(starts) - 1, pa.py_buffer(starts.astype(np.int64)),
-                                                  pa.py_buffer(data)).dictionary_encode()
+        pieces, of_doc = distinct_pieces(texts)
         which = pieces.indices.to_numpy()
         begin, size, ids = self._look_up(pieces.dictionary.to_pylist(), np.bincount(which, minlength=len(pieces.dictionary)))
-        of_doc = np.searchsorted(starts, offsets)
         for first in range(0, n, SPREAD_DOCS):
             mine = of_doc[first:first + SPREAD_DOCS + 1]
             own = which[mine[0]:mine[-1]]

@@ -24,7 +24,7 @@ def check(rows, shards):
 
 
 def test_mixture(spark):
-    docs = spark.read.parquet("/root/testdata/check_s/documents.parquet").select("doc_id", "source")
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").selectExpr("doc_id", "IF(doc_id % 3 = 0, 'hot', source) AS source")
     check(sharding.stratified_shards(docs, 8).collect(), 8)
 
 
