@@ -9,7 +9,8 @@ columns of ``documents``:
 3. SimHash near-dedup: one row of each component stays (four words a shingle, four
    bits), as its query has it;
 4. mixing: rows as often as the mixture takes them, in the order of its blocks;
-5. packing: pieces of sequences, in that order.
+5. packing: pieces of sequences, in that order. Spark reads files by size, not by
+   name, so this stage sorts its input by file and row again.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 
 from loanrisk.llm import catalog, exact_dedup, langid, mixing, simhash
 from loanrisk.llm.common import table, written
+from loanrisk.llm.exact_dedup import located
 
 #: Least score of the predicted language.
 LEAST_SCORE = 0.5
@@ -42,8 +44,17 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).repartitionByRange(*order).sortWithinPartitions(*order).select(*docs.columns)
 
 
+def in_table_order(docs: DataFrame) -> DataFrame:
+    """``docs`` in partitions that follow the numbers of Spark's part files, and in
+    them the rows; files named otherwise come first, by path."""
+    file = F.col("_at.file")
+    number = F.regexp_extract(file, r"part-(\d+)[^/]*$", 1).try_cast("long")
+    order = [number.asc_nulls_first(), file, F.col("_at.row")]
+    return located(docs).repartitionByRange(*order).sortWithinPartitions(*order).select(*docs.columns)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return catalog.packed_pieces(docs)
+    return catalog.packed_pieces(in_table_order(docs))
 
 
 STAGES = [
