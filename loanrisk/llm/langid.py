@@ -1,15 +1,17 @@
 """Language ID by segmentation-marginalised unigrams (operator 5).
 
-Vocabulary: the pieces of a fixed public byte-level vocabulary with up to
-``PIECE_BYTES`` bytes (all 256 bytes are among them). Per language every piece has
+Vocabulary: the pieces of a fixed public byte-level vocabulary (all bytes but 0
+are among them); those of more than ``PIECE_BYTES`` bytes are found by their first
+bytes and then compared whole. Per language every piece has
 a probability; a word's likelihood is the sum, over all its segmentations into
 pieces, of the products of their probabilities (forward algorithm),
 
     a[0] = 1,  a[i] = sum over n of a[i - n] * P(word[i - n:i])
 
 and a text's log-likelihood is the sum over its words. Words are runs of letters
-in lower case with a space before them, as UTF-8; one of more than ``WORD_BYTES``
-bytes is scored in stretches of that size. The language with the largest
+in lower case with a space before them, as UTF-8, never cut; for one of more than
+``WORD_BYTES`` bytes the sums slide over it, scaled, with as many places in memory
+as the longest piece has bytes. The language with the largest
 likelihood is predicted; the score is its share of the likelihoods of all
 languages, each tempered by the number of words so that scores stay comparable
 between short and long texts (geometric mean per word, to ``SHARPNESS``).
@@ -32,7 +34,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from itertools import repeat
+from itertools import groupby, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +45,10 @@ from pyspark.sql import types as T
 from loanrisk.llm.common import text_or_empty, written
 from loanrisk.llm.wordwise import SPREAD_DOCS, distinct_pieces
 
+#: Bytes of a piece that fit a key; bytes from which on a word's sums are scaled.
 PIECE_BYTES, WORD_BYTES = 8, 24
+#: Places of long words, over all of a group, that are looked up at once.
+LONG_PLACES = 1 << 16
 SAMPLE_DOCS = 300
 ROUNDS = 3
 #: Expected count that each single byte has besides the sample's.
@@ -53,12 +58,15 @@ UNKNOWN = "und"
 CACHE_PIECES, SCORE_PIECES = 150_000, 50_000
 
 
-def load_pieces(path: str) -> np.ndarray:
-    """Sorted keys of the vocabulary's pieces of up to ``PIECE_BYTES`` bytes."""
+def load_pieces(path: str) -> tuple[np.ndarray, list[bytes]]:
+    """Sorted keys of the vocabulary's pieces of up to ``PIECE_BYTES`` bytes, and the
+    longer pieces by length."""
     with open(path, "rb") as lines:
         pieces = {base64.b64decode(line.split()[0]) for line in lines}
     pieces |= {bytes([b]) for b in range(256)}
-    return np.array(sorted(_key(p) for p in pieces if 0 < len(p) <= PIECE_BYTES and 0 not in p), np.uint64)
+    pieces = {p for p in pieces if p and 0 not in p}
+    keys = np.array(sorted(_key(p) for p in pieces if len(p) <= PIECE_BYTES), np.uint64)
+    return keys, sorted((p for p in pieces if len(p) > PIECE_BYTES), key=lambda p: (len(p), p))
 
 
 def _key(piece: bytes) -> int:
@@ -71,30 +79,79 @@ def _matrix(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(len(words), width), size
 
 
-def _lookup(matrix: np.ndarray, keys: np.ndarray) -> list[np.ndarray]:
-    """By n - 1: for each word and place, the number of the piece of n bytes that
-    begins there, or ``len(keys)`` where there is none."""
-    out, key = [], np.zeros(matrix.shape, np.uint64)
-    for n in range(1, min(PIECE_BYTES, matrix.shape[1]) + 1):
-        key = (key[:, :matrix.shape[1] - n + 1] << np.uint64(8)) | matrix[:, n - 1:]
+def _lookup(matrix: np.ndarray, keys: np.ndarray, long: Sequence[bytes] = ()) -> dict[int, np.ndarray]:
+    """By n: for each word and place, the number of the piece of n bytes that begins
+    there (``long``, by length, is numbered after ``keys``), or the number of all
+    pieces where there is none."""
+    none, width = len(keys) + len(long), matrix.shape[1]
+    out, key = {}, np.zeros(matrix.shape, np.uint64)
+    for n in range(1, min(PIECE_BYTES, width) + 1):
+        key = (key[:, :width - n + 1] << np.uint64(8)) | matrix[:, n - 1:]
         at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-        out.append(np.where((keys[at] == key) & (matrix[:, n - 1:] > 0), at, len(keys)))
+        out[n] = np.where((keys[at] == key) & (matrix[:, n - 1:] > 0), at, none)
+    first = len(keys)
+    for n, same in groupby(long, len):
+        if n > width:
+            break
+        names = np.array(list(same), f"S{n}")
+        heads = np.unique(np.array([_key(x[:PIECE_BYTES]) for x in names.tolist()], np.uint64))
+        begins = key[:, :width - n + 1]
+        hit = heads[np.minimum(np.searchsorted(heads, begins), len(heads) - 1)] == begins
+        out[n] = np.full(begins.shape, none)
+        if hit.any():
+            found = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(matrix, n, axis=1)[hit]).view(f"S{n}")[:, 0]
+            at = np.minimum(np.searchsorted(names, found), len(names) - 1)
+            out[n][hit] = np.where(names[at] == found, first + at, none)
+        first += len(names)
     return out
 
 
-def forward(pieces: list[np.ndarray], size: np.ndarray, probability: np.ndarray) -> np.ndarray:
+def forward(pieces: dict[int, np.ndarray], size: np.ndarray, probability: np.ndarray) -> np.ndarray:
     """a[word, place, language]; ``probability`` has a row per piece and a last row of zeros."""
-    width = pieces[0].shape[1]
+    width = pieces[1].shape[1]
     a = np.zeros((len(size), width + 1, probability.shape[1]))
     a[:, 0] = 1.0
     for i in range(1, width + 1):
-        for n in range(1, min(i, len(pieces)) + 1):
-            a[:, i] += a[:, i - n] * probability[pieces[n - 1][:, i - n]]
+        for n, piece in pieces.items():
+            if n <= i:
+                a[:, i] += a[:, i - n] * probability[piece[:, i - n]]
     return a
 
 
+def long_likelihood(words: list[bytes], keys: np.ndarray, long: Sequence[bytes], probability: np.ndarray) -> np.ndarray:
+    """Log-likelihoods [word, language] of words of any length: the sums of the next
+    places slide along, and are scaled before they vanish."""
+    reach = max(PIECE_BYTES, len(long[-1]) if len(long) else 0)
+    matrix, size = _matrix([w + b"\0" * reach for w in words])
+    size = size - reach
+    # a[n]: the sum at the place n bytes ahead
+    a = np.zeros((reach + 1, len(words), probability.shape[1]))
+    a[0] = 1.0
+    scale, out = np.zeros(a.shape[1:]), np.zeros(a.shape[1:])
+    step = max(1, LONG_PLACES // len(words))
+    for begin in range(0, int(size.max()), step):
+        part = np.ascontiguousarray(matrix[:, begin:begin + step + reach - 1])
+        pieces = _lookup(part, keys, long)
+        lengths = np.array(list(pieces))
+        places = min(step, int(size.max()) - begin)
+        numbers = np.stack([x[:, :places] for x in pieces.values()])
+        for i in range(places):
+            a[lengths] += a[0] * probability[numbers[:, :, i]]
+            a = np.concatenate([a[1:], np.zeros_like(a[:1])])
+            most = a.max(axis=0)
+            small = (most > 0) & (most < 1e-100)
+            if small.any():
+                by = np.where(small, most, 1.0)
+                a, scale = a / by, scale + np.log(by)
+            done = np.flatnonzero(size == begin + i + 1)
+            if len(done):
+                with np.errstate(divide="ignore"):
+                    out[done] = np.log(a[0, done]) + scale[done]
+    return out
+
+
 def _by_length(words: list[bytes]) -> Iterator[np.ndarray]:
-    """Numbers of the words in groups of similar length."""
+    """Numbers of the words in groups of one length."""
     size = np.fromiter(map(len, words), np.int64, len(words))
     order = np.argsort(size, kind="stable")
     for part in np.split(order, np.flatnonzero(np.diff(size[order])) + 1):
@@ -107,53 +164,66 @@ class Model:
     languages: list[str]
     keys: np.ndarray  # pieces with a probability above 0 in some language, sorted
     probability: np.ndarray  # a row per piece, a column per language; a last row of zeros
+    long: Sequence[bytes] = ()  # such pieces of more than PIECE_BYTES bytes, by length; their rows follow those of keys
 
     def log_likelihood(self, words: list[bytes]) -> np.ndarray:
         out = np.zeros((len(words), len(self.languages)))
         if not self.languages:
             return out
-        for part in _by_length(words):
-            matrix, size = _matrix([words[i] for i in part])
-            a = forward(_lookup(matrix, self.keys), size, self.probability)
-            out[part] = np.log(a[np.arange(len(part)), size])
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        short = np.flatnonzero(size <= WORD_BYTES)
+        for part in _by_length([words[i] for i in short]):
+            part = short[part]
+            matrix, n = _matrix([words[i] for i in part])
+            a = forward(_lookup(matrix, self.keys, self.long), n, self.probability)
+            out[part] = np.log(a[np.arange(len(part)), n])
+        rest = np.flatnonzero(size > WORD_BYTES)
+        rest = rest[np.argsort(size[rest], kind="stable")]
+        # groups of similar length: a word more than twice as long as the first begins another
+        while len(rest):
+            n = min(int(np.searchsorted(size[rest], 2 * size[rest[0]], "right")), max(1, LONG_PLACES // int(size[rest[0]])))
+            out[rest[:n]] = long_likelihood([words[i] for i in rest[:n]], self.keys, self.long, self.probability)
+            rest = rest[n:]
         return out
 
 
-def split_words(text: str) -> list[bytes]:
-    """The words of a text as scored: letters, lower case, a space before, in
-    stretches of at most ``WORD_BYTES`` bytes."""
+def whole_words(text: str) -> list[bytes]:
+    """The words of a text as scored: letters, lower case, a space before."""
     import regex
 
-    out = []
-    for word in regex.findall(r"\p{L}+", text.lower()):
-        body = b" " + word.encode()
-        out += [body[k:k + WORD_BYTES] for k in range(0, len(body), WORD_BYTES)]
-    return out
+    return [b" " + word.encode() for word in regex.findall(r"\p{L}+", text.lower())]
+
+
+def split_words(text: str) -> list[bytes]:
+    """The words in stretches of at most ``WORD_BYTES`` bytes."""
+    return [body[k:k + WORD_BYTES] for body in whole_words(text) for k in range(0, len(body), WORD_BYTES)]
 
 
-def _expected(words: list[bytes], counts: np.ndarray, keys: np.ndarray, probability: np.ndarray) -> np.ndarray:
-    """Expected uses of each piece over all segmentations of the words."""
-    total = np.zeros(len(keys) + 1)
+def _expected(words: list[bytes], counts: np.ndarray, keys: np.ndarray, probability: np.ndarray,
+              long: Sequence[bytes] = ()) -> np.ndarray:
+    """Expected uses of each piece over all segmentations of the words; sums as
+    logarithms, so that those of long words do not vanish."""
+    total = np.zeros(len(probability))
+    with np.errstate(divide="ignore"):
+        p = np.log(probability)
     for part in _by_length(words):
-        matrix, size = _matrix([words[i] for i in part])
-        pieces = _lookup(matrix, keys)
-        p = probability[:, None]
-        a = forward(pieces, size, p)[:, :, 0]
+        matrix, _ = _matrix([words[i] for i in part])
+        pieces = _lookup(matrix, keys, long)
         width = matrix.shape[1]  # words of one length in a part
-        b = np.zeros((len(part), width + 1))
-        b[:, width] = 1.0
+        a, b = np.full((2, len(part), width + 1), -np.inf)
+        a[:, 0] = b[:, width] = 0.0
+        for i in range(1, width + 1):
+            a[:, i] = np.logaddexp.reduce([a[:, i - n] + p[piece[:, i - n]] for n, piece in pieces.items() if n <= i])
         for i in range(width - 1, -1, -1):
-            for n in range(1, min(width - i, len(pieces)) + 1):
-                b[:, i] += probability[pieces[n - 1][:, i]] * b[:, i + n]
-        weight = counts[part] / a[:, width]
-        for n, piece in enumerate(pieces, 1):
-            for i in range(width - n + 1):
-                use = weight * a[:, i] * probability[piece[:, i]] * b[:, i + n]
-                total += np.bincount(piece[:, i], use, len(keys) + 1)
+            b[:, i] = np.logaddexp.reduce([b[:, i + n] + p[piece[:, i]] for n, piece in pieces.items() if i + n <= width])
+        rest = (np.log(counts[part]) - a[:, width])[:, None]
+        for n, piece in pieces.items():
+            use = np.exp(a[:, :width - n + 1] + p[piece] + b[:, n:] + rest)
+            total += np.bincount(piece.ravel(), use.ravel(), len(total))
     return total[:-1]
 
 
-def fit(counts: list[tuple[str, str, int]], keys: np.ndarray, rounds: int = ROUNDS) -> Model:
+def fit(counts: list[tuple[str, str, int]], keys: np.ndarray, rounds: int = ROUNDS, long: Sequence[bytes] = ()) -> Model:
     """Model from rows (language, lower-case word of letters, times)."""
     languages = sorted({c[0] for c in counts})
     single = np.searchsorted(keys, np.arange(1, 256, dtype=np.uint64))
@@ -161,19 +231,21 @@ def fit(counts: list[tuple[str, str, int]], keys: np.ndarray, rounds: int = ROUN
     for language in languages:
         words, times = [], []
         for _, word, n in (c for c in counts if c[0] == language):
-            for w in split_words(word):
+            for w in whole_words(word):
                 words.append(w)
                 times.append(n)
-        p = np.append(np.full(len(keys), 1.0 / len(keys)), 0.0)
+        n_pieces = len(keys) + len(long)
+        p = np.append(np.full(n_pieces, 1.0 / n_pieces), 0.0)
         for _ in range(rounds if words else 0):
-            use = _expected(words, np.array(times, float), keys, p)
+            use = _expected(words, np.array(times, float), keys, p, long)
             use[use < 0.1] = 0.0
             use[single] += BYTE_COUNT
             p = np.append(use / use.sum(), 0.0)
         columns.append(p)
-    table = np.array(columns).T if columns else np.zeros((len(keys) + 1, 0))
+    table = np.array(columns).T if columns else np.zeros((len(keys) + len(long) + 1, 0))
     used = np.append(table[:-1].any(axis=1), True)
-    return Model(languages, keys[used[:-1]], np.ascontiguousarray(table[used]))
+    return Model(languages, keys[used[:len(keys)]], np.ascontiguousarray(table[used]),
+                 [x for x, u in zip(long, used[len(keys):-1], strict=True) if u])
 
 
 def train(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
@@ -187,7 +259,8 @@ def train(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     sample = rows.join(sizes, "lang").filter(draw < sample_docs / F.col("n"))
     words = sample.select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")).filter("word <> ''")
     counts = words.groupBy("lang", "word").count().collect()  # the sample's distinct words
-    return fit([(r["lang"], r["word"], r["count"]) for r in counts], load_pieces(vocabulary), rounds)
+    keys, long = load_pieces(vocabulary)
+    return fit([(r["lang"], r["word"], r["count"]) for r in counts], keys, rounds, long)
 
 
 class _Scorer:
@@ -200,7 +273,7 @@ class _Scorer:
     def _fresh(self, pieces: list[str]) -> np.ndarray:
         words, owner = [], []
         for k, piece in enumerate(pieces):
-            mine = split_words(piece)
+            mine = whole_words(piece)
             words += mine
             owner += [k] * len(mine)
         out = np.zeros((len(pieces), self.rows.shape[1]))
