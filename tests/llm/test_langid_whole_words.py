@@ -61,3 +61,13 @@ def test_training_uses_long_pieces():
     row = m.probability[len(m.keys) + m.long.index(b" government")]
     # all 50 uses are the whole word's; each of the 255 bytes counts half a use besides
     assert row[m.languages.index("en")] == pytest.approx(50 / (50 + 255 * langid.BYTE_COUNT), rel=0.01)
+
+
+def test_a_long_word_is_one_word():
+    """Segmentations with a piece across byte 24 count too."""
+    p = {b" ": 0.2, b"a": 0.1, b"b": 0.1, b"c": 0.1, b"cab": 0.3, b"bca": 0.2}
+    keys = np.array(sorted(map(langid._key, p)), np.uint64)
+    by_key = {langid._key(x): v for x, v in p.items()}
+    m = langid.Model(["x"], keys, np.array([[by_key[int(k)]] for k in keys] + [[0.0]]))
+    got = langid._Scorer(m).of(["abc" * 20], np.array([1]))[0]
+    assert got == pytest.approx([all_segmentations(b" " + b"abc" * 20, p), 1.0])
