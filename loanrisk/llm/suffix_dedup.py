@@ -283,9 +283,10 @@ def _refined(contexts: DataFrame, length: int) -> DataFrame:
             which = np.repeat(np.arange(len(body)), windows)
             inside = np.arange(len(flags)) - np.repeat(np.cumsum(windows) - windows, windows)
             on = np.flatnonzero(flags)
-            head = np.concatenate([[True], (np.diff(on) != 1) | (which[on[1:]] != which[on[:-1]])])
+            head = np.ones(len(on), bool)  # none, if no window of these buckets repeats
+            head[1:] = (np.diff(on) != 1) | (which[on[1:]] != which[on[:-1]])
             cut = np.flatnonzero(head)
-            begin, end = on[cut], on[np.append(cut[1:], len(on)) - 1]
+            begin, end = on[cut], on[np.append(cut[1:], len(on))[:len(cut)] - 1]
             return pa.RecordBatch.from_arrays([pa.array(doc[which[begin]]), pa.array(first[which[begin]] + inside[begin]),
                                                pa.array(first[which[begin]] + inside[end])], ["doc", "first", "last"])
 

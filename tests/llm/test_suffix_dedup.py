@@ -91,3 +91,14 @@ def test_query(spark):
 
 def test_empty(no_docs):
     assert suffix_dedup.remove_repeats(no_docs).count() == 0
+
+
+def test_shared_passage_without_a_whole_window(spark):
+    """Buckets with several contexts, none of whose windows repeats."""
+    rng = random.Random(11)
+    part = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    shared = part(60)
+    rows = [(1, part(90) + shared + part(90)), (2, part(70) + shared + part(110))]
+    check(spark.createDataFrame(rows, "doc_id long, text string"), rows)
+    rows += [(3, part(50)), (4, part(99)), (5, None), (6, "")]
+    check(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), rows)
