@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanrisk.llm import chat, exact_dedup, langid, mixing, packing, quality, sharding, simhash, suffix_dedup, token_files
+from loanrisk.llm import (centroids, chat, exact_dedup, fim, langid, line_dedup, mixing, packing, quality, sharding,
+                          simhash, suffix_dedup, token_files)
 from loanrisk.functions.num import dround
 from loanrisk.llm.common import scratch, table
 from loanrisk.llm.oracle import ORACLE_SQL  # noqa: F401  (read by the entry)
@@ -112,6 +113,24 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id", "kept")
 
 
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents cut and rearranged for fill-in-middle, and restored."""
+    out = fim.restore(fim.transform(table(spark, sf_dir, "documents")))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                      F.sha2("restored", 256).alias("restored_sha256"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines that many documents share."""
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings clustered around 40 centroids, in integers."""
+    return centroids.cluster(table(spark, sf_dir, "embeddings")).drop("centroid")
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_quality": op2_quality,
@@ -123,4 +142,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_packing": op9_packing,
     "op10_simhash": op10_simhash,
+    "op11_fim": op11_fim,
+    "op12_line_dedup": op12_line_dedup,
+    "op13_centroids": op13_centroids,
 }

@@ -7,7 +7,7 @@ brute-force tests.
 
 from __future__ import annotations
 
-from loanrisk.llm import chat, mixing, quality
+from loanrisk.llm import centroids, chat, mixing, quality
 
 SPACE = r"[\x20\x09-\x0D]"
 
@@ -164,9 +164,69 @@ SELECT doc_id, source, tokens, round(t, 9) AS exponent, round(weight, 9) AS weig
 FROM blocks"""
 
 
+OP11 = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, CAST(length(coalesce(text, '')) AS BIGINT) AS n,
+                  sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+g AS (SELECT *, CAST('0x' || substr(h, 1, 8) AS BIGINT) % (n + 1) AS a, CAST('0x' || substr(h, 9, 8) AS BIGINT) % (n + 1) AS b,
+             CAST('0x' || substr(h, 17, 8) AS BIGINT) % 100 AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 AS h4 FROM d),
+f AS (SELECT *, CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 >= 90 THEN 'plain'
+                     WHEN h4 < 20 THEN 'spm' ELSE 'psm' END AS form,
+             substr(t, 1, least(a, b)) AS prefix, substr(t, least(a, b) + 1, abs(a - b)) AS middle, substr(t, greatest(a, b) + 1) AS suffix
+      FROM g)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN least(a, b) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN abs(a - b) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM f"""
+
+OP12 = r"""
+WITH lines AS (SELECT doc_id, i, line, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+                                                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+               FROM (SELECT doc_id, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS i
+                     FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents) x) y),
+common AS (SELECT key, max(doc_id) AS last FROM lines WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+judged AS (SELECT l.*, c.key IS NOT NULL AND doc_id <> last AS dropped FROM lines l LEFT JOIN common c ON l.key = c.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT dropped), '')) AS kept_sha256
+FROM judged GROUP BY doc_id"""
+
+
+def _op13() -> str:
+    """The rounds written out; every vector against every centroid."""
+    def nearest(k):
+        return f"""
+pairs{k} AS (SELECT v.vec_id, c.number, list_sum(list_transform(range(1, {centroids.DIMENSIONS + 1}), lambda i: (v.v[i] - c.v[i]) * (v.v[i] - c.v[i]))) AS distance
+             FROM vectors v, centroids{k} c),
+assigned{k} AS (SELECT vec_id, arg_min(number, (distance, number)) AS number, CAST(min(distance) AS BIGINT) AS distance FROM pairs{k} GROUP BY vec_id)"""
+
+    def moved(k):
+        return f"""
+sums{k} AS (SELECT a.number, i, CAST(sum(v.v[i]) AS BIGINT) AS s, count(*) AS n
+            FROM assigned{k} a JOIN vectors v USING (vec_id), range(1, {centroids.DIMENSIONS + 1}) r(i) GROUP BY a.number, i),
+means{k} AS (SELECT number, list((s - ((s % n) + n) % n) // n ORDER BY i) AS v FROM sums{k} GROUP BY number),
+centroids{k + 1} AS (SELECT c.number, coalesce(m.v, c.v) AS v FROM centroids{k} c LEFT JOIN means{k} m USING (number))"""
+
+    rounds = ",".join(f"{nearest(k)},{moved(k)}" for k in range(centroids.ROUNDS))
+    last = centroids.ROUNDS
+    return f"""
+WITH vectors AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor({centroids.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = {centroids.DIMENSIONS} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+centroids0 AS (SELECT row_number() OVER (ORDER BY h) - 1 AS number, v
+               FROM (SELECT v, sha256('{centroids.SEED}:' || vec_id) AS h FROM vectors ORDER BY h LIMIT {centroids.K}) x),
+{rounds},{nearest(last)}
+SELECT vec_id, CAST(number AS INTEGER) AS cluster, distance, CAST(sum(distance) OVER (PARTITION BY number) AS BIGINT) AS cluster_inertia,
+       CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM assigned{last} a JOIN centroids{last} c USING (number)"""
+
+
 ORACLE_SQL = {
     "op1_exact_dedup": OP1,
     "op2_quality": _op2(),
     "op7_chat": _op7(),
     "op8_mixing": _op8(),
+    "op11_fim": OP11,
+    "op12_line_dedup": OP12,
+    "op13_centroids": _op13(),
 }
