@@ -7,12 +7,13 @@ Fit, all features at once:
    (``metrics.quantile_edges`` grouped by feature) - distributed;
 3. pre-bin counts: ``groupBy(feature, prebin)`` -> at most
    (prebins + 1) rows per feature, whatever the row count;
-4. on the driver, merge those few count rows into final bins: pool to a
-   monotone event rate (ascending or descending, whichever keeps more IV),
-   merge bins under the minimum share, then merge the closest WoE pair until
-   at most ``max_bins`` remain. Missing values form their own bin.
+4. ``optimal_bins``: of all ways to join neighbouring pre-bins into at most
+   ``max_bins`` bins with the least share of rows and a monotone event rate, the
+   one with the largest IV, by dynamic programming as a fold over one row a feature
+   and direction. Missing values form their own bin.
 
-Transform is one CASE expression per feature (narrow, codegen).
+Only final bins (features x at most ``max_bins`` rows) reach the driver. Transform
+is one CASE expression per feature (narrow, codegen).
 
 WoE = ln((good_i / GOOD) / (bad_i / BAD)), an empty cell counting 0.5,
 IV = sum((good_i / GOOD - bad_i / BAD) * WoE_i). Higher WoE = safer.
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 
 from loanrisk.functions.num import dround, iv_strength
 from loanrisk.operators import metrics
+from loanrisk.sources.io import staged
 
 # --- fixed values -----------------------------------------------------------
 MAX_BINS = 10
@@ -56,18 +58,10 @@ def unpivot(df: DataFrame, features: list[str], label: str = "default_flag") ->
     return d.unpivot("y", features, "feature", "value")
 
 
-def prebin_edges(long: DataFrame, prebins: int = PREBINS, exact: bool = False) -> DataFrame:
-    """Per feature: sorted distinct inner quantile edges (an array column).
-
-    Default: ``percentile_approx`` for all features in one aggregate (a
-    bounded sketch per feature). ``exact``: linear-interpolated quantiles
-    from the score ladder, as SQL ``quantile_cont`` computes them.
-    """
+def prebin_edges(long: DataFrame, prebins: int = PREBINS) -> DataFrame:
+    """Per feature: sorted distinct inner quantile edges (an array column), linear
+    interpolated from the score ladder, as SQL ``quantile_cont`` computes them."""
     qs = [i / prebins for i in range(1, prebins)]
-    if not exact:
-        e = (long.where(F.col("value").isNotNull()).groupBy("feature")
-             .agg(F.percentile_approx("value", qs, 10000).alias("edges")))
-        return e.select("feature", F.array_sort(F.array_distinct("edges")).alias("edges"))
     lad = metrics.score_ladder(long.withColumn("y", F.col("y").cast("int")), "value", "y",
                                by=["feature"])
     e = metrics.quantile_edges(lad, qs, "value", by=["feature"])
@@ -117,103 +111,136 @@ def _iv(bins: list[Bin], G: int, B: int) -> float:
     return sum((x.good / G - x.bad / B) * _woe(x.good, x.bad, G, B) for x in bins)
 
 
-def _merge(a: Bin, b: Bin) -> Bin:
-    return Bin(b.hi, a.good + b.good, a.bad + b.bad)
-
-
-def _rate(x: Bin) -> float:
-    n = x.good + x.bad
-    return x.bad / n if n else 0.0
-
-
-def _monotone(bins: list[Bin], ascending: bool) -> list[Bin]:
-    """Pool adjacent violators of a monotone event rate."""
-    out: list[Bin] = []
-    for x in bins:
-        out.append(x)
-        while len(out) > 1 and ((_rate(out[-2]) > _rate(out[-1])) if ascending
-                                else (_rate(out[-2]) < _rate(out[-1]))):
-            last = out.pop()
-            out[-1] = _merge(out[-1], last)
-    return out
-
-
-def _min_size(bins: list[Bin], min_rows: float) -> list[Bin]:
-    bins = list(bins)
-    while len(bins) > 1:
-        small = [i for i, x in enumerate(bins) if x.good + x.bad < min_rows]
-        if not small:
-            break
-        i = min(small, key=lambda k: bins[k].good + bins[k].bad)
-        if i == 0:
-            j = 1
-        elif i == len(bins) - 1:
-            j = i - 1
-        else:
-            left, right = bins[i - 1], bins[i + 1]
-            j = i - 1 if left.good + left.bad <= right.good + right.bad else i + 1
-        lo, hi = min(i, j), max(i, j)
-        bins[lo:hi + 1] = [_merge(bins[lo], bins[hi])]
-    return bins
-
-
-def _max_bins(bins: list[Bin], max_bins: int, G: int, B: int) -> list[Bin]:
-    bins = list(bins)
-    while len(bins) > max_bins:
-        w = [_woe(x.good, x.bad, G, B) for x in bins]
-        i = min(range(len(bins) - 1), key=lambda k: abs(w[k + 1] - w[k]))
-        bins[i:i + 2] = [_merge(bins[i], bins[i + 1])]
-    return bins
-
-
-def fit_feature(feature: str, counts: list[tuple[int, int, int]], edges: list[float],
-                max_bins: int = MAX_BINS, min_bin_size: float = MIN_BIN_SIZE,
-                missing_woe: float = 0.0) -> FeatureBins:
-    """Merge one feature's pre-bin counts [(prebin, good, bad)] into final bins."""
-    by = {p: (g, b) for p, g, b in counts}
-    G = sum(g for g, _ in by.values()) or 1
-    B = sum(b for _, b in by.values()) or 1
-    pre = []
-    for p in range(len(edges) + 1):
-        if p in by:
-            hi = edges[p] if p < len(edges) else None
-            pre.append(Bin(hi, *by[p]))
-    # An empty pre-bin just extends its right neighbour's range.
-    missing = Bin(None, *by[MISSING]) if MISSING in by else None
-    best = None
-    for asc in (True, False):
-        b = _monotone(pre, asc)
-        b = _min_size(b, min_bin_size * (G + B))
-        b = _monotone(b, asc)
-        b = _max_bins(b, max_bins, G, B)
-        iv = _iv(b, G, B)
-        if best is None or iv > best[1]:
-            best = (b, iv)
-    bins = best[0] if best else []
-    fb = FeatureBins(feature, bins, missing, G, B, missing_woe)
-    fb.woe = [_woe(x.good, x.bad, G, B) for x in bins]
-    fb.iv = _iv(bins + ([missing] if missing else []), G, B)
-    return fb
+# ---------------------------------------------------------------- optimal bins
+
+#: IV is compared in these units, as whole numbers: sums do not depend on rounding.
+IV_UNITS = 10 ** 10
+
+
+def _let(value: F.Column, then) -> F.Column:
+    """``then(value)`` with the value computed once."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def interval_cells(pre: F.Column, G: F.Column, B: F.Column, min_rows: F.Column) -> F.Column:
+    """For each end j = 1..m and start i = 0..j-1 the interval of pre-bins i+1..j:
+    its event rate, and its IV in units (null where it has too few rows)."""
+    def upto(name):
+        return F.aggregate(pre, F.array(F.lit(0).cast("long")), lambda acc, p: F.concat(
+            acc, F.array(F.element_at(acc, -1) + p[name])))
+
+    def cell(good, bad, whole):
+        term = (good / G - bad / B) * woe_expr(good, bad, G, B)
+        return F.struct(
+            (bad / (good + bad)).alias("rate"),
+            F.when(whole | (good + bad >= min_rows), F.round(term * IV_UNITS).cast("long")).alias("units"))
+
+    m = F.size(pre)
+    return _let(F.struct(upto("good").alias("g"), upto("bad").alias("b")), lambda s: F.transform(
+        F.sequence(F.lit(1), m), lambda j: F.transform(F.sequence(F.lit(0), j - 1), lambda i: cell(
+            F.get(s["g"], j) - F.get(s["g"], i), F.get(s["b"], j) - F.get(s["b"], i), (i == 0) & (j == m)))))
+
+
+def best_cuts(cells: F.Column, direction: F.Column, max_bins: int) -> F.Column:
+    """The best ends of bins as ``(units, cuts)``, by dynamic programming.
+
+    A state is the last bin (its start i and end j) at a number of bins, and holds
+    the best (units, cuts) that reach it with event rates rising in ``direction``.
+    A fold over the number of bins makes each layer of states from the one before:
+    a bin i..j follows any bin that ends at i and whose rate is no larger. Ties: fewer
+    bins, then the later cuts."""
+    state = "struct<units: bigint, cuts: array<int>, rate: double>"
+
+    def first(row, j):
+        return F.transform(row, lambda c, i: F.when((i == 0) & c["units"].isNotNull(), F.struct(
+            c["units"].alias("units"), F.array(j + 1).alias("cuts"), (c["rate"] * direction).alias("rate"))).cast(state))
+
+    def following(layer, c, i, j):
+        before = F.filter(F.get(layer, i - 1), lambda s: s.isNotNull() & (s["rate"] <= c["rate"] * direction))
+        return F.when((i > 0) & c["units"].isNotNull(), _let(F.array_max(before), lambda s: F.when(s.isNotNull(), F.struct(
+            (s["units"] + c["units"]).alias("units"), F.concat(s["cuts"], F.array(j + 1)).alias("cuts"),
+            (c["rate"] * direction).alias("rate"))).cast(state)))
+
+    def whole(layer):
+        return F.array_max(F.filter(F.element_at(layer, -1), lambda s: s.isNotNull()))
+
+    def step(acc, _):
+        layer = F.transform(cells, lambda row, j: F.transform(row, lambda c, i: following(acc["layer"], c, i, j)))
+        return _let(layer, lambda new: F.struct(new.alias("layer"), _let(whole(new), lambda s: F.when(
+            s.isNotNull() & (acc["best"].isNull() | (s["units"] > acc["best"]["units"])), s).otherwise(acc["best"])).alias("best")))
+
+    start = _let(F.transform(cells, first), lambda layer: F.struct(layer.alias("layer"), whole(layer).alias("best")))
+    if max_bins == 1:
+        return start["best"]
+    return F.aggregate(F.sequence(F.lit(2), F.lit(max_bins)), start, step, lambda acc: acc["best"])
+
+
+def optimal_bins(counts: DataFrame, max_bins: int = MAX_BINS, min_bin_size: float = MIN_BIN_SIZE) -> DataFrame:
+    """From pre-bin counts (feature, prebin, good, bad): ``feature, bin, last_prebin,
+    good, bad, G, B`` of the bins with the largest IV.
+
+    Every bin but one that holds all pre-bins has ``min_bin_size`` of all rows
+    (missing ones included); event rates are monotone, rising or falling (equal
+    rates may follow each other); of two directions with equal IV the one with fewer
+    bins, then the rising one. Rows of missing values (prebin -1) come back as bin -1.
+    """
+    some = F.col("prebin") >= 0
+    whole = counts.groupBy("feature").agg(
+        F.greatest(F.sum("good"), F.lit(1)).alias("G"), F.greatest(F.sum("bad"), F.lit(1)).alias("B"),
+        # at most one entry a pre-bin
+        F.array_sort(F.collect_list(F.when(some, F.struct("prebin", "good", "bad")))).alias("pre"))
+    both = (whole.where(F.size("pre") > 0)
+            .withColumn("cells", interval_cells(F.col("pre"), F.col("G"), F.col("B"), F.lit(min_bin_size) * (F.col("G") + F.col("B"))))
+            .withColumn("direction", F.explode(F.array(F.lit(1.0), F.lit(-1.0)))))
+    each = both.select("feature", "G", "B", "pre", "direction", best_cuts(F.col("cells"), F.col("direction"), max_bins).alias("best"))
+    chosen = each.groupBy("feature").agg(F.max_by(F.struct("G", "B", "pre", "best"), F.struct(
+        F.col("best.units"), -F.size("best.cuts"), "direction")).alias("c")).select("feature", "c.*")
+    # the pre-bins between two cuts, joined
+    ends = chosen.select("feature", "G", "B", "pre", "best.cuts", F.posexplode("best.cuts").alias("bin", "end"))
+    part = F.slice("pre", F.coalesce(F.get("cuts", F.col("bin") - 1), F.lit(0)) + 1,
+                   F.col("end") - F.coalesce(F.get("cuts", F.col("bin") - 1), F.lit(0)))
+    total = lambda name: F.aggregate(part, F.lit(0).cast("long"), lambda acc, p: acc + p[name])
+    bins = ends.select("feature", "bin", F.element_at(part, -1)["prebin"].alias("last_prebin"), total("good").alias("good"),
+                       total("bad").alias("bad"), "G", "B")
+    missing = (counts.where(~some).join(whole.select("feature", "G", "B"), "feature")
+               .select("feature", F.lit(MISSING).alias("bin"), F.lit(MISSING).alias("last_prebin"), "good", "bad", "G", "B"))
+    return bins.unionByName(missing)
 
 
 def fit(train: DataFrame, features: list[str], label: str = "default_flag",
         max_bins: int = MAX_BINS, min_bin_size: float = MIN_BIN_SIZE,
         prebins: int = PREBINS, missing_woe: float = 0.0) -> dict[str, FeatureBins]:
-    """M1 + M2: bins and IV for every feature in one distributed pass.
+    """M1 + M2: bins and IV for every feature.
 
-    Only edges (features x prebins numbers) and counts (features x
-    (prebins + 1) rows) reach the driver.
+    Edges (features x prebins numbers) and the bins that were chosen (features x at
+    most ``max_bins`` + 1 rows) reach the driver.
     """
     long = unpivot(train, features, label)
-    edges = prebin_edges(long, prebins).cache()
-    counts = prebin_counts(long, edges).collect()
-    edge_map = {r["feature"]: [float(x) for x in r["edges"]] for r in edges.collect()}
-    edges.unpersist()
-    per: dict[str, list[tuple[int, int, int]]] = {f: [] for f in features}
-    for r in counts:
-        per[r["feature"]].append((int(r["prebin"]), int(r["good"]), int(r["bad"])))
-    return {f: fit_feature(f, per[f], edge_map.get(f, []), max_bins, min_bin_size, missing_woe)
-            for f in features}
+    edges = staged(prebin_edges(long, prebins), "woe-edges")
+    counts = staged(prebin_counts(long, edges), "woe-counts")
+    return merged(counts, {r["feature"]: [float(x) for x in r["edges"]] for r in edges.collect()}, features,
+                  max_bins, min_bin_size, missing_woe)
+
+
+def merged(counts: DataFrame, edges: dict[str, list[float]], features: list[str], max_bins: int = MAX_BINS,
+           min_bin_size: float = MIN_BIN_SIZE, missing_woe: float = 0.0) -> dict[str, FeatureBins]:
+    """The optimal bins of the features, with their upper edges and WoE."""
+    rows = [r.asDict() for r in optimal_bins(counts, max_bins, min_bin_size).orderBy("feature", "bin").collect()]
+    return {f: _feature_bins(f, [r for r in rows if r["feature"] == f], edges.get(f, []), missing_woe) for f in features}
+
+
+def _feature_bins(feature: str, rows: list[dict], cuts: list[float], missing_woe: float) -> FeatureBins:
+    """From rows (last_prebin, good, bad) in order. An empty pre-bin extends the
+    range of the bin on its right."""
+    G = sum(int(r["good"]) for r in rows) or 1
+    B = sum(int(r["bad"]) for r in rows) or 1
+    at = [(r["last_prebin"], int(r["good"]), int(r["bad"])) for r in rows]
+    bins = [Bin(cuts[p] if p < len(cuts) else None, g, b) for p, g, b in at if p != MISSING]
+    missing = [Bin(None, g, b) for p, g, b in at if p == MISSING]
+    fb = FeatureBins(feature, bins, missing[0] if missing else None, G, B, missing_woe)
+    fb.woe = [_woe(x.good, x.bad, G, B) for x in bins]
+    fb.iv = _iv(bins + missing, G, B)
+    return fb
 
 
 def iv_summary(spark, fitted: dict[str, FeatureBins]) -> DataFrame:
@@ -254,17 +281,9 @@ def transform(df: DataFrame, fitted: dict[str, FeatureBins], features: list[str]
 
 def from_counts(rows: list[dict], edges: dict[str, list[float]], missing_woe: float = 0.0) -> dict[str, FeatureBins]:
     """Bins as counted, without merging: rows (feature, prebin, good, bad)."""
-    out = {}
-    for f, cuts in edges.items():
-        mine = {r["prebin"]: (int(r["good"]), int(r["bad"])) for r in rows if r["feature"] == f}
-        G = sum(g for g, _ in mine.values()) or 1
-        B = sum(b for _, b in mine.values()) or 1
-        bins = [Bin(cuts[p] if p < len(cuts) else None, *mine[p]) for p in range(len(cuts) + 1) if p in mine]
-        fb = FeatureBins(f, bins, Bin(None, *mine[MISSING]) if MISSING in mine else None, G, B, missing_woe)
-        fb.woe = [_woe(x.good, x.bad, G, B) for x in bins]
-        fb.iv = _iv(bins + ([fb.missing] if fb.missing else []), G, B)
-        out[f] = fb
-    return out
+    return {f: _feature_bins(f, sorted(({**r, "last_prebin": r["prebin"]} for r in rows if r["feature"] == f),
+                                       key=lambda r: r["prebin"]), cuts, missing_woe)
+            for f, cuts in edges.items()}
 
 
 def to_spec(fitted: dict[str, FeatureBins]) -> list[dict]:
@@ -306,7 +325,7 @@ def fixed_bins(train: DataFrame, features: list[str], label: str = "default_flag
     """Exact quantile bins without merging, for the transform: features x bins
     rows reach the driver."""
     long = unpivot(train, features, label)
-    edges = prebin_edges(long, n_bins, exact=True).cache()
+    edges = prebin_edges(long, n_bins).cache()
     counts = [r.asDict() for r in prebin_counts(long, edges).collect()]
     cuts = {r["feature"]: [float(x) for x in r["edges"]] for r in edges.collect()}
     edges.unpersist()
@@ -320,7 +339,7 @@ def fixed_bin_iv(train: DataFrame, features: list[str], label: str = "default_fl
     Fully distributed and reproducible in SQL: the oracle-checked core of M1/M2.
     """
     long = unpivot(train, features, label)
-    edges = prebin_edges(long, n_bins, exact=True)
+    edges = prebin_edges(long, n_bins)
     c = prebin_counts(long, edges)
     tot = train.agg(F.sum(F.lit(1) - F.col(label)).alias("G"), F.sum(label).alias("B"))
     # Totals are one row: gather the two numbers (bounded) instead of a cross join.

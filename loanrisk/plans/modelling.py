@@ -274,44 +274,102 @@ def _long_sql(features: list[str], source: str, keep: str) -> str:
 
 _WOE_CELL = "ln((CASE WHEN good = 0 THEN 0.5 ELSE good END / G) / (CASE WHEN bad = 0 THEN 0.5 ELSE bad END / B))"
 
+# A bin for each pre-bin that holds rows.
+_UNMERGED = ("""
+SELECT feature, CASE WHEN prebin < 0 THEN -1 ELSE row_number() OVER (PARTITION BY feature, prebin < 0 ORDER BY prebin) - 1 END AS bin,
+       prebin AS last_prebin, good, bad, G, B FROM counts JOIN totals USING (feature)""", ["counts", "totals"])
+
+# The joined pre-bins of largest IV: states are the last bin at a number of bins, and
+# each round puts one bin behind all states that end where it begins.
+_OPTIMAL = {
+    "placed": ("""
+SELECT feature, prebin, good, bad, row_number() OVER (PARTITION BY feature ORDER BY prebin) AS p,
+       count(*) OVER (PARTITION BY feature) AS m FROM counts WHERE prebin >= 0""", ["counts"]),
+    "spans": ("""
+SELECT a.feature, a.p - 1 AS i, z.p AS j, a.m, z.prebin AS last_prebin, CAST(sum(c.good) AS BIGINT) AS good, CAST(sum(c.bad) AS BIGINT) AS bad
+FROM placed a JOIN placed z ON z.feature = a.feature AND z.p >= a.p JOIN placed c ON c.feature = a.feature AND c.p BETWEEN a.p AND z.p
+GROUP BY a.feature, a.p, z.p, a.m, z.prebin""", ["placed"]),
+    "cells": (f"""
+SELECT s.*, G, B, bad / CAST(good + bad AS DOUBLE) AS rate, CAST(round((good / G - bad / B) * {_WOE_CELL} * {woe.IV_UNITS}) AS BIGINT) AS units
+FROM spans s JOIN totals USING (feature) WHERE (i = 0 AND j = m) OR good + bad >= {woe.MIN_BIN_SIZE} * (G + B)""", ["spans", "totals"]),
+    "paths": (f"""
+WITH RECURSIVE paths AS (
+  SELECT 1 AS k, feature, dir, j, m, rate * dir AS rate, {{'units': units, 'cuts': [j]}} AS best
+  FROM cells, (VALUES (1.0::DOUBLE), (-1.0::DOUBLE)) d(dir) WHERE i = 0
+  UNION ALL
+  SELECT s.k + 1, s.feature, s.dir, c.j, c.m, c.rate * s.dir, max({{'units': s.best.units + c.units, 'cuts': list_append(s.best.cuts, c.j)}})
+  FROM paths s JOIN cells c ON c.feature = s.feature AND c.i = s.j AND s.rate <= c.rate * s.dir
+  WHERE s.k < {woe.MAX_BINS} GROUP BY s.k, s.feature, s.dir, c.i, c.j, c.m, c.rate)
+SELECT feature, arg_max(best.cuts, {{'units': best.units, 'bins': -k, 'dir': dir}}) AS cuts FROM paths WHERE j = m GROUP BY feature""", ["cells"]),
+    "joined": ("""
+SELECT c.feature, list_position(cuts, c.j) - 1 AS bin, last_prebin, good, bad, G, B
+FROM paths JOIN cells c USING (feature)
+WHERE list_contains(cuts, c.j) AND c.i = CASE WHEN list_position(cuts, c.j) = 1 THEN 0 ELSE cuts[list_position(cuts, c.j) - 1] END
+UNION ALL SELECT feature, -1, -1, good, bad, G, B FROM counts JOIN totals USING (feature) WHERE prebin = -1""",
+               ["paths", "cells", "counts", "totals"]),
+}
+
 
-def _fixed_bin_ctes(features: list[str]) -> dict:
-    """Exact decile bins per feature on the training split, counts and WoE."""
-    qs = ", ".join(f"quantile_cont(value, {i / 10}) AS q{i - 1}" for i in range(1, 10))
-    # the number of distinct edges below the value
-    bin_no = " + ".join(["CASE WHEN e.q0 < l.value THEN 1 ELSE 0 END"] + [
-        f"CASE WHEN e.q{i} < l.value AND e.q{i} <> e.q{i - 1} THEN 1 ELSE 0 END" for i in range(1, 9)])
+def _bin_ctes(features: list[str], n: int, joined: dict) -> dict:
+    """``n`` exact quantile bins per feature on the training split, joined by
+    ``joined``, with WoE and bounds; and the WoE of every mature loan."""
+    cuts = ", ".join(f"quantile_cont(value, {i / n})" for i in range(1, n))
     return {
         **_EXTRA,
         "train": ("SELECT * FROM split_features WHERE split = 'train'", ["split_features"]),
         "long": (_long_sql(features, "train", "default_flag AS y"), ["train"]),
-        "edges": (f"SELECT feature, {qs} FROM long WHERE value IS NOT NULL GROUP BY feature", ["long"]),
-        "counts": (f"""SELECT feature, prebin, sum(1 - y) AS good, sum(y) AS bad
-FROM (SELECT l.feature, l.y, CASE WHEN l.value IS NULL THEN -1 ELSE {bin_no} END AS prebin
+        "edges": (f"SELECT feature, list_sort(list_distinct([{cuts}])) AS edges FROM long WHERE value IS NOT NULL GROUP BY feature", ["long"]),
+        "counts": ("""SELECT feature, prebin, CAST(sum(1 - y) AS BIGINT) AS good, CAST(sum(y) AS BIGINT) AS bad
+FROM (SELECT l.feature, l.y, CASE WHEN l.value IS NULL THEN -1 ELSE len(list_filter(e.edges, lambda x: x < l.value)) END AS prebin
       FROM long l JOIN edges e USING (feature)) b GROUP BY feature, prebin""", ["long", "edges"]),
-        "bins": (f"""SELECT c.*, {_WOE_CELL} AS woe, (good / G - bad / B) * {_WOE_CELL} AS term
-FROM counts c, (SELECT CAST(sum(1 - default_flag) AS DOUBLE) AS G, CAST(sum(default_flag) AS DOUBLE) AS B
-                FROM train) t""", ["counts", "train"]),
-        "fixed_iv": ("""SELECT feature, round(iv, 6) AS iv, bins,
+        "totals": ("""SELECT feature, CAST(greatest(sum(good), 1) AS DOUBLE) AS G, CAST(greatest(sum(bad), 1) AS DOUBLE) AS B
+FROM counts GROUP BY feature""", ["counts"]),
+        **joined,
+        "bins": (f"""SELECT j.*, {_WOE_CELL} AS woe, (good / G - bad / B) * {_WOE_CELL} AS term, upper,
+  lag(upper) OVER (PARTITION BY feature, bin < 0 ORDER BY bin) AS lower, bin = max(bin) OVER (PARTITION BY feature) AS is_last
+FROM (SELECT j.*, CASE WHEN bin >= 0 THEN e.edges[last_prebin + 1] END AS upper FROM joined j JOIN edges e USING (feature)) j""",
+                 ["joined", "edges"]),
+        "ivs": ("""SELECT feature, round(iv, 6) AS iv, bins,
        CASE WHEN round(iv, 6) > 0.3 THEN 'strong' WHEN round(iv, 6) > 0.1 THEN 'medium'
             WHEN round(iv, 6) > 0.02 THEN 'weak' ELSE 'useless' END AS strength
 FROM (SELECT feature, sum(term) AS iv, count(*) AS bins FROM bins GROUP BY feature) s""", ["bins"]),
-        "mature_long": (_long_sql(features, "(SELECT * FROM model_features WHERE issue_year <= 2016)", "loan_id"),
+        "mature_long": (_long_sql(features, "(SELECT * FROM model_features WHERE issue_year <= 2016)", "loan_id, default_flag"),
                         ["model_features"]),
-        "loan_woe": (f"""SELECT l.loan_id, l.feature,
-  CASE WHEN l.value IS NULL THEN 0.0 ELSE b.woe END AS woe
-FROM (SELECT l.loan_id, l.feature, l.value, CASE WHEN l.value IS NULL THEN -1 ELSE {bin_no} END AS prebin
-      FROM mature_long l JOIN edges e USING (feature)) l
-LEFT JOIN bins b ON b.feature = l.feature AND b.prebin = l.prebin""", ["mature_long", "edges", "bins"]),
+        # a value beyond the last edge belongs to the last bin
+        "loan_woe": ("""SELECT l.loan_id, l.default_flag, l.feature, CASE WHEN l.value IS NULL THEN 0.0 ELSE b.woe END AS woe
+FROM mature_long l LEFT JOIN bins b ON b.feature = l.feature AND b.bin >= 0
+  AND (b.lower IS NULL OR l.value > b.lower) AND (b.is_last OR l.value <= b.upper)""", ["mature_long", "bins"]),
     }
 
 
-_FIXED = _fixed_bin_ctes(SCORECARD_FEATURES)
-# Features whose decile bins always hold every training value (no empty bin in between).
-WOE_SHOWN = ["int_rate", "term_months", "annual_inc", "dti", "revol_util", "emp_length_years", "active_months_m6"]
+_FIXED = _bin_ctes(SCORECARD_FEATURES, 10, {"joined": _UNMERGED})
+_MERGED = _bin_ctes(SCORECARD_FEATURES, woe.PREBINS, _OPTIMAL)
+_IV_SQL = "SELECT feature, iv, strength FROM ivs ORDER BY iv DESC, feature"
+_BINS_SQL = """
+SELECT feature, CAST(bin AS INTEGER) AS bin, round(upper, 9) AS upper, good, bad, CASE WHEN bin < 0 THEN 0.0 ELSE round(woe, 9) END AS woe FROM bins"""
+_SELECTED_SQL = "SELECT CAST(CASE feature " + " ".join(f"WHEN '{f}' THEN {k}" for k, f in enumerate(
+    SCORECARD_FEATURES)) + " END AS INTEGER) AS position, feature, iv FROM ivs WHERE iv >= 0.1"
+_TRANSFORM_SQL = "SELECT loan_id, default_flag, " + ", ".join(
+    f"round(max(CASE WHEN feature = '{f}' THEN woe END), 9) AS {f}_woe" for f in SCORECARD_FEATURES) + " FROM loan_woe GROUP BY loan_id, default_flag"
+
+
+def _bin_frame(t, fitted: dict) -> DataFrame:
+    b = woe.bin_table(t.spark, fitted)
+    return b.select("feature", "bin", dround("upper", 9).alias("upper"), "good", "bad", dround("woe", 9).alias("woe"))
+
+
+def _selected_frame(t, fitted: dict) -> DataFrame:
+    chosen = set(woe.selected_features(fitted))
+    rows = [(i, f, float(b.iv)) for i, (f, b) in enumerate(fitted.items()) if f in chosen]
+    return t.spark.createDataFrame(rows, "position int, feature string, iv double").withColumn("iv", dround("iv", 6))
+
 
+def _woe_frame(t, fitted: dict) -> DataFrame:
+    w = woe.transform(split.mature(t.model_features), fitted, SCORECARD_FEATURES, keep=["loan_id", "default_flag"])
+    return w.select("loan_id", "default_flag", *[dround(f"{f}_woe", 9).alias(f"{f}_woe") for f in SCORECARD_FEATURES])
 
-@register("woe_fixed_bin_iv", sql_over(["fixed_iv"], "SELECT * FROM fixed_iv ORDER BY iv DESC, feature", _FIXED))
+
+@register("woe_fixed_bin_iv", sql_over(["ivs"], "SELECT * FROM ivs ORDER BY iv DESC, feature", _FIXED))
 def woe_fixed_bin_iv(t):
     """M1 (fixed decile bins, missing apart), M2, M3 strength, O2 ordering."""
     return woe.fixed_bin_iv(split_rows(t, "train"), SCORECARD_FEATURES)
@@ -326,32 +384,55 @@ def fixed_bins(t) -> dict:
     return _WOE[key]
 
 
-@register("woe_fixed_bins", sql_over(["bins"], """
-SELECT feature, CAST(row_number() OVER (PARTITION BY feature ORDER BY prebin) - 1 AS INTEGER) AS bin,
-       CAST(good AS BIGINT) AS good, CAST(bad AS BIGINT) AS bad, round(woe, 9) AS woe
-FROM bins WHERE prebin >= 0
-UNION ALL SELECT feature, -1, CAST(good AS BIGINT), CAST(bad AS BIGINT), 0.0 FROM bins WHERE prebin = -1""", _FIXED))
+def fitted_woe(t) -> dict:
+    """Optimal WoE bins of the scorecard candidates on the training split, fit once."""
+    key = (session_key(t.spark), t.sf_dir, "optimal")
+    with MATERIALIZE_LOCK:
+        if key not in _WOE:
+            _WOE[key] = woe.fit(split_rows(t, "train"), SCORECARD_FEATURES)
+    return _WOE[key]
+
+
+@register("woe_fixed_bins", sql_over(["bins"], _BINS_SQL, _FIXED))
 def woe_fixed_bins(t):
     """M1 bin table of the unmerged bins."""
-    b = woe.bin_table(t.spark, fixed_bins(t))
-    return b.select("feature", "bin", "good", "bad", dround("woe", 9).alias("woe"))
+    return _bin_frame(t, fixed_bins(t))
 
 
-@register("woe_fixed_selected", sql_over(["fixed_iv"], "SELECT feature, iv FROM fixed_iv WHERE iv >= 0.1", _FIXED))
+@register("woe_fixed_selected", sql_over(["ivs"], _SELECTED_SQL, _FIXED))
 def woe_fixed_selected(t):
     """M4 on the unmerged bins."""
-    fitted = fixed_bins(t)
-    rows = [(f, float(fitted[f].iv)) for f in woe.selected_features(fitted)]
-    return t.spark.createDataFrame(rows, "feature string, iv double").select("feature", dround("iv", 6).alias("iv"))
+    return _selected_frame(t, fixed_bins(t))
 
 
-@register("woe_fixed_transform", sql_over(["loan_woe"], "SELECT loan_id, " + ", ".join(
-    f"round(max(CASE WHEN feature = '{f}' THEN woe END), 9) AS {f}_woe" for f in WOE_SHOWN)
-    + " FROM loan_woe GROUP BY loan_id", _FIXED))
+@register("woe_fixed_transform", sql_over(["loan_woe"], _TRANSFORM_SQL, _FIXED))
 def woe_fixed_transform(t):
-    """WoE columns of the unmerged bins for every mature loan."""
-    w = woe.transform(split.mature(t.model_features), fixed_bins(t), WOE_SHOWN, keep=["loan_id"])
-    return w.select("loan_id", *[dround(f"{f}_woe", 9).alias(f"{f}_woe") for f in WOE_SHOWN])
+    """WoE columns of the unmerged bins, of which some are empty, for every mature loan."""
+    return _woe_frame(t, fixed_bins(t))
+
+
+@register("woe_iv_summary", sql_over(["ivs"], _IV_SQL, _MERGED))
+def woe_iv_summary(t):
+    """M1 (optimal monotone bins), M2, M3, O2: IV per scorecard candidate."""
+    return woe.iv_summary(t.spark, fitted_woe(t)).withColumn("iv", dround("iv", 6))
+
+
+@register("woe_bins", sql_over(["bins"], _BINS_SQL, _MERGED))
+def woe_bins(t):
+    """M1: the fitted bins (upper edge, counts, WoE) per feature; missing apart."""
+    return _bin_frame(t, fitted_woe(t))
+
+
+@register("woe_selected_features", sql_over(["ivs"], _SELECTED_SQL, _MERGED))
+def woe_selected_features(t):
+    """M4: features with IV >= 0.1, in the original order."""
+    return _selected_frame(t, fitted_woe(t))
+
+
+@register("woe_transform", sql_over(["loan_woe"], _TRANSFORM_SQL, _MERGED))
+def woe_transform(t):
+    """WoE columns of all scorecard candidates for every mature loan."""
+    return _woe_frame(t, fitted_woe(t))
 
 
 # ------------------------------------------------------------ given parameters
@@ -456,18 +537,6 @@ _TRAINED: dict[tuple[str, str, str], models.Trained] = {}
 _LOGS: dict[tuple[str, str], models.RunLog] = {}
 
 
-_WOE: dict[tuple[str, str], dict] = {}
-
-
-def fitted_woe(t) -> dict:
-    """WoE bins of the scorecard candidates on the training split, fit once."""
-    key = (session_key(t.spark), t.sf_dir)
-    with MATERIALIZE_LOCK:
-        if key not in _WOE:
-            _WOE[key] = woe.fit(split_rows(t, "train"), SCORECARD_FEATURES)
-    return _WOE[key]
-
-
 def trained(t, name: str) -> models.Trained:
     key = (session_key(t.spark), t.sf_dir, name)
     with MATERIALIZE_LOCK:
@@ -499,35 +568,6 @@ def _metrics_row(t, name: str) -> DataFrame:
     return t.spark.createDataFrame([tr.metrics], metrics.METRIC_SCHEMA)
 
 
-@register("woe_iv_summary")
-def woe_iv_summary(t):
-    """M1 (merged monotone bins), M2, M3, O2: IV per scorecard candidate."""
-    return woe.iv_summary(t.spark, fitted_woe(t))
-
-
-@register("woe_bins")
-def woe_bins(t):
-    """M1: the fitted bins (upper edge, counts, WoE) per feature; missing apart."""
-    return woe.bin_table(t.spark, trained(t, "scorecard").extra["fitted"])
-
-
-@register("woe_selected_features")
-def woe_selected_features(t):
-    """M4: features with IV >= 0.1, in the original order."""
-    tr = trained(t, "scorecard")
-    fitted = tr.extra["fitted"]
-    rows = [(i, f, float(fitted[f].iv)) for i, f in enumerate(tr.extra["selected"])]
-    return t.spark.createDataFrame(rows, "position int, feature string, iv double")
-
-
-@register("woe_transform")
-def woe_transform(t):
-    """M5 + P13: WoE columns of the selected features for every mature loan."""
-    tr = trained(t, "scorecard")
-    return woe.transform(split.mature(t.model_features), tr.extra["fitted"],
-                         tr.extra["selected"], keep=["loan_id", "default_flag"])
-
-
 @register("scorecard_holdout")
 def scorecard_holdout(t):
     """Champion scorecard hold-out metrics."""

@@ -9,8 +9,13 @@ from loanrisk.operators import models, split, woe
 from tests.conftest import SMALL
 
 
-def test_woe_hand_value():
-    fb = woe.fit_feature("x", [(0, 90, 10), (1, 50, 50)], [0.5], min_bin_size=0.01)
+def one_feature(spark, counts, edges, **options):
+    rows = spark.createDataFrame([("x", *c) for c in counts], "feature string, prebin int, good long, bad long")
+    return woe.merged(rows, {"x": edges}, ["x"], **options)["x"]
+
+
+def test_woe_hand_value(spark):
+    fb = one_feature(spark, [(0, 90, 10), (1, 50, 50)], [0.5], min_bin_size=0.01)
     G, B = 140, 60
     w1 = math.log((90 / G) / (10 / B))
     w2 = math.log((50 / G) / (50 / B))
@@ -20,19 +25,19 @@ def test_woe_hand_value():
     assert fb.woe[0] > fb.woe[1]          # higher WoE = safer
 
 
-def test_only_empty_cells_are_smoothed():
-    fb = woe.fit_feature("x", [(0, 40, 0), (1, 60, 20)], [0.5], min_bin_size=0.01)
+def test_only_empty_cells_are_smoothed(spark):
+    fb = one_feature(spark, [(0, 40, 0), (1, 60, 20)], [0.5], min_bin_size=0.01)
     assert fb.woe == pytest.approx([math.log((40 / 100) / (0.5 / 20)), math.log((60 / 100) / (20 / 20))])
 
 
-def test_bins_survive_their_spec():
-    fitted = {"x": woe.fit_feature("x", [(-1, 3, 4), (0, 90, 10), (1, 50, 50)], [0.5], min_bin_size=0.01)}
+def test_bins_survive_their_spec(spark):
+    fitted = {"x": one_feature(spark, [(-1, 3, 4), (0, 90, 10), (1, 50, 50)], [0.5], min_bin_size=0.01)}
     assert woe.from_spec(woe.to_spec(fitted)) == fitted
 
 
-def test_woe_merges_to_monotone_and_min_size():
+def test_woe_merges_to_monotone_and_min_size(spark):
     counts = [(0, 100, 5), (1, 10, 30), (2, 100, 8), (3, 2, 1), (4, 100, 40), (5, 100, 60)]
-    fb = woe.fit_feature("x", counts, [1, 2, 3, 4, 5])
+    fb = one_feature(spark, counts, [1, 2, 3, 4, 5])
     rates = [b.bad / (b.good + b.bad) for b in fb.bins]
     assert rates == sorted(rates) or rates == sorted(rates, reverse=True)
     total = sum(g + b for _, g, b in counts)
@@ -40,6 +45,63 @@ def test_woe_merges_to_monotone_and_min_size():
     assert len(fb.bins) <= woe.MAX_BINS
 
 
+def best_of_all_cuts(counts, max_bins, min_bin_size):
+    """IV units and cuts by trying every way to join neighbours."""
+    import itertools
+    G, B = (max(sum(c[k] for c in counts), 1) for k in (1, 2))
+    pre = [c for c in counts if c[0] >= 0]
+    best = None
+    for n in range(1, max_bins + 1):
+        for inner in itertools.combinations(range(1, len(pre)), n - 1):
+            cuts = [*inner, len(pre)]
+            parts = [pre[a:b] for a, b in zip([0, *inner], cuts)]
+            sums = [(sum(p[1] for p in part), sum(p[2] for p in part)) for part in parts]
+            rates = [b / (g + b) for g, b in sums]
+            if n > 1 and min(g + b for g, b in sums) < min_bin_size * (G + B):
+                continue
+            if rates not in (sorted(rates), sorted(rates, reverse=True)):
+                continue
+            units = sum(round((g / G - b / B) * woe._woe(g, b, G, B) * woe.IV_UNITS) for g, b in sums)
+            if best is None or (units, -n) >= (best[0], -len(best[1])):
+                best = units, cuts
+    return best
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_optimal_bins_are_the_best_of_all(spark, seed):
+    """Twelve pre-bins a feature, with trends up, down and both, empty cells, ties,
+    small pre-bins and missing values."""
+    import random
+    rng = random.Random(seed)
+    rows, want = [], {}
+    for k in range(12):
+        slope = rng.choice([-0.03, 0.0, 0.02, 0.05])
+        counts = []
+        for p in range(rng.choice([1, 2, 12])):
+            n = rng.choice([3, 40, 100, 100])
+            bad = min(n, max(0, round(n * (0.3 + slope * p + rng.uniform(-0.1, 0.1)))))
+            counts.append((2 * p, n - bad, bad))   # every other pre-bin is empty
+        if k % 3 == 0:
+            counts.append((-1, 30, 20 * k))
+        if k == 5:
+            counts = [(p, 50, 50) for p in range(12)]
+        rows += [(f"f{k}", *c) for c in counts]
+        want[f"f{k}"] = best_of_all_cuts(counts, 2 + k % 4, 0.05), counts
+    df = spark.createDataFrame(rows, "feature string, prebin int, good long, bad long")
+    for most in range(2, 6):
+        got = woe.optimal_bins(df, most, 0.05).collect()
+        for f, ((units, cuts), counts) in want.items():
+            if 2 + int(f[1:]) % 4 != most:
+                continue
+            pre = [c for c in counts if c[0] >= 0]
+            mine = sorted((r.bin, r.last_prebin, r.good, r.bad) for r in got if r.feature == f and r.bin >= 0)
+            value = sum(round((g / r_G - b / r_B) * woe._woe(g, b, r_G, r_B) * woe.IV_UNITS) for _, _, g, b in mine
+                        for r_G, r_B in [(max(sum(c[1] for c in counts), 1), max(sum(c[2] for c in counts), 1))])
+            assert abs(value - units) <= len(mine) and len(mine) == len(cuts)
+            assert [p for _, p, _, _ in mine] == [pre[c - 1][0] for c in cuts]
+            assert [(r.good, r.bad) for r in got if r.feature == f and r.bin == -1] == [c[1:] for c in counts if c[0] == -1]
+
+
 def test_woe_fit_transform_on_tables(spark):
     from loanrisk.plans.modelling import SCORECARD_FEATURES, split_rows
     from loanrisk.plans.tables import tables
