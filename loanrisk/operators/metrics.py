@@ -89,10 +89,10 @@ def _with_bucket(d: DataFrame, score: str, by: list[str], buckets: int) -> DataF
         d = d.withColumn("_splits", F.lit(vals))
         return _bucket_of(d, score, F.col("_splits"), size).drop("_splits")
     sp = d.groupBy(*by).agg(F.concat(q, F.array(F.lit(float("inf")))).alias("_splits"))
-    return _bucket_of(d.join(_small_side(sp, size), by), score, F.col("_splits"), size).drop("_splits")
+    return _bucket_of(d.join(small_side(sp, size), by), score, F.col("_splits"), size).drop("_splits")
 
 
-def _small_side(df: DataFrame, per_row: int = 1) -> DataFrame:
+def small_side(df: DataFrame, per_row: int = 1) -> DataFrame:
     """Store a per-group frame, and broadcast it only if its size allows.
 
     ``df`` has ``per_row`` numbers in a row; its rows are counted from the stored
@@ -141,7 +141,7 @@ def score_ladder(df: DataFrame, score: str = "p", label: str = "y",
         F.sum("_bn").over(whole).alias("n_neg"),
     )
     # One row per (group, range), four numbers each.
-    d = d.join(_small_side(offs, 4), [*by, "_bucket"])
+    d = d.join(small_side(offs, 4), [*by, "_bucket"])
     inside = (Window.partitionBy(*by, "_bucket").orderBy(score)
               .rowsBetween(Window.unboundedPreceding, -1))
     pos_lt = F.col("_pos_before") + F.coalesce(F.sum("pos").over(inside), F.lit(0))

@@ -29,12 +29,12 @@ from pyspark.ml.classification import (GBTClassifier, LogisticRegression,
                                        MultilayerPerceptronClassifier)
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loanrisk.functions.num import dround, integer_points, log_odds_to_points
 from loanrisk.operators import metrics, split, woe
+from loanrisk.operators.calibration import Knots, isotonic
 from loanrisk.sources.io import write_csv
 
 # --- fixed values -----------------------------------------------------------
@@ -184,34 +184,6 @@ def prob_of(col: str = "_probability") -> F.Column:
     return vector_to_array(F.col(col))[1]
 
 
-@dataclass
-class Knots:
-    """M9: a monotone calibration as sorted knots, linear between, flat outside."""
-    at: list[float]
-    value: list[float]
-
-    def column(self, x: F.Column) -> F.Column:
-        at, value = F.lit(self.at), F.lit(self.value)
-        k = F.size(F.filter(at, lambda b: b <= x))   # knots at or below x
-        n = len(self.at)
-        low, high = F.element_at(at, k), F.element_at(at, k + 1)
-        below, above = F.element_at(value, k), F.element_at(value, k + 1)
-        between = below + (x - low) / (high - low) * (above - below)
-        return (F.when(x.isNull(), F.lit(None).cast("double")).when(k == 0, F.lit(self.value[0]))
-                .when(k >= n, F.lit(self.value[-1])).otherwise(between))
-
-
-def isotonic(cal: DataFrame, feature: str) -> Knots:
-    """M9: isotonic fit of the label on one score column (ties pooled, clipped ends).
-
-    Equal scores are grouped first (mean label, weight = rows): the same fit, and
-    a score that many loans share is one row."""
-    grouped = (cal.where(F.col(feature).isNotNull()).groupBy(F.col(feature).cast("double").alias("x"))
-               .agg(F.avg(F.col(LABEL).cast("double")).alias("y"), F.count(F.lit(1)).cast("double").alias("w")))
-    m = IsotonicRegression(featuresCol="x", labelCol="y", weightCol="w", isotonic=True).fit(grouped)
-    return Knots([float(v) for v in m.boundaries], [float(v) for v in m.predictions])
-
-
 def splits(mf: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     d = split.with_split(split.mature(mf))
     return (d.where(F.col("split") == "train"), d.where(F.col("split") == "cal"),
@@ -230,11 +202,12 @@ class Scorer:
 
     ``kind`` scorecard: bins, coefficients and intercept, a plain column
     expression. ``boosted_trees`` and ``neural_net``: a fitted pipeline. All carry
-    the calibration knots. ``score`` is narrow: it adds ``p`` and, for the
-    scorecard, ``margin`` and ``points``."""
+    the calibration knots, a table. ``score`` adds ``p`` and, for the scorecard,
+    ``margin`` and ``points``; it moves no rows while the knots' ranges can be
+    broadcast."""
     kind: str
     features: list[str]
-    knots: Knots
+    knots: Knots | None = None
     bins: dict[str, woe.FeatureBins] = field(default_factory=dict)
     coefficients: list[float] = field(default_factory=list)
     intercept: float = 0.0
@@ -252,19 +225,20 @@ class Scorer:
         return self.pipeline.transform(prepared).select(*df.columns, prob_of().alias("_raw"))
 
     def score(self, df: DataFrame) -> DataFrame:
-        out = self.raw(df).withColumn("p", self.knots.column(F.col("_raw")))
+        out = self.knots.apply(self.raw(df), "_raw", "p")
         if self.kind == "scorecard":
             out = out.withColumns({"margin": F.col("_raw"), "points": integer_points(log_odds_to_points("_raw"))})
         return out.drop("_raw")
 
     def save(self, spark: SparkSession, path: str) -> None:
-        """Everything under ``path`` on shared storage: ``spec`` and, where there
-        is one, ``pipeline``; the bins also as a table."""
-        spec = {"kind": self.kind, "features": self.features, "at": self.knots.at, "value": self.knots.value,
+        """Everything under ``path`` on shared storage: ``spec``, the ``knots`` and,
+        where there is one, ``pipeline``; the bins also as a table."""
+        spec = {"kind": self.kind, "features": self.features,
                 "bins": woe.to_spec(self.bins), "coefficients": self.coefficients, "intercept": self.intercept,
                 "with_nulls": self.with_nulls}
         if self.pipeline is not None:
             self.pipeline.write().overwrite().save(f"{path}/pipeline")
+        self.knots.table.write.mode("overwrite").parquet(f"{path}/knots")
         if self.bins:
             woe.bin_table(spark, self.bins).write.mode("overwrite").parquet(f"{path}/bins")
         spark.createDataFrame([(json.dumps(spec),)], "spec string").coalesce(1).write.mode("overwrite").text(f"{path}/spec")
@@ -273,7 +247,8 @@ class Scorer:
     def load(spark: SparkSession, path: str) -> "Scorer":
         spec = json.loads(spark.read.text(f"{path}/spec").first()[0])
         pipeline = None if spec["kind"] == "scorecard" else PipelineModel.load(f"{path}/pipeline")
-        return Scorer(spec["kind"], spec["features"], Knots(spec["at"], spec["value"]), woe.from_spec(spec["bins"]),
+        knots = Knots(spark.read.parquet(f"{path}/knots"))
+        return Scorer(spec["kind"], spec["features"], knots, woe.from_spec(spec["bins"]),
                       spec["coefficients"], spec["intercept"], spec["with_nulls"], pipeline)
 
 
@@ -366,7 +341,7 @@ def train_scorecard(mf: DataFrame, features: list[str], min_iv: float = woe.MIN_
                             maxIter=1000, tol=1e-8)
     model = Pipeline(stages=[VectorAssembler(inputCols=woe_cols, outputCol="features"), lr]).fit(tw).stages[-1]
     train.unpersist()
-    scorer = Scorer("scorecard", selected, Knots([0.0], [0.0]), {f: fitted[f] for f in selected},
+    scorer = Scorer("scorecard", selected, None, {f: fitted[f] for f in selected},
                     [float(c) for c in model.coefficients.toArray()], float(model.intercept))
     scorer.knots = isotonic(scorer.raw(cal), "_raw")
     return _finish(run, scorer, test, log, artifacts,
@@ -404,7 +379,7 @@ def train_boosted_trees(mf: DataFrame, features: list[str] | None = None,
     gbt.setRawPredictionCol("_rawPrediction").setProbabilityCol("_probability")
     model = Pipeline(stages=[VectorAssembler(inputCols=list(cols), outputCol="_features"), gbt]).fit(tr)
     train.unpersist()
-    scorer = Scorer("boosted_trees", feats, Knots([0.0], [0.0]), with_nulls=nulls, pipeline=model)
+    scorer = Scorer("boosted_trees", feats, with_nulls=nulls, pipeline=model)
     scorer.knots = isotonic(scorer.raw(cal), "_raw")
     names = [n.removeprefix("_f_") for n in cols]
     importance = sorted(zip(names, model.stages[-1].featureImportances.toArray().tolist()), key=lambda t: (-t[1], t[0]))
@@ -470,7 +445,7 @@ def train_neural_net(mf: DataFrame, features: list[str] | None = None,
     seconds = round(time.time() - t0, 1)
     history = [float(x) for x in net.summary().objectiveHistory]
     train.unpersist()
-    scorer = Scorer("neural_net", feats, Knots([0.0], [0.0]), pipeline=PipelineModel(stages=[*prep.stages, net]))
+    scorer = Scorer("neural_net", feats, pipeline=PipelineModel(stages=[*prep.stages, net]))
     scorer.knots = isotonic(scorer.raw(cal), "_raw")
     return _finish(run, scorer, test, log, artifacts,
                    {"hidden": hidden or MLP_HIDDEN, "epochs": epochs, "batch_size": MLP_BATCH, "pos_weight": pos_w,

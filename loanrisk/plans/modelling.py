@@ -22,6 +22,7 @@ from loanrisk.functions.num import (FACTOR, OFFSET, dround, integer_points,
 import os
 
 from loanrisk.operators import metrics, models, split, woe
+from loanrisk.operators.calibration import isotonic
 from loanrisk.plans.registry import register, sql_over
 from loanrisk.plans.tables import MATERIALIZE_LOCK
 from loanrisk.session import session_key
@@ -442,17 +443,15 @@ GIVEN_INTERCEPT = 0.1
 # ---------------------------------------------------------------------------
 
 
-def _knots_sql(binned: str) -> str:
-    """M9 by the min-max formula: the fit at a score is the largest, over lower
-    scores a, of the smallest mean label between a and any score b from there up."""
-    return f"""
-SELECT x, max(least_mean) AS p FROM (
-  SELECT k.x, a.x AS low, min(m.mean) AS least_mean
-  FROM {binned} k JOIN {binned} a ON a.x <= k.x
-  JOIN (SELECT a.x AS low, b.x AS high, sum(c.y) / sum(c.n) AS mean
-        FROM {binned} a JOIN {binned} b ON b.x >= a.x JOIN {binned} c ON c.x BETWEEN a.x AND b.x
-        GROUP BY a.x, b.x) m ON m.low = a.x AND m.high >= k.x
-  GROUP BY k.x, a.x) f GROUP BY x"""
+# M9 by the min-max formula: the fit at a score is the largest, over lower scores a,
+# of the smallest mean label between a and any score b from there up.
+_KNOTS = {
+    "places": ("""SELECT x, y, n, row_number() OVER (ORDER BY x) AS i, sum(y) OVER (ORDER BY x) AS ys, sum(n) OVER (ORDER BY x) AS ns
+FROM cal_scores""", ["cal_scores"]),
+    "least_means": ("""SELECT a.i AS a, b.i AS i, b.x, min(CAST(b.ys - a.ys + a.y AS DOUBLE) / CAST(b.ns - a.ns + a.n AS DOUBLE)) OVER (
+  PARTITION BY a.i ORDER BY b.i DESC) AS least FROM places a JOIN places b ON b.i >= a.i""", ["places"]),
+    "knots": ("SELECT x, max(least) AS p FROM least_means GROUP BY x", ["least_means"]),
+}
 
 
 _GIVEN_MARGIN = " + ".join([f"CAST({GIVEN_INTERCEPT} AS DOUBLE)"] + [
@@ -460,39 +459,35 @@ _GIVEN_MARGIN = " + ".join([f"CAST({GIVEN_INTERCEPT} AS DOUBLE)"] + [
 _GIVEN = {
     **_FIXED,
     "margins": (f"SELECT loan_id, {_GIVEN_MARGIN} AS margin FROM loan_woe GROUP BY loan_id", ["loan_woe"]),
-    "cal_binned": ("""SELECT round(margin * 4) / 4 AS x, CAST(sum(default_flag) AS DOUBLE) AS y, count(*) AS n
-FROM split_features JOIN margins USING (loan_id) WHERE split = 'cal' GROUP BY 1""", ["split_features", "margins"]),
-    "knots": (_knots_sql("cal_binned"), ["cal_binned"]),
+    "cal_scores": ("""SELECT margin AS x, sum(s.default_flag) AS y, count(*) AS n
+FROM split_features s JOIN margins USING (loan_id) WHERE split = 'cal' GROUP BY margin""", ["split_features", "margins"]),
+    **_KNOTS,
 }
 
 
 def given_scorer(t) -> models.Scorer:
-    """A scorecard from given coefficients and unmerged bins; its calibration is
-    fitted on margins rounded to quarters."""
+    """A scorecard from given coefficients and unmerged bins, calibrated on its margins."""
     names = list(GIVEN_COEFFICIENTS)
-    s = models.Scorer("scorecard", names, models.Knots([0.0], [0.0]), {f: fixed_bins(t)[f] for f in names},
-                      list(GIVEN_COEFFICIENTS.values()), GIVEN_INTERCEPT)
-    cal = s.raw(split_rows(t, "cal")).withColumn("_raw", dround(F.col("_raw") * 4, 0) / 4)
-    s.knots = models.isotonic(cal, "_raw")
+    s = models.Scorer("scorecard", names, None, {f: fixed_bins(t)[f] for f in names}, list(GIVEN_COEFFICIENTS.values()), GIVEN_INTERCEPT)
+    s.knots = isotonic(s.raw(split_rows(t, "cal")), "_raw")
     return s
 
 
-@register("isotonic_fit", sql_over(["knots"], "SELECT x, round(p, 9) AS p FROM knots", _GIVEN))
+@register("isotonic_fit", sql_over(["knots"], "SELECT round(x, 9) AS x, round(p, 9) AS p FROM knots", _GIVEN))
 def isotonic_fit(t):
-    """M9: the isotonic fit at every rounded calibration margin."""
+    """M9: the isotonic fit at every calibration margin."""
     s = given_scorer(t)
-    x = s.raw(split_rows(t, "cal")).select((dround(F.col("_raw") * 4, 0) / 4).alias("x")).distinct()
-    return x.select("x", dround(s.knots.column(F.col("x")), 9).alias("p"))
+    x = s.raw(split_rows(t, "cal")).select(F.col("_raw").alias("x")).distinct()
+    return s.knots.apply(x, "x", "p").select(dround("x", 9).alias("x"), dround("p", 9).alias("p"))
 
 
 @register("scored_book", sql_over(["margins", "knots"], f"""
 SELECT m.loan_id, round(m.margin, 9) AS margin,
   CAST(round_even(CAST('{_O}' AS DOUBLE) + CAST('{_F}' AS DOUBLE) * m.margin, 0) AS INTEGER) AS points,
-  round(CASE WHEN lo.x IS NULL THEN (SELECT min(p) FROM knots) WHEN hi.x IS NULL THEN (SELECT max(p) FROM knots)
-             ELSE lo.p + (m.margin - lo.x) / (hi.x - lo.x) * (hi.p - lo.p) END, 7) AS p
-FROM margins m
-LEFT JOIN knots lo ON lo.x = (SELECT max(x) FROM knots k WHERE k.x <= m.margin)
-LEFT JOIN knots hi ON hi.x = (SELECT min(x) FROM knots k WHERE k.x > m.margin)""", _GIVEN))
+  round(CASE WHEN lo.x IS NULL THEN (SELECT min(p) FROM knots) WHEN lo.next_x IS NULL THEN lo.p
+             ELSE lo.p + (m.margin - lo.x) / (lo.next_x - lo.x) * (lo.next_p - lo.p) END, 7) AS p
+FROM margins m ASOF LEFT JOIN (
+  SELECT x, p, lead(x) OVER (ORDER BY x) AS next_x, lead(p) OVER (ORDER BY x) AS next_p FROM knots) lo ON m.margin >= lo.x""", _GIVEN))
 def scored_book(t):
     """A scorer applied to every mature loan (given
     coefficients, fitted bins and isotonic knots)."""

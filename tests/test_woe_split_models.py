@@ -202,7 +202,7 @@ def test_isotonic_on_groups_equals_the_fit_on_rows(spark):
     knots = models.isotonic(df, "s")
     plain = IsotonicRegression(featuresCol="s", labelCol="default_flag", isotonic=True).fit(df.withColumn("default_flag", F.col("default_flag").cast("double")))
     x = spark.createDataFrame([(v / 10,) for v in range(-5, 30)] + [(None,)], "s double")
-    got = {r.s: r.p for r in x.select("s", knots.column(F.col("s")).alias("p")).collect()}
+    got = {r.s: r.p for r in knots.apply(x, "s", "p").collect()}
     assert got.pop(None) is None
     for r in plain.transform(x.where("s IS NOT NULL")).collect():
         assert got[r.s] == pytest.approx(r.prediction, abs=1e-12)
