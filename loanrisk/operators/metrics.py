@@ -164,27 +164,28 @@ def _rank_aggs() -> list[F.Column]:
             F.max("n_neg").alias("negatives"), F.max(tpr_fpr).alias("_ks")]
 
 
-def _rank_finals(gini_digits: int = 4) -> list[F.Column]:
+def _rank_finals(gini_digits: int = 4, auc_digits: int = 4) -> list[F.Column]:
     auc = F.when((F.col("positives") > 0) & (F.col("negatives") > 0),
                  F.col("_num").cast("double")
                  / (F.col("positives").cast("double") * F.col("negatives").cast("double") * 2.0))
     return [
         F.col("positives").cast("long").alias("positives"),
         F.col("negatives").cast("long").alias("negatives"),
-        dround(auc, 4).alias("auc"),
+        dround(auc, auc_digits).alias("auc"),
         dround(auc * 2 - 1, gini_digits).alias("gini"),
         F.when(auc.isNotNull(), dround(F.greatest(F.col("_ks"), F.lit(0.0)), 4)).alias("ks"),
     ]
 
 
-def rank_metrics(ladder: DataFrame, by: list[str] | None = None, gini_digits: int = 4) -> DataFrame:
+def rank_metrics(ladder: DataFrame, by: list[str] | None = None, gini_digits: int = 4,
+                 auc_digits: int = 4) -> DataFrame:
     """AUC (ties count half), Gini, KS per group, plus class counts.
 
     AUC = sum(pos * (2 neg_lt + neg)) / (2 n_pos n_neg), summed exactly as decimals.
     KS  = max(0, max over thresholds of TPR - FPR) at thresholds score >= s.
     """
     by = list(by or [])
-    return ladder.groupBy(*by).agg(*_rank_aggs()).select(*by, *_rank_finals(gini_digits))
+    return ladder.groupBy(*by).agg(*_rank_aggs()).select(*by, *_rank_finals(gini_digits, auc_digits))
 
 
 def _quantile_aggs(qs: list[float], score: str) -> list[F.Column]:

@@ -21,7 +21,7 @@ from loanrisk.functions.num import (FACTOR, OFFSET, dround, integer_points,
                                     sigmoid)
 import os
 
-from loanrisk.operators import metrics, models, split, woe
+from loanrisk.operators import importance, metrics, models, split, woe
 from loanrisk.operators.calibration import isotonic
 from loanrisk.plans.registry import register, sql_over
 from loanrisk.plans.tables import MATERIALIZE_LOCK
@@ -495,6 +495,66 @@ def scored_book(t):
     return s.select("loan_id", dround("margin", 9).alias("margin"), "points", dround("p", 7).alias("p"))
 
 
+# ------------------------------------------------------------ importance
+# --- fixed values -----------------------------------------------------------
+# A coefficient for every candidate, by its place in the list.
+IMPORTANCE_COEFFICIENTS = {f: -(1 + k % 5) / 10 for k, f in enumerate(SCORECARD_FEATURES)}
+# ---------------------------------------------------------------------------
+
+_PIVOT = ", ".join(f"max(CASE WHEN feature = '{f}' THEN woe END) AS {f}" for f in IMPORTANCE_COEFFICIENTS)
+_SHUFFLED_MARGIN = " + ".join(["CAST(0.0 AS DOUBLE)"] + [
+    f"CAST({c} AS DOUBLE) * CASE WHEN s.feature = '{f}' THEN s.woe ELSE p.{f} END" for f, c in IMPORTANCE_COEFFICIENTS.items()])
+_IMPORTANCE = {
+    **_FIXED,
+    "test_woe": ("SELECT w.* FROM loan_woe w JOIN split_features s USING (loan_id) WHERE s.split = 'test'", ["loan_woe", "split_features"]),
+    "pivoted": (f"SELECT loan_id, default_flag, {_PIVOT} FROM test_woe GROUP BY loan_id, default_flag", ["test_woe"]),
+    # a feature's WoE is a function of its value: shuffling one shuffles the other
+    "shuffled": (f"""
+SELECT r.loan_id, r.feature, v.woe
+FROM (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY md5(loan_id || ':' || feature || ':{importance.SEED}:row')) AS k FROM test_woe) r
+JOIN (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY md5(loan_id || ':' || feature || ':{importance.SEED}:value')) AS k FROM test_woe) v
+  ON r.feature = v.feature AND r.k = v.k
+UNION ALL SELECT loan_id, '', NULL FROM pivoted""", ["test_woe", "pivoted"]),
+    "shuffled_scores": (f"""
+SELECT s.feature, {_SHUFFLED_MARGIN} AS x, sum(p.default_flag) AS pos, sum(1 - p.default_flag) AS neg
+FROM shuffled s JOIN pivoted p USING (loan_id) GROUP BY 1, 2""", ["shuffled", "pivoted"]),
+    "aucs": ("""
+SELECT feature, round(CAST(sum(CAST(pos AS HUGEINT) * (2 * below + neg)) AS DOUBLE) / (CAST(sum(pos) AS DOUBLE) * CAST(sum(neg) AS DOUBLE) * 2.0), 6) AS auc
+FROM (SELECT *, coalesce(sum(neg) OVER (PARTITION BY feature ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below
+      FROM shuffled_scores) l GROUP BY feature""", ["shuffled_scores"]),
+    "importances": ("""
+SELECT a.feature, a.auc, round(w.auc - a.auc, 6) AS auc_drop, row_number() OVER (ORDER BY round(w.auc - a.auc, 6) DESC, a.feature) AS place
+FROM aucs a, aucs w WHERE a.feature <> '' AND w.feature = ''""", ["aucs"]),
+}
+
+
+def given_importance(t) -> DataFrame:
+    """Permutation importance of the scorer with given coefficients, computed once."""
+    if "given_importance" not in t.__dict__:
+        scorer = models.Scorer("scorecard", list(IMPORTANCE_COEFFICIENTS), None, fixed_bins(t), list(IMPORTANCE_COEFFICIENTS.values()), 0.0)
+        t.__dict__["given_importance"] = importance.permutation_importance(scorer, split_rows(t, "test"), SCORECARD_FEATURES)
+    return t.__dict__["given_importance"]
+
+
+@register("permutation_importance", sql_over(["importances"], f"""
+SELECT CAST(place AS INTEGER) AS rank, feature, auc, auc_drop FROM importances WHERE place <= {models.IMPORTANCE_TOP}""", _IMPORTANCE))
+def permutation_importance(t):
+    """The features whose shuffling costs a given scorer most AUC on the hold-out."""
+    return importance.top(given_importance(t), models.IMPORTANCE_TOP)
+
+
+@register("iv_permutation_agreement", sql_over(["importances", "ivs"], """
+SELECT feature, coalesce(i.feature IS NOT NULL, false) AS in_iv_top, coalesce(p.feature IS NOT NULL, false) AS in_importance_top
+FROM (SELECT feature FROM ivs ORDER BY iv DESC, feature LIMIT 5) i
+FULL JOIN (SELECT feature FROM importances WHERE place <= 5) p USING (feature)""", _IMPORTANCE))
+def iv_permutation_agreement(t, k: int = 5):
+    """Features in the first k by IV and in the first k by permutation importance."""
+    iv = woe.iv_summary(t.spark, fixed_bins(t)).withColumn("iv", dround("iv", 6)).orderBy(F.desc("iv"), "feature").limit(k)
+    first = importance.top(given_importance(t), k)
+    return (iv.select("feature", F.lit(True).alias("a")).join(first.select("feature", F.lit(True).alias("b")), "feature", "full")
+            .select("feature", F.coalesce("a", F.lit(False)).alias("in_iv_top"), F.coalesce("b", F.lit(False)).alias("in_importance_top")))
+
+
 @register("scaling_stats", sql_over(["filled"], """
 SELECT feature, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std FROM filled GROUP BY feature""",
     {**_EXTRA, "train": ("SELECT * FROM split_features WHERE split = 'train'", ["split_features"]),
@@ -587,6 +647,13 @@ def boosted_trees_importance(t):
     return models.importance_frame(t.spark, trained(t, "boosted_trees").extra["importance"])
 
 
+@register("boosted_trees_permutation")
+def boosted_trees_permutation(t):
+    """The challenger's top-15 features by permutation importance on the hold-out."""
+    scorer = trained(t, "boosted_trees").scorer
+    return importance.top(importance.permutation_importance(scorer, split_rows(t, "test"), scorer.features), models.IMPORTANCE_TOP)
+
+
 @register("boosted_trees_segment_gini")
 def boosted_trees_segment_gini(t):
     """M15 on the challenger's calibrated hold-out scores."""
