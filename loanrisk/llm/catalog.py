@@ -34,7 +34,7 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base rules and distribution divergence of all documents."""
     return quality.quality(table(spark, sf_dir, "documents")).withColumns(
-        {c: dround(c, 6) for c in ("class_distance", "word_distance")})
+        {c: dround(c, 6) for c in ("class_distance", "word_distance", "word_limit")})
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

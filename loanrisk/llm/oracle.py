@@ -27,64 +27,65 @@ def _left(chars: str) -> str:
     return f"length(regexp_replace(t, '[^{chars}]+', '', 'g'))"
 
 
-def _half(p: str, q: str) -> str:
-    return f"CASE WHEN {p} > 0 THEN {p} * log2(2 * {p} / ({p} + {q})) ELSE 0 END"
-
-
-def _term(p: str, q: str) -> str:
-    return f"(({_half(p, q)}) + ({_half(q, p)})) / 2"
-
-
 def _op2() -> str:
-    common = ", ".join(f"'{w}'" for w in sorted({w for ws in quality.COMMON_WORDS.values() for w in ws}))
+    """Limits are written out here, not taken from the operator."""
+    words = sorted({w for ws in quality.COMMON_WORDS.values() for w in ws})
+    common = ", ".join(f"'{w}'" for w in words)
     classes = ", ".join(f"{_left(chars)} AS {name}" for name, chars in quality.CLASSES.items())
     known = " - ".join(f"c.{name}" for name in quality.CLASSES)
-    bins = ", ".join(f"({k}, '{b}')" for k, b in enumerate(quality.BINS))
-    pick = "CASE b.name " + " ".join(f"WHEN '{b}' THEN k.{b}" for b in quality.BINS) + " END"
+    own = "CASE lang " + " ".join(f"WHEN '{lang}' THEN len(list_filter(plain, lambda w: w IN ({', '.join(repr(w) for w in ws)})))"
+                                  for lang, ws in quality.COMMON_WORDS.items()) + " END"
+    sums = ", ".join(f"sum(common[{k}])" for k in range(1, len(words) + 1))
+
+    def distance(p: str, q: str) -> str:
+        terms = " + ".join(f"list_sum(list_transform(range(1, len({a}) + 1), lambda i: CASE WHEN {a}[i] > 0 THEN {a}[i] * log2(2 * {a}[i] / ({a}[i] + {b}[i])) ELSE 0 END))"
+                           for a, b in ((p, q), (q, p)))
+        return f"sqrt(greatest(({terms}) / 2, 0))"
+
+    def rest(x: str) -> str:
+        return f"list_append({x}, 1 - list_sum({x}))"
+
     return rf"""
 WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t FROM documents),
-w AS (SELECT doc_id, lang, t, {_words('t')} AS ws,
+w AS (SELECT row_number() OVER () AS row, doc_id, lang, t, {_words('t')} AS ws,
              list_filter(regexp_split_to_array(lower(t), '[^\p{{L}}]+'), lambda w: w <> '') AS plain,
              list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
-c AS (SELECT doc_id, lang, len(ws) AS n_words, length(regexp_replace(t, '{SPACE}', '', 'g')) AS word_chars,
+c AS (SELECT row, doc_id, lang, len(ws) AS n_words, length(regexp_replace(t, '{SPACE}', '', 'g')) AS word_chars,
              {_left('#*$%&|<>')} AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
-             len(plain) AS n_plain, length(t) AS n_chars, {classes} FROM w),
-k AS (SELECT *, n_chars - word_chars AS space, greatest(n_chars - (n_chars - word_chars) - {known}, 0) AS lower FROM c),
-windows AS (SELECT doc_id, i, array_to_string(ws[i:i + 4], ' ') AS body
-            FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w WHERE len(ws) >= 5) x),
-covered AS (SELECT doc_id, count(DISTINCT i + o) AS n
-            FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, body) AS times FROM windows) x, range(0, 5) r(o)
-            WHERE times > 1 GROUP BY doc_id),
-histogram AS (SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(plain) AS word FROM w) x
-              WHERE word IN ({common}) GROUP BY doc_id, word),
-keyed AS (SELECT *, lang AS key FROM k WHERE lang IS NOT NULL UNION ALL SELECT *, NULL FROM k),
-bins AS (SELECT * FROM (VALUES {bins}) v(place, name)),
-class_ref AS (SELECT k.key, b.name, CAST(sum({pick}) AS DOUBLE) / sum(n_chars) AS q FROM keyed k, bins b GROUP BY k.key, b.name),
-class_div AS (SELECT doc_id, sum({_term('p', 'q')}) AS x
-              FROM (SELECT k.doc_id, r.q, CAST({pick} AS DOUBLE) / k.n_chars AS p
-                    FROM k, bins b, class_ref r
-                    WHERE r.name = b.name AND r.key IS NOT DISTINCT FROM k.lang AND k.n_chars >= {quality.MIN_CHARS}) x
-              GROUP BY doc_id),
-word_ref AS (SELECT k.key, h.word, CAST(sum(h.n) AS DOUBLE) / max(t.n) AS q
-             FROM keyed k JOIN histogram h USING (doc_id)
-             JOIN (SELECT key, sum(n_plain) AS n FROM keyed GROUP BY key) t ON t.key IS NOT DISTINCT FROM k.key
-             GROUP BY k.key, h.word),
-word_div AS (SELECT doc_id, sum({_term('p', 'q')}) + ({_term('(1 - sum(p))', '(1 - sum(q))')}) AS x
-             FROM (SELECT k.doc_id, r.q, CAST(coalesce(h.n, 0) AS DOUBLE) / k.n_plain AS p
-                   FROM k JOIN word_ref r ON r.key IS NOT DISTINCT FROM k.lang
-                   LEFT JOIN histogram h ON h.doc_id = k.doc_id AND h.word = r.word
-                   WHERE k.n_plain >= {quality.MIN_DISTANCE_WORDS}) x
-             GROUP BY doc_id),
-judged AS (SELECT k.*, coalesce(v.n, 0) AS n_repeat_words, CASE WHEN cd.x IS NOT NULL THEN sqrt(greatest(cd.x, 0)) END AS class_distance,
-                  CASE WHEN wd.x IS NOT NULL THEN sqrt(greatest(wd.x, 0)) END AS word_distance,
-                  n_words < {quality.MIN_WORDS} OR 100 * coalesce(v.n, 0) > {quality.MAX_REPEAT_PERCENT} * n_words AS base_failed
-           FROM k LEFT JOIN covered v USING (doc_id) LEFT JOIN class_div cd USING (doc_id) LEFT JOIN word_div wd USING (doc_id))
+             len(plain) AS n_plain, length(t) AS n_chars, {own} AS n_own,
+             list_transform([{common}], lambda x: len(list_filter(plain, lambda w: w = x))) AS common, {classes} FROM w),
+windows AS (SELECT row, i, array_to_string(ws[i:i + 4], ' ') AS body
+            FROM (SELECT row, ws, unnest(range(1, len(ws) - 3)) AS i FROM w WHERE len(ws) >= 5) x),
+covered AS (SELECT row, count(DISTINCT i + o) AS n
+            FROM (SELECT row, i, count(*) OVER (PARTITION BY row, body) AS times FROM windows) x, range(0, 5) r(o)
+            WHERE times > 1 GROUP BY row),
+k AS (SELECT c.*, coalesce(v.n, 0) AS n_repeat_words, n_words < 10 OR 100 * coalesce(v.n, 0) > 20 * n_words AS base_failed,
+             [{", ".join(quality.CLASSES)}, n_chars - word_chars, greatest(word_chars - {known}, 0)] AS classes
+      FROM c LEFT JOIN covered v USING (row)),
+j AS (SELECT *, coalesce(NOT base_failed AND n_chars >= 200 AND n_plain >= 60 AND 100 * n_own >= 10 * n_plain, false) AS is_reference FROM k),
+refs AS (SELECT lang, count(*) AS texts, sum(n_chars) AS chars, sum(n_plain) AS words,
+                [{", ".join(f"sum(classes[{i}])" for i in range(1, len(quality.BINS) + 1))}] AS classes, [{sums}] AS common
+         FROM j WHERE is_reference GROUP BY lang),
+-- the reference without the text's own part
+pairs AS (SELECT j.row, r.lang AS ref, n_chars, n_plain, CASE WHEN is_reference AND j.lang = r.lang THEN 1 ELSE 0 END AS own,
+                 j.classes AS a, j.common AS b, r.classes AS ra, r.common AS rb, r.chars, r.words, r.texts FROM j, refs r),
+shares AS (SELECT row, ref,
+  CASE WHEN n_chars >= 200 THEN list_transform(a, lambda x: x / n_chars) END AS p,
+  list_transform(range(1, len(a) + 1), lambda i: CAST(ra[i] - own * a[i] AS DOUBLE) / CAST(chars - own * n_chars AS DOUBLE)) AS q,
+  CASE WHEN n_plain >= 60 THEN list_transform(b, lambda x: x / n_plain) END AS wp,
+  list_transform(range(1, len(b) + 1), lambda i: CAST(rb[i] - own * b[i] AS DOUBLE) / CAST(words - own * n_plain AS DOUBLE)) AS wq
+  FROM pairs WHERE texts - own >= 20),
+whole AS (SELECT row, ref, p, q, CASE WHEN wp IS NOT NULL THEN {rest('wp')} END AS wp, {rest('wq')} AS wq, {rest('list_transform(wq, lambda x: x / 20)')} AS thin FROM shares),
+distances AS (SELECT row, CASE WHEN p IS NOT NULL THEN {distance('p', 'q')} END AS class_distance,
+                     CASE WHEN wp IS NOT NULL THEN {distance('wp', 'wq')} END AS word_distance, {distance('thin', 'wq')} AS word_limit FROM whole),
+nearest AS (SELECT row, min(class_distance) AS class_distance,
+                   min({{'ratio': word_distance / word_limit, 'distance': word_distance, 'l': word_limit}}) FILTER (WHERE word_distance IS NOT NULL) AS word
+            FROM distances GROUP BY row)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
        CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
-       NOT base_failed AND coalesce(class_distance, 0) <= {quality.MAX_CLASS_DISTANCE}
-         AND coalesce(word_distance, 0) <= {quality.MAX_WORD_DISTANCE} AS kept,
-       round(class_distance, 6) AS class_distance, round(word_distance, 6) AS word_distance
-FROM judged"""
+       NOT base_failed AND coalesce(class_distance, 0) <= 0.30 AND coalesce(word.ratio, 0) <= 1 AS kept,
+       round(class_distance, 6) AS class_distance, round(word.distance, 6) AS word_distance, round(word.l, 6) AS word_limit
+FROM j LEFT JOIN nearest USING (row)"""
 
 
 def _op7() -> str:

@@ -2,21 +2,31 @@
 
 Per document, from the whole text: counts of the base rules, the counts of seven
 character classes, and how often each of a fixed list of common words occurs
-(words of letters only, in lower case; the rest is one bin "other"). The reference
-of a language is the sum of both histograms over all documents with that ``lang``;
-documents without one use the reference of all documents.
-
-The distance is Jensen-Shannon's, the square root of the divergence in bits (0 to
-1). A document is kept if it passes the base rules and neither distance exceeds its
-limit. A distance is only judged from a minimum length on (``MIN_CHARS``,
-``MIN_WORDS``): a short text's histogram is far from any reference by chance.
-
-One pass over the texts writes a narrow table; references are sums over it by
-language (partial sums in each task), and joined back to it.
-
-Defined results: null text is empty (no words, so it fails the base rules), a
-null or unseen language has a reference, equal or null ids are separate rows, an
-empty table gives no rows, other columns are ignored.
+(words of letters only, in lower case; the rest is one bin "other").
+
+*References.* Each language of ``COMMON_WORDS`` has one: the sums of both histograms
+over its reference texts. These are labelled with the language, pass the base rules,
+are long enough to be judged, and at least ``REFERENCE_PERCENT`` of their words are on
+the language's own list; so noise makes no reference, whatever its label says. A text
+is never judged by itself: its own counts are taken out of its language's sums. A
+reference counts from ``MIN_REFERENCE_TEXTS`` other texts on.
+
+*Rules.* The distance is Jensen-Shannon's, the square root of the divergence in bits
+(0 to 1). A text is compared with every reference and needs one that is near, so a
+wrong label costs nothing. Its character classes must be within
+``MAX_CLASS_DISTANCE``. The limit for common words follows from each reference: the
+distance of a text that holds the same common words ``1 / DILUTION`` as often. A text
+with fewer than that, or with others, is beyond it. A distance is only judged from a
+minimum length on (``MIN_CHARS``, ``MIN_DISTANCE_WORDS``): a short text's histogram is
+far from any reference by chance.
+
+One pass over the texts writes a narrow table; references are sums over it (partial
+sums in each task), one row in all, joined back to it.
+
+Defined results: null text is empty (no words, so it fails the base rules); texts
+without a language or with one that has no list make no reference and are judged by
+the others; without any reference the base rules decide alone; equal or null ids are
+separate rows; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,14 +34,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loanrisk.llm.common import SPACES, text_or_empty, written
+from loanrisk.llm.common import text_or_empty, written
 
 WORD = r"[^\x20\x09-\x0D]"
 WINDOW = 5
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
 #: Least characters for the class distance and least words for the word distance.
 MIN_CHARS, MIN_DISTANCE_WORDS = 200, 60
-MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.30, 0.60
+MAX_CLASS_DISTANCE, DILUTION = 0.30, 20
+REFERENCE_PERCENT, MIN_REFERENCE_TEXTS = 10, 20
 
 # The most frequent function words of four languages.
 COMMON_WORDS = {
@@ -45,6 +56,9 @@ COMMON_WORDS = {
            "es", "al"],
 }
 
+#: All common words, the order of the histogram.
+COMMON = sorted({w for words in COMMON_WORDS.values() for w in words})
+
 # The characters that a class leaves when all others are deleted.
 CLASSES = {
     "upper": "A-Z",
@@ -60,12 +74,6 @@ def count_of(text: Column, chars: str) -> Column:
     return F.length(F.regexp_replace(text, f"[^{chars}]+", "")).cast("long")
 
 
-def without_spaces(text: Column) -> Column:
-    for c in SPACES:
-        text = F.replace(text, F.lit(c), F.lit(""))
-    return text
-
-
 def _windows(words: Column, hashes: Column) -> Column:
     """(hash, place) of each window, sorted."""
     return F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
@@ -79,14 +87,13 @@ def document_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     hashes = F.when(n >= WINDOW, F.transform(F.sequence(F.lit(0), n - WINDOW), lambda i: F.xxhash64(
         *[F.get("words", i + k) for k in range(WINDOW)])))
     lines = F.filter(F.split("text", "\n"), lambda line: line.rlike(WORD))
-    common = sorted({w for words in COMMON_WORDS.values() for w in words})
     plain = F.array_remove(F.split(F.lower("text"), r"[^\p{L}]+"), "")
     # most of a text is plain small letters and spaces; the classes are counted in what is left
     rest = F.regexp_replace("text", r"[a-z\x20\x09-\x0D]+", "")
     d = d.withColumns({"hashes": hashes, "lines": lines, "plain": plain, "rest": rest})
     d = d.withColumns({
         "repeats": F.coalesce(F.size(F.array_distinct("hashes")) < F.size("hashes"), F.lit(False)),
-        "common": F.filter("plain", lambda w: w.isin(*common)),
+        "common": F.sort_array(F.filter("plain", lambda w: w.isin(*COMMON))),
         "n_plain": F.size("plain").cast("long"),
         "n_dup_lines": (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"),
     })
@@ -102,12 +109,14 @@ def document_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # each window adds the words that the window before it does not hold
     covered = F.aggregate("places", F.struct(F.lit(0).cast("long").alias("n"), F.lit(-WINDOW).alias("last")), lambda acc, i: F.struct(
         (acc["n"] + F.least(F.lit(WINDOW), i - acc["last"])).alias("n"), i.alias("last")), lambda acc: acc["n"])
-    seen = F.array_distinct("common")
-    histogram = F.transform(seen, lambda w: F.struct(
-        w.alias("w"), (F.size("common") - F.size(F.array_remove("common", w))).cast("long").alias("n")))
+    # of the sorted common words, where each begins: (word, times)
+    d = d.withColumn("heads", F.filter(F.sequence(F.lit(0), F.size("common")), lambda i: (i < F.size("common")) & (
+        (i == 0) | (F.get("common", i) != F.get("common", i - 1)))))
+    histogram = F.transform("heads", lambda i, k: F.struct(
+        F.get("common", i).alias("w"), (F.coalesce(F.get("heads", k + 1), F.size("common")) - i).cast("long").alias("n")))
     text = F.col("text")
     classes = {name: count_of(F.col("rest"), chars) for name, chars in CLASSES.items()}
-    out = d.select("doc_id", "lang", n.cast("long").alias("n_words"), F.length(without_spaces(text)).cast("long").alias("word_chars"),
+    out = d.select("doc_id", "lang", n.cast("long").alias("n_words"), F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
                    count_of(F.col("rest"), "#*$%&|<>").alias("n_symbols"), "n_dup_lines",
                    F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"), "n_plain", histogram.alias("histogram"),
                    F.length(text).cast("long").alias("n_chars"), *[c.alias(name) for name, c in classes.items()])
@@ -118,19 +127,30 @@ def document_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 BINS = [*CLASSES, "space", "lower"]
 
 
+def base_failed() -> Column:
+    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+
+
+def is_reference() -> Column:
+    """A text that its language's reference is made of."""
+    own = F.lit(False)
+    for lang, words in COMMON_WORDS.items():
+        mine = F.aggregate(F.filter("histogram", lambda e: e["w"].isin(*words)), F.lit(0).cast("long"), lambda acc, e: acc + e["n"])
+        own = F.when(F.col("lang") == lang, 100 * mine >= REFERENCE_PERCENT * F.col("n_plain")).otherwise(own)
+    return own & ~base_failed() & (F.col("n_chars") >= MIN_CHARS) & (F.col("n_plain") >= MIN_DISTANCE_WORDS)
+
+
 def references(counts: DataFrame) -> DataFrame:
-    """``key`` (the language; null: all documents), ``class_share`` (array in the
-    order of BINS) and ``word_share`` (map of common word to share)."""
-    both = (counts.withColumn("key", F.col("lang")).filter("key IS NOT NULL")
-            .unionByName(counts.withColumn("key", F.lit(None).cast("string"))))
-    sums = both.groupBy("key").agg(F.sum("n_chars").alias("chars"), F.sum("n_plain").alias("words"),
-                                   *[F.sum(b).alias(b) for b in BINS])
-    words = (both.select("key", F.explode("histogram").alias("e")).groupBy("key", "e.w").agg(F.sum("e.n").alias("n"))
-             .groupBy(F.col("key").alias("k")).agg(F.collect_list(F.struct("w", "n")).alias("entries")))
-    share = F.transform(F.array_sort("entries"), lambda e: F.struct(e["w"], (e["n"] / F.col("words")).alias("q")))
-    return (sums.join(words, F.col("key").eqNullSafe(F.col("k")), "left")
-            .select("key", F.array(*[F.coalesce(F.try_divide(F.col(b), F.col("chars")), F.lit(0.0)) for b in BINS]).alias("class_share"),
-                    F.coalesce(F.map_from_entries(share), F.create_map().cast("map<string,double>")).alias("word_share")))
+    """One row: ``refs``, an array with an entry a language: ``lang, texts, chars, words,
+    classes`` (sums in the order of BINS) and ``common`` (sums in the order of COMMON)."""
+    texts = counts.filter("is_reference")
+    sums = texts.groupBy("lang").agg(F.count("*").alias("texts"), F.sum("n_chars").alias("chars"), F.sum("n_plain").alias("words"),
+                                     F.array(*[F.sum(b) for b in BINS]).alias("classes"))
+    common = (texts.select("lang", F.explode("histogram").alias("e")).groupBy("lang", "e.w").agg(F.sum("e.n").alias("n"))
+              .groupBy(F.col("lang").alias("l")).agg(F.map_from_entries(F.collect_list(F.struct("w", "n"))).alias("by_word")))
+    filled = F.transform(F.lit(COMMON), lambda w: F.coalesce(F.element_at("by_word", w), F.lit(0).cast("long")))
+    each = sums.join(common, F.col("lang") == F.col("l")).select("lang", "texts", "chars", "words", "classes", filled.alias("common"))
+    return each.agg(F.array_sort(F.collect_list(F.struct("lang", "texts", "chars", "words", "classes", "common"))).alias("refs"))
 
 
 def _half(p: Column, q: Column) -> Column:
@@ -146,30 +166,59 @@ def _total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
 
 
+def _distance(p: Column, q: Column) -> Column:
+    return F.sqrt(F.greatest(_total(F.zip_with(p, q, _term)), F.lit(0.0)))
+
+
+def _shares(counts: Column, whole: Column) -> Column:
+    return F.transform(counts, lambda n: n / whole)
+
+
+def _with_rest(shares: Column) -> Column:
+    return F.concat(shares, F.array(1 - _total(shares)))
+
+
+def _let(value: Column, then) -> Column:
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-            max_class_distance: float = MAX_CLASS_DISTANCE, max_word_distance: float = MAX_WORD_DISTANCE) -> DataFrame:
-    """A row per document: the base counts, ``base_failed``, ``kept`` and the
-    distances ``class_distance, word_distance`` (null below the least length)."""
-    counts = written(document_counts(df, id_col, text_col, lang_col), "quality-counts")
+            max_class_distance: float = MAX_CLASS_DISTANCE, dilution: float = DILUTION) -> DataFrame:
+    """A row per document: the base counts, ``base_failed``, ``kept``, the least
+    ``class_distance``, and ``word_distance, word_limit`` of the reference whose limit it
+    keeps best (null below the least length and without references)."""
+    counts = written(document_counts(df, id_col, text_col, lang_col).withColumn("is_reference", is_reference()), "quality-counts")
     refs = written(references(counts), "quality-references")
-    d = counts.join(refs, F.col("lang").eqNullSafe(F.col("key")))
-    shares = F.array(*[F.try_divide(F.col(b), F.col("n_chars")) for b in BINS])
-    class_divergence = _total(F.zip_with(shares, "class_share", _term))
-    # common words: those of the text, those missing in it (half their share), and the rest as one bin
-    def word_terms(e):
-        p, q = e["n"] / F.col("n_plain"), F.coalesce(F.element_at("word_share", e["w"]), F.lit(0.0))
-        return F.struct(_term(p, q).alias("t"), p.alias("p"), q.alias("q"))
-    d = d.withColumns({"class_divergence": class_divergence, "terms": F.transform("histogram", word_terms),
-                       "all_q": _total(F.map_values("word_share"))})
-    p_common, q_seen = _total(F.transform("terms", lambda t: t["p"])), _total(F.transform("terms", lambda t: t["q"]))
-    word_divergence = (_total(F.transform("terms", lambda t: t["t"])) + (F.col("all_q") - q_seen) / 2
-                       + _term(1 - p_common, 1 - F.col("all_q")))
-    distance = lambda x: F.sqrt(F.greatest(x, F.lit(0.0)))
+    d = counts.crossJoin(F.broadcast(refs))  # one row, an entry a language
+    # without the text's own counts, where it is one of the reference's
+    dense = _let(F.map_from_entries("histogram"), lambda m: F.transform(
+        F.lit(COMMON), lambda w: F.coalesce(F.element_at(m, w), F.lit(0).cast("long"))))
+    d = d.withColumns({"classes": F.array(*[F.col(b) for b in BINS]), "common": dense})
+
+    def made_of(r):
+        return F.coalesce(F.col("is_reference") & (r["lang"] == F.col("lang")), F.lit(False))
+
+    def others(r):
+        mine = made_of(r).cast("long")
+        return F.struct(_shares(F.zip_with(r["classes"], "classes", lambda a, b: a - mine * b), r["chars"] - mine * F.col("n_chars")).alias("classes"),
+                        _shares(F.zip_with(r["common"], "common", lambda a, b: a - mine * b), r["words"] - mine * F.col("n_plain")).alias("common"))
+
+    enough = F.filter("refs", lambda r: r["texts"] - made_of(r).cast("long") >= MIN_REFERENCE_TEXTS)
+    d = d.withColumn("others", F.transform(enough, others))
+    class_p, word_p = _shares(F.col("classes"), F.col("n_chars")), _with_rest(_shares(F.col("common"), F.col("n_plain")))
+    d = d.withColumns({"class_p": F.when(F.col("n_chars") >= MIN_CHARS, class_p),
+                       "word_p": F.when(F.col("n_plain") >= MIN_DISTANCE_WORDS, word_p)})
+
+    def words(r):
+        limit = _distance(_with_rest(F.transform(r["common"], lambda q: q / dilution)), _with_rest(r["common"]))
+        return _let(F.struct(_distance(F.col("word_p"), _with_rest(r["common"])).alias("d"), limit.alias("l")),
+                    lambda x: F.struct((x["d"] / x["l"]).alias("ratio"), x["d"].alias("distance"), x["l"].alias("limit")))
+
     d = d.withColumns({
-        "class_distance": F.when(F.col("n_chars") >= MIN_CHARS, distance(F.col("class_divergence"))),
-        "word_distance": F.when(F.col("n_plain") >= MIN_DISTANCE_WORDS, distance(word_divergence)),
-        "base_failed": (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")),
-    })
-    near = (F.coalesce("class_distance", F.lit(0.0)) <= max_class_distance) & (F.coalesce("word_distance", F.lit(0.0)) <= max_word_distance)
+        "base_failed": base_failed(),
+        "class_distance": F.when(F.col("class_p").isNotNull(), F.array_min(F.transform("others", lambda r: _distance(F.col("class_p"), r["classes"])))),
+        "word": F.when(F.col("word_p").isNotNull(), F.array_min(F.transform("others", words)))})
+    near = (F.coalesce("class_distance", F.lit(0.0)) <= max_class_distance) & (F.coalesce("word.ratio", F.lit(0.0)) <= 1)
     return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-                    (~F.col("base_failed") & near).alias("kept"), "class_distance", "word_distance")
+                    (~F.col("base_failed") & near).alias("kept"), "class_distance", F.col("word.distance").alias("word_distance"),
+                    F.col("word.limit").alias("word_limit"))
