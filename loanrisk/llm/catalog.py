@@ -16,9 +16,10 @@ WORD_BPE, WORD_VOCABULARY = "word_bpe_49k.json", 49_408
 BYTE_BPE, BYTE_RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 
 
-def held_out(doc_id: str = "doc_id") -> Column:
-    """Rows that no language model learns from: a fifth, by checksum of the id."""
-    return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 5 == 0
+def held_out(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """Rows that no language model learns from: a fifth, by checksum of the id, or of
+    the text of a row without one."""
+    return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.col(text).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
 def language_model(docs: DataFrame) -> langid.Model:
@@ -56,9 +57,8 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of all documents, learned from those not held out."""
-    docs = table(spark, sf_dir, "documents")
-    out = langid.predict(docs, language_model(docs), carry=["doc_id"])
-    return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out())
+    return langid.predict(docs, language_model(docs), carry=["doc_id", "held_out"])
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

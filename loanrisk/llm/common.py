@@ -43,5 +43,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ids_are_unique(df: DataFrame, id_col: str) -> bool:
+    """Whether no id is null or repeated; counts per id are summed in each task first."""
+    again = df.groupBy(F.col(id_col).alias("id")).count().filter("count > 1 OR id IS NULL")
+    return not again.limit(1).count()
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

@@ -255,7 +255,8 @@ def train(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     rows = rows.filter("lang IS NOT NULL AND text IS NOT NULL")
     # stored, so its size is known and Spark need not deal the texts by language
     sizes = written(rows.groupBy("lang").agg(F.count("*").alias("n")), "languages")
-    draw = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
+    # by id and text: rows with one id or none are drawn apart
+    draw = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) / float(1 << 30)
     sample = rows.join(sizes, "lang").filter(draw < sample_docs / F.col("n"))
     words = sample.select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")).filter("word <> ''")
     counts = words.groupBy("lang", "word").count().collect()  # the sample's distinct words

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loanrisk.llm.common import SPACES, text_or_empty, written
+from loanrisk.llm.common import SPACES, ids_are_unique, text_or_empty, written
 from loanrisk.llm.exact_dedup import located
 from loanrisk.llm.sharding import places
 
@@ -71,8 +71,7 @@ def _is_long(key: bytes, min_chars: int) -> bool:
 def numbered(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``doc, doc_id, text``: ``doc`` is unique and orders documents as the id does.
     It is the id, or where ids are null or repeat, the place in (id, file, row)."""
-    ids = df.select(F.col(id_col).cast("long").alias("id"))
-    if not ids.groupBy("id").count().filter("count > 1 OR id IS NULL").limit(1).count():
+    if ids_are_unique(df, id_col):
         return df.select(F.col(id_col).cast("long").alias("doc"), F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     rows = located(df).select(F.col(id_col).cast("long").alias("id"), F.col(id_col).alias("doc_id"),
                               text_or_empty(text_col).alias("text"), "_at")

@@ -9,7 +9,7 @@
    at which none is. Both quantities are monotone in ``t``.
 3. *Quota.* ``floor(weight * budget)`` tokens of each source.
 4. *Block permutations.* A source is read in epochs; each is a permutation of all
-   its rows, by the MD5 of seed, epoch and id (ties: by place in the files). A copy
+   its rows, by the MD5 of seed, epoch and id (where ids are null or repeat: id and place in the files). A copy
    is taken if the tokens before it, over all epochs, are less than the quota. The
    budget makes ``ceil(budget / block_tokens)`` blocks; block ``k`` takes from each
    source the copies that begin in the ``k``-th equal part of its quota, so every
@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loanrisk.llm.common import SPACES, text_or_empty, written
+from loanrisk.llm.common import SPACES, ids_are_unique, text_or_empty, written
 from loanrisk.llm.exact_dedup import located
 
 ENTROPY_SHARE, MAX_EPOCHS, BLOCK_TOKENS, SEED = 0.98, 4.0, 1_000_000, 42
@@ -112,6 +112,13 @@ def plan_copies(df: DataFrame, budget_tokens: int | None = None, entropy_share:
     ``block_order`` (hash that orders a block)."""
     rows = written(located(df).select(F.col("_at").alias("at"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
                                       n_words(text_or_empty(text_col)).alias("tokens")), "mix-rows")
+    unique = ids_are_unique(rows, "doc_id")
+
+    def name(*before) -> Column:
+        """Seed, the given parts, and what tells the row from all others."""
+        place = [] if unique else [F.col("at.file"), F.col("at.row").cast("string")]
+        return F.md5(F.concat_ws(":", F.lit(seed).cast("string"), *before, "doc_id", *place))
+
     counts = rows.groupBy("source").agg(F.sum("tokens").alias("source_tokens"), F.count("*").alias("source_rows"))
     weights = source_weights(counts.select("source", "source_tokens"), "source", budget_tokens, entropy_share, max_epochs)
     sources = written(weights.join(counts.select(F.col("source").alias("s"), "source_rows"), F.col("source").eqNullSafe(F.col("s")))
@@ -122,7 +129,7 @@ def plan_copies(df: DataFrame, budget_tokens: int | None = None, entropy_share:
     copies = (rows.join(s, rows["source"].eqNullSafe(s["s"])).filter("quota > 0")
               .select("at", "doc_id", "source", "tokens", "source_tokens", "source_rows", "quota", "exponent", "weight", "budget",
                       F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("epoch"))
-              .withColumn("hash", F.md5(F.concat_ws(":", F.lit(seed).cast("string"), "epoch", "doc_id"))))
+              .withColumn("hash", name("epoch")))
     leading = F.conv(F.substring("hash", 1, 8), 16, 10).cast("long")
     n_cells = F.ceil(F.col("source_rows") / F.lit(CELL_ROWS)).cast("long")
     copies = copies.withColumn("cell", F.shiftright(leading * n_cells, 32))
@@ -139,7 +146,7 @@ def plan_copies(df: DataFrame, budget_tokens: int | None = None, entropy_share:
     n_blocks = f"((budget + {block_tokens - 1}) div {block_tokens})"
     return (placed.withColumn("token_start", start).filter("token_start < quota")
             .withColumn("block", F.expr(f"CAST(token_start AS DECIMAL(38, 0)) * {n_blocks} div quota"))
-            .withColumn("block_order", F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.lit("block"), "block", "epoch", "doc_id")))
+            .withColumn("block_order", name(F.lit("block"), "block", "epoch"))
             .select("at", "doc_id", "source", "tokens", "exponent", "weight", "epoch", "token_start", "block", "block_order"))
 
 

@@ -91,3 +91,21 @@ def test_query_is_whole(spark):
     sf = "/root/testdata/sf0.001"
     got = catalog.op8_mixing(spark, sf).collect()
     assert len({r.source for r in got}) == 20 and {r.epoch for r in got} <= {0, 1}
+
+
+@pytest.mark.parametrize("ids", ["CAST(NULL AS LONG)", "IF(doc_id % 3 = 0, 7, doc_id)"])
+def test_null_and_equal_ids(spark, ids):
+    """Rows without an id of their own fall into many cells and are permuted."""
+    docs = written(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").selectExpr(f"{ids} AS doc_id", "text", "source"), "test")
+    rows = mixing.plan_copies(docs).collect()
+    same = [r for r in rows if r.doc_id in (None, 7)]
+    assert len({r.block_order for r in same}) == len(same) > 200
+    first = [r.at.row for r in sorted(same, key=lambda r: r.token_start) if r.epoch == 0 and r.source == same[0].source]
+    steps = [abs(a - b) for a, b in zip(first, first[1:])]
+    assert sum(steps) / len(steps) > 150  # no file order
+    by_source = defaultdict(list)
+    for r in rows:
+        by_source[r.source].append(r)
+    for copies in by_source.values():  # the stream has no gaps
+        copies.sort(key=lambda r: (r.token_start, r.tokens))
+        assert all(b.token_start - a.token_start in (0, a.tokens) for a, b in zip(copies, copies[1:]))

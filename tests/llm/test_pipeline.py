@@ -56,3 +56,47 @@ def test_stages_against_brute_force(spark):
 def test_run(spark):
     rows = corpus_pipeline.run(spark, SMALL).collect()
     assert rows and corpus_pipeline.ORACLE_SQL is None
+
+
+def through(spark, docs):
+    """What each stage returns."""
+    out = []
+    for _, stage in corpus_pipeline.STAGES:
+        docs = written(stage(spark, docs, SMALL), "test")
+        out.append(docs.collect())
+    return out
+
+
+def test_null_and_equal_ids(spark):
+    """All ids null, or one on a third of the rows: the texts that come out of every
+    stage but mixing are those that come out with good ids."""
+    docs = table(spark, SMALL, "documents")
+    want = through(spark, docs)
+    for ids in ("CAST(NULL AS LONG)", "IF(doc_id % 3 = 0, 7, doc_id)"):
+        named = written(docs.selectExpr(f"{ids} AS doc_id", *docs.columns[1:]), "test")
+        got = through(spark, named)
+        # the model learns from other rows, and may doubt another text
+        assert abs(len(got[0]) - len(want[0])) <= 2 and len(got[0]) > 150
+        for k in (1, 2):
+            assert abs(len(got[k]) - len(want[k])) <= 2
+        assert {r.text for r in got[3]} <= {r.text for r in got[2]} and len(got[3]) > 100
+        tokens = sum(len(plain(catalog.BYTE_BPE, r.text)) + 1 for r in got[3])
+        assert sum(p.length for p in got[4]) == tokens
+
+
+def test_nothing_to_learn_from(spark):
+    """Without a language, or with one id that is held out, texts with a letter stay."""
+    assert zlib.crc32(b"6") % 5 == 0
+    rows = [(6, f"some text of its own {i} " + chr(97 + i % 26) * 30, lang, "s", 1) for i, lang in enumerate(["en", None] * 20)]
+    rows += [(6, "12 34", "en", "s", 1), (6, None, "en", "s", 1), (6, "", None, None, 1)]
+    docs = written(spark.createDataFrame(rows, table(spark, SMALL, "documents").schema), "test")
+    assert len(corpus_pipeline.language_id(spark, docs, SMALL).collect()) == 40
+    nameless = docs.selectExpr("doc_id", "text", "CAST(NULL AS STRING) AS lang", "source", "n_chars")
+    assert len(corpus_pipeline.language_id(spark, written(nameless, "test"), SMALL).collect()) == 40
+
+
+def test_edges(spark, edge_docs, no_docs):
+    """Nulls, ties, repeated rows, long texts, clashing names; and no rows at all."""
+    got = through(spark, edge_docs)
+    assert all(r.text for r in got[0]) and got[4]
+    assert [len(x) for x in through(spark, no_docs)] == [0] * 5

@@ -73,3 +73,18 @@ def test_empty_and_clash(no_docs, edge_docs):
     assert sharding.stratified_shards(no_docs, 3).count() == 0
     with pytest.raises(ValueError):
         sharding.stratified_shards(edge_docs.withColumn("slot", edge_docs.doc_id), 3)
+
+
+@pytest.mark.parametrize("ids", ["CAST(NULL AS LONG)", "IF(doc_id % 3 = 0, 7, doc_id)"])
+def test_null_and_equal_ids(spark, ids):
+    """Rows without an id of their own are shuffled and spread like others."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").selectExpr(f"{ids} AS doc_id", "text", "source", "doc_id AS _note")
+    docs = written(docs, "test")
+    out = sharding.stratified_shards(docs, 8).collect()
+    check(out, 8)
+    assert sorted(r._note for r in out) == list(range(1000))
+    order = [r._note for r in sorted(out, key=lambda r: (r.shard, r.slot)) if r.doc_id in (None, 7)]
+    steps = [abs(a - b) for a, b in zip(order, order[1:])]
+    assert sum(steps) / len(steps) > 200  # no stretch in file order
+    key = lambda d: sorted((r._note, r.shard, r.slot) for r in sharding.stratified_shards(d, 8).collect())
+    assert key(docs.repartition(1)) == key(docs.repartition(7))
