@@ -4,13 +4,22 @@ Each stage reads the table its predecessor wrote; all but the last return the
 columns of ``documents``:
 
 1. language ID: rows without a recognised language go (no letters, or no language
-   holds half of the score); the model learns as the query's does;
+   holds half of the score); the model learns as the query's does. Where there is
+   nothing to learn from, all rows with a letter stay;
 2. exact dedup: one row of equal texts stays;
 3. SimHash near-dedup: one row of each component stays (four words a shingle, four
    bits), as its query has it;
 4. mixing: rows as often as the mixture takes them, in the order of its blocks;
 5. packing: pieces of sequences, in that order. Spark reads files by size, not by
    name, so this stage sorts its input by file and row again.
+
+Defined results: a null or empty text has no letters and goes in the first stage;
+rows with null or equal ids are told apart by their place in the files or their text,
+never by the id alone, and such ids appear in the result as they are; of repeated rows
+one stays, and ties are broken by place; a null language is nothing to learn from, a null
+source is a source of its own; an empty table gives no rows. Columns of ``documents``
+may have any names but those that a stage adds itself (``mixing.ADDED``, ``lang_pred``,
+``score``), which raise ``ValueError``.
 """
 
 from __future__ import annotations
@@ -27,7 +36,10 @@ LEAST_SCORE = 0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    named = langid.predict(docs, catalog.language_model(docs), carry=docs.columns)
+    model = catalog.language_model(docs)
+    if not model.languages:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    named = langid.predict(docs, model, carry=docs.columns)
     return named.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
 
 
