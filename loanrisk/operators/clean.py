@@ -7,7 +7,7 @@ builders read the same labelled frame; on a cluster, write them in one job
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from loanrisk.functions.num import (DEFAULT_NEGATIVE, DEFAULT_POSITIVE, dround, first_number,
@@ -76,9 +76,15 @@ def add_default_flag(df: DataFrame) -> DataFrame:
             .where(F.col("default_flag").isNotNull()))
 
 
-def labelled(raw: DataFrame) -> DataFrame:
-    """Raw records -> cleaned, labelled records (P3 then P4)."""
-    return add_default_flag(clean_id(normalise_raw(raw)))
+def labelled(raw: DataFrame, audit: Observation | None = None) -> DataFrame:
+    """Raw records -> cleaned, labelled records (P3 then P4). With ``audit``, the counts
+    of ``ingest_audit`` are observed on the way, by the job that writes the result."""
+    clean = normalise_raw(raw)
+    if audit is not None:
+        # an observed frame keeps all its columns: only those that go on
+        clean = normalise_raw(raw.select(*present(raw, list(dict.fromkeys(["id", *LOAN_COLS, *BORROWER_COLS, *OUTCOME_COLS])))))
+        clean = clean.observe(audit, *audit_counts())
+    return add_default_flag(clean_id(clean))
 
 
 def typed_records(df: DataFrame) -> DataFrame:
@@ -139,16 +145,32 @@ def build_outcomes(df: DataFrame) -> DataFrame:
     return outcomes_of(typed_records(df))
 
 
-def ingest_audit(raw: DataFrame) -> DataFrame:
-    """Rows read, dropped per rule, kept, default rate - one pass."""
-    n = normalise_raw(raw)
+def audit_counts() -> list[F.Column]:
+    """Rows read, dropped per rule, kept, and defaults, over normalised raw records."""
     flag = default_flag_expr()
     has_id = F.col("id").isNotNull()
     kept = has_id & flag.isNotNull()
-    return n.agg(
+    return [
         F.count(F.lit(1)).alias("rows_read"),
         F.sum(F.when(~has_id, 1).otherwise(0)).cast("long").alias("dropped_null_id"),
         F.sum(F.when(has_id & flag.isNull(), 1).otherwise(0)).cast("long").alias("dropped_status"),
         F.sum(F.when(kept, 1).otherwise(0)).cast("long").alias("rows_kept"),
         F.sum(F.when(kept, flag)).cast("long").alias("defaults"),
-    ).withColumn("default_rate", dround(F.col("defaults") / F.col("rows_kept"), 4))
+    ]
+
+
+AUDIT_SCHEMA = "rows_read long, dropped_null_id long, dropped_status long, rows_kept long, defaults long"
+
+
+def with_default_rate(audit: DataFrame) -> DataFrame:
+    return audit.withColumn("default_rate", dround(F.col("defaults") / F.col("rows_kept"), 4))
+
+
+def ingest_audit(raw: DataFrame) -> DataFrame:
+    """Rows read, dropped per rule, kept, default rate - one pass of its own."""
+    return with_default_rate(normalise_raw(raw).agg(*audit_counts()))
+
+
+def observed_audit(spark: SparkSession, audit: Observation) -> DataFrame:
+    """R10 as observed while the records were written: no pass over the raw records."""
+    return with_default_rate(spark.createDataFrame([audit.get], AUDIT_SCHEMA))

@@ -54,7 +54,7 @@ FROM (SELECT id, CASE WHEN loan_status IN ('Charged Off', 'Default') THEN 1
       FROM raw) r"""))
 def ingest_audit(t):
     """Ingestion audit."""
-    return clean.ingest_audit(t.raw)
+    return t.ingest_audit
 
 
 @register("raw_sample", sql_over(["raw"], """

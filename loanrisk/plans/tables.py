@@ -15,7 +15,7 @@ import threading
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 
 from loanrisk.operators import clean, features, panel
 from loanrisk.sources import io
@@ -57,24 +57,38 @@ class LoanTables:
             return io.write_records(self.labelled, io.table_root(self.spark, self.tag), self.tag,
                                     default_buckets(self.spark))
 
-    def _stored(self, df: DataFrame, name: str) -> DataFrame:
+    def _stored(self, df: DataFrame, name: str, parts: str | None = None) -> DataFrame:
         """``df`` written once per session, bucketed by ``loan_id`` (its rows come
-        from the bucketed records, so the write adds no exchange)."""
+        from the bucketed records, so the write adds no exchange), in a folder for
+        each value of ``parts``."""
         if not self.materialize:
             return df
         table = io.table_name(self.tag, name)
         with MATERIALIZE_LOCK:
             io.write_table(df, os.path.join(io.table_root(self.spark, self.tag), name), table,
-                           default_buckets(self.spark), prepartitioned=True)
+                           default_buckets(self.spark), prepartitioned=True, parts=parts)
         return self.spark.table(table)
 
     @cached_property
     def raw(self) -> DataFrame:
         return raw_loans(self.spark, self.sf_dir)
 
+    @cached_property
+    def audit(self) -> Observation:
+        """Counts of the ingest, taken by the job that writes the records."""
+        return Observation("ingest")
+
     @cached_property
     def labelled(self) -> DataFrame:
-        return clean.labelled(self.raw)
+        return clean.labelled(self.raw, self.audit if self.materialize else None)
+
+    @property
+    def ingest_audit(self) -> DataFrame:
+        """R10; one scan of the raw records serves it and the tables."""
+        if not self.materialize:
+            return clean.ingest_audit(self.raw)
+        _ = self.records
+        return clean.observed_audit(self.spark, self.audit)
 
     @property
     def loans(self) -> DataFrame:
@@ -107,9 +121,11 @@ class LoanTables:
 
     @cached_property
     def model_features(self) -> DataFrame:
-        """Built once and written (bucketed by loan_id): reports, splits and
-        every model read it back instead of re-running the view stack."""
-        return self._stored(features.model_features_of(self.records), "model_features")
+        """Built once and written (bucketed by loan_id, a folder for each issue year):
+        reports, splits and every model read it back instead of re-running the view
+        stack, and those over mature vintages leave the other years unread."""
+        df = features.model_features_of(self.records)
+        return self._stored(df, "model_features", parts="issue_year").select(*df.columns)
 
 
 _SESSION_TABLES: dict[tuple[str, str], LoanTables] = {}

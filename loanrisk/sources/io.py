@@ -107,20 +107,22 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 def write_table(df: DataFrame, path: str, name: str | None = None,
                 buckets: int | None = None, key: str = "loan_id",
-                prepartitioned: bool = False) -> None:
+                prepartitioned: bool = False, parts: str | None = None) -> None:
     """Overwrite a Parquet table; bucketed by ``key`` when ``buckets``.
 
     Rows are first hash-partitioned on the key into exactly ``buckets``
     partitions (the same hash the bucket id uses), so each task writes one
     bucket and the table has one file per bucket, not tasks x buckets.
     ``prepartitioned``: the frame already comes out of joins on ``key`` over
-    tables with the same bucketing, so that exchange is skipped.
+    tables with the same bucketing, so that exchange is skipped. ``parts``: a
+    low-cardinality column that gets a folder for each of its values, so that filters
+    on it leave folders unread (at most buckets x values files).
     """
     if buckets:
         src = df if prepartitioned else df.repartition(buckets, key)
         w = (src.write.mode("overwrite").format("parquet")
              .option("path", path).bucketBy(buckets, key).sortBy(key))
-        w.saveAsTable(name)
+        (w.partitionBy(parts) if parts else w).saveAsTable(name)
         return
     w = df.write.mode("overwrite").format("parquet").option("path", path)
     if name:
