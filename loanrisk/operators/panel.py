@@ -6,6 +6,11 @@ uniformly over the months the borrower was active. Built with
 keeps the partitioning of its input, so a loan's months stay in the task that
 produced them and a later ``groupBy("loan_id")`` needs no exchange when the
 input came out of a join on ``loan_id``.
+
+A loan's months are at most two runs: months it was active, all with the same payment,
+then months it was not. ``payment_runs`` is that run-length form, one row per loan;
+aggregates over the panel are sums over runs weighted by their length, and
+``expand_runs`` makes the months' rows where they are asked for.
 """
 
 from __future__ import annotations
@@ -83,6 +88,54 @@ def monthly_panel_of(records: DataFrame) -> DataFrame:
     return explode_months(with_schedule(records.where(eligible()))).select(*PANEL_COLUMNS)
 
 
+def payment_runs(records: DataFrame) -> DataFrame:
+    """U1 run-length encoded, from typed records: per loan with any month ``runs``, an
+    array of (first, last, is_active, estimated_payment, payment_ratio)."""
+    s = with_schedule(records.where(eligible())).where(F.col("_term") >= 1)
+
+    def run(first, last, active, payment):
+        return F.struct(first.alias("first"), last.alias("last"), F.lit(active).alias("is_active"), dround(payment, 2).alias("estimated_payment"),
+                        month_ratio(F.col("installment"), payment).alias("payment_ratio"))
+
+    paid = F.greatest(F.col("_active"), F.lit(0))
+    runs = F.filter(F.array(run(F.lit(1), paid, 1, F.col("_per_month")), run(paid + 1, F.col("_term"), 0, F.lit(0.0))),
+                    lambda r: r["first"] <= r["last"])
+    return s.select("loan_id", "default_flag", F.col("_issue").alias("issue_month"), dround("installment", 2).alias("expected_payment"),
+                    runs.alias("runs"))
+
+
+def expand_runs(runs: DataFrame, max_month: int | None = None) -> DataFrame:
+    """The panel's rows out of its runs, all months or the first ``max_month``."""
+    last = F.col("r.last") if max_month is None else F.least(F.col("r.last"), F.lit(max_month))
+    months = runs.withColumn("r", F.explode("runs")).withColumn("month_number", F.explode(
+        F.when(last >= F.col("r.first"), F.sequence(F.col("r.first"), last))))
+    return months.withColumn("month_date", F.add_months("issue_month", F.col("month_number") - 1).cast("timestamp_ntz")).select(
+        *[F.col(f"r.{c}").alias(c) if c in ("estimated_payment", "payment_ratio", "is_active") else c for c in PANEL_COLUMNS])
+
+
+def runs_profile(runs: DataFrame) -> DataFrame:
+    """R9 on runs: rows, loans, months per loan, active share."""
+    r = runs.select("loan_id", F.explode("runs").alias("r")).select(
+        "loan_id", (F.col("r.last") - F.col("r.first") + 1).alias("months"), "r.is_active")
+    a = r.agg(F.sum("months").alias("panel_rows"), F.count_distinct("loan_id").alias("loans"),
+              F.sum(F.col("months") * F.col("is_active")).alias("_active"))
+    return a.select("panel_rows", "loans", dround(F.try_divide("panel_rows", "loans"), 1).alias("months_per_loan"),
+                    dround(F.try_divide("_active", "panel_rows"), 3).alias("active_share"))
+
+
+def runs_by_label(runs: DataFrame) -> DataFrame:
+    """R2 on runs: each weighs as many months as it has among the first ones. Ratios
+    have four digits and are summed as whole numbers."""
+    r = runs.select("loan_id", "default_flag", F.explode("runs").alias("r"))
+    r = r.withColumn("k", F.least(F.col("r.last"), F.lit(OBSERVATION_MONTHS)) - F.col("r.first") + 1).where("k > 0")
+    units = F.round(F.col("r.payment_ratio") * 10_000).cast("long")
+    return (r.groupBy("default_flag")
+            .agg(dround(F.sum(F.col("k") * units) / 10_000.0 / F.sum("k"), 3).alias("avg_payment_ratio"),
+                 dround(F.sum(F.col("k") * F.col("r.is_active")) / F.sum("k"), 3).alias("avg_active_rate"),
+                 F.count_distinct("loan_id").alias("loan_count"))
+            .orderBy("default_flag"))
+
+
 def month_ratio(installment: F.Column, payment: F.Column) -> F.Column:
     """payment over instalment, capped, to 4 digits."""
     ratio = F.when(installment > 0, payment / installment).otherwise(F.lit(0.0))

@@ -5,6 +5,8 @@ Importing this module fills ``loanrisk.plans.registry.REGISTRY``.
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from loanrisk.operators import clean, features, panel
 from loanrisk.plans import reports
 from loanrisk.plans.registry import register, sql_over
@@ -98,8 +100,8 @@ SELECT count(*) AS panel_rows, count(DISTINCT loan_id) AS loans,
        round(avg(is_active), 3) AS active_share
 FROM panel"""))
 def panel_profile(t):
-    """R9 (A2, A3)."""
-    return panel.panel_profile(t.panel)
+    """R9 (A2, A3), from the loans' runs: the months' rows are neither made nor read."""
+    return panel.runs_profile(t.runs)
 
 
 @register("early_payment_by_label", sql_over(["panel"], """
@@ -107,8 +109,19 @@ SELECT default_flag, round(avg(payment_ratio), 3) AS avg_payment_ratio,
        round(avg(is_active), 3) AS avg_active_rate, count(DISTINCT loan_id) AS loan_count
 FROM panel WHERE month_number <= 6 GROUP BY default_flag ORDER BY default_flag"""))
 def early_payment_by_label(t):
-    """R2 (P7, A3, A5, A12)."""
-    return panel.early_payment_by_label(t.panel)
+    """R2 (P7, A3, A5, A12), from the loans' runs."""
+    return panel.runs_by_label(t.runs)
+
+
+@register("payment_runs", sql_over(["panel"], """
+SELECT loan_id, default_flag, is_active, min(month_number) AS first_month, max(month_number) AS last_month,
+       max(expected_payment) AS expected_payment, max(estimated_payment) AS estimated_payment, max(payment_ratio) AS payment_ratio
+FROM panel GROUP BY loan_id, default_flag, is_active"""))
+def payment_runs(t):
+    """U1 run-length encoded: at most two runs a loan."""
+    r = t.runs.withColumn("r", F.explode("runs"))
+    return r.select("loan_id", "default_flag", "r.is_active", F.col("r.first").alias("first_month"), F.col("r.last").alias("last_month"),
+                    "expected_payment", "r.estimated_payment", "r.payment_ratio")
 
 
 # ---------------------------------------------------------------- views

@@ -107,6 +107,11 @@ class LoanTables:
         """The stored ``monthly_payments`` table, every loan month."""
         return self._stored(panel.monthly_panel_of(self.records), "monthly_payments")
 
+    @cached_property
+    def runs(self) -> DataFrame:
+        """The panel run-length encoded: a row per loan, a projection of the records."""
+        return panel.payment_runs(self.records)
+
     @cached_property
     def origination(self) -> DataFrame:
         return features.origination_of(self.records)

@@ -227,3 +227,30 @@ def test_audit_is_observed_by_the_write(spark):
     audit = t.ingest_audit
     assert "Scan parquet" not in _plan(audit) and "Exchange" not in _plan(audit)
     assert audit.collect() == tables(spark, t.sf_dir, materialize=False).ingest_audit.collect()
+
+
+def test_runs_are_the_panel(spark):
+    """Expanded runs are the panel's rows, also its first months alone; aggregates on runs
+    equal those on rows, and read no month's row."""
+    from loanrisk.plans.tables import tables
+    t = tables(spark, "/root/testdata/sf0.001")
+    rows = lambda df: sorted(map(tuple, df.select(*panel.PANEL_COLUMNS).collect()))
+    assert t.runs.where(F.size("runs") > 2).count() == 0
+    early = panel.expand_runs(t.runs, 6)
+    assert rows(early) == rows(t.panel.where("month_number <= 6"))
+    assert panel.expand_runs(t.runs).exceptAll(t.panel).count() == 0 and panel.expand_runs(t.runs).count() == t.panel.count()
+    assert panel.runs_profile(t.runs).collect() == panel.panel_profile(t.panel).collect()
+    assert panel.runs_by_label(t.runs).collect() == panel.early_payment_by_label(t.panel).collect()
+    assert "monthly_payments" not in _plan(panel.runs_by_label(t.runs)) and "monthly_payments" in _plan(t.panel)
+
+
+def test_runs_of_odd_loans(spark):
+    """No month, never active, active to the end, last payment before the issue."""
+    rows = [("1", "Jan-2015", 3.0, 100.0, 300.0, "Mar-2015", 0), ("2", "Jan-2015", 3.0, 100.0, 50.0, "Jan-2015", 1),
+            ("3", "Jan-2015", 3.0, 100.0, 0.0, None, 1), ("4", "Jan-2015", 0.0, 100.0, 10.0, "Feb-2015", 0),
+            ("5", "Jan-2015", 2.0, 100.0, 10.0, "Dec-2014", 0), ("6", "Jan-2015", None, 100.0, 10.0, "Feb-2015", 0)]
+    df = spark.createDataFrame(rows, "loan_id string, issue_date string, term_months double, installment double, total_pymnt double, "
+                                     "last_pymnt_d string, default_flag int").withColumn("last_pymnt_amnt", F.lit(None).cast("double"))
+    got = {r.loan_id: [(x["first"], x["last"], x.is_active) for x in r.runs] for r in panel.payment_runs(df).collect()}
+    assert got == {"1": [(1, 3, 1)], "2": [(1, 1, 1), (2, 3, 0)], "3": [(1, 3, 0)], "5": [(1, 2, 0)]}
+    assert panel.expand_runs(panel.payment_runs(df)).exceptAll(panel.monthly_panel_of(df)).count() == 0
