@@ -29,13 +29,14 @@ from pyspark.ml.classification import (GBTClassifier, LogisticRegression,
                                        MultilayerPerceptronClassifier)
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loanrisk.functions.num import dround, integer_points, log_odds_to_points
 from loanrisk.operators import metrics, split, woe
 from loanrisk.operators.calibration import Knots, isotonic
-from loanrisk.sources.io import write_csv
+from loanrisk.sources.io import publish, version_path, write_csv
 
 # --- fixed values -----------------------------------------------------------
 # Challenger features (origination, flags, months 1-6 behaviour).
@@ -73,6 +74,7 @@ LABEL = "default_flag"
 
 # ---------------------------------------------------------------- run log
 
+LOG_KEY = ["run_id", "kind", "key"]
 LOG_SCHEMA = "run_id string, run string, at double, kind string, key string, value string"
 
 
@@ -124,8 +126,16 @@ class RunLog:
         return spark.createDataFrame(self.rows, LOG_SCHEMA)
 
     def append_to(self, spark: SparkSession, path: str) -> None:
-        """Add all rows to the log table at ``path`` (shared storage)."""
-        self.frame(spark).coalesce(1).write.mode("append").parquet(path)
+        """Add the rows that the log table at ``path`` (shared storage) does not hold
+        yet, by run id, kind and key: appending again changes nothing."""
+        mine = self.frame(spark).dropDuplicates(LOG_KEY)
+        try:
+            held = read_log(spark, path).select(*LOG_KEY)
+            mine = mine.join(held, LOG_KEY, "left_anti")
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+        mine.coalesce(1).write.mode("append").parquet(path)
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
@@ -150,14 +160,15 @@ def _run_gini(log: DataFrame) -> DataFrame:
     m = (log.where(F.col("kind") == "metric")
          .groupBy("run").pivot("key", ["gini", "ks", "auc", "calibration_error"])
          .agg(F.first(F.col("value").cast("double"))))
-    champ = (log.where((F.col("kind") == "tag") & (F.col("key") == "champion"))
-             .groupBy("run").agg(F.max(F.col("value") == "true").alias("is_champion")))
+    tagged = F.when((F.col("kind") == "tag") & (F.col("key") == "champion") & (F.col("value") == "true"), F.struct("at", "run_id"))
+    champ = log.groupBy("run").agg(F.max(tagged).alias("_tagged"))
     every = Window.partitionBy()
-    g = m.join(champ, "run", "left").fillna(False, ["is_champion"])
+    # of several runs tagged champion the latest is it: its name and its Gini
+    g = m.join(champ, "run", "left").withColumn("is_champion", F.coalesce(F.col("_tagged") == F.max("_tagged").over(every), F.lit(False)))
     return g.withColumns({
         "champion": F.max(F.when(F.col("is_champion"), F.col("run"))).over(every),
         "champion_gini": F.max(F.when(F.col("is_champion"), F.col("gini"))).over(every),
-    })
+    }).drop("_tagged")
 
 
 def promotion(log: DataFrame, margin: float = PROMOTION_MARGIN) -> DataFrame:
@@ -230,7 +241,12 @@ class Scorer:
             out = out.withColumns({"margin": F.col("_raw"), "points": integer_points(log_odds_to_points("_raw"))})
         return out.drop("_raw")
 
-    def save(self, spark: SparkSession, path: str) -> None:
+    def save(self, spark: SparkSession, path: str) -> str:
+        """A fresh version of the model at ``path``, published when all of it is
+        written; earlier versions stay. Returns the version's name."""
+        return publish(spark, path, lambda where: self._write(spark, where))
+
+    def _write(self, spark: SparkSession, path: str) -> None:
         """Everything under ``path`` on shared storage: ``spec``, the ``knots`` and,
         where there is one, ``pipeline``; the bins also as a table."""
         spec = {"kind": self.kind, "features": self.features,
@@ -244,7 +260,9 @@ class Scorer:
         spark.createDataFrame([(json.dumps(spec),)], "spec string").coalesce(1).write.mode("overwrite").text(f"{path}/spec")
 
     @staticmethod
-    def load(spark: SparkSession, path: str) -> "Scorer":
+    def load(spark: SparkSession, path: str, version: str | None = None) -> "Scorer":
+        """The model at ``path``: a named version, or the latest that is complete."""
+        path = version_path(spark, path, version)
         spec = json.loads(spark.read.text(f"{path}/spec").first()[0])
         pipeline = None if spec["kind"] == "scorecard" else PipelineModel.load(f"{path}/pipeline")
         knots = Knots(spark.read.parquet(f"{path}/knots"))

@@ -711,7 +711,7 @@ SCORERS = [  # (run, Spark score, SQL score, champion); a run name used again re
     ("grade_rule", "dti", None, False),
     ("rate_rule", None, "round(((CAST(loan_id AS BIGINT) * 7919) % 2000) / 2000.0::DOUBLE, 3)", True),
     ("grade_rule", "grade", "COALESCE(grade_numeric, 0.0) / 8.0", False),
-    ("dti_rule", "dti", "dti / 45.0", False),
+    ("dti_rule", "dti", "dti / 45.0", True),   # the champion: the latest run tagged so
 ]
 # ---------------------------------------------------------------------------
 
@@ -731,20 +731,25 @@ def scorer_run_log(t) -> DataFrame:
     """S12 rows for the closed-form scorers (tags + evaluation metrics),
     evaluated once per session and data folder."""
     key = (session_key(t.spark), t.sf_dir)
-    if key in _SCORER_LOGS:
-        return stored_log(t, _SCORER_LOGS[key], "scorer_log")
+    with MATERIALIZE_LOCK:
+        if key not in _SCORER_LOGS:
+            _SCORER_LOGS[key] = _scorer_log(t)
+    return stored_log(t, _SCORER_LOGS[key], "scorer_log")
+
+
+def _scorer_log(t) -> models.RunLog:
     test = split_rows(t, "test")
-    log = _SCORER_LOGS[key] = models.RunLog()
+    log = models.RunLog()
     for k, (run, kind, _sql_expr, champ) in enumerate(SCORERS):
         scored = test.select(F.col("default_flag").alias("y"), _scorer_col(kind).alias("p"))
         log.start(run, at=float(k))
         log.log(run, "tag", "champion", "true" if champ else "false")
         row = metrics.evaluate(scored).first().asDict()
         log.metrics(run, {k: row[k] for k in ("gini", "ks", "auc", "calibration_error")})
-    return stored_log(t, log, "scorer_log")
+    return log
 
 
-def _scorer_eval_sql(run: str, expr: str, champ: bool) -> str:
+def _scorer_eval_sql(run: str, expr: str, champ: bool, at: int) -> str:
     lad = f"""(SELECT p, pos, neg,
   COALESCE(sum(pos) OVER (ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos_lt,
   COALESCE(sum(neg) OVER (ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS neg_lt,
@@ -755,7 +760,7 @@ def _scorer_eval_sql(run: str, expr: str, champ: bool) -> str:
     qs = ", ".join(f"quantile_cont(p, {q}) AS q{i}" for i, q in enumerate(_QS))
     bins = " + ".join(f"CASE WHEN p > e.q{i} THEN 1 ELSE 0 END" for i in range(9))
     return f"""
-SELECT '{run}' AS run, {'true' if champ else 'false'} AS is_champion,
+SELECT '{run}' AS run, {at if champ else 'CAST(NULL AS INTEGER)'} AS champion_at,
   round(r.auc * 2 - 1, 4) AS gini, round(greatest(r.ks, 0.0), 4) AS ks, round(r.auc, 4) AS auc,
   c.calibration_error
 FROM (SELECT CAST(sum(CAST(pos AS HUGEINT) * (2 * neg_lt + neg)) AS DOUBLE)
@@ -773,9 +778,10 @@ FROM (SELECT CAST(sum(CAST(pos AS HUGEINT) * (2 * neg_lt + neg)) AS DOUBLE)
 
 
 _SCORER_BASE = ("SELECT * FROM split_features WHERE split = 'test'", ["split_features"])
-_SCORER_RUNS = (" UNION ALL ".join(_scorer_eval_sql(r, e, c) for r, _k, e, c in SCORERS if e),
-                ["scorer_base"])
-_SCORER_CTES = {"split_features": _SPLIT, "scorer_base": _SCORER_BASE, "scorer_runs": _SCORER_RUNS}
+_SCORER_EVALS = (" UNION ALL ".join(_scorer_eval_sql(r, e, c, k) for k, (r, _k, e, c) in enumerate(SCORERS) if e),
+                 ["scorer_base"])
+_SCORER_RUNS = ("SELECT *, coalesce(champion_at = max(champion_at) OVER (), false) AS is_champion FROM scorer_evals", ["scorer_evals"])
+_SCORER_CTES = {"split_features": _SPLIT, "scorer_base": _SCORER_BASE, "scorer_evals": _SCORER_EVALS, "scorer_runs": _SCORER_RUNS}
 
 
 @register("scorer_comparison", sql_over(["scorer_runs"], """

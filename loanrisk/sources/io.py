@@ -17,6 +17,7 @@ import csv
 import hashlib
 import logging
 import os
+import time
 import uuid
 
 from pyspark.errors import AnalysisException
@@ -102,9 +103,103 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = os.path.join(checkpoint_dir(spark), "staged", session_key(spark), f"{name}-{uuid.uuid4().hex[:12]}")
     df.write.parquet(path)
+    _STAGED.setdefault(session_key(spark), []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_STAGED: dict[str, list[str]] = {}
+
+
+def staged_paths(spark: SparkSession) -> list[str]:
+    """Intermediate results of this session that are still there."""
+    return list(_STAGED.get(session_key(spark), []))
+
+
+def release_staged(spark: SparkSession, since: int = 0) -> int:
+    """Remove the session's intermediate results, or those after the first ``since``,
+    and return their number. Frames that read them are of no more use: call this when
+    the results made from them are written or no longer needed."""
+    held = _STAGED.get(session_key(spark), [])
+    gone = held[since:]
+    for path in gone:
+        remove_folder(spark, path)
+    del held[since:]
+    return len(gone)
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder on whatever file system it is."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
+# ---------------------------------------------------------------- versions
+# A folder of versions: each is written under a fresh name first, and published by
+# appending one row to the folder's version log. Spark's committer shows that row
+# whole or not at all, so a reader sees the version before or the new one; a write
+# that fails half-way is never seen.
+
+VERSION_SCHEMA = "version string, at double, retired boolean"
+
+
+def versions(spark: SparkSession, root: str) -> list[str]:
+    """Published versions under ``root``, the latest first (one small row each)."""
+    try:
+        rows = spark.read.schema(VERSION_SCHEMA).parquet(f"{root}/versions").collect()
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return []
+    gone = {r["version"] for r in rows if r["retired"]}
+    return [r["version"] for r in sorted(rows, key=lambda r: (r["at"], r["version"]), reverse=True) if r["version"] not in gone]
+
+
+def publish(spark: SparkSession, root: str, write, at: float | None = None) -> str:
+    """Call ``write(path)`` with the path of a fresh version, then publish it.
+    Returns the version's name."""
+    version = f"v-{uuid.uuid4().hex[:12]}"
+    write(f"{root}/{version}")
+    _log_versions(spark, root, [version], False, at)
+    return version
+
+
+def _log_versions(spark: SparkSession, root: str, names: list[str], retired: bool, at: float | None = None) -> None:
+    at = time.time() if at is None else at
+    rows = spark.createDataFrame([(v, at, retired) for v in names], VERSION_SCHEMA)
+    rows.coalesce(1).write.mode("append").parquet(f"{root}/versions")
+
+
+def publish_table(df: DataFrame, root: str) -> str:
+    """``df`` as the latest version of the table at ``root``. Frames that read an
+    earlier version keep reading it."""
+    return publish(df.sparkSession, root, lambda path: df.write.parquet(path))
+
+
+def published(spark: SparkSession, root: str, version: str | None = None) -> DataFrame:
+    """The table at ``root`` in the given version, or its latest."""
+    return spark.read.parquet(version_path(spark, root, version))
+
+
+def version_path(spark: SparkSession, root: str, version: str | None = None) -> str:
+    there = versions(spark, root)
+    if not there or (version is not None and version not in there):
+        raise FileNotFoundError(f"no published version {version or ''} under {root}")
+    return f"{root}/{version or there[0]}"
+
+
+def retire(spark: SparkSession, root: str, keep: int = 2) -> list[str]:
+    """Remove all published versions but the last ``keep`` (at least one). The log
+    names them first, so nobody is sent to a version that is going."""
+    if keep < 1:
+        raise ValueError("keep at least one version")
+    gone = versions(spark, root)[keep:]
+    if gone:
+        _log_versions(spark, root, gone, True)
+        for version in gone:
+            remove_folder(spark, f"{root}/{version}")
+    return gone
+
+
 def write_table(df: DataFrame, path: str, name: str | None = None,
                 buckets: int | None = None, key: str = "loan_id",
                 prepartitioned: bool = False, parts: str | None = None) -> None:
