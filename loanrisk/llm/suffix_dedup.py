@@ -25,7 +25,8 @@ be known whether an equal window starts earlier.
    task: its windows are grouped by their bytes with a partial ``min`` instead.
 4. *Removal.* The repeated windows of a document are united to spans and cut out.
 
-Hashes of contexts are compared together with the bucket's (128 bits in all).
+Contexts are equal when their 128-bit BLAKE2b hashes are: a cryptographic hash, so that
+no document can be made to lose text that it does not share.
 
 Defined results: null text is empty; texts shorter than ``length`` lose nothing;
 rows with equal or null ids are ordered by their place in the files (null first) and
@@ -37,6 +38,7 @@ gives no rows; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -78,6 +80,13 @@ def _gram_hash(words: np.ndarray) -> np.ndarray:
     return h
 
 
+def digests(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """128-bit BLAKE2b of ``data[begin:end]`` for each pair, as two numbers."""
+    body = memoryview(np.ascontiguousarray(data))
+    out = b"".join([blake2b(body[a:b], digest_size=16).digest() for a, b in zip(begin.tolist(), end.tolist())])
+    return np.frombuffer(out, np.uint64).reshape(-1, 2)
+
+
 def runs(data: np.ndarray, bounds: np.ndarray, length: int = LENGTH):
     """Runs of windows with one anchor in texts ``data[bounds[t]:bounds[t + 1]]``:
     ``(text, first, last, bucket, context)``, places from each text's start."""
@@ -85,9 +94,8 @@ def runs(data: np.ndarray, bounds: np.ndarray, length: int = LENGTH):
     text_of = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     starts = np.flatnonzero(np.arange(n) + length <= bounds[1:][text_of])
     if not len(starts):
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
-    words = _words(data)
-    grams = _gram_hash(words)
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64), np.zeros((0, 2), np.uint64))
+    grams = _gram_hash(_words(data))
     key = (grams & ~((np.uint64(1) << _PLACE_BITS) - np.uint64(1))) | np.arange(n, dtype=np.uint64)
     span = 1
     while 2 * span <= width:  # least key of ``span`` positions
@@ -98,14 +106,7 @@ def runs(data: np.ndarray, bounds: np.ndarray, length: int = LENGTH):
     cut = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (starts[1:] != starts[:-1] + 1)]))
     first, last = starts[cut], starts[np.append(cut[1:], len(starts)) - 1]
     anchor = anchor[cut]
-    size = last - first + length
-    context = _mix((anchor - first).astype(np.uint64) * _A + size.astype(np.uint64))
-    for k in range(0, int(size.max()), 8):
-        on = size > k
-        tail = np.clip(size - k, 0, 8).astype(np.uint64) * np.uint64(8)
-        word = words[np.minimum(first + k, n - 1)]
-        word = np.where(tail < 64, word & ((np.uint64(1) << (tail & np.uint64(63))) - np.uint64(1)), word)
-        context = np.where(on, _mix(context ^ (word * _B + np.uint64(k + 1))), context)
+    context = digests(data, first, last + length)
     text = text_of[first]
     return text, first - bounds[text], last - bounds[text], grams[anchor], context
 
@@ -130,16 +131,16 @@ def _stretches(texts: pa.Array, length: int) -> Iterator[tuple[np.ndarray, np.nd
         yield np.concatenate(pieces), np.cumsum([0, *map(len, pieces)]), np.array(rows), np.array(begin)
 
 
-RUN_NAMES = ["bucket", "context", "doc", "first", "last", "repeated"]
-RUN_SCHEMA = "bucket long, context long, doc long, first long, last long, repeated boolean"
+RUN_NAMES = ["bucket", "context", "context_2", "doc", "first", "last", "repeated"]
+RUN_SCHEMA = "bucket long, context long, context_2 long, doc long, first long, last long, repeated boolean"
 
 
 def _run_batches(bucket, context, doc, first, last, repeated: bool) -> Iterator[pa.RecordBatch]:
     for k in range(0, len(doc), 50_000):
         s = slice(k, k + 50_000)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(bucket[s].view(np.int64)), pa.array(context[s].view(np.int64)), pa.array(doc[s]), pa.array(first[s]),
-             pa.array(last[s]), pa.array(np.full(len(doc[s]), repeated))], RUN_NAMES)
+            [pa.array(bucket[s].view(np.int64)), *(pa.array(np.ascontiguousarray(context[s, k]).view(np.int64)) for k in (0, 1)),
+             pa.array(doc[s]), pa.array(first[s]), pa.array(last[s]), pa.array(np.full(len(doc[s]), repeated))], RUN_NAMES)
 
 
 def _run_rows(docs: DataFrame, length: int) -> DataFrame:
@@ -153,9 +154,9 @@ def _run_rows(docs: DataFrame, length: int) -> DataFrame:
             if not parts:
                 continue
             bucket, context, doc, first, last = (np.concatenate(x) for x in zip(*parts))
-            order = np.lexsort((first, doc, context, bucket))
+            order = np.lexsort((first, doc, context[:, 1], context[:, 0], bucket))
             bucket, context, doc, first, last = (x[order] for x in (bucket, context, doc, first, last))
-            repeated = np.concatenate([[False], (bucket[1:] == bucket[:-1]) & (context[1:] == context[:-1])])
+            repeated = np.concatenate([[False], (bucket[1:] == bucket[:-1]) & (context[1:] == context[:-1]).all(1)])
             yield from _run_batches(bucket[~repeated], context[~repeated], doc[~repeated], first[~repeated], last[~repeated], False)
             # stretches of repeated runs become one row, dealt by document
             doc, first, last = doc[repeated], first[repeated], last[repeated]
@@ -165,7 +166,7 @@ def _run_rows(docs: DataFrame, length: int) -> DataFrame:
             head[1:] = (doc[1:] != doc[:-1]) | (first[1:] != last[:-1] + 1)
             begin = np.flatnonzero(head)
             doc, first, last = doc[begin], first[begin], last[np.append(begin[1:], len(head))[:len(begin)] - 1]
-            yield from _run_batches(_mix(doc.astype(np.uint64)), np.zeros(len(doc), np.uint64), doc, first, last, True)
+            yield from _run_batches(_mix(doc.astype(np.uint64)), np.zeros((len(doc), 2), np.uint64), doc, first, last, True)
 
     return docs.mapInArrow(run, RUN_SCHEMA)
 
@@ -184,9 +185,9 @@ def _compare_contexts(rows: DataFrame) -> DataFrame:
                 batch = batch.filter(pa.array(~known))
             if not batch.num_rows:
                 continue
-            bucket, context = batch["bucket"].to_numpy(), batch["context"].to_numpy()
+            bucket, context = batch["bucket"].to_numpy(), np.stack([batch["context"].to_numpy(), batch["context_2"].to_numpy()], 1)
             new_bucket = np.concatenate([[bucket[0] != before[0]], bucket[1:] != bucket[:-1]])
-            new = new_bucket | np.concatenate([[context[0] != before[1]], context[1:] != context[:-1]])
+            new = new_bucket | np.concatenate([[before[1] is None or (context[0] != before[1]).any()], (context[1:] != context[:-1]).any(1)])
             heads = np.flatnonzero(new)
             go = np.zeros(len(bucket), bool)
             if len(heads):
@@ -197,7 +198,7 @@ def _compare_contexts(rows: DataFrame) -> DataFrame:
                     yield waiting
                 waiting = None if go[heads[-1]] else batch.slice(heads[-1], 1)
             before = (bucket[-1], context[-1])
-            out = pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(~new)], RUN_NAMES)
+            out = pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(~new)], RUN_NAMES)
             yield out.filter(pa.array(~new | go))
 
     return rows.mapInArrow(run, RUN_SCHEMA)
@@ -330,7 +331,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         docs = written(places(placed, [F.col("doc_id"), F.col("_at.file"), F.col("_at.row")], [], "suffix-order")
                        .select(F.col("_place").alias("doc"), "doc_id", "text"), "suffix-docs")
     rows = _run_rows(docs.select("doc", "text"), length)
-    order = ["repeated", "bucket", "context", "doc", "first"]
+    order = ["repeated", "bucket", "context", "context_2", "doc", "first"]
     compared = written(_compare_contexts(rows.repartition("bucket").sortWithinPartitions(*order)), "suffix-compared")
     open_rows = compared.filter("NOT repeated")
     contexts = _fetch(docs, open_rows.select("bucket", "doc", "first", "last"), length)

@@ -102,3 +102,13 @@ def test_shared_passage_without_a_whole_window(spark):
     check(spark.createDataFrame(rows, "doc_id long, text string"), rows)
     rows += [(3, part(50)), (4, part(99)), (5, None), (6, "")]
     check(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), rows)
+
+
+@pytest.mark.parametrize("max_bucket", [10, 50_000])
+def test_passage_in_a_third_of_the_documents(spark, max_bucket):
+    """One q-gram bucket with a context for each of them, between other neighbours."""
+    rng = random.Random(12)
+    part = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    short, whole = part(70), part(140)
+    rows = [(i, part(120) + (short if i % 3 == 0 else whole if i % 3 == 1 else "") + part(120)) for i in range(150)]
+    check(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), rows, max_bucket=max_bucket)
