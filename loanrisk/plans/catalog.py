@@ -5,11 +5,14 @@ Importing this module fills ``loanrisk.plans.registry.REGISTRY``.
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import functions as F
 
 from loanrisk.operators import clean, features, panel
 from loanrisk.plans import reports
 from loanrisk.plans.registry import register, sql_over
+from loanrisk.sources import io
 from loanrisk.sources.io import sample_exact
 
 # ---------------------------------------------------------------- tables
@@ -161,6 +164,15 @@ def model_features(t):
 
 # ---------------------------------------------------------------- reports
 
+@register("model_features_sql", sql_over(["model_features"], "SELECT * FROM model_features"))
+def model_features_sql(t):
+    """The four views from SQL scripts on shared storage."""
+    root = os.path.join(io.table_root(t.spark, t.tag), "scripts")
+    io.store_scripts(t.spark, root)
+    frames = {"loans": t.loans, "borrowers": t.borrowers, "outcomes": t.outcomes, "monthly_payments": t.panel}
+    return io.run_feature_scripts(t.spark, root, frames)
+
+
 _MF = ["model_features"]
 
 

@@ -17,8 +17,10 @@ import csv
 import hashlib
 import logging
 import os
+import re
 import time
 import uuid
+from importlib import resources
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -305,10 +307,67 @@ def register_views(frames: dict[str, DataFrame]) -> None:
         df.createOrReplaceTempView(n)
 
 
-def run_sql_file(spark: SparkSession, path: str) -> DataFrame:
-    """Run one stored SQL statement (e.g. a CREATE VIEW) from a file."""
-    with open(path) as fh:
-        return spark.sql(fh.read())
+def split_statements(script: str) -> list[str]:
+    """The statements of a SQL script: cut at each ``;`` that stands outside quotes
+    ('...', "...", `...`) and comments (``--`` to the line's end, nested ``/* */``)."""
+    out, start, at, n = [], 0, 0, len(script)
+    while at < n:
+        c = script[at]
+        if c in "'\"`":
+            at += 1
+            while at < n and script[at] != c:
+                at += 2 if script[at] == "\\" and c != "`" else 1
+        elif script.startswith("--", at):
+            end = script.find("\n", at)
+            at = n if end < 0 else end
+        elif script.startswith("/*", at):
+            depth, at = 1, at + 2
+            while at < n and depth:
+                step = {"/*": 1, "*/": -1}.get(script[at:at + 2], 0)
+                depth, at = depth + step, at + (2 if step else 1)
+            continue
+        elif c == ";":
+            out.append(script[start:at])
+            start = at + 1
+        at += 1
+    out.append(script[start:])
+    return [s.strip() for s in out if _has_code(s)]
+
+
+def _has_code(statement: str) -> bool:
+    bare = re.sub(r"--[^\n]*|/\*.*?\*/", "", statement, flags=re.S)
+    return bool(bare.strip())
+
+
+def run_sql_file(spark: SparkSession, path: str) -> DataFrame | None:
+    """Run the SQL script at ``path`` (shared storage), statement by statement
+    in order; returns the last one's result (None for a script without any)."""
+    script = "\n".join(r[0] for r in spark.read.option("wholetext", True).text(path).collect())
+    out = None
+    for statement in split_statements(script):
+        out = spark.sql(statement)
+    return out
+
+
+#: The feature views as scripts, in the order they need each other.
+VIEW_SCRIPTS = ["functions", "origination_features", "payment_features", "vintage_features", "model_features"]
+
+
+def store_scripts(spark: SparkSession, root: str) -> None:
+    """Put the feature views' scripts under ``root`` on shared storage, to be edited
+    and rerun there. Scripts that are there already stay as they are."""
+    for name in VIEW_SCRIPTS:
+        text = resources.files("loanrisk").joinpath("sql", f"{name}.sql").read_text(encoding="utf-8")
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("ignore").text(f"{root}/{name}")
+
+
+def run_feature_scripts(spark: SparkSession, root: str, frames: dict[str, DataFrame]) -> DataFrame:
+    """The four feature views from the scripts under ``root``, over views of
+    loans, borrowers, outcomes and monthly_payments; returns model_features."""
+    register_views(frames)
+    for name in VIEW_SCRIPTS:
+        out = run_sql_file(spark, f"{root}/{name}")
+    return out
 
 
 def write_csv(df: DataFrame, path: str) -> None:

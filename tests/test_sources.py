@@ -146,3 +146,24 @@ def test_cluster_needs_a_shared_folder():
         sc = SimpleNamespace(master=master, getConf=lambda: conf, getCheckpointDir=lambda: None)
         with pytest.raises(ValueError):
             checkpoint_dir(SimpleNamespace(conf=conf, sparkContext=sc))
+
+
+def test_scripts_are_cut_outside_quotes_and_comments():
+    script = """-- one; two
+SELECT ';' AS a, "b;c", `d;e`, 'it''s; x', 'y\\'; z'; /* a; /* nested; */ still; */ SELECT 2
+;;  -- nothing more;
+"""
+    assert io.split_statements(script) == [
+        "-- one; two\nSELECT ';' AS a, \"b;c\", `d;e`, 'it''s; x', 'y\\'; z'", "/* a; /* nested; */ still; */ SELECT 2"]
+    assert io.split_statements("") == io.split_statements(" ; -- a") == []
+
+
+def test_a_script_runs_in_order_and_is_edited_in_place(spark, tmp_path):
+    root = str(tmp_path)
+    io.store_scripts(spark, root)
+    new = "CREATE OR REPLACE TEMP VIEW stepped AS SELECT 1 AS x; SELECT x + 1 AS y FROM stepped; -- end"
+    spark.createDataFrame([(new,)], "value string").coalesce(1).write.mode("overwrite").text(f"{root}/functions")
+    io.store_scripts(spark, root)      # leaves the edited one
+    assert io.run_sql_file(spark, f"{root}/functions").collect()[0].y == 2
+    spark.createDataFrame([("-- nothing",)], "value string").coalesce(1).write.text(f"{root}/none")
+    assert io.run_sql_file(spark, f"{root}/none") is None
