@@ -29,6 +29,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from loanrisk.operators import clean
 from loanrisk.session import checkpoint_dir, session_key
+from loanrisk.sources.csv_splits import read_split_csv
 
 log = logging.getLogger(__name__)
 
@@ -45,14 +46,17 @@ def _header(spark: SparkSession, path: str) -> list[str]:
 
 
 def read_raw_csv(spark: SparkSession, path: str, columns: list[str] | None = None,
-                 multi_line: bool = False) -> DataFrame:
+                 multi_line: bool = False, quoted_breaks: bool = False) -> DataFrame:
     """Raw loan CSV with header, all columns as text (no inference pass).
 
-    Files are split into many tasks. ``multi_line`` allows line breaks inside
-    quoted text, at the price of one task per file.
+    Files are split into many tasks. Where quoted text may hold line breaks,
+    ``quoted_breaks`` still splits them, with a pass that counts quotes and one that
+    joins lines (``csv_splits``); ``multi_line`` reads each file in one task.
     """
     names = columns or _header(spark, path)
     schema = StructType([StructField(n, StringType(), True) for n in names])
+    if quoted_breaks:
+        return read_split_csv(spark, path, schema, staged)
     return (spark.read.option("header", True).option("multiLine", multi_line)
             .option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE")
             .schema(schema).csv(path))

@@ -167,3 +167,34 @@ def test_a_script_runs_in_order_and_is_edited_in_place(spark, tmp_path):
     assert io.run_sql_file(spark, f"{root}/functions").collect()[0].y == 2
     spark.createDataFrame([("-- nothing",)], "value string").coalesce(1).write.text(f"{root}/none")
     assert io.run_sql_file(spark, f"{root}/none") is None
+
+
+@pytest.mark.parametrize("seed, size", [(1, 64), (2, 400), (3, 5000)])
+def test_quoted_line_breaks_in_split_files(spark, tmp_path, seed, size):
+    """The rows of the unsplit reader, with records, quotes and runs of quotes over
+    split borders, records longer than a split, several files, no last line break."""
+    import csv
+    import random
+    rng = random.Random(seed)
+    bits = ["a", "bc", ",", "\n", '"', '""', "\n\n", " ", "é", "x" * 30, "\n,\n"]
+    for f in range(3):
+        with open(tmp_path / f"part-{f}.csv", "w", newline="") as fh:
+            w = csv.writer(fh, lineterminator="\n")
+            w.writerow(["id", "title", "rest"])
+            for i in range(60):
+                long = 40 if i == 20 + f else 6
+                w.writerow([f"{f}-{i}", "t" + "".join(rng.choice(bits) for _ in range(rng.randrange(long))) + ".", rng.choice(["", "r", "q\nq"])])
+            if f == 1:
+                fh.write('1-last,"no\nend",z')
+    before = {k: spark.conf.get(k, None) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        split = io.read_raw_csv(spark, str(tmp_path), quoted_breaks=True)
+        whole = io.read_raw_csv(spark, str(tmp_path), multi_line=True)
+        got, want = (sorted(map(repr, df.collect())) for df in (split, whole))
+        assert len(want) == 181 and got == want and split.columns == whole.columns
+        assert size > 1000 or split.rdd.getNumPartitions() > 10
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
