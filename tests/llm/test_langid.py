@@ -90,3 +90,41 @@ def test_edges(spark, edge_docs, no_docs):
     assert {r.lang_pred for r in langid.predict(edge_docs, nothing).collect()} == {"und"}
     with pytest.raises(ValueError):
         langid.predict(edge_docs.withColumn("score", edge_docs.doc_id), model, carry=["score"])
+
+
+def test_query_against_plain_sums(spark):
+    """Language and score of every document, by sums over segmentations in plain Python
+    with the model's probabilities: no arrays, no cache, no pieces of text."""
+    import functools
+    import math
+
+    import regex
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    model = catalog.language_model(docs)
+    names = [int(k).to_bytes(8, "big").lstrip(b"\0") for k in model.keys] + list(model.long)
+    table = {n: model.probability[i].tolist() for i, n in enumerate(names)}
+    longest = max(map(len, names))
+
+    @functools.lru_cache(None)
+    def log_likelihood(word):
+        out = []
+        for k in range(len(model.languages)):
+            a = [1.0] + [0.0] * len(word)
+            for i in range(1, len(word) + 1):
+                a[i] = math.fsum(a[j] * table[word[j:i]][k] for j in range(max(0, i - longest), i) if word[j:i] in table)
+            out.append(math.log(a[-1]))
+        return out
+
+    got = {r.doc_id: r for r in catalog.op5_language_id(spark, SMALL).collect()}
+    assert len(got) == docs.count()
+    for r in docs.collect():
+        words = [b" " + w.encode() for w in regex.findall(r"\p{L}+", (r.text or "").lower())]
+        mine = got[r.doc_id]
+        assert mine.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+        if not words:
+            assert (mine.lang_pred, mine.score) == ("und", 0.0)
+            continue
+        totals = [math.fsum(log_likelihood(w)[k] for w in words) * langid.SHARPNESS / len(words) for k in range(len(model.languages))]
+        best = max(totals)
+        assert mine.lang_pred == model.languages[totals.index(best)]
+        assert mine.score == pytest.approx(1 / sum(math.exp(t - best) for t in totals), rel=1e-6)
