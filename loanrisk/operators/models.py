@@ -195,8 +195,10 @@ def prob_of(col: str = "_probability") -> F.Column:
     return vector_to_array(F.col(col))[1]
 
 
-def splits(mf: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    d = split.with_split(split.mature(mf))
+def splits(mf: DataFrame, cuts: dict | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Train, calibration and test rows of the mature vintages; ``cuts``: class cuts
+    that were found before."""
+    d = split.with_split(split.mature(mf), cuts)
     return (d.where(F.col("split") == "train"), d.where(F.col("split") == "cal"),
             d.where(F.col("split") == "test"))
 
@@ -337,13 +339,13 @@ def _weight_column(classes: dict[int, dict], key: str) -> F.Column:
 
 def train_scorecard(mf: DataFrame, features: list[str], min_iv: float = woe.MIN_IV,
                     log: RunLog | None = None, run: str = "scorecard_v1",
-                    fitted: dict | None = None, artifacts: str | None = None) -> Trained:
+                    fitted: dict | None = None, artifacts: str | None = None, cuts: dict | None = None) -> Trained:
     """M1-M5, M7-M11, M16 on the mature vintages (``fitted``: bins already fit
     on the same training split). With ``artifacts`` (a shared folder), the IV
     summary is written as CSV (S11) and the scorer is saved (S13). Raises if no
     feature reaches ``min_iv``."""
     spark = mf.sparkSession
-    train, cal, test = splits(mf)
+    train, cal, test = splits(mf, cuts)
     train = train.cache()
     fitted = fitted or woe.fit(train, features)
     selected = woe.selected_features(fitted, min_iv)
@@ -370,6 +372,21 @@ def train_scorecard(mf: DataFrame, features: list[str], min_iv: float = woe.MIN_
                    (n_train, test.count()))
 
 
+def scorecard_gradient(scorer: Scorer, train: DataFrame) -> DataFrame:
+    """M8: ``feature, gradient`` of the penalised, class-weighted mean loss at the
+    scorecard's coefficients, on the rows that it was trained on: zero at the optimum.
+    One aggregate over the rows."""
+    classes = _class_rows(train)
+    n_train = sum(r["n_class"] for r in classes.values())
+    columns = {f: woe.woe_column(scorer.bins[f]) for f in scorer.features}
+    rows = scorer.raw(train).select(_weight_column(classes, "class_weight").alias("_w"), (1 / (1 + F.exp(-F.col("_raw"))) - F.col(LABEL)).alias("_e"),
+                                    *[c.alias(f) for f, c in columns.items()])
+    slopes = [(F.sum(F.col("_w") * F.col("_e") * F.col(f)) / F.sum("_w") + F.lit(c / n_train)).alias(f)
+              for f, c in zip(scorer.features, scorer.coefficients)]
+    level = (F.sum(F.col("_w") * F.col("_e")) / F.sum("_w")).alias("intercept")
+    return rows.agg(*slopes, level).unpivot([], [*scorer.features, "intercept"], "feature", "gradient")
+
+
 # ---------------------------------------------------------------- boosted trees
 
 def columns_with_nulls(df: DataFrame, features: list[str]) -> list[str]:
@@ -380,10 +397,10 @@ def columns_with_nulls(df: DataFrame, features: list[str]) -> list[str]:
 
 def train_boosted_trees(mf: DataFrame, features: list[str] | None = None,
                         log: RunLog | None = None, run: str = "boosted_trees_challenger_v1",
-                        artifacts: str | None = None, **params) -> Trained:
+                        artifacts: str | None = None, cuts: dict | None = None, **params) -> Trained:
     """M17 + M9 + M15 + M18 on the mature vintages."""
     p = {**GBT_PARAMS, **params}
-    train, cal, test = splits(mf)
+    train, cal, test = splits(mf, cuts)
     train = train.cache()
     feats = present_features(mf, features or CHALLENGER_FEATURES)
     nulls = columns_with_nulls(train, feats)
@@ -441,9 +458,10 @@ def scaling_stats(train: DataFrame, features: list[str]) -> DataFrame:
 
 def train_neural_net(mf: DataFrame, features: list[str] | None = None,
                      log: RunLog | None = None, run: str = "neural_net_challenger_v1",
-                     epochs: int = MLP_EPOCHS, hidden: list[int] | None = None, artifacts: str | None = None) -> Trained:
+                     epochs: int = MLP_EPOCHS, hidden: list[int] | None = None, artifacts: str | None = None,
+                     cuts: dict | None = None) -> Trained:
     """M20 + M21 + M23 (+ M9 calibration) on the mature vintages."""
-    train, cal, test = splits(mf)
+    train, cal, test = splits(mf, cuts)
     train = train.cache()
     feats = present_features(mf, features or CHALLENGER_FEATURES)
     classes = _class_rows(train)

@@ -36,12 +36,17 @@ def fixture_score(key: str = "loan_id") -> F.Column:
     return dround(((k * 7919) % 2000) / F.lit(2000.0), 3)
 
 
-def split_rows(t, which: str) -> DataFrame:
-    """Mature loans of one split; the class cuts are found once per table set."""
-    if "split_cuts" not in t.__dict__:
-        with MATERIALIZE_LOCK:
+def split_cuts(t) -> dict:
+    """The class cuts, found once per table set."""
+    with MATERIALIZE_LOCK:
+        if "split_cuts" not in t.__dict__:
             t.__dict__["split_cuts"] = split.stratified_cuts(split.mature(t.model_features))
-    return split.with_split(split.mature(t.model_features), t.__dict__["split_cuts"]).where(F.col("split") == which)
+    return t.__dict__["split_cuts"]
+
+
+def split_rows(t, which: str) -> DataFrame:
+    """Mature loans of one split."""
+    return split.with_split(split.mature(t.model_features), split_cuts(t)).where(F.col("split") == which)
 
 
 def scored_holdout(t) -> DataFrame:
@@ -221,7 +226,7 @@ FROM (SELECT default_flag, split FROM split_features
 GROUP BY split ORDER BY split""", _EXTRA))
 def split_audit_q(t):
     """R11 (M6, P10)."""
-    return split.split_audit(t.model_features)
+    return split.split_audit(t.model_features, split_cuts(t))
 
 
 @register("class_weights", sql_over(["split_features"], """
@@ -598,7 +603,7 @@ def trained(t, name: str) -> models.Trained:
         if key not in _TRAINED:
             log = _LOGS.setdefault(key[:2], models.RunLog())
             kw = {"fitted": fitted_woe(t)} if name == "scorecard" else {}
-            _TRAINED[key] = models.train(name, t.model_features, log=log, **kw)
+            _TRAINED[key] = models.train(name, t.model_features, log=log, cuts=split_cuts(t), **kw)
     return _TRAINED[key]
 
 
@@ -623,6 +628,15 @@ def _metrics_row(t, name: str) -> DataFrame:
     return t.spark.createDataFrame([tr.metrics], metrics.METRIC_SCHEMA)
 
 
+@register("scorecard_gradient", sql_over(["ivs"], """
+SELECT feature, 0.0 AS gradient FROM ivs WHERE iv >= 0.1 UNION ALL SELECT 'intercept', 0.0""", _MERGED))
+def scorecard_gradient(t):
+    """M4, M8: the fitted scorecard is where the loss is least: a zero gradient for every
+    selected feature and the intercept."""
+    g = models.scorecard_gradient(trained(t, "scorecard").scorer, split_rows(t, "train"))
+    return g.select("feature", F.abs(dround("gradient", 4)).alias("gradient"))
+
+
 @register("scorecard_holdout")
 def scorecard_holdout(t):
     """Champion scorecard hold-out metrics."""

@@ -261,3 +261,17 @@ def test_no_feature_with_information_raises(spark):
     from loanrisk.plans.tables import tables
     with pytest.raises(ValueError, match="information value"):
         models.train_scorecard(tables(spark, SMALL).model_features, ["total_acc"], min_iv=5.0)
+
+
+def test_gradient_is_zero_at_the_fit_alone(spark):
+    from dataclasses import replace
+
+    from loanrisk.plans.modelling import split_rows
+    from loanrisk.plans.tables import tables
+    t = tables(spark, SMALL)
+    train = split_rows(t, "train")
+    scorer = models.train("scorecard", t.model_features, min_iv=0.05).scorer
+    at_fit = {r.feature: r.gradient for r in models.scorecard_gradient(scorer, train).collect()}
+    assert set(at_fit) == {*scorer.features, "intercept"} and all(abs(g) < 1e-4 for g in at_fit.values())
+    off = replace(scorer, coefficients=[c + 0.1 for c in scorer.coefficients])
+    assert any(abs(r.gradient) > 1e-3 for r in models.scorecard_gradient(off, train).collect())
