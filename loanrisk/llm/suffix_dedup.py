@@ -13,8 +13,9 @@ be known whether an equal window starts earlier.
 2. *Equal contexts.* In a bucket sorted by (context, document, start), every row
    but the first of an equal context repeats earlier text as a whole. Repeats within
    a batch are found before the shuffle, so a group of copies ships one row a batch.
-   A bucket with one context is done; where contexts differ, matches begin or end
-   inside, and the first row of each context goes on.
+   Rows are dealt by ranges of (bucket, context), so a bucket with a row of every
+   third document lies in many ranges. A bucket with one context is done; where
+   contexts differ, matches begin or end inside, and the first row of each goes on.
 3. *Refinement.* These contexts' bytes are fetched, and their positions' q-gram
    buckets (32 bytes) are refined by sorting on the pair of bucket identifiers at a
    position and at a later offset: (i, i + 32) gives 64 bytes, and these updated
@@ -171,21 +172,33 @@ def _run_rows(docs: DataFrame, length: int) -> DataFrame:
     return docs.mapInArrow(run, RUN_SCHEMA)
 
 
+#: Of a row of the comparing pass: repeats an earlier one as a whole; the first row of
+#: its context, in a bucket with several; the same in a bucket at the end of a range,
+#: which may have contexts in another; marks such a bucket that has several in this one.
+REPEATED, OPEN, BORDER, SEVERAL = 0, 1, 2, 3
+COMPARED_NAMES = [*RUN_NAMES[:6], "kind"]
+COMPARED_SCHEMA = RUN_SCHEMA.replace("repeated boolean", "kind int")
+
+
 def _compare_contexts(rows: DataFrame) -> DataFrame:
-    """From rows clustered by bucket, sorted by (repeated, bucket, context, doc,
-    first): the rows that repeat an earlier one, and the first row of each context
-    in buckets with several. A pass over sorted rows: holds a batch and one row."""
+    """From rows in ranges of (repeated, bucket, context), sorted by that and (doc,
+    first): the rows that repeat an earlier one, and the first row of each context in
+    buckets that may have several. A pass over sorted rows: holds a batch and one row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = (None, None)  # bucket and context of the last row
-        waiting = None  # the only context of that bucket so far
+        first_bucket = None  # of the range
+        waiting = None  # the only context so far of a bucket behind it
         for batch in batches:
             known = batch["repeated"].to_numpy(zero_copy_only=False)
             if known.any():
-                yield batch.filter(batch["repeated"])
+                yield _of_kind(batch.filter(batch["repeated"]), REPEATED)
                 batch = batch.filter(pa.array(~known))
             if not batch.num_rows:
                 continue
             bucket, context = batch["bucket"].to_numpy(), np.stack([batch["context"].to_numpy(), batch["context_2"].to_numpy()], 1)
+            if first_bucket is None:
+                first_bucket = bucket[0]
+            border = bucket == first_bucket
             new_bucket = np.concatenate([[bucket[0] != before[0]], bucket[1:] != bucket[:-1]])
             new = new_bucket | np.concatenate([[before[1] is None or (context[0] != before[1]).any()], (context[1:] != context[:-1]).any(1)])
             heads = np.flatnonzero(new)
@@ -193,15 +206,33 @@ def _compare_contexts(rows: DataFrame) -> DataFrame:
             if len(heads):
                 second = ~new_bucket[heads]  # not the first context of its bucket
                 also = np.append(bucket[heads[1:]] == bucket[heads[:-1]], False)
-                go[heads] = second | also
+                go[heads] = second | also | border[heads]
                 if waiting is not None and second[0]:
-                    yield waiting
+                    yield _of_kind(waiting, OPEN)
                 waiting = None if go[heads[-1]] else batch.slice(heads[-1], 1)
             before = (bucket[-1], context[-1])
-            out = pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(~new)], RUN_NAMES)
-            yield out.filter(pa.array(~new | go))
+            yield _of_kind(batch, np.where(~new, REPEATED, np.where(border, BORDER, OPEN)).astype(np.int32)).filter(pa.array(~new | go))
+            last_row = batch.slice(batch.num_rows - 1, 1)
+        if waiting is not None:
+            yield _of_kind(waiting, BORDER)
+        elif first_bucket is not None and before[0] != first_bucket:
+            yield _of_kind(last_row, SEVERAL)
+
+    return rows.mapInArrow(run, COMPARED_SCHEMA)
+
+
+def _of_kind(batch: pa.RecordBatch, kind) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(np.broadcast_to(np.int32(kind), batch.num_rows))], COMPARED_NAMES)
+
 
-    return rows.mapInArrow(run, RUN_SCHEMA)
+def open_heads(compared: DataFrame) -> DataFrame:
+    """The first rows of contexts in buckets with several; of those at the ends of ranges,
+    the ones whose bucket has another head or several contexts elsewhere."""
+    ends = compared.filter(F.col("kind") >= BORDER)
+    spread = ends.groupBy("bucket").count().filter("count > 1").select("bucket")
+    columns = ["bucket", "doc", "first", "last"]
+    return (compared.filter(F.col("kind") == OPEN).select(*columns)
+            .unionByName(ends.filter(F.col("kind") == BORDER).join(spread, "bucket", "left_semi").select(*columns)))
 
 
 def _pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -331,12 +362,12 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         docs = written(places(placed, [F.col("doc_id"), F.col("_at.file"), F.col("_at.row")], [], "suffix-order")
                        .select(F.col("_place").alias("doc"), "doc_id", "text"), "suffix-docs")
     rows = _run_rows(docs.select("doc", "text"), length)
-    order = ["repeated", "bucket", "context", "context_2", "doc", "first"]
-    compared = written(_compare_contexts(rows.repartition("bucket").sortWithinPartitions(*order)), "suffix-compared")
-    open_rows = compared.filter("NOT repeated")
-    contexts = _fetch(docs, open_rows.select("bucket", "doc", "first", "last"), length)
+    ranges = ["repeated", "bucket", "context", "context_2"]
+    compared = written(_compare_contexts(rows.repartitionByRange(*ranges).sortWithinPartitions(*ranges, "doc", "first")), "suffix-compared")
+    open_rows = written(open_heads(compared), "suffix-open")
+    contexts = _fetch(docs, open_rows, length)
     large = written(open_rows.groupBy("bucket").count().filter(F.col("count") > max_bucket).select("bucket"), "suffix-large")
-    parts = [compared.filter("repeated").select("doc", "first", "last")]
+    parts = [compared.filter(F.col("kind") == REPEATED).select("doc", "first", "last")]
     if large.limit(1).count():
         contexts = written(contexts, "suffix-contexts")
         parts.append(written(_by_windows(contexts.join(large, "bucket", "left_semi"), length), "suffix-large-refined"))

@@ -112,3 +112,39 @@ def test_passage_in_a_third_of_the_documents(spark, max_bucket):
     short, whole = part(70), part(140)
     rows = [(i, part(120) + (short if i % 3 == 0 else whole if i % 3 == 1 else "") + part(120)) for i in range(150)]
     check(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), rows, max_bucket=max_bucket)
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_buckets_over_many_ranges(seed):
+    """Ranges cut between any two contexts, batches of any size: the same repeats, and
+    the first rows of contexts in buckets with several."""
+    import pyarrow as pa
+    rng = random.Random(seed)
+    rows = sorted((False, b, c, 0, rng.randrange(50), rng.randrange(1000)) for b in range(rng.randrange(1, 9))
+                  for c in rng.sample(range(100), rng.choice([1, 1, 2, 9])) for _ in range(rng.choice([1, 1, 3])))
+    contexts = {}
+    for r in rows:
+        contexts.setdefault(r[1], {}).setdefault(r[2], r)
+    want_open = {(r[1], r[4], r[5]) for by in contexts.values() if len(by) > 1 for r in by.values()}
+    heads = [r for by in contexts.values() for r in by.values()]
+    cuts = [k for k in range(1, len(rows)) if rows[k][1:3] != rows[k - 1][1:3] and rng.random() < 0.4]
+
+    class Rows:  # what mapInArrow gives a task
+        def mapInArrow(self, run, schema):
+            self.run = run
+            return self
+
+    run = suffix_dedup._compare_contexts(Rows()).run
+    kinds = []
+    for a, b in zip([0, *cuts], [*cuts, len(rows)]):
+        size = rng.choice([1, 2, 5, 100])
+        batches = [pa.RecordBatch.from_arrays([pa.array(x) for x in ([r[1] for r in part], [r[2] for r in part], [r[3] for r in part], [r[4] for r in part],
+                                              [r[5] for r in part], [r[5] for r in part], [r[0] for r in part])], suffix_dedup.RUN_NAMES)
+                   for part in (rows[k:min(k + size, b)] for k in range(a, b, size))]
+        kinds += [tuple(r.values()) for out in run(iter(batches)) for r in out.to_pylist()]
+    ends = [r for r in kinds if r[6] >= suffix_dedup.BORDER]
+    spread = {r[0] for r in ends if sum(x[0] == r[0] for x in ends) > 1}
+    got = [r for r in kinds if r[6] == suffix_dedup.OPEN] + [r for r in ends if r[6] == suffix_dedup.BORDER and r[0] in spread]
+    assert sorted((r[0], r[3], r[4]) for r in got) == sorted(want_open)
+    repeats = [r for r in kinds if r[6] == suffix_dedup.REPEATED]
+    assert len(repeats) == len(rows) - len(heads)
