@@ -232,7 +232,8 @@ def open_heads(compared: DataFrame) -> DataFrame:
     spread = ends.groupBy("bucket").count().filter("count > 1").select("bucket")
     columns = ["bucket", "doc", "first", "last"]
     return (compared.filter(F.col("kind") == OPEN).select(*columns)
-            .unionByName(ends.filter(F.col("kind") == BORDER).join(spread, "bucket", "left_semi").select(*columns)))
+            # at most two buckets a range
+            .unionByName(ends.filter(F.col("kind") == BORDER).join(F.broadcast(spread), "bucket", "left_semi").select(*columns)))
 
 
 def _pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
