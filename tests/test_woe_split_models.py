@@ -275,3 +275,17 @@ def test_gradient_is_zero_at_the_fit_alone(spark):
     assert set(at_fit) == {*scorer.features, "intercept"} and all(abs(g) < 1e-4 for g in at_fit.values())
     off = replace(scorer, coefficients=[c + 0.1 for c in scorer.coefficients])
     assert any(abs(r.gradient) > 1e-3 for r in models.scorecard_gradient(off, train).collect())
+
+
+def test_trees_are_grown_on_few_partitions_whatever_the_tables_have(spark, monkeypatch):
+    """Each of the 1,200 passes of 300 trees pays for its tasks."""
+    from pyspark.ml import Pipeline
+
+    from loanrisk.plans.tables import tables
+    assert [models.fit_partitions(n) for n in (0, 1, 40_000, 4_000_000, 24 * 524_288 + 1, 10 ** 9)] == [1, 1, 2, 24, 25, 1908]
+    seen, fit = [], Pipeline.fit
+    monkeypatch.setattr(Pipeline, "fit", lambda self, df, *a: seen.append(df.rdd.getNumPartitions()) or fit(self, df, *a))
+    mf = tables(spark, SMALL).model_features
+    fits = [models.train_boosted_trees(x, maxIter=2, maxDepth=2) for x in (mf.repartition(60), mf)]
+    assert seen == [1, 1]
+    assert fits[0].extra["importance"] == fits[1].extra["importance"]
