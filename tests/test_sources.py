@@ -198,3 +198,43 @@ def test_quoted_line_breaks_in_split_files(spark, tmp_path, seed, size):
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_tables_are_written_bucket_by_bucket(spark, monkeypatch):
+    """A write that needs no exchange has a task a bucket, with the rows of that one, so
+    that no task sorts more; and the wide records cross no exchange."""
+    from pyspark.sql import DataFrameWriter
+
+    from loanrisk.plans.tables import LoanTables, default_buckets
+    seen, save = {}, DataFrameWriter.saveAsTable
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+
+    def watched(self, name, *a, **kw):
+        per_task = self._df.select("loan_id", F.spark_partition_id().alias("p")).groupBy("p").agg(
+            F.count_distinct(F.pmod(F.hash("loan_id"), F.lit(6))).alias("n")).collect()
+        seen[name.rsplit("_", 2)[-2] + "_" + name.rsplit("_", 1)[-1]] = [r.n for r in per_task], plan(self._df)
+        return save(self, name, *a, **kw)
+
+    monkeypatch.setattr(DataFrameWriter, "saveAsTable", watched)
+    spark.conf.set("loanrisk.buckets", "6")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.debug.maxToStringFields", "1000")
+    try:
+        t = LoanTables(spark, f"{SMALL}/.")
+        assert t.panel.count() and t.model_features.count()
+    finally:
+        spark.conf.unset("loanrisk.buckets")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+    assert set(seen) == {"loan_records", "monthly_payments", "model_features"}
+    for name, (buckets_in_task, _) in seen.items():
+        assert buckets_in_task == [1] * 6, (name, buckets_in_task)
+    above, below = seen["loan_records"][1].split("REPARTITION_BY_NUM", 1)
+    assert "total_rec_late_fee" in above and "total_rec_late_fee" not in below
+    assert [default_buckets(spark, n) for n in (0, 54_000_000)] == [int(spark.conf.get("spark.sql.shuffle.partitions")), 824]
+
+
+def test_raw_loans_dealt_by_id_are_the_same_rows(spark):
+    a, b = raw_loans(spark, SMALL), raw_loans(spark, SMALL, 5)
+    assert a.columns == b.columns and b.rdd.getNumPartitions() == 5
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
