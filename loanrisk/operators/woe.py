@@ -69,18 +69,22 @@ def prebin_edges(long: DataFrame, prebins: int = PREBINS) -> DataFrame:
         F.array(*[F.col(f"q{i}") for i in range(len(qs))]))).alias("edges"))
 
 
-def bin_index(value: F.Column, edges: F.Column) -> F.Column:
-    """Number of edges strictly below the value; MISSING for null."""
-    return F.when(value.isNull(), F.lit(MISSING)).otherwise(
-        F.size(F.filter(edges, lambda e: e < value)))
-
-
-def prebin_counts(long: DataFrame, edges: DataFrame) -> DataFrame:
+def with_prebin(d: DataFrame, most: int) -> DataFrame:
+    """Adds ``prebin``, the number of sorted ``edges`` (at most ``most``) strictly below
+    ``value``; MISSING for null. A binary search, as every value of every feature passes
+    here; NaN, which is below nothing, fills the edges up."""
+    size = metrics.power_of_two(most + 1)
+    d = d.withColumn("_padded", F.concat("edges", F.array_repeat(F.lit(float("nan")), F.lit(size) - F.size("edges"))))
+    return (metrics.bucket_of(d, "value", F.col("_padded"), size)
+            .withColumn("prebin", F.when(F.col("value").isNull(), F.lit(MISSING)).otherwise(F.col("_bucket")))
+            .drop("_padded", "_bucket"))
+
+
+def prebin_counts(long: DataFrame, edges: DataFrame, prebins: int = PREBINS) -> DataFrame:
     """groupBy(feature, prebin): good / bad counts. Edges are one row per
     feature (bounded by the feature list), so they are broadcast."""
-    b = long.join(F.broadcast(edges), "feature")
-    return (b.groupBy("feature", bin_index(F.col("value"), F.col("edges")).alias("prebin"))
-            .agg(F.sum(F.lit(1) - F.col("y")).alias("good"), F.sum("y").alias("bad")))
+    b = with_prebin(long.join(F.broadcast(edges), "feature"), prebins - 1)
+    return b.groupBy("feature", "prebin").agg(F.sum(F.lit(1) - F.col("y")).alias("good"), F.sum("y").alias("bad"))
 
 
 @dataclass
@@ -217,7 +221,7 @@ def fit(train: DataFrame, features: list[str], label: str = "default_flag",
     """
     long = unpivot(train, features, label)
     edges = staged(prebin_edges(long, prebins), "woe-edges")
-    counts = staged(prebin_counts(long, edges), "woe-counts")
+    counts = staged(prebin_counts(long, edges, prebins), "woe-counts")
     return merged(counts, {r["feature"]: [float(x) for x in r["edges"]] for r in edges.collect()}, features,
                   max_bins, min_bin_size, missing_woe)
 
@@ -326,7 +330,7 @@ def fixed_bins(train: DataFrame, features: list[str], label: str = "default_flag
     rows reach the driver."""
     long = unpivot(train, features, label)
     edges = prebin_edges(long, n_bins).cache()
-    counts = [r.asDict() for r in prebin_counts(long, edges).collect()]
+    counts = [r.asDict() for r in prebin_counts(long, edges, n_bins).collect()]
     cuts = {r["feature"]: [float(x) for x in r["edges"]] for r in edges.collect()}
     edges.unpersist()
     return from_counts(counts, {f: cuts.get(f, []) for f in features})
@@ -340,7 +344,7 @@ def fixed_bin_iv(train: DataFrame, features: list[str], label: str = "default_fl
     """
     long = unpivot(train, features, label)
     edges = prebin_edges(long, n_bins)
-    c = prebin_counts(long, edges)
+    c = prebin_counts(long, edges, n_bins)
     tot = train.agg(F.sum(F.lit(1) - F.col(label)).alias("G"), F.sum(label).alias("B"))
     # Totals are one row: gather the two numbers (bounded) instead of a cross join.
     t = tot.first()

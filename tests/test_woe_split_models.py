@@ -289,3 +289,15 @@ def test_trees_are_grown_on_few_partitions_whatever_the_tables_have(spark, monke
     fits = [models.train_boosted_trees(x, maxIter=2, maxDepth=2) for x in (mf.repartition(60), mf)]
     assert seen == [1, 1]
     assert fits[0].extra["importance"] == fits[1].extra["importance"]
+
+
+def test_prebin_search_counts_the_edges_below(spark):
+    """Every value of every feature passes the search: a few steps, no pass over its edges."""
+    nan = float("nan")
+    for edges in ([], [2.0], [1.0, 2.0, 4.0], [float(i) for i in range(19)], [1.0, float("inf")], [1.0, nan]):
+        values = [None, nan, float("inf"), -float("inf"), -0.0, *[i / 2 for i in range(-1, 40)]]
+        d = spark.createDataFrame([("x", v, 1, edges) for v in values], "feature string, value double, y int, edges array<double>")
+        got = woe.with_prebin(d, 19)
+        below = F.when(F.col("value").isNull(), F.lit(woe.MISSING)).otherwise(F.size(F.filter("edges", lambda e: e < F.col("value"))))
+        assert got.where(F.col("prebin") != below).count() == 0 and got.where("prebin is null").count() == 0
+        assert "lambda" not in got._jdf.queryExecution().optimizedPlan().toString()
